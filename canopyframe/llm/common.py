@@ -137,6 +137,38 @@ def word_spans(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return start, end, np.searchsorted(start, off)
 
 
+#: Counters in one row of a summed table, and groups of tasks in the first of two levels of its sum.
+CHUNK = 1 << 14
+_TURNS = 64
+
+
+def counter_rows(counts: np.ndarray, turn: int, kind: int = 0) -> list[tuple[int, int, int, bytes]]:
+    """Rows (kind, chunk, turn, counts) of a task's non-negative counters; chunks without any are left out."""
+    pieces = [counts[i : i + CHUNK] for i in range(0, len(counts), CHUNK)]
+    return [(kind, k, turn, p.astype(np.int64).tobytes()) for k, p in enumerate(pieces) if p.any()]
+
+
+def _sum_rows(pdf):
+    import pandas as pd
+
+    total = np.zeros(CHUNK, np.int64)
+    for c in pdf["counts"]:
+        part = np.frombuffer(c, np.int64)
+        total[: len(part)] += part
+    return pd.DataFrame({"kind": pdf["kind"].iloc[:1], "chunk": pdf["chunk"].iloc[:1], "turn": pdf["turn"].iloc[:1], "counts": [total.tobytes()]})
+
+
+def sum_counters(rows: DataFrame, kinds: int, size: int) -> np.ndarray:
+    """(kinds, size) sums of the tasks' counters, in two levels so that no group holds many tasks' chunks."""
+    schema = "kind int, chunk int, turn long, counts binary"
+    once = rows.select("kind", "chunk", F.pmod("turn", F.lit(_TURNS)).alias("turn"), "counts").groupBy("kind", "chunk", "turn").applyInPandas(_sum_rows, schema)
+    total = np.zeros((kinds, size), np.int64)
+    for r in once.groupBy("kind", "chunk").applyInPandas(_sum_rows, schema).toLocalIterator():  # a fixed number of rows
+        part = np.frombuffer(r["counts"], np.int64)[: size - r["chunk"] * CHUNK]
+        total[r["kind"], r["chunk"] * CHUNK : r["chunk"] * CHUNK + len(part)] = part
+    return total
+
+
 def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "node") -> DataFrame:
     """Smallest id reachable from every node, by alternating large-star and small-star rounds.
 

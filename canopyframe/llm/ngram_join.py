@@ -8,11 +8,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, Powers, connected_components, materialize, mix64, prefix_hash, slices, span_hash, string_buffers, word_spans
+from .common import ASCII_LOWER, Powers, connected_components, counter_rows, materialize, mix64, prefix_hash, slices, span_hash, string_buffers, sum_counters, word_spans
 
 #: Counters of the table of n-gram frequencies (its logarithm); fixed, so its size does not follow the data.
 SKETCH_BITS = 20
-_CHUNK_BITS = 14
 #: Cells of the suffix filter: counts of a set's n-grams by hash.
 CELLS = 16
 
@@ -74,36 +73,21 @@ def _summaries(words: int):
                 )
         context = TaskContext.get()
         turn = context.partitionId() if context else 0
-        size = 1 << _CHUNK_BITS
-        used = [k for k in range(len(counts) // size) if counts[k * size : (k + 1) * size].any()]
+        used = counter_rows(counts, turn)
         if used:
+            none = lambda kind: pa.nulls(len(used), kind)
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(len(used), pa.int64()), pa.array([turn] * len(used), pa.int64()), pa.nulls(len(used), pa.int64()), pa.nulls(len(used), pa.int64()),
-                 pa.nulls(len(used), pa.list_(pa.int32())), pa.array(used, pa.int32()), pa.array([counts[k * size : (k + 1) * size].tobytes() for k in used], pa.binary())],
+                [none(pa.int64()), pa.array([turn] * len(used), pa.int64()), none(pa.int64()), none(pa.int64()), none(pa.list_(pa.int32())),
+                 pa.array([r[1] for r in used], pa.int32()), pa.array([r[3] for r in used], pa.binary())],
                 ["id", "n", "s1", "s2", "cells", "chunk", "counts"],
             )
 
     return run
 
 
-def _add_counts(pdf):
-    import pandas as pd
-
-    total = np.zeros(1 << _CHUNK_BITS, np.int64)
-    for c in pdf["counts"]:
-        total += np.frombuffer(c, np.int64)
-    return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "turn": [0], "counts": [total.tobytes()]})
-
-
 def _frequencies(sketches: DataFrame) -> np.ndarray:
-    """Sum of the tasks' counters in two levels, so no group holds more than a few dozen tasks' chunks."""
-    rows = sketches.select("chunk", F.col("n").alias("turn"), "counts")
-    schema = "chunk int, turn long, counts binary"
-    once = rows.groupBy("chunk", F.pmod("turn", F.lit(64)).alias("t")).applyInPandas(lambda pdf: _add_counts(pdf).assign(turn=int(pdf["turn"].iloc[0])), schema)
-    total = np.zeros(1 << SKETCH_BITS, np.int64)
-    for r in once.groupBy("chunk").applyInPandas(_add_counts, schema).toLocalIterator():  # 2**SKETCH_BITS counters
-        total[r[0] << _CHUNK_BITS : (r[0] + 1) << _CHUNK_BITS] = np.frombuffer(r[2], np.int64)
-    return np.minimum(total, (1 << 20) - 1).astype(np.uint32)
+    rows = sketches.select(F.lit(0).alias("kind"), "chunk", F.col("n").alias("turn"), "counts")
+    return np.minimum(sum_counters(rows, 1, 1 << SKETCH_BITS)[0], (1 << 20) - 1).astype(np.uint32)
 
 
 def _prefixes(words: int, percent: int, table):
