@@ -22,12 +22,37 @@ def op1_sharding(spark, sf_dir):
     return byte_shards(_documents(spark, sf_dir), 24)
 
 
+def op2_suffix_dedup(spark, sf_dir):
+    from .suffix_dedup import remove_repeats
+
+    out = remove_repeats(_documents(spark, sf_dir), 100)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_ngram_join(spark, sf_dir):
     from .ngram_join import ngram_components
 
     return ngram_components(_documents(spark, sf_dir), words=4, percent=85).select("doc_id", "n_shingles", "component_id")
 
 
+def op5_quality_knn(spark, sf_dir):
+    from .quality_knn import quality_votes
+
+    return quality_votes(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op6_embedding_dedup(spark, sf_dir):
+    from .embedding_dedup import embedding_links
+
+    return embedding_links(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op7_quality_rules(spark, sf_dir):
+    from .quality_rules import quality_rules
+
+    return quality_rules(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op8_best_fit_packing(spark, sf_dir):
     from .common import materialize
     from .packing import best_fit_pack, token_pieces
@@ -55,7 +80,7 @@ def op10_mixing(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sharding, op3_ngram_join, op8_best_fit_packing, op9_token_files, op10_mixing)}
+    return {f.__name__: f for f in (op1_sharding, op2_suffix_dedup, op3_ngram_join, op5_quality_knn, op6_embedding_dedup, op7_quality_rules, op8_best_fit_packing, op9_token_files, op10_mixing)}
 
 
 def oracle_sql() -> dict:
