@@ -75,7 +75,7 @@ def class_counts(df: DataFrame, by, cls: str = "cls") -> DataFrame:
 def freq_distance(ref: DataFrame, sub: DataFrame, by, bin_col: str = "bin") -> DataFrame:
     """Mean absolute difference of the sorted normalised frequencies; where the bins lie does not count."""
     def ranked(df, name):
-        share = F.col("n") / F.sum("n").over(Window.partitionBy(*by))
+        share = F.coalesce(F.try_divide("n", F.sum("n").over(Window.partitionBy(*by))), F.lit(0.0))
         df = df.withColumn(name, share)
         return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(name, bin_col))).select(*by, "rank", name)
 
@@ -86,7 +86,8 @@ def binned_distance(ref: DataFrame, sub: DataFrame, by, bin_col: str = "bin") ->
     """True distance of the binned distributions, in bins: sum of absolute differences of the cumulative shares."""
     both = ref.withColumnRenamed("n", "_p").join(sub.withColumnRenamed("n", "_q"), [*by, bin_col])
     whole, run = Window.partitionBy(*by), Window.partitionBy(*by).orderBy(bin_col)
-    both = both.withColumn("d", F.sum("_p").over(run) / F.sum("_p").over(whole) - F.sum("_q").over(run) / F.sum("_q").over(whole))
+    share = lambda c: F.coalesce(F.try_divide(F.sum(c).over(run), F.sum(c).over(whole)), F.lit(0.0))
+    both = both.withColumn("d", share("_p") - share("_q"))
     return both.groupBy(*by).agg(F.sum(F.abs("d")).alias("distance"))
 
 

@@ -70,9 +70,10 @@ def pareto(df: DataFrame, cost: str, gain: str, bins: int = 256) -> DataFrame:
     ranged = df.withColumn("_bin", F.least(F.floor((F.col(cost) - low) / width), F.lit(bins - 1)))
     best = ranged.groupBy("_bin").agg(F.max(gain).alias("_m"))
     best = best.select("_bin", F.max("_m").over(Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
-    cheaper = Window.partitionBy("_bin").orderBy(cost).rangeBetween(Window.unboundedPreceding, -1e-300)
-    equal = Window.partitionBy("_bin", cost)
-    out = ranged.join(F.broadcast(best), "_bin").withColumn("_inside", F.max(gain).over(cheaper)).withColumn("_top", F.max(gain).over(equal))
+    tops = ranged.groupBy("_bin", cost).agg(F.max(gain).alias("_top"))
+    cheaper = Window.partitionBy("_bin").orderBy(cost).rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.withColumn("_inside", F.max("_top").over(cheaper))
+    out = ranged.join(tops, ["_bin", cost]).join(F.broadcast(best), "_bin")
     beaten = F.coalesce(F.greatest("_before", "_inside") >= F.col(gain), F.lit(False)) | (F.col("_top") > F.col(gain))
     return out.where(~beaten).drop("_bin", "_before", "_inside", "_top")
 

@@ -1,4 +1,4 @@
-"""Registered queries and their SQL equivalents."""
+"""All registered queries and their SQL equivalents."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import queries_space, queries_stats  # noqa: F401
+from .bind import ORACLES, QUERIES  # noqa: F401
