@@ -30,6 +30,23 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Let Spark build a Bloom filter of a join's small side, when its size allows, and drop other rows before the shuffle.
+_PRUNE = {"spark.sql.optimizer.runtime.bloomFilter.enabled": "true", "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0"}
+
+
+def materialize_pruned(df: DataFrame, wanted: DataFrame, key: str, tag: str) -> DataFrame:
+    """Rows of df, one a key, whose key (a long) is in wanted; few others are shuffled where a Bloom filter fits."""
+    conf = df.sparkSession.conf
+    before = {k: conf.get(k, None) for k in _PRUNE}
+    for k, v in _PRUNE.items():
+        conf.set(k, v)
+    try:
+        return materialize(df.join(wanted.where(F.col(key) > -(1 << 63)), key, "left_semi").dropDuplicates([key]), tag)
+    finally:
+        for k, v in before.items():
+            conf.unset(k) if v is None else conf.set(k, v)
+
+
 def uniform(*cols) -> Column:
     """Uniform number in [0, 1) that depends on the given values only."""
     return F.shiftrightunsigned(F.xxhash64(*cols), 11) / F.lit(float(1 << 53))

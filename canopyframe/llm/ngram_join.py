@@ -8,12 +8,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, Powers, connected_components, counter_rows, materialize, mix64, prefix_hash, slices, span_hash, string_buffers, sum_counters, word_spans
+from .common import ASCII_LOWER, Powers, connected_components, counter_rows, materialize, materialize_pruned, mix64, prefix_hash, slices, span_hash, string_buffers, sum_counters, word_spans
 
 #: Counters of the table of n-gram frequencies (its logarithm); fixed, so its size does not follow the data.
 SKETCH_BITS = 20
-#: Cells of the suffix filter: counts of a set's n-grams by hash.
-CELLS = 16
+#: 64-bit words of the suffix filter's parities: one bit a cell says if a set has an odd number of n-grams in it.
+#: Two sets whose parities differ in d cells differ in d n-grams at least. Postings carry them folded to fewer words.
+WORDS, FOLDED = 32, 4
 
 
 def shingle_sets(raw: np.ndarray, off: np.ndarray, words: int, powers: Powers, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -64,12 +65,14 @@ def _summaries(words: int):
                     s1 = _per_row(mix64(sets), bounds, np.add)
                     s2 = _per_row(mix64(sets ^ np.uint64(0xA5A5A5A5A5A5A5A5)), bounds, np.add)
                 row = np.repeat(np.arange(len(n)), n)
-                cells = np.bincount(row * CELLS + (sets & np.uint64(CELLS - 1)).astype(np.int64), minlength=len(n) * CELLS).astype(np.int32)
+                cell = row * (WORDS * 64) + (sets & np.uint64(WORDS * 64 - 1)).astype(np.int64)
+                odd = (np.bincount(cell, minlength=len(n) * WORDS * 64) & 1).astype(np.uint8)
+                odd = np.packbits(odd, bitorder="little").view("<i8")
                 none = pa.nulls(len(n), pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id"), pa.array(n), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)),
-                     pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * CELLS), pa.array(cells)), pa.nulls(len(n), pa.int32()), none],
-                    ["id", "n", "s1", "s2", "cells", "chunk", "counts"],
+                     pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * WORDS), pa.array(odd)), pa.nulls(len(n), pa.int32()), none],
+                    ["id", "n", "s1", "s2", "odd", "chunk", "counts"],
                 )
         context = TaskContext.get()
         turn = context.partitionId() if context else 0
@@ -77,9 +80,9 @@ def _summaries(words: int):
         if used:
             none = lambda kind: pa.nulls(len(used), kind)
             yield pa.RecordBatch.from_arrays(
-                [none(pa.int64()), pa.array([turn] * len(used), pa.int64()), none(pa.int64()), none(pa.int64()), none(pa.list_(pa.int32())),
+                [none(pa.int64()), pa.array([turn] * len(used), pa.int64()), none(pa.int64()), none(pa.int64()), none(pa.list_(pa.int64())),
                  pa.array([r[1] for r in used], pa.int32()), pa.array([r[3] for r in used], pa.binary())],
-                ["id", "n", "s1", "s2", "cells", "chunk", "counts"],
+                ["id", "n", "s1", "s2", "odd", "chunk", "counts"],
             )
 
     return run
@@ -137,11 +140,23 @@ def _check(words: int, percent: int):
     return run
 
 
+def _differ(a: Column, b: Column) -> Column:
+    """Cells in which two arrays of parities differ: a lower bound of the n-grams that only one set has."""
+    return F.aggregate(F.zip_with(a, b, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
+
+
 def _may_match(percent: int) -> Column:
-    """Length filter, and the positional bound: n-grams before a shared one, itself, and those after it."""
+    """Length filter, the positional bound (n-grams before a shared one, itself, and those after it), and the
+    suffix filter: a pair at the threshold differs in (100 - percent) of 100 + percent n-grams at most."""
     x, y = F.col("x.n"), F.col("y.n")
-    most = F.least("x.pos", "y.pos") + 1 + F.least(x - F.col("x.pos"), y - F.col("y.pos")) - 1
-    return (100 * F.least(x, y) >= percent * F.greatest(x, y)) & ((100 + percent) * most >= percent * (x + y))
+    most = F.least("x.pos", "y.pos") + F.least(x - F.col("x.pos"), y - F.col("y.pos"))
+    near = (100 + percent) * _differ(F.col("x.odd"), F.col("y.odd")) <= (100 - percent) * (x + y)
+    return (100 * F.least(x, y) >= percent * F.greatest(x, y)) & ((100 + percent) * most >= percent * (x + y)) & near
+
+
+def _folded(odd: Column) -> Column:
+    step = WORDS // FOLDED
+    return F.array(*[F.aggregate(F.slice(odd, k * step + 1, step), F.lit(0).cast("long"), lambda s, v: s.bitwiseXOR(v)) for k in range(FOLDED)])
 
 
 def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -149,8 +164,9 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 
     Documents with equal sets form one class (hash of 128 bits), represented by its smallest id. In a global
     order, rare n-grams first, two similar sets share an n-gram within short prefixes. Under each shared prefix
-    n-gram every document meets its neighbour in length and the group's first one: candidates in proportion to
-    the postings. What passes the length, positional and suffix filters is checked once, on the texts. Then
+    n-gram every representative meets three others: its neighbour in length, the group's first, and the one with
+    the most shared prefix n-grams, which is what near copies were made from. So candidates are in proportion to
+    the postings. What passes the length, positional and suffix filters is checked once, on the whole texts. Then
     only pairs that lie in different components so far are still made, filtered and checked, so that no link
     between components is lost, while a large group of near copies does not emit its pairs.
 
@@ -160,59 +176,56 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     """
     spark = docs.sparkSession
     text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    seen = materialize(text.mapInArrow(_summaries(words), "id long, n long, s1 long, s2 long, cells array<int>, chunk int, counts binary"), "sets")
+    seen = materialize(text.mapInArrow(_summaries(words), "id long, n long, s1 long, s2 long, odd array<long>, chunk int, counts binary"), "sets")
     info = seen.where("chunk is null")
-    table = spark.sparkContext.broadcast(_frequencies(seen.where("chunk is not null")))
+    table = spark.sparkContext.broadcast(_frequencies(seen.where("chunk is not null").select("n", "chunk", "counts")))
     classes = info.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"))
-    members = materialize(info.join(classes, ["s1", "s2", "n"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep"), F.when(F.col("rep") == F.col("id"), F.col("cells")).alias("cells")), "members")
-    cells = members.where("cells is not null").select("id", "cells").dropDuplicates(["id"])
-
-    postings = text.mapInArrow(_prefixes(words, percent, table), "gram long, id long, n int, pos int")
-    group = Window.partitionBy("gram").orderBy("n", "id")
-    whole = group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    near = postings.where("id is not null").select(
-        "gram", "id", "n", "pos",
-        F.lag(F.struct("id", "n", "pos")).over(group).alias("prev"), F.first(F.struct("id", "n", "pos")).over(whole).alias("head"), F.last("id").over(whole).alias("tail"),
-    ).where("head.id <> tail")
-    multi = materialize(near, "postings")
-    own = F.struct("id", "n", "pos").alias("x")
-    raw = multi.select(own, F.col("prev").alias("y")).where("y is not null").unionAll(multi.select(own, F.col("head").alias("y")))
-    verified = _verify(_pairs(raw, members, cells, percent), text, words, percent)
-    verified = materialize(verified, "links")
-
-    reps = members.where("id = rep and n > 0").select(F.col("id").alias("node")).distinct()
-    so_far = materialize(connected_components(reps, verified), "parts")
-    again = multi.select("gram", "id", "n", "pos").join(members.select("id", "rep").distinct(), "id").where("id = rep")
-    again = again.join(so_far.select(F.col("node").alias("id"), F.col("component_id").alias("part")), "id")
-    mixed = again.groupBy("gram").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("gram")
-    again = materialize(again.join(mixed, "gram"), "mixed")
-    x, y = again.alias("x"), again.alias("y")
-    cross = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.part") < F.col("y.part")) & _may_match(percent))
-    cross = cross.select(F.struct("x.id", "x.n", "x.pos").alias("x"), F.struct("y.id", "y.n", "y.pos").alias("y"))
-    more = materialize(_verify(_pairs(cross, members, cells, percent), text, words, percent), "links")
-
-    parts = connected_components(reps, verified.unionByName(more)).select(F.col("node").alias("rep"), "component_id")
+    members = materialize(info.select("id", "n", "s1", "s2").join(classes, ["s1", "s2", "n"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep")), "members")
+    reps = members.where("id = rep and n > 0").select("id").distinct()
+
+    postings = text.mapInArrow(_prefixes(words, percent, table), "gram long, id long, n int, pos int").where("id is not null")
+    gram = Window.partitionBy("gram")
+    shared = materialize(postings.withColumn("here", F.count(F.lit(1)).over(gram)).where("here > 1").drop("here"), "postings")
+    parities = materialize(info.where("n > 0").select("id", "odd").join(reps, "id", "left_semi").dropDuplicates(["id"]), "parities")
+    known = shared.join(parities.select("id", _folded(F.col("odd")).alias("odd")), "id").dropDuplicates(["gram", "id"])
+    known = known.withColumn("support", F.count(F.lit(1)).over(Window.partitionBy("id")))
+    sets = F.struct("id", "n", "pos", "odd")
+    in_order = gram.orderBy("n", "id")
+    whole = in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    groups = known.select(
+        "gram", sets.alias("x"), F.lag(sets).over(in_order).alias("prev"), F.first(sets).over(whole).alias("head"),
+        F.max(F.struct("support", F.negative("id").alias("last"), sets.alias("set"))).over(whole).alias("hub"), F.count(F.lit(1)).over(whole).alias("here"),
+    ).where("here > 1")
+    groups = materialize(groups.select("gram", "x", F.array("prev", "head", "hub.set").alias("others")), "groups")
+    met = groups.select("x", F.explode("others").alias("y")).where("y is not null and x.id <> y.id").where(_may_match(percent))
+    links = materialize(_verify(_pairs(met, parities, percent), text, words, percent), "links")
+
+    nodes = reps.withColumnRenamed("id", "node")
+    so_far = materialize(connected_components(nodes, links), "parts")
+    parted = groups.select("gram", "x").join(so_far.select(F.col("node").alias("of"), F.col("component_id").alias("part")), F.col("x.id") == F.col("of"))
+    mixed = parted.groupBy("gram").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("gram")
+    parted = materialize(parted.select("gram", "x", "part").join(mixed, "gram"), "mixed")
+    x, y = parted, parted.select("gram", F.col("x").alias("y"), F.col("part").alias("other"))
+    across = x.join(y, "gram").where(F.col("part") < F.col("other")).where(_may_match(percent)).select("x", "y")
+    more = materialize(_verify(_pairs(across, parities, percent), text, words, percent), "links")
+
+    parts = connected_components(nodes, links.unionByName(more)).select(F.col("node").alias("rep"), "component_id")
     return members.join(parts, "rep", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("rep").alias("class_id"), F.coalesce("component_id", "rep").alias("component_id")
     )
 
 
-def _pairs(candidates: DataFrame, members: DataFrame, cells: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs of class representatives that pass the length, positional and suffix filters."""
-    rep = members.select("id", "rep").distinct()
-    pairs = candidates.where("x.id <> y.id").where(_may_match(percent)).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-    pairs = pairs.join(rep.select(F.col("id").alias("a"), F.col("rep").alias("ra")), "a").join(rep.select(F.col("id").alias("b"), F.col("rep").alias("rb")), "b")
-    pairs = pairs.where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
-    pairs = pairs.join(cells.select(F.col("id").alias("a"), F.col("cells").alias("ca")), "a").join(cells.select(F.col("id").alias("b"), F.col("cells").alias("cb")), "b")
-    total = lambda c: F.aggregate(c, F.lit(0), lambda s, v: s + v)
-    most = total(F.zip_with("ca", "cb", lambda p, q: F.least(p, q)))
-    return pairs.where((100 + percent) * most >= percent * (total(F.col("ca")) + total(F.col("cb")))).select("a", "b")
+def _pairs(candidates: DataFrame, parities: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs that also pass the suffix filter with all its cells."""
+    pairs = candidates.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), (F.col("x.n") + F.col("y.n")).alias("both")).distinct()
+    pairs = pairs.join(parities.select(F.col("id").alias("a"), F.col("odd").alias("oa")), "a").join(parities.select(F.col("id").alias("b"), F.col("odd").alias("ob")), "b")
+    return pairs.where((100 + percent) * _differ(F.col("oa"), F.col("ob")) <= (100 - percent) * F.col("both")).select("a", "b")
 
 
 def _verify(pairs: DataFrame, text: DataFrame, words: int, percent: int) -> DataFrame:
-    """Pairs whose whole texts reach the threshold; a text is read only for documents in some pair."""
+    """Pairs whose whole texts reach the threshold; only texts of documents in some pair are moved."""
     pairs = materialize(pairs, "pairs")
     wanted = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = materialize(text.join(wanted, "id", "left_semi").dropDuplicates(["id"]), "texts")
+    texts = materialize_pruned(text, materialize(wanted, "wanted"), "id", "texts")
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
     return both.select("a", "b", "ta", "tb").mapInArrow(_check(words, percent), "a long, b long")
