@@ -217,7 +217,7 @@ def _(spark, d):
 
 
 @query("j19_resolve_product", """WITH p AS (SELECT concat('P', o_orderkey) AS product, o_custkey AS stamp FROM orders WHERE o_orderkey % 3 <> 0), q AS (SELECT o_orderkey AS request, concat('P', o_orderkey) AS name, o_custkey AS stamp FROM orders),
-    t AS (SELECT stamp, min(product) AS similar FROM p GROUP BY stamp) SELECT request, coalesce(p.product, similar) AS product FROM q LEFT JOIN p ON p.product = name LEFT JOIN t ON t.stamp = q.stamp""")
+    t AS (SELECT stamp, min(product) AS nearest FROM p GROUP BY stamp) SELECT request, coalesce(e.product, nearest) AS product FROM q LEFT JOIN p AS e ON e.product = name LEFT JOIN t ON t.stamp = q.stamp""")
 def _(spark, d):
     o = Tables(spark, d).raw("orders").selectExpr("o_orderkey", "concat('P', o_orderkey) AS product", "o_custkey AS stamp")
     return J.resolve_product(o.selectExpr("o_orderkey AS request", "product AS name", "stamp"), o.where("o_orderkey % 3 <> 0"))
@@ -265,8 +265,8 @@ _M02 = f"""WITH x AS (SELECT region_cla, tile, year, idx, agbd, cls, trial, row_
     FROM fpx CROSS JOIN range(3) t(trial)), g AS (SELECT DISTINCT region_cla, trial FROM x),
     l AS (SELECT g.region_cla, g.trial, b, count(agbd) AS p, count(agbd) FILTER (hit) AS q FROM g CROSS JOIN range(50) r(b) LEFT JOIN x ON x.region_cla = g.region_cla AND x.trial = g.trial AND floor(agbd / 10) = b AND agbd < 500 GROUP BY ALL),
     k AS (SELECT g.region_cla, g.trial, b, count(agbd) AS p, count(agbd) FILTER (hit) AS q FROM g CROSS JOIN (SELECT unnest({CLASSES}) AS b) LEFT JOIN x ON x.region_cla = g.region_cla AND x.trial = g.trial AND cls = b GROUP BY ALL),
-    ls AS (SELECT region_cla, trial, b, p / sum(p) OVER w AS p, q / sum(q) OVER w AS q FROM l WINDOW w AS (PARTITION BY region_cla, trial)),
-    ks AS (SELECT region_cla, trial, b, p / sum(p) OVER w AS p, q / sum(q) OVER w AS q FROM k WINDOW w AS (PARTITION BY region_cla, trial)),
+    ls AS (SELECT region_cla, trial, b, coalesce(p / nullif(sum(p) OVER w, 0), 0) AS p, coalesce(q / nullif(sum(q) OVER w, 0), 0) AS q FROM l WINDOW w AS (PARTITION BY region_cla, trial)),
+    ks AS (SELECT region_cla, trial, b, coalesce(p / nullif(sum(p) OVER w, 0), 0) AS p, coalesce(q / nullif(sum(q) OVER w, 0), 0) AS q FROM k WINDOW w AS (PARTITION BY region_cla, trial)),
     lr AS (SELECT region_cla, trial, p, row_number() OVER (PARTITION BY region_cla, trial ORDER BY p, b) AS i, q, row_number() OVER (PARTITION BY region_cla, trial ORDER BY q, b) AS j FROM ls),
     kr AS (SELECT region_cla, trial, p, row_number() OVER (PARTITION BY region_cla, trial ORDER BY p, b) AS i, q, row_number() OVER (PARTITION BY region_cla, trial ORDER BY q, b) AS j FROM ks),
     ld AS (SELECT a.region_cla, a.trial, avg(abs(a.p - b.q)) AS v FROM lr a JOIN lr b ON a.region_cla = b.region_cla AND a.trial = b.trial AND a.i = b.j GROUP BY ALL),

@@ -286,7 +286,7 @@ _DIST = """WITH c AS (SELECT g.region_cla, b AS bin, count(agbd) AS p, count(agb
     LEFT JOIN fp ON fp.region_cla = g.region_cla AND floor(agbd / 10) = b AND agbd < 500 GROUP BY g.region_cla, b)"""
 
 
-@query("a08_freq_distance", f"""{_DIST}, s AS (SELECT region_cla, bin, p / sum(p) OVER w AS p, q / sum(q) OVER w AS q FROM c WINDOW w AS (PARTITION BY region_cla)),
+@query("a08_freq_distance", f"""{_DIST}, s AS (SELECT region_cla, bin, coalesce(p / nullif(sum(p) OVER w, 0), 0) AS p, coalesce(q / nullif(sum(q) OVER w, 0), 0) AS q FROM c WINDOW w AS (PARTITION BY region_cla)),
     x AS (SELECT region_cla, p, row_number() OVER (PARTITION BY region_cla ORDER BY p, bin) AS k FROM s), y AS (SELECT region_cla, q, row_number() OVER (PARTITION BY region_cla ORDER BY q, bin) AS k FROM s)
     SELECT region_cla, {r('avg(abs(p - q))', 'distance')} FROM x JOIN y USING (region_cla, k) GROUP BY region_cla""")
 def _(spark, d):
@@ -296,7 +296,7 @@ def _(spark, d):
     return rounded(A.freq_distance(every, part, ["region_cla"]))
 
 
-@query("a08_binned_distance", f"""{_DIST}, s AS (SELECT region_cla, sum(p) OVER r / sum(p) OVER w - sum(q) OVER r / sum(q) OVER w AS d FROM c
+@query("a08_binned_distance", f"""{_DIST}, s AS (SELECT region_cla, coalesce(sum(p) OVER r / nullif(sum(p) OVER w, 0), 0) - coalesce(sum(q) OVER r / nullif(sum(q) OVER w, 0), 0) AS d FROM c
     WINDOW w AS (PARTITION BY region_cla), r AS (PARTITION BY region_cla ORDER BY bin)) SELECT region_cla, {r('sum(abs(d))', 'distance')} FROM s GROUP BY region_cla""")
 def _(spark, d):
     fp = Tables(spark, d).fp
