@@ -35,6 +35,14 @@ def op3_ngram_join(spark, sf_dir):
     return ngram_components(_documents(spark, sf_dir), words=4, percent=85).select("doc_id", "n_shingles", "component_id")
 
 
+def op4_token_counts(spark, sf_dir):
+    import public_tokenizers
+
+    from .token_counts import token_counts
+
+    return token_counts(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op5_quality_knn(spark, sf_dir):
     from .quality_knn import quality_votes
 
@@ -80,7 +88,7 @@ def op10_mixing(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sharding, op2_suffix_dedup, op3_ngram_join, op5_quality_knn, op6_embedding_dedup, op7_quality_rules, op8_best_fit_packing, op9_token_files, op10_mixing)}
+    return {f.__name__: f for f in (op1_sharding, op2_suffix_dedup, op3_ngram_join, op4_token_counts, op5_quality_knn, op6_embedding_dedup, op7_quality_rules, op8_best_fit_packing, op9_token_files, op10_mixing)}
 
 
 def oracle_sql() -> dict:

@@ -93,13 +93,13 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     """Encode every whole text, append ``end_id`` and write the ids in ascending id order.
 
     Rows are dealt by id ranges and sorted inside, so file order is id order (null ids first; repeated ids side
-    by side). A row of the folder is a segment of a few MB of text: shard, seg, n_ids, doc_ids and doc_lens
-    (packed 64- and 32-bit integers), codes (a directly addressable code, see ``dac_encode``). Null text counts
+    by side). A row of the folder is a segment of a few MB of text: shard, seg, first (ids before it in its
+    shard), n_ids, doc_ids and doc_lens (packed 64- and 32-bit integers), codes (a directly addressable code, see ``dac_encode``). Null text counts
     as empty: the end id alone. An empty table writes an empty folder.
     """
 
     def write(batches):
-        code, seg = encoder(tokenizer), 0
+        code, seg, first = encoder(tokenizer), 0, 0
         for batch in batches:
             for part in slices(batch, "text"):
                 ids, bounds = code.encode(part.column("text"))
@@ -109,26 +109,23 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
                 keys = part.column("id")
                 missing = np.packbits(np.asarray(keys.is_null()), bitorder="little").tobytes() if keys.null_count else b""
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([part.column("shard")[0].as_py()], pa.int32()), pa.array([seg], pa.int32()), pa.array([len(full)], pa.int64()),
+                    [pa.array([part.column("shard")[0].as_py()], pa.int32()), pa.array([seg], pa.int32()), pa.array([first], pa.int64()), pa.array([len(full)], pa.int64()),
                      pa.array([np.asarray(keys.fill_null(0), "<i8").tobytes()], pa.binary()), pa.array([missing], pa.binary()),
                      pa.array([n.astype("<u4").tobytes()], pa.binary()), pa.array([dac_encode(full)], pa.binary())],
-                    ["shard", "seg", "n_ids", "doc_ids", "null_ids", "doc_lens", "codes"],
+                    ["shard", "seg", "first", "n_ids", "doc_ids", "null_ids", "doc_lens", "codes"],
                 )
-                seg += 1
+                seg, first = seg + 1, first + len(full)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = rows.repartitionByRange("id").sortWithinPartitions("id").select("id", "text", F.spark_partition_id().alias("shard"))
-    rows.mapInArrow(write, "shard int, seg int, n_ids long, doc_ids binary, null_ids binary, doc_lens binary, codes binary").write.parquet(path)
+    rows.mapInArrow(write, "shard int, seg int, first long, n_ids long, doc_ids binary, null_ids binary, doc_lens binary, codes binary").write.parquet(path)
 
 
-def segment_starts(segments: DataFrame) -> DataFrame:
-    """(shard, seg, first): ids before each segment, from the shards' totals and running sums inside a shard."""
+def shard_starts(folder: DataFrame) -> DataFrame:
+    """(shard, shard_first): ids before each shard, a row for each partition that was written."""
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    inside = Window.partitionBy("shard").orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)
-    shards = segments.groupBy("shard").agg(F.sum("n_ids").alias("n")).select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shard_first"))
-    return segments.select("shard", "seg", F.coalesce(F.sum("n_ids").over(inside), F.lit(0)).alias("seg_first")).join(shards, "shard").select(
-        "shard", "seg", (F.col("shard_first") + F.col("seg_first")).alias("first")
-    )
+    shards = folder.groupBy("shard").agg(F.sum("n_ids").alias("n"))
+    return shards.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shard_first"))
 
 
 def read_token_files(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
@@ -137,21 +134,20 @@ def read_token_files(spark: SparkSession, path: str, id_col: str = "doc_id") ->
 
     def read(batches):
         for batch in batches:
-            for shard, seg, keys, missing, lens, blob in zip(*(batch.column(c).to_pylist() for c in ("shard", "seg", "doc_ids", "null_ids", "doc_lens", "codes"))):
+            for shard, first, keys, missing, lens, blob in zip(*(batch.column(c).to_pylist() for c in ("shard", "first", "doc_ids", "null_ids", "doc_lens", "codes"))):
                 ids, n = DacReader(blob).all().astype("<u4", copy=False), np.frombuffer(lens, "<u4").astype(np.int64)
                 cuts = np.concatenate([[0], np.cumsum(n)])
                 mask = np.unpackbits(np.frombuffer(missing, np.uint8), count=len(n), bitorder="little").view(bool) if missing else None
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(n), shard, np.int32)), pa.array(np.full(len(n), seg, np.int32)), pa.array(np.frombuffer(keys, "<i8"), mask=mask),
-                     pa.array(cuts[:-1]), pa.array(n),
+                    [pa.array(np.full(len(n), shard, np.int32)), pa.array(np.frombuffer(keys, "<i8"), mask=mask), pa.array(cuts[:-1] + first), pa.array(n),
                      pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(cuts * 4), pa.py_buffer(ids)]).cast(pa.binary())],
-                    ["shard", "seg", "id", "local", "n", "ids"],
+                    ["shard", "id", "start", "n", "ids"],
                 )
 
     folder = spark.read.parquet(path)
-    docs = folder.select("shard", "seg", "doc_ids", "null_ids", "doc_lens", "codes").mapInArrow(read, "shard int, seg int, id long, local long, n long, ids binary")
-    starts = segment_starts(folder.select("shard", "seg", "n_ids"))
-    return docs.join(starts, ["shard", "seg"]).select(F.col("id").alias(id_col), (F.col("first") + F.col("local")).alias("start"), F.col("n").alias("n_tokens"), "ids")
+    docs = folder.select("shard", "first", "doc_ids", "null_ids", "doc_lens", "codes").mapInArrow(read, "shard int, id long, start long, n long, ids binary")
+    starts = F.broadcast(shard_starts(folder.select("shard", "n_ids")))  # as many rows as partitions were written
+    return docs.join(starts, "shard").select(F.col("id").alias(id_col), (F.col("shard_first") + F.col("start")).alias("start"), F.col("n").alias("n_tokens"), "ids")
 
 
 def token_at(spark: SparkSession, path: str, positions: DataFrame) -> DataFrame:
@@ -164,7 +160,8 @@ def token_at(spark: SparkSession, path: str, positions: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(wanted, pa.int64()), pa.array([reader[p - first] for p in wanted], pa.int64())], ["position", "id"])
 
     folder = spark.read.parquet(path)
-    starts = segment_starts(folder.select("shard", "seg", "n_ids")).join(folder.select("shard", "seg", "n_ids"), ["shard", "seg"])
+    narrow = folder.select("shard", "seg", "first", "n_ids")
+    starts = narrow.join(F.broadcast(shard_starts(narrow)), "shard").select("shard", "seg", (F.col("first") + F.col("shard_first")).alias("first"), "n_ids")
     block = 1 << 20  # segments are looked up by the blocks of positions that they touch
     touched = starts.withColumn("b", F.explode(F.sequence(F.floor(F.col("first") / block), F.floor((F.col("first") + F.col("n_ids") - 1) / block))))
     hits = (

@@ -134,6 +134,42 @@ def test_ngram_components_of_a_chain(spark):
     assert got == brute_components(texts, 4, 85)
 
 
+# 4 token counts -----------------------------------------------------------------------------------------------------
+
+
+def brute_split(word, pieces, unknown):
+    """(score, tokens) of the best split, by trying every last piece at every place."""
+    best = [(0.0, 0)]
+    for i in range(1, len(word) + 1):
+        options = [(best[i - 1][0] + unknown, best[i - 1][1] - len(word[i - 1].encode()))]
+        options += [(best[k][0] + pieces[word[k:i]], best[k][1] - 1) for k in range(i) if word[k:i] in pieces]
+        best.append(max(options))
+    return best[-1][0], -best[-1][1]
+
+
+def test_token_counts(spark, docs, empty, table, sf, monkeypatch):
+    import public_tokenizers
+
+    from canopyframe.llm import token_counts as tc
+    from canopyframe.llm.queries import op4_token_counts
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    pieces = tc.load_pieces(path)
+    unknown, seen = min(pieces.values()) - 10, {}
+    for rows, texts in ((tc.token_counts(docs, path).collect(), {r[0]: r[1] for r in fixture_rows()}), (op4_token_counts(spark, sf).collect(), table)):
+        assert len(rows) == len(texts)
+        for r in rows:
+            words = words_of(texts[r.doc_id])
+            for w in words:
+                if w not in seen:
+                    seen[w] = brute_split("▁" + w, pieces, unknown)
+            assert (r.n_words, r.n_tokens) == (len(words), sum(seen[w][1] for w in words))
+            assert r.score == pytest.approx(sum(seen[w][0] for w in words))
+    small = tc.PrefixTrie({"▁": -1.0, "a": -2.0, "ab": -2.5, "b": -2.0, "▁a": -2.0, "é": -3.0})
+    assert [small.count(w)[0] for w in ("ab", "ba", "é", "漢", "")] == [2, 3, 2, 4, 1]
+    assert tc.token_counts(empty, path).count() == 0
+
+
 # 8 packing and 9 token files ----------------------------------------------------------------------------------------
 
 
