@@ -91,6 +91,11 @@ def binned_distance(ref: DataFrame, sub: DataFrame, by, bin_col: str = "bin") ->
     return both.groupBy(*by).agg(F.sum(F.abs("d")).alias("distance"))
 
 
+def correlation(x, y) -> Column:
+    """Correlation from moments: NULL, not an error, where a side is constant."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def metric_columns(pred, truth) -> list[Column]:
     """n, bias, RMSE, MAE, r and R2 about the label mean; r and R2 are NULL below two rows or for constant labels."""
     both = col(pred).isNotNull() & col(truth).isNotNull()
@@ -100,7 +105,7 @@ def metric_columns(pred, truth) -> list[Column]:
     sound = (n >= 2) & (F.min(t) < F.max(t))
     return [
         n.alias("n"), F.avg(d).alias("bias"), F.sqrt(F.avg(d * d)).alias("rmse"), F.avg(F.abs(d)).alias("mae"),
-        F.when(sound & (F.min(p) < F.max(p)), F.corr(p, t)).alias("r"), F.when(sound, 1 - F.sum(d * d) / spread).alias("r2"),
+        F.when(sound & (F.min(p) < F.max(p)), correlation(p, t)).alias("r"), F.when(sound, 1 - F.sum(d * d) / spread).alias("r2"),
     ]
 
 

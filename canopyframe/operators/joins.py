@@ -172,7 +172,7 @@ def missing_outputs(expected: DataFrame, present: DataFrame, keys) -> DataFrame:
 def compare_extents(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
     both = a.select(key, F.col(value).alias("_a")).join(b.select(key, F.col(value).alias("_b")), key, "full")
     return both.agg(
-        F.count_if(F.col("_b").isNull()).alias("missing"), F.count_if(F.col("_a").isNull()).alias("extra"), F.count_if(F.col("_b") < 0.99 * F.col("_a")).alias("shrunk"), F.corr("_a", "_b").alias("corr")
+        F.count_if(F.col("_b").isNull()).alias("missing"), F.count_if(F.col("_a").isNull()).alias("extra"), F.count_if(F.col("_b") < 0.99 * F.col("_a")).alias("shrunk"), F.try_divide(F.covar_pop("_a", "_b"), F.stddev_pop(F.when(F.col("_b").isNotNull(), F.col("_a"))) * F.stddev_pop(F.when(F.col("_a").isNotNull(), F.col("_b")))).alias("corr")
     )
 
 
