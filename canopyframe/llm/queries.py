@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import ship
+
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

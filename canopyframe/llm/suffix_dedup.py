@@ -148,10 +148,11 @@ def suffix_array(t: np.ndarray, k: int) -> np.ndarray:
     return _induce(t, smaller, heads, tails, found)
 
 
-def permuted_prefixes(t: np.ndarray, sa: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """(previous suffix in order, common prefix with it up to ``most`` or more), by text place.
+def permuted_prefixes(t: np.ndarray, sa: np.ndarray, begin: np.ndarray | None = None, most: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(previous suffix in order, common prefix with it), by text place.
 
-    Only irreducible places, where the bytes before the two suffixes differ, are compared, eight bytes at a time;
+    With the starts of segments, common prefixes are counted up to ``most`` bytes from each start on, which is to
+    reach over the longest segment. Only irreducible places, where the bytes before the two suffixes differ, are compared, eight bytes at a time;
     along a run each further place shares one byte less.
     """
     n = len(t)
@@ -162,6 +163,8 @@ def permuted_prefixes(t: np.ndarray, sa: np.ndarray, most: int) -> tuple[np.ndar
     eight = np.ascontiguousarray(eight).view("<u8").ravel()
     fresh = np.ones(n, bool)
     fresh[1:] = (phi[1:] <= 0) | (t[:-1] != t[np.maximum(phi[1:], 1) - 1])
+    if begin is not None:
+        fresh[begin] = True  # so that no run is longer than a segment
     at = np.flatnonzero(fresh & (phi >= 0))
     common = np.zeros(n, np.int64)
     open_ = at
@@ -173,7 +176,7 @@ def permuted_prefixes(t: np.ndarray, sa: np.ndarray, most: int) -> tuple[np.ndar
         same = np.where(x == 0, 8, np.minimum(np.log2(np.maximum(low, 1).astype(np.float64)).astype(np.int64) >> 3, 8))
         same = np.minimum(np.where(inside, same, 0), n - np.maximum(i, j))
         common[open_] += np.maximum(same, 0)
-        open_ = open_[(same == 8) & (common[open_] < 2 * most + 64)]
+        open_ = open_[(same == 8) & ((begin is None) | (common[open_] < most))]
     start = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
     return phi, np.maximum(common[start] - (np.arange(n) - start), 0)
 
@@ -253,7 +256,7 @@ def shard_repeats(ids: np.ndarray, starts: np.ndarray, texts: pa.Array, length:
     text_places = inside < size[row]
     t[text_places] = raw
     sa = suffix_array(t, 256)
-    _, common = permuted_prefixes(t, sa, length)
+    _, common = permuted_prefixes(t, sa, base, int(size.max(initial=0)) + length)
     valid = inside + length <= size[row]
     same = common[sa] >= length
     group = np.cumsum(~same) - 1
@@ -285,7 +288,8 @@ def _sharded(length: int):
             anchor = np.asarray(batch.column("anchor"), np.int64)
             size = np.asarray(batch.column("size"), np.int64)
             while i < n:
-                change = np.flatnonzero(anchor[i:] != (last if last is not None else anchor[i]))
+                before = np.concatenate([[anchor[i] if last is None else last], anchor[i:-1]])
+                change = np.flatnonzero(anchor[i:] != before)  # only there may a shard end
                 upto = np.cumsum(size[i:])
                 j = n - i
                 fresh = change[(held + np.concatenate([[0], upto])[change]) >= SHARD_BYTES] if len(change) else change

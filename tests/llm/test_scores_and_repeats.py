@@ -8,6 +8,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from test_dealt import SCHEMA, WORD, docs, empty, fixture_rows, table  # noqa: F401
 
@@ -27,7 +28,7 @@ def test_suffix_array_and_prefixes():
         sa = sd.suffix_array(t, 256)
         assert sa.tolist() == sorted(range(len(b)), key=lambda i: b[i:])
         assert sd._doubled(t).tolist() == sa.tolist()
-        phi, common = sd.permuted_prefixes(t, sa, 100)
+        phi, common = sd.permuted_prefixes(t, sa)
         for i in range(len(b)):
             n, j = 0, int(phi[i])
             while j >= 0 and max(i, j) + n < len(b) and b[i + n] == b[j + n]:
@@ -35,6 +36,25 @@ def test_suffix_array_and_prefixes():
             assert common[i] == n
 
 
+def test_long_runs_of_equal_segments():
+    """Common prefixes that reach over many equal segments."""
+    from canopyframe.llm import suffix_dedup as sd
+
+    rng = random.Random(9)
+    parts = [bytes(rng.randrange(97, 123) for _ in range(rng.randint(100, 176))) for _ in range(12)]
+    texts = parts + parts + [p[: 100 + k] for k, p in enumerate(parts)] + parts
+    ids = np.arange(len(texts)) // 5
+    starts = np.arange(len(texts)) % 5 * 1000
+    rows = sd.shard_repeats(ids, starts, pa.array(texts, pa.binary()), 100)
+    got = {(int(i), int(s) + k) for i, s, n in zip(*rows) for k in range(int(n) - 99)}
+    first, want = {}, set()
+    for i, s, t in sorted(zip(ids.tolist(), starts.tolist(), texts)):
+        for k in range(len(t) - 99):
+            if first.setdefault(t[k : k + 100], (i, s + k)) != (i, s + k):
+                want.add((i, s + k))
+    assert got == want
+
+
 def brute_repeats(texts, length):
     seen, out = set(), {}
     for d in sorted(texts):
@@ -81,6 +101,18 @@ def test_repeats(spark, docs, empty, table, sf, monkeypatch):  # noqa: F811
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(6)
     want = brute_repeats(texts, 100)
     assert repeats_of(df) == want
+    from canopyframe.llm import suffix_dedup
+
+    def shards_of(limit):
+        rows = [(a, i, 0, 150, ("%03d" % a * 50).encode()) for a in range(9) for i in range(7)]
+        columns = [pa.array(c) for c in zip(*rows)]
+        batch = pa.RecordBatch.from_arrays(columns, ["anchor", "id", "start", "size", "text"])
+        monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", limit)
+        out = [b for k in (1, 5, 63) for b in suffix_dedup._sharded(100)(batch.slice(i, k) for i in range(0, 63, k))]
+        return sum(b.num_rows for b in out)
+
+    assert shards_of(1) == shards_of(1000) == shards_of(2500) == shards_of(1 << 20) == 3 * 9 * 7  # periodic texts repeat themselves too
+    monkeypatch.undo()
     monkeypatch.setattr(sd, "HOT_SEGMENTS", 2)  # the way of anchors with very many segments
     assert repeats_of(df) == want
     monkeypatch.undo()
