@@ -39,7 +39,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Texts without 100-byte strings that start earlier in the corpus; emptied documents go, cut characters too."""
     kept = remove_repeats(docs, 100).select("doc_id", "n_removed", "kept")
     # what a cut leaves of a character at either side of a removed run is dropped
-    text = F.when(F.col("n_removed") > 0, F.regexp_replace(F.decode(F.col("kept"), "UTF-8"), "�", "")).otherwise(F.col("text"))
+    text = F.when(F.col("n_removed") > 0, F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "�", "")).otherwise(F.col("text"))
     out = docs.join(kept, "doc_id").withColumn("text", text)
     out = out.where((F.col("n_removed") == 0) | (F.trim("text") != "")).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long"))
     return out.select(*COLUMNS)
