@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import from_utm, to_utm, utm_epsg
 from ..functions.scalar import reflect
 from ..semantics import first_by, small
+from .joins import touched_cells
 
 
 def _axis(n: Column, size: int, step: int) -> Column:
@@ -78,13 +79,16 @@ def extract_patches(points: DataFrame, pixels: DataFrame, size: int = 25, block:
 
 
 def extract_patches_multi(points: DataFrame, tiles: DataFrame, pixels: DataFrame, size: int, step: float) -> DataFrame:
-    """Patch around points (id, x, y) across neighbouring tiles: every pixel of the patch finds its own tile."""
-    half = size // 2
+    """Patch around points (id, x, y) across neighbouring tiles: every pixel of the patch finds its own tile, by a
+    grid cell that both touch."""
+    half, cell = size // 2, 256 * step
     offsets = F.sequence(F.lit(-half), F.lit(half))
     cells = points.withColumn("i", F.explode(offsets)).withColumn("j", F.explode(offsets)).withColumn("px", F.col("x") + F.col("j") * step).withColumn("py", F.col("y") - F.col("i") * step)
-    t = tiles.select("raster_id", "c", "f", "width", "height")
-    inside = (F.col("c") <= F.col("px")) & (F.col("px") < F.col("c") + F.col("width") * step) & (F.col("f") - F.col("height") * step < F.col("py")) & (F.col("py") <= F.col("f"))
-    found = cells.join(small(t), inside).withColumn("row", F.floor((F.col("f") - F.col("py")) / step)).withColumn("col", F.floor((F.col("px") - F.col("c")) / step))
+    cells = cells.withColumn("cx", F.floor(F.col("px") / cell).cast("long")).withColumn("cy", F.floor(F.col("py") / cell).cast("long"))
+    t = tiles.select("raster_id", "c", "f", (F.col("c") + F.col("width") * step).alias("xmax"), (F.col("f") - F.col("height") * step).alias("ymin"))
+    t = t.select("*", touched_cells(cell, "c", "ymin", "xmax", "f").alias("_t")).select("*", "_t.cx", "_t.cy").drop("_t")
+    inside = (F.col("c") <= F.col("px")) & (F.col("px") < F.col("xmax")) & (F.col("ymin") < F.col("py")) & (F.col("py") <= F.col("f"))
+    found = cells.join(t, ["cx", "cy"]).where(inside).withColumn("row", F.floor((F.col("f") - F.col("py")) / step)).withColumn("col", F.floor((F.col("px") - F.col("c")) / step))
     out = found.join(pixels.select("raster_id", "row", "col", "value"), ["raster_id", "row", "col"])
     return out.groupBy("id", "i", "j").agg(F.min_by("value", "raster_id").alias("value"))
 

@@ -91,10 +91,13 @@ def _(spark, d):
 _XY = "SELECT p_partkey AS id, 32632 + p_partkey % 3 AS epsg, 500000e0 + p_partkey * 7919 % 200000 AS x, 5000000e0 + p_partkey * 104729 % 200000 AS y FROM part"
 
 
-@query("j06_overlap_join", f"WITH p AS ({_XY}) SELECT id FROM p WHERE EXISTS (SELECT 1 FROM p c WHERE c.id % 20 = 7 AND c.epsg = p.epsg AND abs(c.x - p.x) < 640 AND abs(c.y - p.y) < 640)")
+@query("j06_overlap_join", f"""WITH p AS ({_XY}), c AS (SELECT 32632 + s_suppkey % 3 AS epsg, 500000e0 + s_suppkey * 7919 % 200000 + 300 AS x, 5000000e0 + s_suppkey * 104729 % 200000 - 200 AS y FROM supplier)
+    SELECT id FROM p WHERE EXISTS (SELECT 1 FROM c WHERE c.epsg = p.epsg AND abs(c.x - p.x) < 640 AND abs(c.y - p.y) < 640)""")
 def _(spark, d):
-    p = Tables(spark, d).raw("part").selectExpr("p_partkey AS id", "32632 + p_partkey % 3 AS epsg", "500000D + p_partkey * 7919 % 200000 AS x", "5000000D + p_partkey * 104729 % 200000 AS y")
-    return J.overlap_join(p, p.where("id % 20 = 7")).select("id")
+    t = Tables(spark, d)
+    p = t.raw("part").selectExpr("p_partkey AS id", "32632 + p_partkey % 3 AS epsg", "500000D + p_partkey * 7919 % 200000 AS x", "5000000D + p_partkey * 104729 % 200000 AS y")
+    c = t.raw("supplier").selectExpr("32632 + s_suppkey % 3 AS epsg", "500000D + s_suppkey * 7919 % 200000 + 300 AS x", "5000000D + s_suppkey * 104729 % 200000 - 200 AS y")
+    return J.overlap_join(p, c).select("id")
 
 
 _CEA = "6371007e0"
@@ -505,9 +508,9 @@ def _(spark, d):
     return Tables(spark, d).pix.select("pk", X.reflect(F.expr("pk % 70 - 15"), F.lit(40)).alias("j"))
 
 
-@query("f22_window_weight", f"SELECT raster_id, row, col, {r('exp(-((-16 + col * 32 / 31e0) ** 2 + (-16 + row * 32 / 31e0) ** 2) / (2 * 6.4e0 ** 2)) / (2 * pi() * 6.4e0 ** 2)', 'w')} FROM pix WHERE row < 32")
+@query("f22_window_weight", f"SELECT raster_id, row, col, {r('exp(-((-16 + col * 32 / 31e0) ** 2 + (-16 + row % 32 * 32 / 31e0) ** 2) / (2 * 6.4e0 ** 2)) / (2 * pi() * 6.4e0 ** 2)', 'w')} FROM pix")
 def _(spark, d):
-    return rounded(Tables(spark, d).pix.where("row < 32").select("raster_id", "row", "col", X.window_weight("row", "col", 32, 32).alias("w")))
+    return rounded(Tables(spark, d).pix.select("raster_id", "row", "col", X.window_weight(F.col("row") % 32, "col", 32, 32).alias("w")))
 
 
 @query("f23_to_storage", f"""SELECT ok, ln, pk, member, CAST(CASE WHEN p IS NULL OR p > 65535 THEN 65535 WHEN p < 0 THEN 0 ELSE floor(p) END AS INT) AS u16, {r('CASE WHEN p IS NULL THEN -9999 WHEN p < 0 THEN 0 ELSE p END', 'f32')}
@@ -578,23 +581,23 @@ def _(spark, d):
     return R.centres(_meta(Tables(spark, d)), 8, 5).select("raster_id", "row", "col")
 
 
-_PP = "SELECT pk AS id, raster_id, row, col FROM pix WHERE pk % 11 = 3"
+_PP = "SELECT pk AS id, raster_id, row, col FROM pix"
 
 
 @query("g04_extract_patches", f"""SELECT p.id, CAST((x.row - p.row + 2) * 5 + x.col - p.col + 2 AS INT) AS place, x.value FROM ({_PP}) p JOIN pix x ON x.raster_id = p.raster_id AND abs(x.row - p.row) <= 2 AND abs(x.col - p.col) <= 2""")
 def _(spark, d):
     t = Tables(spark, d)
-    out = R.extract_patches(t.pix.where("pk % 11 = 3").select(F.col("pk").alias("id"), "raster_id", "row", "col"), t.pix, 5, 16)
+    out = R.extract_patches(t.pix.select(F.col("pk").alias("id"), "raster_id", "row", "col"), t.pix, 5, 16)
     return out.select("id", F.posexplode("patch").alias("place", "value")).where("value is not null")
 
 
-@query("g05_extract_patches_multi", """WITH p AS (SELECT plot AS id, 500050e0 + plot * 31 % 600 AS x, 4999900e0 - plot * 17 % 100 AS y FROM plots WHERE plot % 5 = 0),
+@query("g05_extract_patches_multi", """WITH p AS (SELECT plot AS id, 500050e0 + plot * 31 % 600 AS x, 4999900e0 - plot * 17 % 100 AS y FROM plots),
     o AS (SELECT id, CAST(i AS INT) AS i, CAST(j AS INT) AS j, x + j * 10 AS px, y - i * 10 AS py FROM p CROSS JOIN range(-2, 3) a(i) CROSS JOIN range(-2, 3) b(j)),
     f AS (SELECT id, i, j, raster_id, CAST(floor((f - py) / 10) AS BIGINT) AS row, CAST(floor((px - c) / 10) AS BIGINT) AS col FROM o JOIN rasters r ON r.raster_id IN (0, 1) AND c <= px AND px < c + width * 10 AND f - height * 10 < py AND py <= f)
     SELECT id, i, j, value FROM f JOIN valid USING (raster_id, row, col) QUALIFY row_number() OVER (PARTITION BY id, i, j ORDER BY raster_id) = 1""")
 def _(spark, d):
     t = Tables(spark, d)
-    points = t.plots.where("plot % 5 = 0").selectExpr("plot AS id", "500050D + plot * 31 % 600 AS x", "4999900D - plot * 17 % 100 AS y")
+    points = t.plots.selectExpr("plot AS id", "500050D + plot * 31 % 600 AS x", "4999900D - plot * 17 % 100 AS y")
     return R.extract_patches_multi(points, t.rasters.where("raster_id in (0, 1)"), t.valid, 5, 10.0)
 
 
@@ -646,18 +649,18 @@ def _(spark, d):
     return R.contained(p).select("plot", "contained")
 
 
-@query("g12_upsample_nearest", "SELECT raster_id, row * 3 + i AS row, col * 3 + j AS col, nullif(value, -9999) AS value FROM pix CROSS JOIN range(3) a(i) CROSS JOIN range(3) b(j) WHERE row < 4")
+@query("g12_upsample_nearest", "SELECT raster_id, row * 3 + i AS row, col * 3 + j AS col, nullif(value, -9999) AS value FROM pix CROSS JOIN range(3) a(i) CROSS JOIN range(3) b(j)")
 def _(spark, d):
-    p = Tables(spark, d).pix.where("row < 4").select("raster_id", "row", "col", F.expr("nullif(value, -9999D)").alias("value"))
+    p = Tables(spark, d).pix.select("raster_id", "row", "col", F.expr("nullif(value, -9999D)").alias("value"))
     return R.upsample(p, 3).select("raster_id", "row", "col", "value")
 
 
-@query("g12_upsample_bilinear", f"""WITH p AS (SELECT raster_id, row, col, value FROM pix WHERE row < 4), e AS (SELECT raster_id, max(row) AS hr, max(col) AS hc FROM p GROUP BY raster_id),
+@query("g12_upsample_bilinear", f"""WITH p AS (SELECT raster_id, row, col, value FROM pix), e AS (SELECT raster_id, max(row) AS hr, max(col) AS hc FROM p GROUP BY raster_id),
     f AS (SELECT raster_id, row, col, value AS own, row * 2 + i AS fr, col * 2 + j AS fc, greatest(0, least((row * 2 + i + 0.5e0) / 2 - 0.5e0, hr)) AS y, greatest(0, least((col * 2 + j + 0.5e0) / 2 - 0.5e0, hc)) AS x, hr, hc FROM p JOIN e USING (raster_id) CROSS JOIN range(2) a(i) CROSS JOIN range(2) b(j)),
-    n AS (SELECT f.*, q.value AS v, (1 - abs(y - q.row)) * (1 - abs(x - q.col)) AS w FROM f JOIN p q ON q.raster_id = f.raster_id AND abs(y - q.row) < 1 AND abs(x - q.col) < 1 WHERE q.value <> -9999)
+    n AS (SELECT f.*, q.value AS v, (1 - abs(y - q.row)) * (1 - abs(x - q.col)) AS w FROM f JOIN p q ON q.raster_id = f.raster_id AND q.row IN (floor(y), floor(y) + 1) AND q.col IN (floor(x), floor(x) + 1) AND abs(y - q.row) < 1 AND abs(x - q.col) < 1 WHERE q.value <> -9999)
     SELECT f.raster_id, f.fr AS row, f.fc AS col, {r('CASE WHEN any_value(f.own) <> -9999 THEN sum(w * v) / sum(w) END', 'value')} FROM f LEFT JOIN n USING (raster_id, fr, fc) GROUP BY f.raster_id, f.fr, f.fc""")
 def _(spark, d):
-    p = Tables(spark, d).pix.where("row < 4").select("raster_id", "row", "col", F.expr("nullif(value, -9999D)").alias("value"))
+    p = Tables(spark, d).pix.select("raster_id", "row", "col", F.expr("nullif(value, -9999D)").alias("value"))
     return rounded(R.upsample(p, 2, 1))
 
 
@@ -691,11 +694,12 @@ def _(spark, d):
     return R.stack_bands(metas.union(metas), p, ["HH", "HV"])
 
 
-@query("g17_pad_canvas", "SELECT raster_id, row + (hh - height) // 2 AS row, col + (48 - width) // 2 AS col, value FROM (SELECT raster_id, row, col, value, 12 + raster_id AS height, 32 + 4 * raster_id AS width FROM pix WHERE row < 12 AND raster_id < 4), (SELECT 15 AS hh)".replace("48", "44"))
+@query("g17_pad_canvas", """SELECT raster_id, row + (max(height) OVER () - height) // 2 AS row, col + (44 - width) // 2 AS col, value
+    FROM (SELECT raster_id, row, col, value, rasters.height + raster_id AS height, 32 + 4 * raster_id AS width FROM pix JOIN rasters USING (raster_id))""")
 def _(spark, d):
     t = Tables(spark, d)
-    meta = t.rasters.selectExpr("raster_id", "12 + raster_id AS height", "32 + 4 * raster_id AS width")
-    return R.pad_canvas(meta, t.pix.where("row < 12")).select("raster_id", "row", "col", "value")
+    meta = t.rasters.selectExpr("raster_id", "height + raster_id AS height", "32 + 4 * raster_id AS width")
+    return R.pad_canvas(meta, t.pix).select("raster_id", "row", "col", "value")
 
 
 @query("g18_coarse_map", f"""WITH l AS (SELECT raster_id, row, col, row // 4 AS i, col // 4 AS j, c, f, a, e FROM pix JOIN rasters USING (raster_id) WHERE row % 4 = 2 AND col % 4 = 2)
