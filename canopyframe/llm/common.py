@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -50,9 +51,38 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df once to the shared folder and read it back: later jobs neither recompute it nor depend on executors."""
     path = f"{shared_dir(df.sparkSession)}/canopy-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for made in _SCRATCH:
+        made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_SCRATCH: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Remove the tables written inside the block when it ends, but those given to the function that it yields.
+
+    For callers that reduce an operator's result to a table of their own: what they return must not read others.
+    """
+    made: list[str] = []
+    kept: list[str] = []
+    _SCRATCH.append(made)
+
+    def keep(df: DataFrame, tag: str) -> DataFrame:
+        out = materialize(df, tag)
+        kept.append(made[-1])
+        return out
+
+    try:
+        yield keep
+    finally:
+        _SCRATCH.remove(made)
+        for path in set(made) - set(kept):
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 #: Let Spark build a Bloom filter of a join's small side, when its size allows, and drop other rows before the shuffle.
 _PRUNE = {"spark.sql.optimizer.runtime.bloomFilter.enabled": "true", "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0"}
 

@@ -57,7 +57,7 @@ def _summaries(words: int):
     def run(batches):
         powers, counts = Powers(), np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 2 << 20):
                 sets, bounds = shingle_sets(*string_buffers(part.column("text")), words, powers)
                 counts += np.bincount(sets >> np.uint64(64 - SKETCH_BITS), minlength=len(counts))
                 n = np.diff(bounds)
@@ -97,7 +97,7 @@ def _prefixes(words: int, percent: int, table):
     def run(batches):
         powers, frequency = Powers(), table.value
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 2 << 20):
                 sets, bounds = shingle_sets(*string_buffers(part.column("text")), words, powers)
                 n = np.diff(bounds)
                 keep = np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)

@@ -142,7 +142,7 @@ def best_fit_pack(pieces: DataFrame, size: int = 2048, id_col: str = "doc_id", l
     own = Window.partitionBy("_len", "_bucket").orderBy(*[F.col(c) for c in known if c != length_col])
     ranked = (
         rows.withColumn("_len", F.col(length_col)).withColumn("_rank", F.row_number().over(own) - 1)
-        .join(offsets, ["_len", "_bucket"])
+        .join(offsets.hint("merge"), ["_len", "_bucket"])  # by the partitioning of the ranks; its rows grow with the partitions
         .withColumn("_at", F.col("_before") + F.col("_rank"))
     )
     firsts = spark.sparkContext.broadcast(base)

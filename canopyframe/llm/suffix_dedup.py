@@ -12,7 +12,7 @@ from .common import Powers, materialize, prefix_hash, slices, span_hash, string_
 #: Bytes of an anchor; every repeated string contains one, its least anchor by hash.
 ANCHOR = 24
 #: Bytes of segments that one suffix array is built over, and segments of one anchor from which windows are counted instead.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 2 << 20
 HOT_SEGMENTS = 30_000
 #: Names from which ranks are doubled, as buckets hold too few suffixes to induce them as arrays.
 WIDE = 1 << 11
@@ -227,7 +227,7 @@ def _segments(length: int):
     def run(batches):
         powers = Powers()
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 2 << 20):
                 raw, off = string_buffers(part.column("text"))
                 row, start, size, mark, segment = anchored_segments(raw, off, length, powers)
                 ids = np.asarray(part.column("id"), np.int64)[row]
@@ -342,8 +342,20 @@ def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
 
     Matches do not cross documents. Returns (id, start, size), overlapping spans included.
     """
-    text = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 62))).alias("id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("text"))
-    return _spans(text, length)
+    return _spans(_texts(docs, id_col, text_col).select(F.col("_id").alias("id"), F.col("_text").alias("text")), length)
+
+
+#: Stands for null ids, before all others.
+_NO_ID = -(1 << 62)
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str, columns=()) -> DataFrame:
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("_id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("_text"), *columns)
+
+
+def span_lists(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(_id, _spans): the spans of each text that has any, at most one a byte of it."""
+    return repeated_spans(docs, length, id_col, text_col).groupBy(F.col("id").alias("_id")).agg(F.collect_list(F.struct("start", "size")).alias("_spans"))
 
 
 def _spans(text: DataFrame, length: int) -> DataFrame:
@@ -372,37 +384,40 @@ def _spans(text: DataFrame, length: int) -> DataFrame:
     return settled.unionByName(by_array).unionByName(by_window)
 
 
-def _strip(batches):
-    for batch in batches:
-        kept, removed, runs = [], [], []
-        for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
-            if not spans:
-                kept.append(text), removed.append(0), runs.append(0)
-                continue
-            out, at, n = [], 0, 0
-            for s in sorted((s["start"], s["start"] + s["size"]) for s in spans):
-                if not n or s[0] > at:  # spans that touch are one run
-                    out.append(text[at : s[0]])
-                    n += 1
-                at = max(at, s[1])
-            out.append(text[at:])
-            kept.append(b"".join(out)), removed.append(len(text) - len(kept[-1])), runs.append(n)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), pa.array([len(t) for t in batch.column("text").to_pylist()], pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())],
-            ["id", "n_bytes", "n_removed", "n_spans", "kept"],
-        )
-
-
-def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _strip(columns):
+    def run(batches):
+        for batch in batches:
+            kept, removed, runs, sizes = [], [], [], []
+            for text, spans in zip(batch.column("_text").to_pylist(), batch.column("_spans").to_pylist()):
+                out, at, n = [], 0, 0
+                for start, end in sorted((s["start"], s["start"] + s["size"]) for s in spans or ()):
+                    if not n or start > at:  # spans that touch are one run
+                        out.append(text[at:start])
+                        n += 1
+                    at = max(at, end)
+                out.append(text[at:])
+                whole = b"".join(out)
+                kept.append(whole), removed.append(len(text) - len(whole)), runs.append(n), sizes.append(len(text))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("_id"), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary()), *(batch.column(c) for c in columns)],
+                ["_id", "n_bytes", "n_removed", "n_spans", "kept", *columns],
+            )
+
+    return run
+
+
+def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", columns=(), spans: DataFrame | None = None) -> DataFrame:
     """Texts without the bytes of ``repeated_spans``; strings are judged on the input, not on what is left.
 
     Null text is empty; texts shorter than ``length`` stay whole. Null ids come before all others. Ids are taken
     as unique: rows that share an id share its spans, and equal strings at equal starts of one id do not remove
-    each other. Extra columns are ignored. An empty table gives an empty result.
-    Returns: id, n_bytes, n_removed, n_spans (maximal removed runs), kept (binary, the remaining bytes).
+    each other. Other columns are ignored unless named in ``columns``. An empty table gives an empty result.
+    spans: the result of ``span_lists``, where it is at hand.
+    Returns: id, n_bytes, n_removed, n_spans (maximal removed runs), kept (binary, the remaining bytes), columns.
     """
-    least = -(1 << 62)
-    text = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(least)).alias("id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("text"))
-    spans = _spans(text, length).groupBy("id").agg(F.collect_list(F.struct("start", "size")).alias("spans"))  # within one text
-    out = text.join(spans, "id", "left").select("id", "text", "spans").mapInArrow(_strip, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
-    return out.withColumn("id", F.nullif("id", F.lit(least))).withColumnRenamed("id", id_col)
+    text = _texts(docs, id_col, text_col, columns)
+    spans = span_lists(docs, length, id_col, text_col) if spans is None else spans
+    out = text.join(spans, "_id", "left").select("_id", "_text", "_spans", *columns)
+    extra = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema) if columns else ""
+    out = out.mapInArrow(_strip(list(columns)), f"_id long, n_bytes long, n_removed long, n_spans long, kept binary{extra}")
+    return out.withColumn("_id", F.nullif("_id", F.lit(_NO_ID))).withColumnRenamed("_id", id_col)
