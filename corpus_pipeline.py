@@ -10,44 +10,49 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopyframe.llm.common import materialize, shared_dir
+from canopyframe.llm.common import materialize, scratch, shared_dir
 from canopyframe.llm.mixing import mix_sources
 from canopyframe.llm.ngram_join import ngram_components
 from canopyframe.llm.packing import best_fit_pack, token_pieces
 from canopyframe.llm.quality_knn import quality_votes
 from canopyframe.llm.queries import _word_bpe
-from canopyframe.llm.suffix_dedup import remove_repeats
+from canopyframe.llm.suffix_dedup import remove_repeats, span_lists
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the vote of their nearest labelled neighbours accepts."""
-    votes = quality_votes(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    accepted = materialize(votes.where("predicted = 1").select("doc_id").distinct(), "accepted")
+    with scratch(spark) as keep:
+        votes = quality_votes(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+        accepted = keep(votes.where("predicted = 1").select("doc_id").distinct(), "accepted")
     return docs.join(accepted, "doc_id", "left_semi").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by five-word shingles at 0.8 or more: the one with the smallest id."""
-    groups = ngram_components(docs, words=5, percent=80)
-    first = materialize(groups.where("doc_id = component_id").select("doc_id").distinct(), "first")
+    with scratch(spark) as keep:
+        groups = ngram_components(docs, words=5, percent=80)
+        first = keep(groups.where("doc_id = component_id").select("doc_id").distinct(), "first")
     return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without 100-byte strings that start earlier in the corpus; emptied documents go, cut characters too."""
-    kept = remove_repeats(docs, 100).select("doc_id", "n_removed", "kept")
+    with scratch(spark) as keep:
+        spans = keep(span_lists(docs, 100), "spans")
+    out = remove_repeats(docs, 100, columns=["text", "lang", "source", "n_chars"], spans=spans)
     # what a cut leaves of a character at either side of a removed run is dropped
     text = F.when(F.col("n_removed") > 0, F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "�", "")).otherwise(F.col("text"))
-    out = docs.join(kept, "doc_id").withColumn("text", text)
+    out = out.withColumn("text", text)
     out = out.where((F.col("n_removed") == 0) | (F.trim("text") != "")).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long"))
     return out.select(*COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it (0, 1 or 2 times; one without words stays out)."""
-    copies = materialize(mix_sources(docs).where("copies > 0").select("doc_id", "copies"), "copies")
+    with scratch(spark) as keep:
+        copies = keep(mix_sources(docs).where("copies > 0").select("doc_id", "copies"), "copies")
     times = F.explode(F.sequence(F.lit(1), F.col("copies")))
     return docs.join(copies, "doc_id").withColumn("_copy", times).select(*COLUMNS)
 
