@@ -7,10 +7,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, string_buffers, word_spans
+from .common import SPACE, slices, string_buffers, word_spans
 
 #: Trie nodes that a worker keeps; beyond it starts afresh.
-KEEP_NODES = 400_000
+KEEP_NODES = 1_000_000
 #: Begins every word.
 MARK = "▁"
 
@@ -28,13 +28,15 @@ class PrefixTrie:
     the tokens of that split depend on its prefix alone, so they are computed once when the node is made."""
 
     def __init__(self, pieces: dict[str, float]):
-        self.pieces, self.longest = pieces, max(map(len, pieces), default=1)
+        self.pieces = pieces
+        self.begun = {p[:k] for p in pieces for k in range(1, len(p) + 1)}  # strings that begin a piece
         self.unknown = min(pieces.values(), default=0.0) - 10.0
         self.clear()
 
     def clear(self) -> None:
-        self.next: dict[tuple[int, str], int] = {}
+        self.next: dict[int, int] = {}  # node * 2**21 + code point: child
         self.score, self.tokens = [0.0], [0]
+        self.starts: list[tuple[int, ...]] = [()]  # places from which the prefix may still grow into a piece
         self.terminal: dict[str, tuple[int, float]] = {}
 
     def count(self, word: str) -> tuple[int, float]:
@@ -45,18 +47,24 @@ class PrefixTrie:
             return known
         text, node, path = MARK + word, 0, [0]
         for i, ch in enumerate(text):
-            child = self.next.get((node, ch))
+            key = node << 21 | ord(ch)
+            child = self.next.get(key)
             if child is None:
                 child = len(self.score)
                 back = path[i]
                 best = (self.score[back] + self.unknown, -self.tokens[back] - len(ch.encode()))
-                for k in range(max(0, i + 1 - self.longest), i + 1):
-                    s = self.pieces.get(text[k : i + 1])
-                    if s is not None:
-                        v = (self.score[path[k]] + s, -self.tokens[path[k]] - 1)
-                        if v > best:
-                            best = v
-                self.next[node, ch] = child
+                open_ = []
+                for k in (*self.starts[node], i):
+                    part = text[k : i + 1]
+                    if part in self.begun:
+                        open_.append(k)
+                        s = self.pieces.get(part)
+                        if s is not None:
+                            v = (self.score[path[k]] + s, -self.tokens[path[k]] - 1)
+                            if v > best:
+                                best = v
+                self.next[key] = child
+                self.starts.append(tuple(open_))
                 self.score.append(best[0])
                 self.tokens.append(-best[1])
             node = child
@@ -86,16 +94,12 @@ def token_counts(docs: DataFrame, pieces: str, id_col: str = "doc_id", text_col:
     def run(batches):
         trie = _trie(pieces)
         for batch in batches:
-            for part in slices(batch, "text", 8 << 20):
+            for part in slices(batch, "text", 4 << 20):
                 raw, off = string_buffers(part.column("text"))
                 start, end, rows = word_spans(raw, off)
                 length = end - start
-                ink = np.zeros(len(raw) + 1, np.int64)
-                np.add.at(ink, start, 1)
-                np.add.at(ink, end, -1)
-                inside = np.cumsum(ink[:-1]) > 0
                 cuts = np.concatenate([[0], np.cumsum(length)]).astype(np.int64)
-                words = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(cuts), pa.py_buffer(raw[inside])).dictionary_encode()
+                words = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(cuts), pa.py_buffer(raw[~SPACE[raw]])).dictionary_encode()
                 if len(trie.score) > KEEP_NODES:
                     trie.clear()
                 found = [trie.count(w) for w in words.dictionary.to_pylist()]
