@@ -747,9 +747,10 @@ _WIN = """SELECT raster_id, row, col, row0, col0, value + row0 * 0.1e0 - col0 *
 
 
 def _win(t):
-    v = t.valid
-    back = lambda c, top: F.filter(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: (F.floor(F.col(c) / 4) - k) * 4), lambda s: (s >= 0) & (s < top))
-    v = v.withColumn("row0", F.explode(back("row", 64))).withColumn("col0", F.explode(back("col", 24)))
+    v = t.valid.join(F.broadcast(t.rasters.select("raster_id", "width")), "raster_id")
+    back = lambda c, fits: F.filter(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: (F.floor(F.col(c) / 4) - k) * 4), lambda s: (s >= 0) & fits(s))
+    # rows: every start at or above a pixel; columns: up to the first window that reaches the right edge
+    v = v.withColumn("row0", F.explode(back("row", lambda s: F.lit(True)))).withColumn("col0", F.explode(back("col", lambda s: (s == 0) | (s < F.col("width") - 8))))
     return v.selectExpr("raster_id", "row", "col", "row0", "col0", "value + row0 * 0.1D - col0 * 0.05D AS pred", "row0 * 1000 + col0 AS seq", "row - row0 AS i", "col - col0 AS j")
 
 
