@@ -230,16 +230,19 @@ def _segments(length: int):
             for part in slices(batch, "text", 2 << 20):
                 raw, off = string_buffers(part.column("text"))
                 row, start, size, mark, segment = anchored_segments(raw, off, length, powers)
-                ids = np.asarray(part.column("id"), np.int64)[row]
-                order = np.lexsort((start, ids, segment, mark))
-                m, s = mark[order], segment[order]
+                ids, sums = np.asarray(part.column("id"), np.int64)[row], np.asarray(part.column("sum"), np.int64)[row]
+                order = np.lexsort((start, sums, ids, segment, mark))
+                m, s, i, c, at = (x[order] for x in (mark, segment, ids, sums, start))
                 again = np.zeros(len(order), bool)  # here already: settled before the shuffle
                 again[1:] = (m[1:] == m[:-1]) & (s[1:] == s[:-1])
+                fresh = np.ones(len(order), bool)  # the same place of an equal row under the same id says nothing new
+                fresh[1:] = ~(again[1:] & (i[1:] == i[:-1]) & (c[1:] == c[:-1]) & (at[1:] == at[:-1]))
+                m, s, i, c, at, again, size = (x[fresh] for x in (m, s, i, c, at, again, size[order]))
                 key = m.view(np.int64).copy()
-                key[again] = ids[order][again] * 1_000_003 + start[order][again]
+                key[again] = (i[again] ^ c[again]) * 1_000_003 + at[again]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key), pa.array(s.view(np.int64)), pa.array(ids[order]), pa.array(start[order].astype(np.int32)), pa.array(size[order].astype(np.int32)), pa.array(again)],
-                    ["anchor", "segment", "id", "start", "size", "again"],
+                    [pa.array(key), pa.array(s.view(np.int64)), pa.array(i), pa.array(c), pa.array(at.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(again)],
+                    ["anchor", "segment", "id", "sum", "start", "size", "again"],
                 )
 
     return run
@@ -279,8 +282,17 @@ def _sharded(length: int):
     def run(batches):
         def flush(parts):
             whole = pa.Table.from_batches(parts).combine_chunks()
-            out = shard_repeats(np.asarray(whole["id"], np.int64), np.asarray(whole["start"], np.int64), whole["text"].combine_chunks(), length)
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["id", "start", "size"])
+            ids = np.asarray(whole["id"], np.int64)
+            sums = np.asarray(whole["sum"], np.int64) if "sum" in whole.column_names else np.zeros_like(ids)  # ids alone tell texts apart
+            order = np.lexsort((sums, ids))
+            change = np.zeros(len(ids), np.int64)
+            change[1:] = (ids[order][1:] != ids[order][:-1]) | (sums[order][1:] != sums[order][:-1])
+            rank = np.empty(len(ids), np.int64)
+            rank[order] = np.cumsum(change)
+            row = np.empty(len(ids), np.int64)
+            row[rank] = np.arange(len(ids))  # some row of each text
+            of, start, size = shard_repeats(rank, np.asarray(whole["start"], np.int64), whole["text"].combine_chunks(), length)
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (ids[row[of]], sums[row[of]], start, size)], ["id", "sum", "start", "size"])
 
         parts, held, last = [], 0, None
         for batch in batches:
@@ -323,8 +335,8 @@ def _window_hashes(length: int):
                 at = off[:-1][row] + inside
                 hashes = [span_hash(prefix_hash(raw, p), at, at + length, p).view(np.int64) for p in (one, two)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(hashes[0]), pa.array(hashes[1]), part.column("id").take(pa.array(row)), pa.array(np.asarray(part.column("start"), np.int64)[row] + inside)],
-                    ["h1", "h2", "id", "start"],
+                    [pa.array(hashes[0]), pa.array(hashes[1]), part.column("id").take(pa.array(row)), part.column("sum").take(pa.array(row)), pa.array(np.asarray(part.column("start"), np.int64)[row] + inside)],
+                    ["h1", "h2", "id", "sum", "start"],
                 )
 
     return run
@@ -333,6 +345,10 @@ def _window_hashes(length: int):
 def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Spans of bytes covered by ``length``-byte strings that also start earlier (smaller id, or earlier in the text).
 
+    A text is told by its id and its checksum (64 bits of the whole text), so texts that share an id, or have none,
+    stay apart; among them the one with the smaller checksum is earlier. Rows with equal id and equal text have
+    the same spans, found as if there were one of them.
+
     Every window of ``length`` bytes has a least anchor by hash; runs of windows with one anchor are segments.
     Equal segments are settled by their order; what remains under an anchor with several different segments goes,
     with its text, to a shard of that anchor, where a suffix array is induced, permuted common prefixes are
@@ -340,9 +356,9 @@ def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     segments of one batch are settled before the shuffle, so copies do not gather under their anchors; anchors
     with over ``HOT_SEGMENTS`` different segments are settled window by window with an aggregated minimum.
 
-    Matches do not cross documents. Returns (id, start, size), overlapping spans included.
+    Matches do not cross documents. Returns (id, sum, start, size), overlapping spans included.
     """
-    return _spans(_texts(docs, id_col, text_col).select(F.col("_id").alias("id"), F.col("_text").alias("text")), length)
+    return _spans(_texts(docs, id_col, text_col).select(F.col("_id").alias("id"), F.col("_sum").alias("sum"), F.col("_text").alias("text")), length)
 
 
 #: Stands for null ids, before all others.
@@ -350,46 +366,57 @@ _NO_ID = -(1 << 62)
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str, columns=()) -> DataFrame:
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("_id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("_text"), *columns)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("_id"), F.xxhash64(text).alias("_sum"), F.encode(text, "UTF-8").alias("_text"), *columns)
 
 
 def span_lists(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(_id, _spans): the spans of each text that has any, at most one a byte of it."""
-    return repeated_spans(docs, length, id_col, text_col).groupBy(F.col("id").alias("_id")).agg(F.collect_list(F.struct("start", "size")).alias("_spans"))
+    """(_id, _sum, _spans): the spans of each text that has any, at most one a byte of it."""
+    return repeated_spans(docs, length, id_col, text_col).groupBy(F.col("id").alias("_id"), F.col("sum").alias("_sum")).agg(F.collect_list(F.struct("start", "size")).alias("_spans"))
 
 
 def _spans(text: DataFrame, length: int) -> DataFrame:
-    found = text.mapInArrow(_segments(length), "anchor long, segment long, id long, start int, size int, again boolean")
-    group = Window.partitionBy("anchor").orderBy("segment", "id", "start")
+    found = text.mapInArrow(_segments(length), "anchor long, segment long, id long, sum long, start int, size int, again boolean")
+    group = Window.partitionBy("anchor").orderBy("segment", "id", "sum", "start")
     whole = group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    place = F.struct("id", "sum", "start")
     judged = found.select(
-        "anchor", "id", "start", "size",
-        (F.col("again") | F.coalesce(F.lag("segment").over(group) == F.col("segment"), F.lit(False))).alias("again"),
+        "anchor", "id", "sum", "start", "size", "again",
+        F.coalesce(F.lag("segment").over(group) == F.col("segment"), F.lit(False)).alias("equal"), F.coalesce(F.lag(place).over(group) == place, F.lit(False)).alias("copy"),
         (F.first("segment").over(whole) != F.last("segment").over(whole)).alias("several"), F.count(F.lit(1)).over(whole).alias("n"),
-    )
+    ).where("not (equal and copy)")
+    judged = judged.withColumn("again", F.col("again") | F.col("equal")).drop("equal", "copy")
     judged = materialize(judged.where("again or several"), "segments")
-    settled = judged.where("again").select("id", F.col("start").cast("long").alias("start"), F.col("size").cast("long").alias("size"))
+    settled = judged.where("again").select("id", "sum", F.col("start").cast("long").alias("start"), F.col("size").cast("long").alias("size"))
     open_ = judged.where("several and not again")
-    per_doc = open_.groupBy("id").agg(F.collect_list(F.struct("anchor", "start", "size", "n")).alias("parts"))  # at most a text's own segments
-    cut = text.join(per_doc, "id").select("id", "text", F.explode("parts").alias("p")).select(
-        "p.anchor", "p.n", "id", "p.start", "p.size", F.substring(F.col("text"), F.col("p.start") + 1, F.col("p.size")).alias("text")
+    per_doc = open_.groupBy("id", "sum").agg(F.collect_list(F.struct("anchor", "start", "size", "n")).alias("parts"))  # at most a text's own segments
+    cut = _turns(text.join(per_doc, ["id", "sum"]), "id", "sum").where("_turn = 1").select("id", "sum", "text", F.explode("parts").alias("p")).select(
+        "p.anchor", "p.n", "id", "sum", "p.start", "p.size", F.substring(F.col("text"), F.col("p.start") + 1, F.col("p.size")).alias("text")
     )
     cut = materialize(cut, "shards")
     n = max(1, int(text.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    shards = cut.where(F.col("n") <= HOT_SEGMENTS).repartition(n, "anchor").sortWithinPartitions("anchor").select("anchor", "id", "start", "size", "text")
-    by_array = shards.mapInArrow(_sharded(length), "id long, start long, size long")
-    windows = cut.where(F.col("n") > HOT_SEGMENTS).select("id", "start", "text").mapInArrow(_window_hashes(length), "h1 long, h2 long, id long, start long")
-    firsts = windows.groupBy("h1", "h2").agg(F.min(F.struct("id", "start")).alias("first"))
-    by_window = windows.join(firsts, ["h1", "h2"]).where(F.struct("id", "start") != F.col("first")).select("id", "start", F.lit(length).cast("long").alias("size"))
+    shards = cut.where(F.col("n") <= HOT_SEGMENTS).repartition(n, "anchor").sortWithinPartitions("anchor").select("anchor", "id", "sum", "start", "size", "text")
+    by_array = shards.mapInArrow(_sharded(length), "id long, sum long, start long, size long")
+    windows = cut.where(F.col("n") > HOT_SEGMENTS).select("id", "sum", "start", "text").mapInArrow(_window_hashes(length), "h1 long, h2 long, id long, sum long, start long")
+    firsts = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"))
+    by_window = windows.join(firsts, ["h1", "h2"]).where(place != F.col("first")).select("id", "sum", "start", F.lit(length).cast("long").alias("size"))
     return settled.unionByName(by_array).unionByName(by_window)
 
 
-def _strip(columns):
+def _turns(rows: DataFrame, id_col: str, sum_col: str, columns=()) -> DataFrame:
+    """rows with ``_turn``, 1 for all but repeats of a row with equal id and text: these go on in order of a hash of columns."""
+    order = F.xxhash64(*columns) if columns else F.col(sum_col)
+    return rows.withColumn("_turn", F.row_number().over(Window.partitionBy(id_col, sum_col).orderBy(order)))
+
+
+def _strip(columns, length):
     def run(batches):
         for batch in batches:
             kept, removed, runs, sizes = [], [], [], []
-            for text, spans in zip(batch.column("_text").to_pylist(), batch.column("_spans").to_pylist()):
+            for text, spans, turn in zip(batch.column("_text").to_pylist(), batch.column("_spans").to_pylist(), batch.column("_turn").to_pylist()):
                 out, at, n = [], 0, 0
+                if turn > 1 and len(text) >= length:  # an earlier row has all its strings
+                    spans = [{"start": 0, "size": len(text)}]
                 for start, end in sorted((s["start"], s["start"] + s["size"]) for s in spans or ()):
                     if not n or start > at:  # spans that touch are one run
                         out.append(text[at:start])
@@ -409,15 +436,17 @@ def _strip(columns):
 def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", columns=(), spans: DataFrame | None = None) -> DataFrame:
     """Texts without the bytes of ``repeated_spans``; strings are judged on the input, not on what is left.
 
-    Null text is empty; texts shorter than ``length`` stay whole. Null ids come before all others. Ids are taken
-    as unique: rows that share an id share its spans, and equal strings at equal starts of one id do not remove
-    each other. Other columns are ignored unless named in ``columns``. An empty table gives an empty result.
+    Null text is empty; texts shorter than ``length`` stay whole. Null ids come before all others. Different texts
+    that share an id, or have none, are separate documents, in order of the 64-bit checksum of their text. Of rows
+    with equal id and equal text the first by a hash of ``columns`` counts as earlier; the others lose their whole
+    text if it has ``length`` bytes. Other columns are ignored unless named in ``columns``. An empty table gives an
+    empty result.
     spans: the result of ``span_lists``, where it is at hand.
     Returns: id, n_bytes, n_removed, n_spans (maximal removed runs), kept (binary, the remaining bytes), columns.
     """
     text = _texts(docs, id_col, text_col, columns)
     spans = span_lists(docs, length, id_col, text_col) if spans is None else spans
-    out = text.join(spans, "_id", "left").select("_id", "_text", "_spans", *columns)
+    out = _turns(text.join(spans, ["_id", "_sum"], "left"), "_id", "_sum", columns).select("_id", "_text", "_spans", "_turn", *columns)
     extra = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema) if columns else ""
-    out = out.mapInArrow(_strip(list(columns)), f"_id long, n_bytes long, n_removed long, n_spans long, kept binary{extra}")
+    out = out.mapInArrow(_strip(list(columns), length), f"_id long, n_bytes long, n_removed long, n_spans long, kept binary{extra}")
     return out.withColumn("_id", F.nullif("_id", F.lit(_NO_ID))).withColumnRenamed("_id", id_col)
