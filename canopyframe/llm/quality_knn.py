@@ -82,7 +82,7 @@ class Voter:
 
 
 def quality_votes(
-    docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", columns=()
 ) -> DataFrame:
     """Score every whole text by its nearest labelled texts in a latent-semantic space.
 
@@ -93,8 +93,8 @@ def quality_votes(
 
     Held out: crc32 of the id as text modulo 5 is 0 (null id: not). A repeated label takes its largest value, a
     null one is ignored. Null text is empty, and empty texts are scored like others. Without labels all scores
-    are 0.5. Repeated ids are scored each. Extra columns are ignored.
-    Returns: id, held_out, score (0 to 1), predicted (1 if score >= threshold, else 0).
+    are 0.5. Repeated ids are scored each. Columns are ignored unless named in ``columns``, which go on with the row.
+    Returns: id, held_out, score (0 to 1), predicted (1 if score >= threshold, else 0), columns.
     """
     spark = docs.sparkSession
     held = lambda c: F.coalesce(F.crc32(F.encode(c.cast("string"), "UTF-8")) % 5 == 0, F.lit(False))
@@ -123,7 +123,12 @@ def quality_votes(
                     s = np.full(part.num_rows, 0.5)
                 else:
                     s = voter.value.score(terms(*string_buffers(part.column("text")), powers))
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.clip(s, 0, 1))], ["id", "score"])
-
-    scored = text.mapInArrow(score, "id long, score double")
-    return scored.select(F.col("id").alias(id_col), held(F.col("id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+                more = [part.column("text" if c == text_col else f"_{c}") for c in columns]
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.clip(s, 0, 1)), *more], ["id", "score", *(f"_{c}" for c in columns)])
+
+    extra = "".join(f", `_{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema) if columns else ""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"_{c}") for c in columns if c != text_col))
+    scored = rows.mapInArrow(score, f"id long, score double{extra}")
+    return scored.select(
+        F.col("id").alias(id_col), held(F.col("id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *(F.col(f"_{c}").alias(c) for c in columns)
+    )

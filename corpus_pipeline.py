@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from canopyframe.llm.common import materialize, scratch, shared_dir
@@ -21,24 +21,47 @@ from canopyframe.llm.suffix_dedup import remove_repeats, span_lists
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _keyed(docs: DataFrame, keep) -> DataFrame:
+    """docs with ``_key``: the id where one row has it, else a 64-bit hash of the whole row, so only equal rows share a key."""
+    several = keep(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "several")
+    own = F.col("doc_id").isNotNull()
+    if not several.isEmpty():
+        docs = docs.join(several.withColumn("_several", F.lit(True)), "doc_id", "left")
+        own = own & F.col("_several").isNull()
+    row = F.xxhash64(*COLUMNS, *[F.col(c).isNull() for c in COLUMNS])  # a hash skips nulls: they are told by the flags
+    return docs.select(*COLUMNS, F.when(own, F.col("doc_id").cast("long")).otherwise(row).alias("_key"))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the vote of their nearest labelled neighbours accepts."""
-    with scratch(spark) as keep:
-        votes = quality_votes(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-        accepted = keep(votes.where("predicted = 1").select("doc_id").distinct(), "accepted")
-    return docs.join(accepted, "doc_id", "left_semi").select(*COLUMNS)
+    """Documents that the vote of their nearest labelled neighbours accepts; each row, without an id too, by its own text."""
+    with scratch(spark):
+        votes = quality_votes(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), columns=COLUMNS[1:])
+    return votes.where("predicted = 1").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by five-word shingles at 0.8 or more: the one with the smallest id."""
+    """One document of each group linked by five-word shingles at 0.8 or more: the one with the smallest id.
+
+    Rows that share an id, or have none, are documents of their own; a null id is smaller than all others, and
+    equal ids are ordered by a hash of the row. Of rows that are equal throughout one stays, but every row
+    without words does, as it links with nothing.
+    """
     with scratch(spark) as keep:
-        groups = ngram_components(docs, words=5, percent=80)
-        first = keep(groups.where("doc_id = component_id").select("doc_id").distinct(), "first")
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+        docs = _keyed(docs, keep)
+        groups = ngram_components(docs, words=5, percent=80, id_col="_key").groupBy("_key").agg(F.first("n_shingles").alias("n"), F.min("component_id").alias("part"))
+        ids = docs.groupBy("_key").agg(F.min("doc_id").alias("doc_id"))
+        best = groups.join(ids, "_key").groupBy("part").agg(F.min(F.struct("doc_id", "_key", "n")).alias("best"))
+        first = keep(best.select("best._key", "best.n"), "first")
+    turn = F.row_number().over(Window.partitionBy("_key").orderBy("n_chars"))
+    return docs.join(first, "_key").withColumn("_turn", turn).where("_turn = 1 or n = 0").select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without 100-byte strings that start earlier in the corpus; emptied documents go, cut characters too."""
+    """Texts without 100-byte strings that start earlier in the corpus; emptied documents go, cut characters too.
+
+    Null ids are earlier than all others; different texts with one id, or none, are ordered by a checksum of the
+    text. Rows with equal id and text are copies: all but one are emptied, if they have 100 bytes.
+    """
     with scratch(spark) as keep:
         spans = keep(span_lists(docs, 100), "spans")
     out = remove_repeats(docs, 100, columns=["text", "lang", "source", "n_chars"], spans=spans)
@@ -50,15 +73,21 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it (0, 1 or 2 times; one without words stays out)."""
+    """Each document as often as the mix takes it (0, 1 or 2 times; one without words stays out).
+
+    Rows that share an id, or have none, are documents of their own and take what the mix gives each of them.
+    """
     with scratch(spark) as keep:
-        copies = keep(mix_sources(docs).where("copies > 0").select("doc_id", "copies"), "copies")
-    times = F.explode(F.sequence(F.lit(1), F.col("copies")))
-    return docs.join(copies, "doc_id").withColumn("_copy", times).select(*COLUMNS)
+        docs = _keyed(docs, keep)
+        taken = mix_sources(docs, id_col="_key").groupBy("_key").agg(F.sort_array(F.collect_list("copies"), asc=False).alias("taken"))
+        copies = keep(taken.where("taken[0] > 0"), "copies")
+    turn = F.row_number().over(Window.partitionBy("_key").orderBy("n_chars"))  # rows with one key are equal
+    out = docs.join(copies, "_key").withColumn("_n", F.element_at("taken", turn)).where("_n > 0")
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2048 tokens: the place of every piece of every document."""
+    """Sequences of at most 2048 tokens: the place of every piece of every row, with a null or repeated id as with any."""
     pieces = token_pieces(docs, _word_bpe(), size=2048, end_id=0).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return best_fit_pack(materialize(pieces, "pieces"), 2048)
 
