@@ -239,19 +239,58 @@ def sum_counters(rows: DataFrame, kinds: int, size: int) -> np.ndarray:
     return total
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "node") -> DataFrame:
+#: A key is hot in a join if it has over this share of the rows, so that few are.
+HOT_SHARE = 1000
+
+
+def join_hot(rows: DataFrame, small: DataFrame, keys: list[str], count_col: str) -> DataFrame:
+    """Left join of rows with small, one row a key, that counts its rows: keys with many of them are broadcast.
+
+    Those have over a thousandth of the rows each, so they are less than a thousand; rows with any other key are
+    shuffled to it. Null keys match nothing.
+    """
+    total = small.agg(F.sum(count_col)).first()[0] or 0
+    often = F.col(count_col) > max(100, total // HOT_SHARE)
+    values = [c for c in small.columns if c not in (*keys, count_col)]
+    tagged = rows.join(F.broadcast(small.where(often).drop(count_col).withColumn("_hot", F.lit(True))), keys, "left")
+    first = tagged.where("_hot").select(*rows.columns, *values)
+    rest = tagged.where("_hot is null").select(*rows.columns).join(small.where(~often).drop(count_col), keys, "left").select(*rows.columns, *values)
+    return first.unionByName(rest)
+
+
+def _forest(batches):
+    """Edges of a task as stars around the least node of each of its components."""
+    parent: dict[int, int] = {}
+
+    def find(x):
+        top = x
+        while (up := parent.get(top, top)) != top:
+            top = up
+        while x != top:
+            parent[x], x = top, parent.get(x, x)
+        return top
+
+    for batch in batches:
+        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist()):
+            a, b = find(u), find(v)
+            parent[max(a, b)] = min(a, b)
+            parent.setdefault(min(a, b), min(a, b))
+    nodes = [x for x in parent if find(x) != x]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], ["u", "v"])
+
+
+def connected_components(nodes: DataFrame | None, edges: DataFrame, node: str = "node") -> DataFrame:
     """Smallest id reachable from every node, by alternating large-star and small-star rounds.
 
-    nodes: one column ``node``; edges: columns ``a``, ``b``. Returns (node, component_id); a node without
-    edges is its own component. A round is a combinable minimum per node and an equi-join back, so a node with
-    very many links is pre-aggregated before the shuffle and its join partition can be split.
+    nodes: one column ``node``, or None for only those that have edges; edges: columns ``a``, ``b``. Returns (node,
+    component_id); a node without edges is its own component. Edges become stars inside each task first. A round
+    is a combinable minimum per node and an equi-join back, so a node with very many links is pre-aggregated before
+    the shuffle and its join partition can be split.
     """
-    spark = nodes.sparkSession
-    e = materialize(
-        edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges"
-    )
+    pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
+    e = materialize(pairs.mapInArrow(_forest, "u long, v long").distinct(), "edges")
     before = None
-    while True:
+    while not e.isEmpty():
         both = e.select("u", "v").unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -268,10 +307,9 @@ def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "node")
         before = now
     # at the fixed point each node points straight at the smallest of its component
     roots = e.groupBy("u").agg(F.min("v").alias("component_id"))
+    if nodes is None:
+        tops = roots.select(F.col("component_id").alias("u"), "component_id").distinct()
+        return materialize(roots.unionAll(tops).select(F.col("u").alias(node), "component_id"), "roots")
     return nodes.select(node).join(roots, nodes[node] == roots["u"], "left").select(
         F.col(node), F.coalesce("component_id", node).alias("component_id")
     )
-
-
-def empty_like(spark: SparkSession, schema: str) -> DataFrame:
-    return spark.createDataFrame([], schema)

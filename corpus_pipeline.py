@@ -21,6 +21,11 @@ from canopyframe.llm.suffix_dedup import remove_repeats, span_lists
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _row_hash():
+    """64-bit hash of a whole row; hashes skip nulls, so flags tell them."""
+    return F.xxhash64(*COLUMNS, *[F.col(c).isNull() for c in COLUMNS])
+
+
 def _keyed(docs: DataFrame, keep) -> DataFrame:
     """docs with ``_key``: the id where one row has it, else a 64-bit hash of the whole row, so only equal rows share a key."""
     several = keep(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "several")
@@ -28,8 +33,7 @@ def _keyed(docs: DataFrame, keep) -> DataFrame:
     if not several.isEmpty():
         docs = docs.join(several.withColumn("_several", F.lit(True)), "doc_id", "left")
         own = own & F.col("_several").isNull()
-    row = F.xxhash64(*COLUMNS, *[F.col(c).isNull() for c in COLUMNS])  # a hash skips nulls: they are told by the flags
-    return docs.select(*COLUMNS, F.when(own, F.col("doc_id").cast("long")).otherwise(row).alias("_key"))
+    return docs.select(*COLUMNS, F.when(own, F.col("doc_id").cast("long")).otherwise(_row_hash()).alias("_key"))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,14 +50,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     equal ids are ordered by a hash of the row. Of rows that are equal throughout one stays, but every row
     without words does, as it links with nothing.
     """
+    docs = docs.select(*COLUMNS, _row_hash().alias("_row"))
     with scratch(spark) as keep:
-        docs = _keyed(docs, keep)
-        groups = ngram_components(docs, words=5, percent=80, id_col="_key").groupBy("_key").agg(F.first("n_shingles").alias("n"), F.min("component_id").alias("part"))
-        ids = docs.groupBy("_key").agg(F.min("doc_id").alias("doc_id"))
-        best = groups.join(ids, "_key").groupBy("part").agg(F.min(F.struct("doc_id", "_key", "n")).alias("best"))
-        first = keep(best.select("best._key", "best.n"), "first")
-    turn = F.row_number().over(Window.partitionBy("_key").orderBy("n_chars"))
-    return docs.join(first, "_key").withColumn("_turn", turn).where("_turn = 1 or n = 0").select(*COLUMNS)
+        groups = ngram_components(docs, words=5, percent=80, columns=["_row"]).where("part is not null")
+        first = keep(groups.groupBy("part").agg(F.min(F.struct("doc_id", "_row")).alias("first")).select("first._row"), "first")
+    worded = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    turn = F.row_number().over(Window.partitionBy("_row").orderBy("n_chars"))  # rows with one hash are equal
+    one = docs.where(worded).join(first, "_row").withColumn("_turn", turn).where("_turn = 1")
+    return one.select(*COLUMNS).unionByName(docs.where(~worded).select(*COLUMNS))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
