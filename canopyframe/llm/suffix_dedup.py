@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Powers, materialize, prefix_hash, slices, span_hash, string_buffers
+from .common import Powers, materialize, mix64, prefix_hash, slices, span_hash, string_buffers
 
 #: Bytes of an anchor; every repeated string contains one, its least anchor by hash.
 ANCHOR = 24
-#: Bytes of segments that one suffix array is built over, and segments of one anchor from which windows are counted instead.
-SHARD_BYTES = 2 << 20
-HOT_SEGMENTS = 30_000
-#: Names from which ranks are doubled, as buckets hold too few suffixes to induce them as arrays.
-WIDE = 1 << 11
+#: Bytes of segments that one suffix array is built over; what does not fit under one anchor is dealt by longer ones.
+SHARD_BYTES = 1 << 20
+#: Names that one symbol tells; larger ones are written as two digits, so that buckets hold enough to induce them as arrays.
+WIDE = 1 << 10
 
 
 # suffix arrays --------------------------------------------------------------------------------------------------
@@ -34,7 +35,7 @@ def _types(t: np.ndarray) -> np.ndarray:
 
 def _append(sa, ends, symbols, places, step):
     """Put places into their symbols' buckets in order, from the running ends on (step 1) or back (step -1)."""
-    order = np.argsort(symbols, kind="stable")
+    order = np.argsort(symbols.astype(np.uint16), kind="stable")  # a radix sort, as symbols are below WIDE
     s, p = symbols[order], places[order]
     first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
     n = np.diff(np.append(first, len(s)))
@@ -84,44 +85,22 @@ def _induce(t, smaller, heads, tails, lms_sorted):
     return sa
 
 
-def _doubled(t: np.ndarray) -> np.ndarray:
-    """Suffix array of a string with many names: ranks of twice the length from pairs of ranks, ties only."""
-    n = len(t)
-    sa = np.argsort(t, kind="stable")
-    s = t[sa]
-    rank = np.empty(n, np.int64)
-    rank[sa] = np.concatenate([[0], np.flatnonzero(s[1:] != s[:-1]) + 1])[np.concatenate([[0], np.cumsum(s[1:] != s[:-1])])]
-    step = 1
-    while True:
-        r = rank[sa]
-        tied = np.zeros(n, bool)
-        same = r[1:] == r[:-1]
-        tied[1:] |= same
-        tied[:-1] |= same
-        at = np.flatnonzero(tied)
-        if not len(at):
-            return sa
-        p = sa[at]
-        follow = np.where(p + step < n, rank[np.minimum(p + step, n - 1)] + 1, 0)
-        order = np.lexsort((follow, r[at]))
-        p, f, g = p[order], follow[order], r[at]
-        sa[at] = p
-        fresh = np.concatenate([[True], (g[1:] != g[:-1]) | (f[1:] != f[:-1])])
-        rank[p] = at[np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))]
-        step *= 2
-
-
 def suffix_array(t: np.ndarray, k: int) -> np.ndarray:
     """Suffix array of symbols below k by induced sorting, with an implicit sentinel behind the last.
 
     Suffixes are classified; the leftmost-smaller substrings are sorted by inducing from their places, named, and
-    the string of names is sorted the same way; its order induces the whole array in linear time.
+    the string of names is sorted the same way; its order induces the whole array in linear time. Symbols of a
+    wide alphabet are written as two digits, which keeps the order of the suffixes that begin at first digits.
     """
     n = len(t)
     if n < 2:
         return np.arange(n)
     if k > WIDE:
-        return _doubled(t)
+        base = math.isqrt(k - 1) + 1
+        digits = np.empty(2 * n, np.int64)
+        digits[0::2], digits[1::2] = np.divmod(t, base)
+        sa = suffix_array(digits, base)
+        return sa[sa % 2 == 0] >> 1
     smaller = _types(t)
     lms = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
     count = np.bincount(t, minlength=k)
@@ -223,31 +202,43 @@ def anchored_segments(raw: np.ndarray, off: np.ndarray, length: int, powers: Pow
     return row[begin], s - off[:-1][row[begin]], e - s, h[mark], segment
 
 
-def _segments(length: int):
+def _segments(length: int, anchor: int = ANCHOR, nested: bool = False):
+    """Segments of texts; or, nested, of segments that have an anchor already, with their bytes."""
+
     def run(batches):
         powers = Powers()
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text", 1 << 20):
                 raw, off = string_buffers(part.column("text"))
-                row, start, size, mark, segment = anchored_segments(raw, off, length, powers)
+                row, begin, size, mark, segment = anchored_segments(raw, off, length, powers, anchor)
                 ids, sums = np.asarray(part.column("id"), np.int64)[row], np.asarray(part.column("sum"), np.int64)[row]
+                start = begin
+                if nested:
+                    start = begin + np.asarray(part.column("start"), np.int64)[row]
+                    with np.errstate(over="ignore"):
+                        mark = mix64(np.asarray(part.column("anchor"), np.int64)[row].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + mark)
                 order = np.lexsort((start, sums, ids, segment, mark))
                 m, s, i, c, at = (x[order] for x in (mark, segment, ids, sums, start))
                 again = np.zeros(len(order), bool)  # here already: settled before the shuffle
                 again[1:] = (m[1:] == m[:-1]) & (s[1:] == s[:-1])
                 fresh = np.ones(len(order), bool)  # the same place of an equal row under the same id says nothing new
                 fresh[1:] = ~(again[1:] & (i[1:] == i[:-1]) & (c[1:] == c[:-1]) & (at[1:] == at[:-1]))
-                m, s, i, c, at, again, size = (x[fresh] for x in (m, s, i, c, at, again, size[order]))
+                m, s, i, c, at, again, order = (x[fresh] for x in (m, s, i, c, at, again, order))
                 key = m.view(np.int64).copy()
                 key[again] = (i[again] ^ c[again]) * 1_000_003 + at[again]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key), pa.array(s.view(np.int64)), pa.array(i), pa.array(c), pa.array(at.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(again)],
-                    ["anchor", "segment", "id", "sum", "start", "size", "again"],
-                )
+                out = [pa.array(key), pa.array(s.view(np.int64)), pa.array(i), pa.array(c), pa.array(at), pa.array(size[order].astype(np.int32)), pa.array(again)]
+                if nested:
+                    first = (off[:-1][row] + begin)[order].tolist()
+                    whole = raw.tobytes()
+                    out.append(pa.array([None if a else whole[f : f + n] for f, n, a in zip(first, size[order].tolist(), again.tolist())], pa.binary()))
+                yield pa.RecordBatch.from_arrays(out, [*_PLACED, "text"][: len(out)])
 
     return run
 
 
+_PLACED = ["anchor", "segment", "id", "sum", "start", "size", "again"]
+
+
 def shard_repeats(ids: np.ndarray, starts: np.ndarray, texts: pa.Array, length: int):
     """Windows of the segments that equal an earlier one (smaller id, or same id and earlier start), as spans."""
     raw, off = string_buffers(texts)
@@ -321,27 +312,6 @@ def _sharded(length: int):
     return run
 
 
-def _window_hashes(length: int):
-    """For anchors with very many segments: two hashes of every window."""
-
-    def run(batches):
-        one, two = Powers(), Powers(0xD1342543DE82EF95)
-        for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
-                raw, off = string_buffers(part.column("text"))
-                windows = np.maximum(np.diff(off) - length + 1, 0)
-                row = np.repeat(np.arange(len(windows)), windows)
-                inside = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
-                at = off[:-1][row] + inside
-                hashes = [span_hash(prefix_hash(raw, p), at, at + length, p).view(np.int64) for p in (one, two)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(hashes[0]), pa.array(hashes[1]), part.column("id").take(pa.array(row)), part.column("sum").take(pa.array(row)), pa.array(np.asarray(part.column("start"), np.int64)[row] + inside)],
-                    ["h1", "h2", "id", "sum", "start"],
-                )
-
-    return run
-
-
 def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Spans of bytes covered by ``length``-byte strings that also start earlier (smaller id, or earlier in the text).
 
@@ -350,11 +320,12 @@ def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     the same spans, found as if there were one of them.
 
     Every window of ``length`` bytes has a least anchor by hash; runs of windows with one anchor are segments.
-    Equal segments are settled by their order; what remains under an anchor with several different segments goes,
-    with its text, to a shard of that anchor, where a suffix array is induced, permuted common prefixes are
-    taken, and of each group of windows with ``length`` bytes in common all but the earliest are marked. Equal
-    segments of one batch are settled before the shuffle, so copies do not gather under their anchors; anchors
-    with over ``HOT_SEGMENTS`` different segments are settled window by window with an aggregated minimum.
+    Equal segments (by 128 bits of hash) are settled by their order; what remains under an anchor with several
+    different segments goes, with its text, to a shard of that anchor, where a suffix array is induced, permuted
+    common prefixes are taken, and of each group of windows with ``length`` bytes in common all but the earliest are
+    marked. Equal segments of one batch are settled before the shuffle, so copies do not gather under their anchors.
+    Segments of an anchor that do not fit into a shard are cut into segments of longer anchors and dealt again; the
+    longest is the window itself, whose segments are all equal.
 
     Matches do not cross documents. Returns (id, sum, start, size), overlapping spans included.
     """
@@ -375,32 +346,51 @@ def span_lists(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_
     return repeated_spans(docs, length, id_col, text_col).groupBy(F.col("id").alias("_id"), F.col("sum").alias("_sum")).agg(F.collect_list(F.struct("start", "size")).alias("_spans"))
 
 
-def _spans(text: DataFrame, length: int) -> DataFrame:
-    found = text.mapInArrow(_segments(length), "anchor long, segment long, id long, sum long, start int, size int, again boolean")
+_SPAN = "id long, sum long, start long, size long"
+
+
+def _judged(found: DataFrame, more=()) -> DataFrame:
+    """Segments that equal an earlier one (``again``), and others of anchors with several different segments: with the
+    bytes of the anchor's different segments."""
     group = Window.partitionBy("anchor").orderBy("segment", "id", "sum", "start")
     whole = group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     place = F.struct("id", "sum", "start")
     judged = found.select(
-        "anchor", "id", "sum", "start", "size", "again",
+        "anchor", "id", "sum", "start", "size", "again", *more,
         F.coalesce(F.lag("segment").over(group) == F.col("segment"), F.lit(False)).alias("equal"), F.coalesce(F.lag(place).over(group) == place, F.lit(False)).alias("copy"),
-        (F.first("segment").over(whole) != F.last("segment").over(whole)).alias("several"), F.count(F.lit(1)).over(whole).alias("n"),
-    ).where("not (equal and copy)")
-    judged = judged.withColumn("again", F.col("again") | F.col("equal")).drop("equal", "copy")
-    judged = materialize(judged.where("again or several"), "segments")
-    settled = judged.where("again").select("id", "sum", F.col("start").cast("long").alias("start"), F.col("size").cast("long").alias("size"))
-    open_ = judged.where("several and not again")
-    per_doc = open_.groupBy("id", "sum").agg(F.collect_list(F.struct("anchor", "start", "size", "n")).alias("parts"))  # at most a text's own segments
-    cut = _turns(text.join(per_doc, ["id", "sum"]), "id", "sum").where("_turn = 1").select("id", "sum", "text", F.explode("parts").alias("p")).select(
-        "p.anchor", "p.n", "id", "sum", "p.start", "p.size", F.substring(F.col("text"), F.col("p.start") + 1, F.col("p.size")).alias("text")
+        (F.first("segment").over(whole) != F.last("segment").over(whole)).alias("several"),
     )
-    cut = materialize(cut, "shards")
-    n = max(1, int(text.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    shards = cut.where(F.col("n") <= HOT_SEGMENTS).repartition(n, "anchor").sortWithinPartitions("anchor").select("anchor", "id", "sum", "start", "size", "text")
-    by_array = shards.mapInArrow(_sharded(length), "id long, sum long, start long, size long")
-    windows = cut.where(F.col("n") > HOT_SEGMENTS).select("id", "sum", "start", "text").mapInArrow(_window_hashes(length), "h1 long, h2 long, id long, sum long, start long")
-    firsts = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"))
-    by_window = windows.join(firsts, ["h1", "h2"]).where(place != F.col("first")).select("id", "sum", "start", F.lit(length).cast("long").alias("size"))
-    return settled.unionByName(by_array).unionByName(by_window)
+    judged = judged.withColumn("bytes", F.sum(F.when(~F.col("equal"), F.col("size"))).over(Window.partitionBy("anchor"))).where("not (equal and copy)")
+    return judged.withColumn("again", F.col("again") | F.col("equal")).where("again or several").drop("equal", "copy", "several")
+
+
+def _spans(text: DataFrame, length: int) -> DataFrame:
+    parts = max(1, int(text.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    placed = "anchor long, segment long, id long, sum long, start long, size int, again boolean"
+    wide = ["anchor", "bytes", "id", "sum", "start", "size", "text"]
+    judged = materialize(_judged(text.mapInArrow(_segments(length), placed)), "segments")
+    settled = [judged.where("again")]
+    per_doc = judged.where("not again").groupBy("id", "sum").agg(F.collect_list(F.struct("anchor", "start", "size", "bytes")).alias("parts"))  # at most a text's own segments
+    cut = _turns(text.join(per_doc, ["id", "sum"]), "id", "sum").where("_turn = 1").select("id", "sum", "text", F.explode("parts").alias("p"))
+    piece = F.substring(F.col("text"), (F.col("p.start") + 1).cast("int"), F.col("p.size"))
+    cut = materialize(cut.select("p.anchor", "p.bytes", "id", "sum", "p.start", "p.size", piece.alias("text")), "shards")
+    shards = [cut.where(F.col("bytes") <= SHARD_BYTES)]
+    for anchor in ((ANCHOR + length) // 2, length):
+        cut = cut.where(F.col("bytes") > SHARD_BYTES)
+        if cut.isEmpty():
+            break
+        longer = cut.select("anchor", "id", "sum", "start", "text").mapInArrow(_segments(length, anchor, nested=True), f"{placed}, text binary")
+        judged = materialize(_judged(longer, ["text"]), "segments")
+        settled.append(judged.where("again"))
+        cut = judged.where("not again").select(*wide)
+        shards.append(cut.where((F.col("bytes") <= SHARD_BYTES) | F.lit(anchor == length)))
+    spans = None
+    for some in shards:
+        array = some.select("anchor", "id", "sum", "start", "size", "text").repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(_sharded(length), _SPAN)
+        spans = array if spans is None else spans.unionByName(array)
+    for some in settled:
+        spans = spans.unionByName(some.select("id", "sum", "start", F.col("size").cast("long").alias("size")))
+    return spans
 
 
 def _turns(rows: DataFrame, id_col: str, sum_col: str, columns=()) -> DataFrame:
@@ -411,7 +401,7 @@ def _turns(rows: DataFrame, id_col: str, sum_col: str, columns=()) -> DataFrame:
 
 def _strip(columns, length):
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "_text", 1 << 20)):
             kept, removed, runs, sizes = [], [], [], []
             for text, spans, turn in zip(batch.column("_text").to_pylist(), batch.column("_spans").to_pylist(), batch.column("_turn").to_pylist()):
                 out, at, n = [], 0, 0
