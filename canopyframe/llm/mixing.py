@@ -71,6 +71,16 @@ def _fold(items: Column) -> Column:
     return F.concat(done["out"], F.filter(F.array(done["carry"]), lambda f: f.isNotNull()))
 
 
+def _with_turns(rows: DataFrame) -> DataFrame:
+    """rows with ``turn``, from 1, among those with one ``row`` hash: each task's follow those of the tasks before it."""
+    counts = rows.groupBy("row", "task").agg(F.count(F.lit(1)).alias("c"))
+    earlier = F.sum("c").over(Window.partitionBy("row").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.withColumn("earlier", earlier).where("earlier is not null or c > 1")
+    own = F.row_number().over(Window.partitionBy("row", "task").orderBy("size"))
+    several = rows.join(counts.drop("c"), ["row", "task"], "left").withColumn("turn", own + F.coalesce("earlier", F.lit(0)))
+    return several.select("id", "name", "size", "row", "turn")
+
+
 def mix_sources(
     docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: str = "mix",
     id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
@@ -81,26 +91,28 @@ def mix_sources(
     the fractional parts are rounded by pairs that exchange words at random until one is integral (pivotal
     sampling), inside groups of about ``FAN_IN`` documents dealt by hash, then among what these leave, and so
     on: a reduction tree in which a hot source only has more groups. Large documents meet first, so that what
-    remains at the root, the only deviation from the target, is small. Draws depend on the seed and the row
-    alone, so reruns agree.
+    remains at the root, the only deviation from the target, is small. Draws depend on the seed, on id, source and
+    text, and among rows equal in these on their turn, so reruns agree under any partitioning.
 
     Size is the number of words of the text (null: 0). Documents without words take nothing. Null sources form
-    one source, last in order. Repeated ids are separate documents; exact repeats share their draws. Only the
-    three named columns are read. An empty table gives an empty result.
+    one source, last in order. Rows with a null or repeated id are separate documents. Equal rows take turns, each
+    task numbering its own behind those of the tasks before it, so many of them spread over the groups like others. Only
+    the three named columns are read. An empty table gives an empty result.
 
     Returns: id, source, size, source_size, target, copies (0 up to ceil(cap)), taken (copies * size).
     """
+    name = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("name")
     rows = docs.select(
-        F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"),
+        F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), F.xxhash64(F.col(text_col)).alias("sum"),
         F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size"),
     )
+    rows = rows.select("id", "source", name, "size", F.xxhash64(F.lit(seed), "id", "name", "size", "sum").alias("row"), F.spark_partition_id().alias("task"))
     rows = materialize(rows, "sizes")
-    name = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("name")
     targets = materialize(source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count_if(F.col("size") > 0).alias("n")), weights, share, cap), "targets")
-    split = rows.withColumn("name", name).join(targets.select(name, "source_size", "target", "n"), "name")
+    split = _with_turns(rows).join(targets.select(name, "source_size", "target", "n"), "name")
     ratio = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
     split = split.withColumn("base", F.floor(ratio).cast("int")).withColumn("part", ratio - F.floor(ratio))
-    split = split.withColumn("key", F.xxhash64(F.lit(seed), "id", "name", "size"))
+    split = split.withColumn("key", F.when(F.col("turn") == 1, F.col("row")).otherwise(F.xxhash64("row", "turn")))
     whole = (F.col("size") == 0) | (F.col("part") <= 0)
     decided = [split.where(whole).select("name", "id", "size", F.when(F.col("size") > 0, F.col("base")).otherwise(0).alias("copies"))]
 

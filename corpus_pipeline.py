@@ -26,16 +26,6 @@ def _row_hash():
     return F.xxhash64(*COLUMNS, *[F.col(c).isNull() for c in COLUMNS])
 
 
-def _keyed(docs: DataFrame, keep) -> DataFrame:
-    """docs with ``_key``: the id where one row has it, else a 64-bit hash of the whole row, so only equal rows share a key."""
-    several = keep(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "several")
-    own = F.col("doc_id").isNotNull()
-    if not several.isEmpty():
-        docs = docs.join(several.withColumn("_several", F.lit(True)), "doc_id", "left")
-        own = own & F.col("_several").isNull()
-    return docs.select(*COLUMNS, F.when(own, F.col("doc_id").cast("long")).otherwise(_row_hash()).alias("_key"))
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the vote of their nearest labelled neighbours accepts; each row, without an id too, by its own text."""
     with scratch(spark):
@@ -81,12 +71,12 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows that share an id, or have none, are documents of their own and take what the mix gives each of them.
     """
+    docs = docs.select(*COLUMNS, _row_hash().alias("_row"))
     with scratch(spark) as keep:
-        docs = _keyed(docs, keep)
-        taken = mix_sources(docs, id_col="_key").groupBy("_key").agg(F.sort_array(F.collect_list("copies"), asc=False).alias("taken"))
-        copies = keep(taken.where("taken[0] > 0"), "copies")
-    turn = F.row_number().over(Window.partitionBy("_key").orderBy("n_chars"))  # rows with one key are equal
-    out = docs.join(copies, "_key").withColumn("_n", F.element_at("taken", turn)).where("_n > 0")
+        taken = mix_sources(docs, id_col="_row").groupBy("_row").agg(F.sort_array(F.collect_list(F.when(F.col("copies") > 0, F.col("copies"))), asc=False).alias("taken"))
+        copies = keep(taken.where("size(taken) > 0"), "copies")
+    turn = F.row_number().over(Window.partitionBy("_row").orderBy("n_chars"))  # rows with one hash are equal
+    out = docs.join(copies, "_row").withColumn("_n", F.try_element_at("taken", turn)).where("_n > 0")
     return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*COLUMNS)
 
 
