@@ -233,7 +233,7 @@ def sum_counters(rows: DataFrame, kinds: int, size: int) -> np.ndarray:
     schema = "kind int, chunk int, turn long, counts binary"
     once = rows.select("kind", "chunk", F.pmod("turn", F.lit(_TURNS)).alias("turn"), "counts").groupBy("kind", "chunk", "turn").applyInPandas(_sum_rows, schema)
     total = np.zeros((kinds, size), np.int64)
-    for r in once.groupBy("kind", "chunk").applyInPandas(_sum_rows, schema).toLocalIterator():  # a fixed number of rows
+    for r in once.groupBy("kind", "chunk").applyInPandas(_sum_rows, schema).collect():  # a fixed number of rows
         part = np.frombuffer(r["counts"], np.int64)[: size - r["chunk"] * CHUNK]
         total[r["kind"], r["chunk"] * CHUNK : r["chunk"] * CHUNK + len(part)] = part
     return total
