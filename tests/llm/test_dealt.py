@@ -1,10 +1,14 @@
 """The corpus operators against brute force on small tables, with nulls, empties, ties, repeats and extra columns."""
 
+import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -147,6 +151,24 @@ def brute_split(word, pieces, unknown):
     return best[-1][0], -best[-1][1]
 
 
+def brute_estimate(texts, pieces, rounds):
+    """Log-probabilities of the pieces from counted best splits of every single word."""
+    score = dict.fromkeys(pieces, -1.0)
+    for _ in range(rounds):
+        unknown, used = min(score.values()) - 10, Counter()
+        for word, n in Counter(w for t in texts for w in words_of(t)).items():
+            word, best = "▁" + word, [(0.0, 0, [])]
+            for i in range(1, len(word) + 1):
+                options = [(best[i - 1][0] + unknown, best[i - 1][1] - len(word[i - 1].encode()), best[i - 1][2])]
+                options += [(best[k][0] + score[word[k:i]], best[k][1] - 1, best[k][2] + [word[k:i]]) for k in range(i) if word[k:i] in score]
+                best.append(max(options, key=lambda o: o[:2] + (0 if o is options[0] else 1,)))
+            for p in best[-1][2]:
+                used[p] += n
+        total = sum(used.values()) + 0.5 * len(pieces)
+        score = {p: math.log((used[p] + 0.5) / total) for p in pieces}
+    return score
+
+
 def test_token_counts(spark, docs, empty, table, sf, monkeypatch):
     import public_tokenizers
 
@@ -154,19 +176,41 @@ def test_token_counts(spark, docs, empty, table, sf, monkeypatch):
     from canopyframe.llm.queries import op4_token_counts
 
     path = public_tokenizers.path("piece_bpe_32k.model")
-    pieces = tc.load_pieces(path)
-    unknown, seen = min(pieces.values()) - 10, {}
-    for rows, texts in ((tc.token_counts(docs, path).collect(), {r[0]: r[1] for r in fixture_rows()}), (op4_token_counts(spark, sf).collect(), table)):
+    names = tc.load_pieces(path)
+    big = spark.read.parquet(f"{sf}/documents.parquet")
+    for df, rows, texts in ((docs, tc.token_counts(docs, path).collect(), {r[0]: r[1] for r in fixture_rows()}), (big, op4_token_counts(spark, sf).collect(), table)):
+        model = tc.estimate(df, names)
+        score = dict(zip(names, model.scores.tolist()))
+        if df is docs:
+            assert score == pytest.approx(brute_estimate(texts.values(), names, tc.ROUNDS))
+        else:
+            assert score == dict(zip(names, tc.estimate(df.repartition(7), names).scores.tolist()))
+            assert all(model.alone("▁" + w)[1] == 1 for w in ("the", "and", "of"))
+        assert sum(map(math.exp, score.values())) == pytest.approx(1)
+        unknown, seen = min(score.values()) - 10, {}
         assert len(rows) == len(texts)
         for r in rows:
             words = words_of(texts[r.doc_id])
             for w in words:
                 if w not in seen:
-                    seen[w] = brute_split("▁" + w, pieces, unknown)
+                    seen[w] = brute_split("▁" + w, score, unknown)
             assert (r.n_words, r.n_tokens) == (len(words), sum(seen[w][1] for w in words))
             assert r.score == pytest.approx(sum(seen[w][0] for w in words))
-    small = tc.PrefixTrie({"▁": -1.0, "a": -2.0, "ab": -2.5, "b": -2.0, "▁a": -2.0, "é": -3.0})
-    assert [small.count(w)[0] for w in ("ab", "ba", "é", "漢", "")] == [2, 3, 2, 4, 1]
+    again = {r.doc_id: tuple(r) for r in tc.token_counts(big.repartition(7), path).collect()}
+    assert again == {r.doc_id: tuple(r) for r in rows}
+    small = {"▁": -1.0, "a": -2.0, "ab": -2.5, "b": -2.0, "▁a": -2.0, "é": -3.0}
+    model = tc.Pieces(list(small), np.array(list(small.values())))
+    words = ["▁", "▁ab", "▁ba", "▁é", "▁漢"]
+    score, tokens, used = tc.trie_splits(pa.array(words, pa.large_string()), model, np.array([1, 2, 1, 1, 1]))
+    assert tokens.tolist() == [1, 2, 3, 2, 4] and score[1] == -3.5
+    assert [model.alone(w) for w in words] == list(zip(score.tolist(), tokens.tolist()))
+    assert dict(zip(small, used.tolist())) == {"▁": 6, "a": 1, "ab": 2, "b": 1, "▁a": 0, "é": 1}
+    # words longer than the trie takes, and ids that are null or shared
+    long_ = spark.createDataFrame([(None, "ab" * 500 + " a"), (None, "ab" * 500), (3, "漢" * 300), (3, None)], "doc_id long, text string")
+    got = Counter((r.doc_id, r.n_words, r.n_tokens) for r in tc.token_counts(long_, path).collect())
+    model = tc.estimate(long_, names)
+    t = lambda w: model.alone("▁" + w)[1]
+    assert got == Counter({(None, 2, t("ab" * 500) + t("a")): 1, (None, 1, t("ab" * 500)): 1, (3, 1, t("漢" * 300)): 1, (3, 0, 0): 1})
     assert tc.token_counts(empty, path).count() == 0
 
 
@@ -352,3 +396,21 @@ def test_mixing(spark, docs, empty, table, sf):
     check_mix(first, table, source_of)
     assert sorted(map(tuple, first)) == sorted(map(tuple, op10_mixing(spark, sf).collect()))
     assert mix_sources(empty).count() == 0
+
+
+def test_mixing_of_equal_rows(spark):
+    """Many rows without an id, equal in all; and rows with an id that differ: as even as others, under any partitions."""
+    from canopyframe.llm.mixing import mix_sources
+
+    rows = [(None, "a b c", "x")] * 30_000 + [(5, f"w{i}", "y") for i in range(2000)] + [(None, None, None)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    begun = time.time()
+    got = [Counter(map(tuple, mix_sources(df.repartition(n)).select("doc_id", "source", "size", "copies").collect())) for n in (3, 8)]
+    assert got[0] == got[1] and time.time() - begun < 60
+    assert sum(got[0].values()) == len(rows)
+    taken = Counter()
+    for (_, source, size, copies), n in got[0].items():
+        taken[source] += size * copies * n
+        assert copies <= 2
+    want = brute_targets({"x": 90_000, "y": 2000, None: 0})
+    assert all(abs(taken[s] - want[s]) <= 3 for s in want)

@@ -27,7 +27,6 @@ def test_suffix_array_and_prefixes():
         b = bytes(t.tolist())
         sa = sd.suffix_array(t, 256)
         assert sa.tolist() == sorted(range(len(b)), key=lambda i: b[i:])
-        assert sd._doubled(t).tolist() == sa.tolist()
         phi, common = sd.permuted_prefixes(t, sa)
         for i in range(len(b)):
             n, j = 0, int(phi[i])
@@ -36,6 +35,25 @@ def test_suffix_array_and_prefixes():
             assert common[i] == n
 
 
+def test_suffix_array_of_wide_alphabets(monkeypatch):
+    """Names above one symbol are written as digits, at every level; a text long enough to have many names."""
+    from canopyframe.llm import suffix_dedup as sd
+
+    rng = np.random.default_rng(3)
+    for n, k in ((3000, 50_000), (3000, 1500), (2000, 1_000_000)):
+        t = rng.integers(0, k, n)
+        t[n // 2 : n // 2 + 300] = t[:300]
+        a = t.tolist()
+        assert sd.suffix_array(t, k).tolist() == sorted(range(n), key=lambda i: a[i:])
+    alphabets = []
+    inner = sd.suffix_array
+    monkeypatch.setattr(sd, "suffix_array", lambda t, k: alphabets.append(k) or inner(t, k))
+    b = bytes(rng.integers(97, 123, 60_000).astype(np.uint8)) + b"ab" * 2000
+    got = sd.suffix_array(np.frombuffer(b, np.uint8), 256)
+    assert got.tolist() == sorted(range(len(b)), key=lambda i: b[i : i + 5000])
+    assert max(alphabets) > 2048 and len(alphabets) > 2
+
+
 def test_long_runs_of_equal_segments():
     """Common prefixes that reach over many equal segments."""
     from canopyframe.llm import suffix_dedup as sd
@@ -113,8 +131,9 @@ def test_repeats(spark, docs, empty, table, sf, monkeypatch):  # noqa: F811
 
     assert shards_of(1) == shards_of(1000) == shards_of(2500) == shards_of(1 << 20) == 3 * 9 * 7  # periodic texts repeat themselves too
     monkeypatch.undo()
-    monkeypatch.setattr(sd, "HOT_SEGMENTS", 2)  # the way of anchors with very many segments
-    assert repeats_of(df) == want
+    for limit in (200, 1500):  # anchors whose segments do not fit into a shard are dealt by longer ones
+        monkeypatch.setattr(sd, "SHARD_BYTES", limit)
+        assert repeats_of(df) == want
     monkeypatch.undo()
     assert repeats_of(docs) == brute_repeats({r[0]: r[1] for r in fixture_rows()}, 100)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in op2_suffix_dedup(spark, sf).collect()}

@@ -26,9 +26,9 @@ def kept_by_brute_force(rows, checksum, length=100):
     return out
 
 
-@pytest.mark.parametrize("hot", [30_000, 1])
+@pytest.mark.parametrize("shard", [1 << 20, 300])
 @pytest.mark.parametrize("parts", [1, 7])
-def test_repeats_with_shared_ids(spark, monkeypatch, hot, parts):
+def test_repeats_with_shared_ids(spark, monkeypatch, shard, parts):
     from pyspark.sql import functions as F
 
     from canopyframe.llm import suffix_dedup as sd
@@ -42,7 +42,7 @@ def test_repeats_with_shared_ids(spark, monkeypatch, hot, parts):
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
     checksum = {r.text: r.c for r in df.select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("c")).collect()}
-    monkeypatch.setattr(sd, "HOT_SEGMENTS", hot)
+    monkeypatch.setattr(sd, "SHARD_BYTES", shard)
     got = Counter((r.doc_id, r.text, bytes(r.kept)) for r in sd.remove_repeats(df, 100, columns=["text"]).collect())
     assert got == kept_by_brute_force(rows, checksum)
 
