@@ -123,12 +123,12 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20):
-    """Cut a batch into runs of rows of about ``limit`` bytes of text (one row at least), to bound memory."""
+def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20, rows: int = 1 << 30):
+    """Cut a batch into runs of at most ``rows`` rows and about ``limit`` bytes of text (one row at least), to bound memory."""
     _, off = string_buffers(batch.column(column))
     i, n = 0, batch.num_rows
     while i < n:
-        j = max(i + 1, int(np.searchsorted(off, off[i] + limit, side="right")) - 1)
+        j = min(i + rows, max(i + 1, int(np.searchsorted(off, off[i] + limit, side="right")) - 1))
         yield batch.slice(i, j - i)
         i = j
 

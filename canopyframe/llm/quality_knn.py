@@ -7,16 +7,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, Powers, materialize, prefix_hash, slices, span_hash, string_buffers, word_spans
+from .common import ASCII_LOWER, SPACE, Powers, materialize, mix64, prefix_hash, slices, span_hash, string_buffers, word_spans
 
 #: Labelled rows at most that vectors are kept of, latent dimensions, and neighbours that vote.
 LABELLED_ROWS = 4_000
 DIMENSIONS = 48
 NEIGHBOURS = 15
+#: Cells of hashed words and word pairs.
+CELLS = 1 << 14
 #: Hashed byte pairs, single bytes, and the counts about repetition and shape behind them.
 PAIRS, SINGLES, EXTRA = 1024, 256, 6
 TERMS = PAIRS + SINGLES + EXTRA
+#: A neighbour's vote weighs its cosine to this power.
+SHARPNESS = 4
 _BLOCK = 1024
+#: Iterations of the randomised decomposition, and dimensions that it carries beyond those kept.
+_ITERATIONS, _SPARE = 2, 16
 
 
 def terms(raw: np.ndarray, off: np.ndarray, powers: Powers) -> np.ndarray:
@@ -52,31 +58,96 @@ def terms(raw: np.ndarray, off: np.ndarray, powers: Powers) -> np.ndarray:
     return np.sqrt(out).astype(np.float32)
 
 
+def word_terms(raw: np.ndarray, off: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cells of every row's distinct hashed words and word pairs (A-Z lower-cased), in order, the square roots of their
+    counts, and the rows' offsets among them."""
+    low = ASCII_LOWER[raw]
+    start, end, rows = word_spans(low, off)
+    h = span_hash(prefix_hash(low, powers), start, end, powers)
+    n = np.diff(rows)
+    row = np.repeat(np.arange(len(n)), n)
+    pair = np.flatnonzero(row[1:] == row[:-1]) + 1
+    with np.errstate(over="ignore"):
+        both = mix64(h[pair - 1] * np.uint64(0x9E3779B97F4A7C15) + h[pair])
+    cell = np.concatenate([mix64(h ^ np.uint64(1)), both]) >> np.uint64(50)
+    key, count = np.unique(np.concatenate([row, row[pair]]) * CELLS + cell.astype(np.int64), return_counts=True)
+    return key % CELLS, np.sqrt(count), np.searchsorted(key, np.arange(len(n) + 1) * CELLS)
+
+
+def _products(cells: np.ndarray, values: np.ndarray, bounds: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """Rows of a sparse matrix times a dense one, some rows at a time."""
+    out = np.zeros((len(bounds) - 1, matrix.shape[1]), np.float32)
+    matrix, values = matrix.astype(np.float32), values.astype(np.float32)
+    a = 0
+    while a < len(out):
+        b = max(a + 1, int(np.searchsorted(bounds, bounds[a] + (1 << 16), side="right")) - 1)
+        part = slice(bounds[a], bounds[b])
+        filled = np.flatnonzero(bounds[a:b] < bounds[a + 1 : b + 1])
+        if len(filled):
+            out[a + filled] = np.add.reduceat(matrix[cells[part]] * values[part, None], bounds[a:b][filled] - bounds[a], axis=0)
+        a = b
+    return out
+
+
 class Voter:
-    """Latent vectors of labelled texts, and the vote of a text's nearest ones."""
-
-    def __init__(self, x: np.ndarray, y: np.ndarray, dimensions: int = DIMENSIONS, neighbours: int = NEIGHBOURS):
-        held = (x > 0).mean(0)
-        self.weight = (np.log((1 + len(x)) / (1 + held * len(x))) + 1).astype(np.float32)
-        self.mean = (x * self.weight).mean(0)
-        _, _, v = np.linalg.svd(x * self.weight - self.mean, full_matrices=False)
-        axes = v[:dimensions].T
-        signs = np.sign(axes[np.abs(axes).argmax(0), np.arange(axes.shape[1])])
-        self.axes = np.ascontiguousarray(axes * np.where(signs == 0, 1, signs), np.float32)
-        self.vectors, self.labels, self.k = self.latent(x), y.astype(np.float64), min(neighbours, len(x))
+    """Latent vectors of labelled texts, and the vote of a text's nearest ones.
 
-    def latent(self, x: np.ndarray) -> np.ndarray:
-        z = (x * self.weight - self.mean) @ self.axes
+    A text's vector has two blocks of equal length: its words and word pairs, and its characters and shape, both
+    weighted by inverse document frequency. A randomised singular value decomposition of the centred vectors of
+    the labelled texts gives the latent dimensions.
+    """
+
+    def __init__(self, words, x: np.ndarray, y: np.ndarray, dimensions: int = DIMENSIONS, neighbours: int = NEIGHBOURS):
+        cells, counts, bounds = words
+        n = len(x)
+        inverse = lambda held: np.log((1 + n) / (1 + held)) + 1
+        self.word_weight, self.weight = inverse(np.bincount(cells, minlength=CELLS)), inverse((x > 0).sum(0))
+        values, dense = self._word_block(words), self._shape_block(x)
+        word_mean, mean = np.bincount(cells, weights=values, minlength=CELLS) / n, dense.mean(0)
+        row = np.repeat(np.arange(n), np.diff(bounds))
+        by = np.argsort(cells, kind="stable")
+        of_cell = np.searchsorted(cells[by], np.arange(CELLS + 1))
+
+        def times(m):
+            return _products(cells, values, bounds, m[:CELLS]) + dense @ m[CELLS:] - (word_mean @ m[:CELLS] + mean @ m[CELLS:])
+
+        def back(z):
+            total = z.sum(0)
+            return np.concatenate([_products(row[by], values[by], of_cell, z) - np.outer(word_mean, total), dense.T @ z - np.outer(mean, total)])
+
+        q = np.linalg.qr(back(np.random.default_rng(0).standard_normal((n, dimensions + _SPARE))))[0]
+        for _ in range(_ITERATIONS):
+            q = np.linalg.qr(back(times(q)))[0]
+        _, _, v = np.linalg.svd(times(q), full_matrices=False)
+        axes = q @ v[:dimensions].T
+        signs = np.sign(axes[np.abs(axes).argmax(0), np.arange(axes.shape[1])])
+        self.axes = np.ascontiguousarray(axes * np.where(signs == 0, 1, signs))
+        self.centre = word_mean @ self.axes[:CELLS] + mean @ self.axes[CELLS:]
+        self.vectors, self.labels, self.k = self.latent(words, x), y.astype(np.float64), min(neighbours, n)
+
+    def _word_block(self, words) -> np.ndarray:
+        cells, counts, bounds = words
+        values = counts * self.word_weight[cells]
+        row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        return values / np.sqrt(np.maximum(np.bincount(row, weights=values**2, minlength=len(bounds) - 1), 1e-300))[row]
+
+    def _shape_block(self, x: np.ndarray) -> np.ndarray:
+        out = x * self.weight
+        norm = np.linalg.norm(out, axis=1, keepdims=True)
+        return out / np.where(norm > 0, norm, 1)
+
+    def latent(self, words, x: np.ndarray) -> np.ndarray:
+        z = _products(words[0], self._word_block(words), words[2], self.axes[:CELLS]) + self._shape_block(x) @ self.axes[CELLS:] - self.centre
         norm = np.linalg.norm(z, axis=1, keepdims=True)
         return z / np.where(norm > 0, norm, 1)
 
-    def score(self, x: np.ndarray) -> np.ndarray:
+    def score(self, words, x: np.ndarray) -> np.ndarray:
         """Share of label 1 among the nearest, weighted by cosine; blocks of rows against every labelled vector."""
-        out = np.empty(len(x))
+        z, out = self.latent(words, x), np.empty(len(x))
         for i in range(0, len(x), _BLOCK):
-            cosine = self.latent(x[i : i + _BLOCK]) @ self.vectors.T
+            cosine = z[i : i + _BLOCK] @ self.vectors.T
             near = np.argpartition(-cosine, self.k - 1, axis=1)[:, : self.k]
-            w = np.maximum(np.take_along_axis(cosine, near, 1).astype(np.float64), 1e-6) ** 4
+            w = np.maximum(np.take_along_axis(cosine, near, 1), 1e-6) ** SHARPNESS
             out[i : i + _BLOCK] = (w * self.labels[near]).sum(1) / w.sum(1)
         return out
 
@@ -86,14 +157,15 @@ def quality_votes(
 ) -> DataFrame:
     """Score every whole text by its nearest labelled texts in a latent-semantic space.
 
-    Term frequencies of byte pairs, bytes and repetition are weighted by inverse document frequency and reduced
-    by a singular value decomposition, both fitted on at most ``labelled_rows`` labelled rows (the first by
-    hash), none of them held out. Their vectors are broadcast (a fixed bound), every document's cosine to each
-    is computed in blocks, and the nearest vote with weights by similarity.
+    Hashed words and word pairs (sparse), and byte pairs, bytes and repetition, are weighted by inverse document
+    frequency and reduced by a randomised singular value decomposition, both fitted on at most ``labelled_rows``
+    labelled rows (the first by hash), none of them held out. Their vectors are broadcast (a fixed bound), every
+    document's cosine to each is computed in blocks, and the nearest vote, each with the fourth power of its cosine.
 
     Held out: crc32 of the id as text modulo 5 is 0 (null id: not). A repeated label takes its largest value, a
-    null one is ignored. Null text is empty, and empty texts are scored like others. Without labels all scores
-    are 0.5. Repeated ids are scored each. Columns are ignored unless named in ``columns``, which go on with the row.
+    null one is ignored. Where labelled rows share an id, the text with the least checksum stands for it. Null text
+    is empty, and empty texts are scored like others. Without labels all scores are 0.5. Repeated ids are scored
+    each. Columns are ignored unless named in ``columns``, which go on with the row. An empty table gives an empty result.
     Returns: id, held_out, score (0 to 1), predicted (1 if score >= threshold, else 0), columns.
     """
     spark = docs.sparkSession
@@ -105,24 +177,39 @@ def quality_votes(
     def vectors(batches):
         powers = Powers()
         for batch in batches:
-            for part in slices(batch, "text"):
-                x = terms(*string_buffers(part.column("text")), powers)
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("y"), pa.array([v.tobytes() for v in x], pa.binary())], ["id", "y", "x"])
-
-    sample = text.join(F.broadcast(known), F.col("id") == F.col("known")).select("id", "text", "y").mapInArrow(vectors, "id long, y int, x binary")
-    rows = sorted({(r["id"], r["y"], bytes(r["x"])) for r in sample.collect()})  # at most labelled_rows ids
+            for part in slices(batch, "text", 1 << 20, _BLOCK):
+                raw, off = string_buffers(part.column("text"))
+                x = terms(raw, off, powers)
+                cells, counts, bounds = word_terms(raw, off, powers)
+                rows = list(zip(bounds[:-1].tolist(), bounds[1:].tolist()))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("id"), part.column("y"), pa.array([v.tobytes() for v in x], pa.binary()),
+                     pa.array([cells[a:b].astype(np.uint16).tobytes() for a, b in rows], pa.binary()), pa.array([counts[a:b].astype(np.float32).tobytes() for a, b in rows], pa.binary())],
+                    ["id", "y", "x", "cells", "counts"],
+                )
+
+    labelled = text.join(F.broadcast(known), F.col("id") == F.col("known"))
+    labelled = labelled.groupBy("id").agg(F.min(F.struct(F.xxhash64("text").alias("sum"), "text", "y")).alias("one")).select("id", "one.text", "one.y")
+    rows = labelled.mapInArrow(vectors, "id long, y int, x binary, cells binary, counts binary").collect()  # at most labelled_rows
     voter = None
     if rows:
-        voter = spark.sparkContext.broadcast(Voter(np.stack([np.frombuffer(r[2], np.float32) for r in rows]), np.array([r[1] for r in rows])))
+        rows.sort(key=lambda r: r["id"])
+        cells = [np.frombuffer(r["cells"], np.uint16) for r in rows]
+        words = (np.concatenate(cells).astype(np.int64), np.concatenate([np.frombuffer(r["counts"], np.float32) for r in rows]).astype(np.float64), np.cumsum([0, *map(len, cells)]))
+        x, y = np.stack([np.frombuffer(r["x"], np.float32) for r in rows]), np.array([r["y"] for r in rows])
+        del rows, cells
+        voter = spark.sparkContext.broadcast(Voter(words, x, y))
+        del words, x
 
     def score(batches):
         powers = Powers()
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 1 << 20, _BLOCK):
                 if voter is None:
                     s = np.full(part.num_rows, 0.5)
                 else:
-                    s = voter.value.score(terms(*string_buffers(part.column("text")), powers))
+                    raw, off = string_buffers(part.column("text"))
+                    s = voter.value.score(word_terms(raw, off, powers), terms(raw, off, powers))
                 more = [part.column("text" if c == text_col else f"_{c}") for c in columns]
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.clip(s, 0, 1)), *more], ["id", "score", *(f"_{c}" for c in columns)])
 
