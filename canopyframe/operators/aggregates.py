@@ -62,9 +62,18 @@ def zero_filled(counts: DataFrame, by, bin_col: str, bins: list[int]) -> DataFra
     return every.join(counts, [*by, bin_col], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
+#: Bins of ten up to 500 that labels are counted in.
+LABEL_BINS = list(range(50))
+
+
+def label_bin(value: str, width: int = 10, top: int = 500) -> Column:
+    """Bin of a label, NULL outside [0, top)."""
+    return F.when((F.col(value) >= 0) & (F.col(value) < top), bin_of(value, width)).cast("int")
+
+
 def regional_distribution(df: DataFrame, by, value: str = "agbd", width: int = 10, top: int = 500) -> DataFrame:
     bins = list(range(0, top // width))
-    counts = df.where((F.col(value) >= 0) & (F.col(value) < top)).groupBy(*by, bin_of(value, width).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    counts = df.withColumn("bin", label_bin(value, width, top)).where("bin is not null").groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("n"))
     return zero_filled(counts, by, "bin", bins)
 
 

@@ -7,36 +7,53 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schemas import EARTH_RADIUS, OVERSAMPLING
-from ..semantics import md5_order, md5_uniform, small
-from .aggregates import class_counts, freq_distance, regional_distribution
+from ..schemas import CLASSES, EARTH_RADIUS, OVERSAMPLING
+from ..semantics import collected, md5_order, md5_uniform, small
+from .aggregates import LABEL_BINS, freq_distance, label_bin, zero_filled
+
+
+def mark_per_tile(df: DataFrame, fraction: float, seed, by=("tile",), key=("tile", "year", "idx"), name: str = "_hit") -> DataFrame:
+    """Rows with a mark at exactly int(n * fraction) of each group, the first by hash."""
+    w = Window.partitionBy(*by)
+    rank = F.row_number().over(w.orderBy("_o", *key))
+    out = df.withColumn("_o", md5_order(seed, *key)).withColumn("_k", rank).withColumn("_n", F.count(F.lit(1)).over(w))
+    return out.withColumn(name, F.col("_k") <= F.floor(F.col("_n") * fraction)).drop("_o", "_k", "_n")
 
 
 def sample_per_tile(df: DataFrame, fraction: float, seed, by=("tile",), key=("tile", "year", "idx")) -> DataFrame:
     """Exactly int(n * fraction) rows of each group, the first by hash."""
-    w = Window.partitionBy(*by)
-    out = df.withColumn("_k", F.row_number().over(w.orderBy(md5_order(seed, *key), *key))).withColumn("_n", F.count(F.lit(1)).over(w))
-    return out.where(F.col("_k") <= F.floor(F.col("_n") * fraction)).drop("_k", "_n")
+    return mark_per_tile(df, fraction, seed, by, key).where("_hit").drop("_hit")
 
 
 def matched_subsample(df: DataFrame, fraction: float, trials: int, region: str = "region_cla", by=("tile",), key=("tile", "year", "idx")) -> DataFrame:
-    """Distances of ``trials`` subsamples from their region's label and class distributions; see best_trial."""
-    seeded = df.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
-    sub = sample_per_tile(seeded, fraction, F.col("trial"), ("trial", *by), key)
+    """Distances of ``trials`` subsamples from their region's label and class distributions; see best_trial.
+
+    All trials are drawn and counted in one pass, by label bin and class together; both distances need sums of these
+    counts only, a table of trials, regions, bins and classes.
+    """
+    columns = dict.fromkeys([*by, *key, region, "agbd", "cls"])
+    seeded = df.select(*columns, F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("trial"))
+    marked = mark_per_tile(seeded, fraction, F.col("trial"), ("trial", *by), key)
     keys = ["trial", region]
+    counts = marked.groupBy(*keys, label_bin("agbd").alias("bin"), "cls").agg(F.count(F.lit(1)).alias("every"), F.count_if("_hit").alias("chosen"))
+    counts = collected(counts)
+
+    def distance(group, values, name):
+        sums = counts.where(F.col(group).isin(values)).groupBy(*keys, group)
+        every, chosen = (zero_filled(sums.agg(F.sum(c).alias("n")), keys, group, values) for c in ("every", "chosen"))
+        return freq_distance(every, chosen, keys, group).withColumnRenamed("distance", name)
+
+    return distance("bin", LABEL_BINS, "label_distance").join(distance("cls", CLASSES, "class_distance"), keys)
 
-    def spread(counts):
-        return counts.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
 
-    labels = freq_distance(spread(regional_distribution(df, [region])), regional_distribution(sub, keys), keys)
-    classes = freq_distance(spread(class_counts(df, [region])), class_counts(sub, keys), keys, "cls")
-    return labels.withColumnRenamed("distance", "label_distance").join(classes.withColumnRenamed("distance", "class_distance"), keys)
+def laid_out(rows: DataFrame, key=("tile", "year", "idx"), seed=42, shuffled: bool = True) -> DataFrame:
+    """Rows with the value that orders their layout: by hash, or in place."""
+    return rows.withColumn("layout", md5_order(seed, *key) if shuffled else F.concat_ws("|", *[F.lpad(F.col(k).cast("string"), 12, "0") for k in key]))
 
 
 def materialise(df: DataFrame, indices: DataFrame, key=("tile", "year", "idx"), seed=42, shuffled: bool = True) -> DataFrame:
-    """Listed rows with the value that orders their layout: by hash, or in place."""
-    out = df.join(indices.select(*key), list(key), "left_semi")
-    return out.withColumn("layout", md5_order(seed, *key) if shuffled else F.concat_ws("|", *[F.lpad(F.col(k).cast("string"), 12, "0") for k in key]))
+    """Listed rows with the value that orders their layout."""
+    return laid_out(df.join(indices.select(*key), list(key), "left_semi"), key, seed, shuffled)
 
 
 def cap_per_tile(df: DataFrame, caps: DataFrame, by: str = "tile", order=("idx",)) -> DataFrame:
@@ -85,7 +102,16 @@ def member_onehot(df: DataFrame, members: int, seed=None, key=(), member: int |
 
 
 def take_quota(df: DataFrame, n: int, seed, key) -> DataFrame:
-    return df.withColumn("_o", md5_order(seed, *key)).orderBy("_o", *key).limit(n).drop("_o")
+    """The first n rows by hash. Counts by the hash's first digits show where n is reached; rows below that pass
+    in parallel and only those with the digits at the cut are ranked."""
+    hashed = df.withColumn("_o", md5_order(seed, *key)).withColumn("_d", F.substring("_o", 1, 4))
+    upto = hashed.groupBy("_d").agg(F.count(F.lit(1)).alias("_n")).withColumn("_upto", F.sum("_n").over(Window.orderBy("_d")))  # 65,536 rows at most
+    cut = upto.where(F.col("_upto") >= n).orderBy("_d").first()
+    if cut is None:
+        return df
+    edge = hashed.where(F.col("_d") == cut["_d"]).withColumn("_k", F.row_number().over(Window.partitionBy("_d").orderBy("_o", *key)))
+    edge = edge.where(F.col("_k") <= n - (cut["_upto"] - cut["_n"])).drop("_k")
+    return hashed.where(F.col("_d") < cut["_d"]).unionByName(edge).drop("_o", "_d")
 
 
 def balance_year(df: DataFrame, year: int, n: int, seed, key) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.aggregates import metrics
 from ..operators.filters import apply_filters, select_plots
-from ..operators.sampling import matched_subsample, materialise, sample_per_tile
+from ..operators.sampling import laid_out, matched_subsample, sample_per_tile
 from ..operators.windows import best_trial
 from ..semantics import small
 
@@ -16,7 +16,7 @@ def compact_dataset(df: DataFrame, fraction: float, trials: int, region: str = "
     """Of each region the subsample whose label and class distributions are nearest to the whole, in layout order."""
     best = best_trial(matched_subsample(df, fraction, trials, region, by, key), [region]).select(region, "trial")
     chosen = sample_per_tile(df.join(small(best), region), fraction, F.col("trial"), ("trial", *by), key)
-    return materialise(df, chosen, key)
+    return laid_out(chosen, key).drop("trial")
 
 
 def compare_maps(plots: DataFrame, estimates: list[str], truth: str, rules: dict, min_year: int = 2017, min_n: int = 5) -> DataFrame:

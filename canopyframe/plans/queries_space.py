@@ -333,7 +333,7 @@ def _(spark, d):
     return out.select("plot", *[F.col("onehot")[i].alias(f"m{i}") for i in range(3)])
 
 
-@query("m10_balance_year", f"SELECT tile, year, idx FROM (SELECT * FROM fpx WHERE year = 1997 ORDER BY {md5_sql('6', 'tile', 'year', 'idx')}, tile, year, idx LIMIT 300) UNION ALL SELECT tile, year, idx FROM fpx WHERE year <> 1997")
+@query("m10_balance_year", f"SELECT tile, year, idx FROM fpx QUALIFY year <> 1997 OR row_number() OVER (PARTITION BY year ORDER BY {md5_sql('6', 'tile', 'year', 'idx')}, tile, year, idx) <= 300")
 def _(spark, d):
     return M.balance_year(Tables(spark, d).fpx.select("tile", "year", "idx"), 1997, 300, 6, ["tile", "year", "idx"])
 

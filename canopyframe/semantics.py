@@ -47,6 +47,15 @@ def first_by(df: DataFrame, keys, order) -> DataFrame:
     return df.withColumn("_first", F.row_number().over(w)).where("_first = 1").drop("_first")
 
 
+def collected(df: DataFrame) -> DataFrame:
+    """A table of bounded size as local rows: what it is made of runs once."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
 def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
-    """Broadcast a dimension table if it holds at most ``rows`` rows; otherwise leave the join to the planner."""
-    return F.broadcast(df) if len(df.select(F.lit(1)).limit(rows + 1).take(rows + 1)) <= rows else df
+    """Broadcast a dimension table if it holds at most ``rows`` rows; otherwise leave the join to the planner.
+
+    The rows taken to find that out are the ones broadcast, so a small table's own plan runs once.
+    """
+    first = df.take(rows + 1)
+    return F.broadcast(df.sparkSession.createDataFrame(first, df.schema)) if len(first) <= rows else df

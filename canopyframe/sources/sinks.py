@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..semantics import finite, md5_order
@@ -30,13 +30,33 @@ def write_results(ensemble: DataFrame, per_model: DataFrame, path: str) -> None:
     per_model.write.mode("overwrite").parquet(f"{path}/models")
 
 
+def four_decimals(v: Column) -> Column:
+    """Text of a finite double with four decimals, rounded from its exact binary value, ties to even.
+
+    v * 10000 is split into the rounded product and its exact error (v's upper 26 bits times 10000 is exact), so a
+    product that rounds to a half is told apart from one that is a half. From 9e11 on doubles have no finer digits.
+    """
+    v = v.cast("double")
+    a = F.abs(v)
+    product = a * 1e4
+    upper = a * 134217729.0 - (a * 134217729.0 - a)
+    error = (upper * 1e4 - product) + (a - upper) * 1e4
+    whole = F.floor(product)
+    part = product - whole
+    up = (part > 0.5) | ((part == 0.5) & ((error > 0) | ((error == 0) & (whole % 2 == 1))))
+    units = whole + F.when(up, 1).otherwise(0)
+    sign = F.when((v < 0) | (v.cast("string") == "-0.0"), "-").otherwise("")
+    text = F.concat(sign, F.floor(units / 10000).cast("string"), F.lit("."), F.lpad((units % 10000).cast("string"), 4, "0"))
+    return F.when(a < 9e11, text).otherwise(F.format_string("%.4f", v))
+
+
 def csv_columns(df: DataFrame, int_cols=()) -> DataFrame:
     """Text of every column: four decimals, blank for missing and non-finite values, whole numbers where asked."""
     def one(c, t):
         if c in int_cols:
             return F.coalesce(F.col(c).cast("long").cast("string"), F.lit(""))
         if t in ("double", "float"):
-            return F.when(finite(c), F.format_string("%.4f", F.col(c).cast("double"))).otherwise("")
+            return F.when(finite(c), four_decimals(F.col(c))).otherwise("")
         return F.coalesce(F.col(c).cast("string"), F.lit(""))
 
     return df.select(*[one(c, t).alias(c) for c, t in df.dtypes])
