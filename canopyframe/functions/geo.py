@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..semantics import col
@@ -105,6 +105,15 @@ def window_box(lon, lat, side_km) -> list[Column]:
     return box(lon, lat, half / (M_PER_DEG_LON * F.cos(F.radians(col(lat)))), half / M_PER_DEG_LAT)
 
 
+def cells_for_bbox(df: DataFrame, south, north, west, east, name: str = "cell") -> DataFrame:
+    """A row for each 1-degree cell, named by its north-west corner, that a box meets. Boxes may pass the 180th meridian
+    (west and east then differ by the true width); rows beyond the poles are left out."""
+    top = F.explode(F.sequence(F.greatest(F.floor(col(south)) + 1, F.lit(-89)), F.least(F.floor(col(north)) + 1, F.lit(90))))
+    left = F.explode(F.sequence(F.floor(col(west)), F.floor(col(east))))
+    cells = df.withColumn("_t", top).withColumn("_l", left).withColumn("_l", F.pmod(F.col("_l") + 180, F.lit(360)) - 180)
+    return cells.withColumn(name, cell_name("_t", "_l")).drop("_t", "_l")
+
+
 def block_of(lat, lon) -> Column:
     """10-degree block named by its north-west corner."""
     top, left = (F.ceil(col(lat) / 10) * 10).cast("int"), (F.floor(col(lon) / 10) * 10).cast("int")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schemas import CLASSES, MISSION_START, NODATA, OFFSET_START
+from ..schemas import CLASSES, EARTH_RADIUS, MISSION_START, NODATA, OFFSET_START
 from ..semantics import col
 
 
@@ -22,6 +22,17 @@ def encode_latlon(lat, lon) -> list[Column]:
     return [unit(F.cos(lat)).alias("lat_cos"), unit(F.sin(lat)).alias("lat_sin"), unit(F.cos(lon)).alias("lon_cos"), unit(F.sin(lon)).alias("lon_sin")]
 
 
+def encode_grid(df: DataFrame, lat, lon, height: int, width: int, resolution: float = 10.0) -> DataFrame:
+    """A row for each pixel (i, j) of a patch around a point, with its coordinates' encoding. Pixels lie ``resolution``
+    metres apart; i and j count from the pixel that is half the patch before the point."""
+    i, j = (F.explode(F.sequence(F.lit(-(n // 2)), F.lit(n - n // 2 - 1))) for n in (height, width))
+    grid = df.withColumn("i", i).withColumn("j", j)
+    per_metre = 180 / math.pi / EARTH_RADIUS
+    to_lat = col(lat) + F.col("i") * resolution * per_metre
+    to_lon = col(lon) + F.col("j") * resolution * per_metre / F.cos(col(lat) * math.pi / 180)
+    return grid.select("*", *encode_latlon(to_lat, to_lon))
+
+
 def encode_doy(days) -> list[Column]:
     """Cyclic day of the year from days since the mission start; day 366 lies past the full circle."""
     angle = 2 * math.pi * F.dayofyear(F.date_add(F.lit(MISSION_START).cast("date"), col(days).cast("int"))) / 365

@@ -49,6 +49,24 @@ def array_moments(df: DataFrame, by, values: str) -> DataFrame:
     return long.groupBy(*by, "dim").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"))
 
 
+def embedding_statistics(df: DataFrame, values: str, by=(), regions=("global",), continents: dict[str, list[str]] | None = None, years=None, tiles: DataFrame | None = None, lite: bool = False, order=("idx",)) -> DataFrame:
+    """Per dimension moments of the embeddings of chosen regions, years and tiles.
+
+    regions: names of regions or continents, or ``global``; tiles: (tile, cap), of which all rows are used, or with
+    ``lite`` each tile's first ``cap`` rows in order, counted before other columns are read.
+    """
+    if "global" not in regions:
+        names = [r for name in regions for r in (continents or {}).get(name, [name])]
+        df = df.where(F.col("region").isin(list(dict.fromkeys(names))))
+    if years is not None:
+        df = df.where(F.col("year").isin(list(years)))
+    if tiles is not None:
+        df = df.join(tiles, "tile")
+        if lite:
+            df = df.withColumn("_k", F.row_number().over(Window.partitionBy("tile").orderBy(*order))).where(F.col("_k") <= F.col("cap"))
+    return array_moments(df, by, values)
+
+
 def band_statistics(df: DataFrame, by, values: str, pos: str, chunk: int) -> DataFrame:
     """Pooled moments with the 1st and 99th percentile of every band of an array column."""
     long = df.select(*by, pos, F.posexplode(values).alias("band", "v")).where("v is not null")
@@ -148,12 +166,28 @@ def agreement_weight(sparse, dense, mode: str, cutoff: float) -> Column:
     return {"linear": lambda: 1 - x, "log": lambda: F.log(x * (1 - e) + e), "exp": lambda: 2 - F.exp(x * l2), "inv_log": lambda: -F.log(x * (1 - ie) + ie)}[mode]()
 
 
-def agreement_loss(patches: DataFrame, centres: DataFrame, key: str, mode: str = "linear", cutoff: float = 0.5) -> DataFrame:
-    """Mean over patches of weight * dense error + (1 - weight) * sparse error (squared errors)."""
-    dense = patches.groupBy(key).agg(F.avg(F.pow(F.col("pred") - F.col("dense"), 2)).alias("_d"))
-    w = agreement_weight("sparse", "centre_dense", mode, cutoff)
-    both = dense.join(centres, key).withColumn("_w", w)
-    return both.agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("_w") * F.col("_d") + (1 - F.col("_w")) * F.pow(F.col("centre_pred") - F.col("sparse"), 2)).alias("loss"))
+def error_of(pred, truth, loss: str = "MSE", delta: float = 1.0) -> Column:
+    """Squared error, or Huber's: half the square up to ``delta``, linear beyond."""
+    d = F.abs(col(pred) - col(truth))
+    return {"MSE": lambda: d * d, "Huber": lambda: F.when(d <= delta, 0.5 * d * d).otherwise(delta * (d - 0.5 * delta))}[loss]()
+
+
+def agreement_loss(patches: DataFrame, centres: DataFrame, key: str, mode: str = "linear", cutoff: float = 0.5, loss: str = "MSE", version: int = 2) -> DataFrame:
+    """Mean over patches of weight * dense error + (1 - weight) * sparse error.
+
+    Version 2 weighs each patch's own errors; version 1 weighs the squared errors of all patches together. Modes
+    ``random`` and ``false`` have a fixed weight (a half, one) on the errors of all together, in any version.
+    """
+    fixed = {"random": 0.5, "false": 1.0}.get(mode)
+    kind = "MSE" if fixed is None and version == 1 else loss
+    dense = patches.groupBy(key).agg(F.sum(error_of("pred", "dense", kind)).alias("_s"), F.count(F.lit(1)).alias("_n"))
+    w = F.lit(fixed) if fixed is not None else agreement_weight("sparse", "centre_dense", mode, cutoff)
+    both = dense.join(centres, key).withColumn("_w", w).withColumn("_c", error_of("centre_pred", "sparse", kind))
+    if fixed is None and version == 2:
+        total = F.avg(F.col("_w") * F.col("_s") / F.col("_n") + (1 - F.col("_w")) * F.col("_c"))
+    else:
+        total = F.avg("_w") * F.sum("_s") / F.sum("_n") + (1 - F.avg("_w")) * F.avg("_c")
+    return both.agg(F.count(F.lit(1)).alias("n"), total.alias("loss"))
 
 
 def balanced_loss(patches: DataFrame, centres: DataFrame, key: str, lam="dense_gaussian", how: str = "pct", bins: DataFrame | None = None, epoch: int = 0, max_epochs: int = 15) -> DataFrame:
@@ -350,15 +384,20 @@ def cloud_score(df: DataFrame, by, r: str, g: str, b: str, fill: Column) -> Data
     return df.groupBy(*by).agg(F.avg(F.when((F.least(r, g, b) > 180) | fill, 1.0).otherwise(0.0)).alias("score"))
 
 
-def audit_rasters(meta: DataFrame, pixels: DataFrame, width: int, most_nodata: float, nodata: float = -9999.0) -> DataFrame:
-    """Failed rules of each raster: size, orientation, projection, share of missing pixels."""
-    seen = pixels.groupBy("raster_id").agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("value") == nodata, 1.0).otherwise(0.0)).alias("nodata_share"))
-    m = meta.join(seen, "raster_id", "left")
+def audit_rasters(meta: DataFrame, pixels: DataFrame, smallest: int, largest: int, bands: int, most_nodata: float, nodata: float = -9999.0) -> DataFrame:
+    """Failed rules of each raster: size in pixels, number of bands, orientation, projection; the pixels of those that
+    pass are then read for the share without data. A raster without any pixel has all of them missing."""
+    side = (F.least("width", "height"), F.greatest("width", "height"))
     rules = F.array(
-        F.when(F.col("width") != width, "width"), F.when(F.col("e") >= 0, "south_up"), F.when(~F.col("epsg").between(32601, 32760), "epsg"),
-        F.when(F.coalesce("nodata_share", F.lit(1.0)) > most_nodata, "nodata"), F.when(F.coalesce("n", F.lit(0)) != F.col("width") * F.col("height"), "missing_pixels"),
+        F.when(side[1] > largest, "large"), F.when(side[0] < smallest, "small"), F.when(F.col("bands") != bands, "bands"),
+        F.when(F.col("e") > 0, "south_up"), F.when(F.coalesce(~F.col("epsg").between(32601, 32760), F.lit(True)), "no_projection"),
     )
-    return m.select("raster_id", "nodata_share", F.array_join(F.filter(rules, lambda x: x.isNotNull()), ",").alias("failures"))
+    m = meta.select("raster_id", F.filter(rules, lambda x: x.isNotNull()).alias("_f"))
+    sane = m.where(F.size("_f") == 0).select("raster_id")
+    seen = pixels.join(sane, "raster_id", "left_semi").groupBy("raster_id").agg(F.avg(F.when(F.col("value") == nodata, 1.0).otherwise(0.0)).alias("nodata_share"))
+    empty = (F.size("_f") == 0) & (F.coalesce("nodata_share", F.lit(1.0)) > most_nodata)
+    found = F.concat("_f", F.filter(F.array(F.when(empty, "nodata")), lambda x: x.isNotNull()))
+    return m.join(seen, "raster_id", "left").select("raster_id", "nodata_share", F.array_join(found, ",").alias("failures"))
 
 
 def patch_validity(df: DataFrame, key, valid: Column) -> DataFrame:

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import to_storage, window_weight
+from ..sources.sinks import write_results
 from .aggregates import blend_windows, ensemble, metrics
+from .filters import assemble_features
 
 
 def dot(values, weights) -> Column:
@@ -30,13 +32,14 @@ def score_linear(df: DataFrame, values: str, weights, intercept: float, name: st
 
 
 def score_mlp(df: DataFrame, values: str, layers: list[dict], name: str = "pred") -> DataFrame:
-    """Dense layers with ReLU between them; a layer: weights (rows), bias, and scale and shift of its normalisation."""
+    """Dense layers, each with a ReLU behind it, the last one too. A layer: weights (rows), bias, and, where it is
+    normalised, scale and shift of that."""
     out = df.withColumn("_h", F.col(values).cast("array<double>"))
-    for k, layer in enumerate(layers):
-        rows = F.array(*[F.struct(F.array(*[F.lit(float(v)) for v in w]).alias("w"), F.lit(float(b)).alias("b"), F.lit(float(s)).alias("s"), F.lit(float(t)).alias("t")) for w, b, s, t in zip(layer["weights"], layer["bias"], layer["scale"], layer["shift"])])
-        last = k + 1 == len(layers)
-        h = F.transform(rows, lambda r: (dot(F.col("_h"), r["w"]) + r["b"]) * r["s"] + r["t"])
-        out = out.withColumn("_h", h if last else F.transform(h, lambda v: F.greatest(v, F.lit(0.0))))
+    for layer in layers:
+        n = len(layer["bias"])
+        units = zip(layer["weights"], layer["bias"], layer.get("scale", [1.0] * n), layer.get("shift", [0.0] * n))
+        rows = F.array(*[F.struct(F.array(*[F.lit(float(v)) for v in w]).alias("w"), F.lit(float(b)).alias("b"), F.lit(float(s)).alias("s"), F.lit(float(t)).alias("t")) for w, b, s, t in units])
+        out = out.withColumn("_h", F.transform(rows, lambda r: F.greatest((dot(F.col("_h"), r["w"]) + r["b"]) * r["s"] + r["t"], F.lit(0.0))))
     return out.withColumn(name, F.get("_h", F.lit(0))).drop("_h")
 
 
@@ -50,6 +53,16 @@ def predict_map(windows: DataFrame, models: dict[str, tuple[float, float]], size
     return ensemble(blended, ["raster_id", "row", "col"], "value").withColumn("stored", to_storage(F.round("mean", 6), kind))
 
 
-def predict_footprints(df: DataFrame, values: str, label: str, weights, intercept: float, by) -> DataFrame:
-    """Features to scores to metrics by stratum."""
-    return metrics(score_linear(df, values, weights, intercept), "pred", label, by)
+def predict_footprints(df: DataFrame, features: dict[str, list[Column]], enabled, models: dict[str, tuple], label: str, key, carried=(), path: str | None = None) -> DataFrame:
+    """Footprints from features to results: assembled features, each linear model's score, and the models' mean.
+
+    models: name to (weights, intercept). Returns key, label, carried columns, members, mean and std of the models'
+    predictions; with a path the results sink holds these and each model's RMSE.
+    """
+    x = assemble_features(df, features, enabled, "_x")
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.array(*[F.lit(float(v)) for v in w]).alias("w"), F.lit(float(b)).alias("b")) for m, (w, b) in models.items()]))
+    scored = x.select(*key, label, *carried, "_x", each.alias("m")).select(*key, label, *carried, "m.model", (dot("_x", F.col("m.w")) + F.col("m.b")).alias("pred"))
+    samples = ensemble(scored, [*key, label, *carried], "pred")
+    if path is not None:
+        write_results(samples, metrics(scored, "pred", label, ["model"]).select("model", "n", "rmse"), path)
+    return samples

@@ -11,6 +11,7 @@ from ..functions import geo as G
 from ..operators.aggregates import rounded
 from ..operators.windows import best_trial
 from ..operators.sampling import matched_subsample
+from ..operators.scoring import predict_footprints
 from ..sources import scans as S
 from ..sources import sinks as K
 from ..streaming.incremental import read_merged, write_partials
@@ -26,6 +27,36 @@ def _folder(spark) -> str:
     return f"{root.rstrip('/')}/tables-{uuid.uuid4().hex}"
 
 
+@query("s01_scan_footprints", "SELECT tile, year, shard, ok, ln, pk, agbd, price FROM fp WHERE year IN (1996, 1998)")
+def _(spark, d):
+    path = _folder(spark)
+    columns = ["tile", "ok", "ln", "pk", "agbd", "price", "year", "shard"]
+    table = Tables(spark, d).fp.select(*columns)
+    table.repartition("year", "shard").write.partitionBy("year", "shard").parquet(path)
+    return S.scan_footprints(spark, path, [1996, 1998], schema=table.schema).select("tile", "year", "shard", "ok", "ln", "pk", "agbd", "price")
+
+
+_SAMPLES = "(SELECT tile, year, idx, agbd, region_cla, rh98 * 9.5e0 + tax * 100 - 2 AS p1, rh98 * 10.5e0 + tax * 20 - 9 AS p2 FROM fpx)"
+
+
+def _results(spark, d) -> str:
+    path = _folder(spark)
+    features = {"height": [F.col("rh98")], "price": [F.col("price")], "tax": [F.col("tax")]}
+    models = {"one": ([9.5, 100.0], -2.0), "two": ([10.5, 20.0], -9.0)}
+    predict_footprints(Tables(spark, d).fpx, features, ["height", "tax"], models, "agbd", ["tile", "year", "idx"], ["region_cla"], path)
+    return path
+
+
+@query("s12_results", f"SELECT model, count(*) AS n, {r('sqrt(avg((p - agbd) ** 2))', 'rmse')} FROM (SELECT 'one' AS model, agbd, p1 AS p FROM {_SAMPLES} UNION ALL SELECT 'two', agbd, p2 FROM {_SAMPLES}) GROUP BY model")
+def _(spark, d):
+    return rounded(spark.read.parquet(f"{_results(spark, d)}/models"))
+
+
+@query("s12_result_samples", f"SELECT tile, year, idx, agbd, region_cla, CAST(2 AS BIGINT) AS members, {r('(p1 + p2) / 2', 'mean')} FROM {_SAMPLES}")
+def _(spark, d):
+    return rounded(spark.read.parquet(f"{_results(spark, d)}/samples").select("tile", "year", "idx", "agbd", "region_cla", "members", "mean"))
+
+
 @query("s04_scan_class_embeddings", f"SELECT cls AS mapping, {r('avg(agbd)', 'v0')}, {r('avg(rh98)', 'v1')}, {r('max(disc)', 'v2')} FROM fp GROUP BY cls")
 def _(spark, d):
     path = _folder(spark)
@@ -45,10 +76,10 @@ def _(spark, d):
     return S.scan_plots(spark, path).select(F.col("properties")["plot"].alias("plot"), "xmin", "ymin", "xmax", "ymax", F.size("ring").alias("points"))
 
 
-@query("s06_scan_uri_list", "SELECT concat('s3://b/', year(o_orderdate), '/', o_custkey % 60, 'N/', o_orderkey, '.tiff') AS uri FROM orders WHERE year(o_orderdate) = 1997")
+@query("s06_scan_uri_list", "SELECT concat('store://area/', year(o_orderdate), '/', o_custkey % 60, 'N/', o_orderkey, '.tiff') AS uri FROM orders WHERE year(o_orderdate) = 1997")
 def _(spark, d):
     path = _folder(spark)
-    Tables(spark, d).raw("orders").select(F.expr("concat('s3://b/', year(o_orderdate), '/', o_custkey % 60, 'N/', o_orderkey, '.tiff')").alias("value")).write.text(path)
+    Tables(spark, d).raw("orders").select(F.expr("concat('store://area/', year(o_orderdate), '/', o_custkey % 60, 'N/', o_orderkey, '.tiff')").alias("value")).write.text(path)
     return S.scan_uri_list(spark, path, 1997)
 
 

@@ -370,11 +370,8 @@ _GLAT, _GLON = "lat + i * 10 / 6371000e0 * 180 / pi()", "lon + j * 10 / 6371000e
 
 @query("f02_encode_grid", f"SELECT plot, i, j, {r(_unit(f'cos(pi() * ({_GLAT}) / 90)'), 'lat_cos')}, {r(_unit(f'sin(pi() * ({_GLON}) / 180)'), 'lon_sin')} FROM plots CROSS JOIN range(-2, 3) a(i) CROSS JOIN range(-2, 3) b(j)")
 def _(spark, d):
-    g = Tables(spark, d).plots.select("plot", "lat", "lon", F.explode(F.sequence(F.lit(-2).cast("long"), F.lit(2).cast("long"))).alias("i")).withColumn("j", F.explode(F.sequence(F.lit(-2).cast("long"), F.lit(2).cast("long"))))
-    lat = F.col("lat") + F.col("i") * 10 / 6371000.0 * 180 / math.pi
-    lon = F.col("lon") + F.col("j") * 10 / 6371000.0 * 180 / math.pi / F.cos(F.col("lat") * math.pi / 180)
-    enc = X.encode_latlon(lat, lon)
-    return rounded(g.select("plot", "i", "j", enc[0], enc[3]))
+    g = X.encode_grid(Tables(spark, d).plots.select("plot", "lat", "lon"), "lat", "lon", 5, 5)
+    return rounded(g.select("plot", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "lat_cos", "lon_sin"))
 
 
 @query("f03_encode_doy", f"SELECT ok, ln, pk, {r(_unit('cos(2 * pi() * dayofyear(ship) / 365)'), 'doy_cos')}, {r(_unit('sin(2 * pi() * dayofyear(ship) / 365)'), 'doy_sin')} FROM fp")
@@ -480,10 +477,8 @@ def _(spark, d):
 @query("f18_cells_for_bbox", """SELECT plot, concat(CASE WHEN t >= 0 THEN 'N' ELSE 'S' END, lpad(CAST(abs(t) AS VARCHAR), 2, '0'), CASE WHEN l >= 0 THEN 'E' ELSE 'W' END, lpad(CAST(abs(l) AS VARCHAR), 3, '0')) AS cell FROM (
     SELECT plot, unnest(range(CAST(floor(lat) AS BIGINT) + 1, CAST(floor(lat + 1.2e0) AS BIGINT) + 2)) AS t, l0 FROM (SELECT plot, lat, unnest(range(CAST(floor(lon) AS BIGINT), CAST(floor(lon + 2.5e0) AS BIGINT) + 1)) AS l0 FROM plots)) , LATERAL (SELECT (l0 + 180) % 360 - 180 AS l)""")
 def _(spark, d):
-    p = Tables(spark, d).plots
-    rows = F.explode(F.sequence(F.floor("lat") + 1, F.floor(F.col("lat") + 1.2) + 1)).alias("t")
-    p = p.select("plot", "lon", rows).withColumn("l", F.explode(F.sequence(F.floor("lon"), F.floor(F.col("lon") + 2.5)))).withColumn("l", F.pmod(F.col("l") + 180, F.lit(360)) - 180)
-    return p.select("plot", G.cell_name("t", "l").alias("cell"))
+    p = Tables(spark, d).plots.select("plot", "lat", "lon")
+    return G.cells_for_bbox(p, "lat", F.col("lat") + 1.2, "lon", F.col("lon") + 2.5).select("plot", "cell")
 
 
 @query("f19_affine", f"""SELECT id, CAST(floor((y - f) / -10e0) AS BIGINT) AS row, CAST(floor((x - c) / 10e0) AS BIGINT) AS col, {r('c + (floor((x - c) / 10e0) + 0.5e0) * 10', 'cx')}, {r('f - (floor((y - f) / -10e0) + 0.5e0) * 10', 'cy')}
@@ -649,6 +644,15 @@ def _(spark, d):
     return R.contained(p).select("plot", "contained")
 
 
+@query("g11_assert_contained", f"SELECT plot FROM plots WHERE lon - 0.6e0 >= {_LEFT} AND lon + 0.6e0 <= {_LEFT} + 10 AND lat - 0.6e0 >= {_TOP} - 10 AND lat + 0.6e0 <= {_TOP}")
+def _(spark, d):
+    p = Tables(spark, d).plots
+    b = G.block_bounds(G.block_of("lat", "lon"))
+    names = ("xmin", "ymin", "xmax", "ymax")
+    p = p.select("plot", *[x.alias(f"w_{k}") for k, x in zip(names, G.box("lon", "lat", F.lit(0.6), F.lit(0.6)))], *[x.alias(f"b_{k}") for k, x in zip(names, b)])
+    return R.assert_contained(R.contained(p).where("contained").drop("contained")).select("plot")
+
+
 @query("g12_upsample_nearest", "SELECT raster_id, row * 3 + i AS row, col * 3 + j AS col, nullif(value, -9999) AS value FROM pix CROSS JOIN range(3) a(i) CROSS JOIN range(3) b(j)")
 def _(spark, d):
     p = Tables(spark, d).pix.select("raster_id", "row", "col", F.expr("nullif(value, -9999D)").alias("value"))
@@ -689,9 +693,9 @@ def _(spark, d):
 @query("g16_stack_bands", "SELECT row, col, max(value) FILTER (raster_id = 0) AS HH, max(value) FILTER (raster_id = 1) AS HV FROM pix WHERE raster_id < 2 GROUP BY row, col")
 def _(spark, d):
     t = Tables(spark, d)
-    metas = t.rasters.where("raster_id = 0")
+    metas = t.rasters.where("raster_id < 2").withColumn("c", F.col("c") - 160 * F.col("raster_id"))  # the second one is moved onto the first
     p = t.pix.where("raster_id < 2").select("row", "col", "value", F.expr("CASE WHEN raster_id = 0 THEN 'HH' ELSE 'HV' END").alias("band"))
-    return R.stack_bands(metas.union(metas), p, ["HH", "HV"])
+    return R.stack_bands(metas, p, ["HH", "HV"])
 
 
 @query("g17_pad_canvas", """SELECT raster_id, row + (max(height) OVER () - height) // 2 AS row, col + (44 - width) // 2 AS col, value
@@ -794,13 +798,15 @@ def _(spark, d):
     return rounded(H.score_linear(e, "x", weights, b).select("vec_id", "label", "pred"), 4)
 
 
-@query("h02_score_mlp", f"""WITH a AS (SELECT vec_id, k, greatest(sum(v / 127 * sin(dim * 0.3e0 + k)) + 0.1e0 * k, 0) AS h FROM dims CROSS JOIN range(3) t(k) GROUP BY vec_id, k)
-    SELECT vec_id, {r('sum(h * (k + 1)) * 0.5e0 - 1', 'pred')} FROM a GROUP BY vec_id""")
+@query("h02_score_mlp", f"""WITH a AS (SELECT vec_id, k, greatest((sum(v / 127 * sin(dim * 0.3e0 + k)) + 0.1e0 * k) * 0.5e0 + 0.2e0, 0) AS h FROM dims CROSS JOIN range(3) t(k) GROUP BY vec_id, k),
+    b AS (SELECT vec_id, m, greatest(sum(h * (m + 1) * (k - 1) * 0.3e0) + 0.1e0 * m, 0) AS g FROM a CROSS JOIN range(2) u(m) GROUP BY vec_id, m)
+    SELECT vec_id, {r('greatest(sum(g * CASE WHEN m = 0 THEN 1.5e0 ELSE -0.7e0 END) + 0.05e0, 0)', 'pred')} FROM b GROUP BY vec_id""")
 def _(spark, d):
-    first = {"weights": [[math.sin(i * 0.3 + k) for i in range(64)] for k in range(3)], "bias": [0.1 * k for k in range(3)], "scale": [1.0] * 3, "shift": [0.0] * 3}
-    last = {"weights": [[1.0, 2.0, 3.0]], "bias": [0.0], "scale": [0.5], "shift": [-1.0]}
+    first = {"weights": [[math.sin(i * 0.3 + k) for i in range(64)] for k in range(3)], "bias": [0.1 * k for k in range(3)], "scale": [0.5] * 3, "shift": [0.2] * 3}
+    second = {"weights": [[(m + 1) * (k - 1) * 0.3 for k in range(3)] for m in range(2)], "bias": [0.0, 0.1]}
+    last = {"weights": [[1.5, -0.7]], "bias": [0.05]}
     e = Tables(spark, d).emb.select("vec_id", F.transform("q", lambda v: v / 127).alias("x"))
-    return rounded(H.score_mlp(e, "x", [first, last]).select("vec_id", "pred"))
+    return rounded(H.score_mlp(e, "x", [first, second, last]).select("vec_id", "pred"))
 
 
 @query("h03_predict_map")
@@ -814,8 +820,9 @@ def _(spark, d):
 
 @query("h04_predict_footprints", f"SELECT region_cla, cls, {METRICS} FROM (SELECT *, rh98 * 9.5e0 + tax * 100 - 2 AS pred FROM fp) GROUP BY region_cla, cls")
 def _(spark, d):
-    fp = Tables(spark, d).fp.withColumn("x", F.array("rh98", "tax"))
-    return rounded(H.predict_footprints(fp, "x", "agbd", [9.5, 100.0], -2.0, ["region_cla", "cls"]))
+    features = {"height": [F.col("rh98")], "price": [F.col("price")], "tax": [F.col("tax")]}
+    x = H.predict_footprints(Tables(spark, d).fpx, features, ["height", "tax"], {"one": ([9.5, 100.0], -2.0)}, "agbd", ["tile", "year", "idx"], ["region_cla", "cls"])
+    return rounded(A.metrics(x, "mean", "agbd", ["region_cla", "cls"]))
 
 
 @query("md5_order_is_portable", f"SELECT plot, {md5_sql('0', 'plot', 'year')} AS k, {r(uniform_sql('0', 'plot'), 'u')} FROM plots")

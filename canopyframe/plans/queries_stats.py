@@ -32,11 +32,6 @@ METRICS = ", ".join([
 # scans and sinks ----------------------------------------------------------------------------------------------------
 
 
-@query("s01_scan_footprints", "SELECT tile, year, shard, ok, ln, pk, agbd, price FROM fp WHERE year IN (1996, 1998) AND shard < 2")
-def _(spark, d):
-    return Tables(spark, d).fp.where(F.col("year").isin([1996, 1998]) & (F.col("shard") < 2)).select("tile", "year", "shard", "ok", "ln", "pk", "agbd", "price")
-
-
 @query("s02_tile_catalog", f"SELECT tile, array_to_string(list_sort(list(DISTINCT {FILE})), ',') AS files FROM fp GROUP BY tile")
 def _(spark, d):
     return S.tile_catalog(Tables(spark, d).fp.withColumn("file", F.expr(FILE))).select("tile", F.array_join("files", ",").alias("files"))
@@ -78,11 +73,6 @@ def _(spark, d):
     return rounded(S.pick_stats(cat, True, "R2", years=[2020]).select("regions", "years", "mean"))
 
 
-@query("s12_results", f"SELECT member, {METRICS} FROM preds GROUP BY member")
-def _(spark, d):
-    return rounded(A.metrics(Tables(spark, d).preds, "pred", "agbd", ["member"]))
-
-
 @query("s13_csv_columns", "SELECT CAST(plot AS VARCHAR) AS plot, CAST(year AS VARCHAR) AS year, coalesce(printf('%.4f', est_a), '') AS est_a, printf('%.4f', agb) AS agb FROM plots")
 def _(spark, d):
     return K.csv_columns(Tables(spark, d).plots.select("plot", "year", "est_a", "agb"), ["year"])
@@ -270,6 +260,16 @@ def _(spark, d):
     return rounded(A.array_moments(e, ["label"], "q").withColumn("dim", F.col("dim").cast("long")))
 
 
+@query("a06_selected_embeddings", f"""WITH e AS (SELECT *, vec_id % 20 AS tile, row_number() OVER (PARTITION BY vec_id % 20 ORDER BY vec_id) AS k FROM dims WHERE label % 5 IN (1, 3, 4) AND vec_id % 3 <> 2 AND vec_id % 20 < 12 AND dim = 0)
+    SELECT dim, count(nullif(v, -128)) AS n, {r('avg(nullif(v, -128))', 'mean')}, {r('stddev_pop(nullif(v, -128))', 'std')}, min(nullif(v, -128)) AS min, max(nullif(v, -128)) AS max
+    FROM dims JOIN (SELECT vec_id FROM e WHERE k <= 5 + tile) USING (vec_id) GROUP BY dim""")
+def _(spark, d):
+    e = Tables(spark, d).emb.selectExpr("vec_id AS idx", "concat('R', label % 5) AS region", "2018 + vec_id % 3 AS year", "vec_id % 20 AS tile", "transform(q, v -> CASE WHEN v <> -128 THEN v END) AS q")
+    tiles = e.select("tile").distinct().where("tile < 12").withColumn("cap", F.col("tile") + 5)
+    out = A.embedding_statistics(e, "q", regions=["north", "R4"], continents={"north": ["R1", "R3"]}, years=[2018, 2019], tiles=tiles, lite=True)
+    return rounded(out.withColumn("dim", F.col("dim").cast("long")))
+
+
 @query("a07_regional_distribution", """SELECT g.region_cla, CAST(b AS INT) AS bin, count(agbd) AS n FROM (SELECT DISTINCT region_cla FROM fp) g CROSS JOIN range(50) t(b)
     LEFT JOIN fp ON fp.region_cla = g.region_cla AND floor(agbd / 10) = b AND agbd < 500 GROUP BY g.region_cla, b""")
 def _(spark, d):
@@ -343,6 +343,21 @@ for _mode, _sql in {"linear": f"1 - {_X}", "log": f"ln({_X} * (1 - exp(1)) + exp
         return rounded(A.agreement_loss(p, c, "key", mode, 0.25))
 
 
+_ALL_DENSE, _HUBER = "(SELECT avg((pred - dense) ** 2) FROM patch)", "CASE WHEN abs({0}) <= 1 THEN 0.5e0 * ({0}) ** 2 ELSE abs({0}) - 0.5e0 END"
+_OWN = f"SELECT key, avg({_HUBER.format('pred - dense')}) AS d FROM patch GROUP BY key"
+_W, _SPARSE = f"(1 - {_X})", _HUBER.format("centre_pred - sparse")
+for _name, _args, _from, _sql in (
+    ("version1", ("linear", 0.25, "MSE", 1), "centre", f"avg({_W}) * {_ALL_DENSE} + (1 - avg({_W})) * avg((centre_pred - sparse) ** 2)"),
+    ("huber", ("linear", 0.25, "Huber", 2), f"centre JOIN ({_OWN}) USING (key)", f"avg({_W} * d + (1 - {_W}) * ({_SPARSE}))"),
+    ("random", ("random", 0.25, "Huber", 2), "centre", f"0.5e0 * (SELECT avg({_HUBER.format('pred - dense')}) FROM patch) + 0.5e0 * avg({_SPARSE})"),
+    ("false", ("false", 0.25, "MSE", 2), "centre", _ALL_DENSE),
+):
+    @query(f"a12_agreement_loss_{_name}", f"WITH {_PATCH} SELECT count(*) AS n, {r(_sql, 'loss')} FROM {_from}")
+    def _(spark, d, args=_args):
+        p, c = _patches(Tables(spark, d))
+        return rounded(A.agreement_loss(p, c, "key", *args))
+
+
 @query("a13_balanced_loss", f"""WITH {_PATCH}, x AS (SELECT *, greatest(0, least(1, 1 - abs(sparse - centre_dense) / (sparse + 1e-6))) AS f FROM centre JOIN dl USING (key)),
     y AS (SELECT avg((centre_pred - sparse) ** 2) AS sparse_loss, avg(f * d) AS dense_loss, exp(-5 * (1 - (7 / 14e0) ** 2)) AS g FROM x)
     SELECT {r('sparse_loss', 'sparse_loss')}, {r('dense_loss', 'dense_loss')}, {r('(1 - g) * dense_loss + g * sparse_loss', 'loss')} FROM y""")
@@ -509,12 +524,14 @@ def _(spark, d):
     return rounded(A.cloud_score(p, ["raster_id"], "r", "g", "b", F.col("value") == -9999))
 
 
-@query("a42_audit_rasters", f"""WITH s AS (SELECT raster_id, count(*) AS n, avg(CASE WHEN value = -9999 THEN 1e0 ELSE 0 END) AS share FROM pix GROUP BY raster_id)
-    SELECT raster_id, {r('share', 'nodata_share')}, array_to_string(list_filter([CASE WHEN width <> 32 THEN 'width' END, CASE WHEN e >= 0 THEN 'south_up' END, CASE WHEN NOT (epsg BETWEEN 32601 AND 32760) THEN 'epsg' END,
-    CASE WHEN share > 0.027e0 THEN 'nodata' END, CASE WHEN n <> width * height THEN 'missing_pixels' END], lambda x: x IS NOT NULL), ',') AS failures FROM rasters JOIN s USING (raster_id)""")
+@query("a42_audit_rasters", f"""WITH m AS (SELECT raster_id, array_to_string(list_filter([CASE WHEN greatest(width, height) > 100 THEN 'large' END, CASE WHEN least(width, height) < 12 THEN 'small' END, CASE WHEN raster_id = 1 THEN 'bands' END,
+    CASE WHEN e > 0 THEN 'south_up' END, CASE WHEN NOT (epsg BETWEEN 32601 AND 32760) THEN 'no_projection' END], lambda x: x IS NOT NULL), ',') AS g FROM rasters),
+    s AS (SELECT raster_id, avg(CASE WHEN value = -9999 THEN 1e0 ELSE 0 END) AS share FROM pix JOIN m USING (raster_id) WHERE g = '' GROUP BY raster_id)
+    SELECT raster_id, {r('share', 'nodata_share')}, CASE WHEN g = '' AND share > 0.027e0 THEN 'nodata' ELSE g END AS failures FROM m LEFT JOIN s USING (raster_id)""")
 def _(spark, d):
     t = Tables(spark, d)
-    return rounded(A.audit_rasters(t.rasters, t.pix, 32, 0.027))
+    meta = t.rasters.withColumn("bands", F.when(F.col("raster_id") == 1, 3).otherwise(2))
+    return rounded(A.audit_rasters(meta, t.pix, 12, 100, 2, 0.027))
 
 
 @query("a44_patch_validity", """WITH c AS (SELECT raster_id, row, count(*) FILTER (value <> -9999) AS v, count(*) AS n FROM pix GROUP BY ALL)
