@@ -20,9 +20,19 @@ WORD = r"[^\x20\x09-\x0D]+"
 _SHIPPED: set[str] = set()
 
 
+#: Bytes of an Arrow batch that goes to a Python worker, so that many long texts do not come at once.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once an application: their Python workers import it by name."""
+    """Give the executors this package, once an application: their Python workers import it by name.
+
+    Arrow batches are bounded by bytes in the session, unless its configuration says otherwise.
+    """
     context = spark.sparkContext
+    if not context.getConf().contains(_BATCH):
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     if context.applicationId in _SHIPPED:
         return
     package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -207,9 +217,8 @@ def word_spans(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return start, end, np.searchsorted(start, off)
 
 
-#: Counters in one row of a summed table, and groups of tasks in the first of two levels of its sum.
+#: Counters in one row of a summed table.
 CHUNK = 1 << 14
-_TURNS = 64
 
 
 def counter_rows(counts: np.ndarray, turn: int, kind: int = 0) -> list[tuple[int, int, int, bytes]]:
@@ -218,24 +227,27 @@ def counter_rows(counts: np.ndarray, turn: int, kind: int = 0) -> list[tuple[int
     return [(kind, k, turn, p.astype(np.int64).tobytes()) for k, p in enumerate(pieces) if p.any()]
 
 
-def _sum_rows(pdf):
-    import pandas as pd
-
-    total = np.zeros(CHUNK, np.int64)
-    for c in pdf["counts"]:
-        part = np.frombuffer(c, np.int64)
-        total[: len(part)] += part
-    return pd.DataFrame({"kind": pdf["kind"].iloc[:1], "chunk": pdf["chunk"].iloc[:1], "turn": pdf["turn"].iloc[:1], "counts": [total.tobytes()]})
+def _sum_rows(batches):
+    """One row a chunk from the rows of a task."""
+    total: dict[tuple[int, int], np.ndarray] = {}
+    for batch in batches:
+        for kind, chunk, counts in zip(batch.column("kind").to_pylist(), batch.column("chunk").to_pylist(), batch.column("counts")):
+            part = np.frombuffer(counts.as_buffer(), np.int64)
+            whole = total.setdefault((kind, chunk), np.zeros(CHUNK, np.int64))
+            whole[: len(part)] += part
+    if total:
+        kinds, chunks = zip(*total)
+        yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(chunks, pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["kind", "chunk", "counts"])
 
 
 def sum_counters(rows: DataFrame, kinds: int, size: int) -> np.ndarray:
-    """(kinds, size) sums of the tasks' counters, in two levels so that no group holds many tasks' chunks."""
-    schema = "kind int, chunk int, turn long, counts binary"
-    once = rows.select("kind", "chunk", F.pmod("turn", F.lit(_TURNS)).alias("turn"), "counts").groupBy("kind", "chunk", "turn").applyInPandas(_sum_rows, schema)
+    """(kinds, size) sums of the tasks' counters, by task and then by chunk; a task holds one table at most."""
+    schema = "kind int, chunk int, counts binary"
+    once = rows.select("kind", "chunk", "counts").mapInArrow(_sum_rows, schema).repartition("kind", "chunk")
     total = np.zeros((kinds, size), np.int64)
-    for r in once.groupBy("kind", "chunk").applyInPandas(_sum_rows, schema).collect():  # a fixed number of rows
+    for r in once.mapInArrow(_sum_rows, schema).collect():  # a fixed number of rows
         part = np.frombuffer(r["counts"], np.int64)[: size - r["chunk"] * CHUNK]
-        total[r["kind"], r["chunk"] * CHUNK : r["chunk"] * CHUNK + len(part)] = part
+        total[r["kind"], r["chunk"] * CHUNK : r["chunk"] * CHUNK + len(part)] += part
     return total
 
 

@@ -15,7 +15,7 @@ from .common import ASCII_LOWER, Powers, connected_components, counter_rows, joi
 #: Counters (their logarithm) that show which n-grams are too frequent for one shard; their number does not follow the data.
 SKETCH_BITS = 20
 #: N-grams of a shard, about; an n-gram with over an eighth of a shard's share is ordered by its counter.
-SHARD_GRAMS = 2_000_000
+SHARD_GRAMS = 1_000_000
 #: Where the order of the frequent n-grams begins: behind all counts of the others.
 _FREQUENT = 1 << 40
 #: Postings of an n-gram that are put in order of length together.
@@ -71,7 +71,7 @@ def _summaries(words: int, columns):
         kinds = {}
         for batch in batches:
             kinds = {c: batch.schema.field(c).type for c in columns}
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text", 1 << 20):
                 sets, bounds = shingle_sets(*string_buffers(part.column("text")), words, powers)
                 counts += np.bincount(sets >> np.uint64(64 - SKETCH_BITS), minlength=len(counts))
                 n = np.diff(bounds)
@@ -130,7 +130,7 @@ def _deal(words: int, percent: int, bits: int, table):
         powers = Powers()
         frequency, frequent = table.value
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text", 1 << 20):
                 sets, bounds = shingle_sets(*string_buffers(part.column("text")), words, powers)
                 signature = _signatures(sets, bounds)
                 rows = np.flatnonzero(np.diff(bounds))

@@ -77,10 +77,10 @@ def word_terms(raw: np.ndarray, off: np.ndarray, powers: Powers) -> tuple[np.nda
 def _products(cells: np.ndarray, values: np.ndarray, bounds: np.ndarray, matrix: np.ndarray) -> np.ndarray:
     """Rows of a sparse matrix times a dense one, some rows at a time."""
     out = np.zeros((len(bounds) - 1, matrix.shape[1]), np.float32)
-    matrix, values = matrix.astype(np.float32), values.astype(np.float32)
+    matrix, values = matrix.astype(np.float32, copy=False), values.astype(np.float32, copy=False)
     a = 0
     while a < len(out):
-        b = max(a + 1, int(np.searchsorted(bounds, bounds[a] + (1 << 16), side="right")) - 1)
+        b = max(a + 1, int(np.searchsorted(bounds, bounds[a] + (1 << 14), side="right")) - 1)
         part = slice(bounds[a], bounds[b])
         filled = np.flatnonzero(bounds[a:b] < bounds[a + 1 : b + 1])
         if len(filled):
@@ -104,16 +104,24 @@ class Voter:
         self.word_weight, self.weight = inverse(np.bincount(cells, minlength=CELLS)), inverse((x > 0).sum(0))
         values, dense = self._word_block(words), self._shape_block(x)
         word_mean, mean = np.bincount(cells, weights=values, minlength=CELLS) / n, dense.mean(0)
-        row = np.repeat(np.arange(n), np.diff(bounds))
-        by = np.argsort(cells, kind="stable")
-        of_cell = np.searchsorted(cells[by], np.arange(CELLS + 1))
+
+        def blocks():
+            for i in range(0, n, 256):
+                part = slice(bounds[i], bounds[min(i + 256, n)])
+                full = np.zeros((min(256, n - i), CELLS + TERMS), np.float32)
+                full[np.repeat(np.arange(len(full)), np.diff(bounds[i : i + len(full) + 1])), cells[part]] = values[part]
+                full[:, CELLS:] = dense[i : i + len(full)]
+                yield i, full
+
+        centre = np.concatenate([word_mean, mean]).astype(np.float32)
 
         def times(m):
-            return _products(cells, values, bounds, m[:CELLS]) + dense @ m[CELLS:] - (word_mean @ m[:CELLS] + mean @ m[CELLS:])
+            m = m.astype(np.float32)
+            return np.concatenate([full @ m for _, full in blocks()]) - centre @ m
 
         def back(z):
-            total = z.sum(0)
-            return np.concatenate([_products(row[by], values[by], of_cell, z) - np.outer(word_mean, total), dense.T @ z - np.outer(mean, total)])
+            z = z.astype(np.float32)
+            return sum(full.T @ z[i : i + len(full)] for i, full in blocks()) - np.outer(centre, z.sum(0))
 
         q = np.linalg.qr(back(np.random.default_rng(0).standard_normal((n, dimensions + _SPARE))))[0]
         for _ in range(_ITERATIONS):
@@ -121,15 +129,15 @@ class Voter:
         _, _, v = np.linalg.svd(times(q), full_matrices=False)
         axes = q @ v[:dimensions].T
         signs = np.sign(axes[np.abs(axes).argmax(0), np.arange(axes.shape[1])])
-        self.axes = np.ascontiguousarray(axes * np.where(signs == 0, 1, signs))
+        self.axes = np.ascontiguousarray(axes * np.where(signs == 0, 1, signs), np.float32)
         self.centre = word_mean @ self.axes[:CELLS] + mean @ self.axes[CELLS:]
         self.vectors, self.labels, self.k = self.latent(words, x), y.astype(np.float64), min(neighbours, n)
 
     def _word_block(self, words) -> np.ndarray:
         cells, counts, bounds = words
-        values = counts * self.word_weight[cells]
-        row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-        return values / np.sqrt(np.maximum(np.bincount(row, weights=values**2, minlength=len(bounds) - 1), 1e-300))[row]
+        values = (counts * self.word_weight[cells]).astype(np.float32)
+        row = np.repeat(np.arange(len(bounds) - 1, dtype=np.int32), np.diff(bounds))
+        return values / np.sqrt(np.maximum(np.bincount(row, weights=values**2, minlength=len(bounds) - 1), 1e-30)).astype(np.float32)[row]
 
     def _shape_block(self, x: np.ndarray) -> np.ndarray:
         out = x * self.weight
@@ -195,7 +203,7 @@ def quality_votes(
     if rows:
         rows.sort(key=lambda r: r["id"])
         cells = [np.frombuffer(r["cells"], np.uint16) for r in rows]
-        words = (np.concatenate(cells).astype(np.int64), np.concatenate([np.frombuffer(r["counts"], np.float32) for r in rows]).astype(np.float64), np.cumsum([0, *map(len, cells)]))
+        words = (np.concatenate(cells), np.concatenate([np.frombuffer(r["counts"], np.float32) for r in rows]), np.cumsum([0, *map(len, cells)]))
         x, y = np.stack([np.frombuffer(r["x"], np.float32) for r in rows]), np.array([r["y"] for r in rows])
         del rows, cells
         voter = spark.sparkContext.broadcast(Voter(words, x, y))

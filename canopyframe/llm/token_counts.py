@@ -194,7 +194,7 @@ def _use(table):
     def run(batches):
         pieces, used = table.value, None
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
+            for part in slices(batch, "text", 2 << 20):
                 words, use, _ = _words(part)
                 n = np.bincount(use, minlength=len(words))
                 long = np.flatnonzero(np.asarray(pc.utf8_length(words)) > LONG)
@@ -243,7 +243,7 @@ def token_counts(docs: DataFrame, pieces: str, rounds: int = ROUNDS, id_col: str
 
     pieces: path of a sentencepiece file; only its pieces are read, their log-probabilities are estimated from the
     documents (``estimate``). Words end at the six ASCII white-space characters and begin with a mark. Each slice of
-    about 4 MB puts its distinct words into a trie and sums by document; no shuffle, and memory is bounded:
+    about 2 MB puts its distinct words into a trie and sums by document; no shuffle, and memory is bounded:
     words of over ``LONG`` code points are split outside the trie. Null and empty texts have 0 words and tokens. Null and
     repeated ids are kept as they are; repeated rows count in the estimate as often as they are there. An empty
     table gives an empty result. Extra columns are ignored.
@@ -254,7 +254,7 @@ def token_counts(docs: DataFrame, pieces: str, rounds: int = ROUNDS, id_col: str
     def run(batches):
         model = table.value
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
+            for part in slices(batch, "text", 2 << 20):
                 words, use, rows = _words(part)
                 size = np.asarray(pc.utf8_length(words))
                 short = np.flatnonzero(size <= LONG)
