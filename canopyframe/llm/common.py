@@ -48,11 +48,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that every executor and the driver can reach; a temporary one only where none is set."""
+    """Folder that every executor and the driver can reach: the session's, or one in the warehouse where none is set."""
     ship(spark)
     there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not there:
-        there = tempfile.mkdtemp(prefix="canopy-checkpoint-")
+        there = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/canopy-checkpoint"
         spark.sparkContext.setCheckpointDir(there)
     return there.rstrip("/")
 

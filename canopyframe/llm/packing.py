@@ -121,16 +121,16 @@ def best_fit_pack(pieces: DataFrame, size: int = 2048, id_col: str = "doc_id", l
     The driver sees one count per length (``size`` rows at most) and plans on them; every row then finds its
     place by its rank among the rows of its length. Ranks come from counts per (length, bucket), so a length
     that a third of the rows share is still spread over all buckets. Rows keep all their columns and gain
-    sequence_id and offset. Longer or empty rows are refused. An empty table gives an empty result.
+    sequence_id and offset. Longer or empty rows and ones without a length are refused (ValueError). An empty table gives an empty result.
     """
     spark = pieces.sparkSession
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     known = list(pieces.columns)
     rows = pieces.withColumn("_bucket", F.pmod(F.xxhash64(*[c for c in known if c != length_col]), F.lit(n)).cast("int"))
     per_bucket = materialize(rows.groupBy(F.col(length_col).alias("_len"), "_bucket").agg(F.count(F.lit(1)).alias("_n")), "lengths")
-    counts = {int(r[0]): int(r[1]) for r in per_bucket.groupBy("_len").agg(F.sum("_n")).collect()}  # one row a length
-    if any(not 0 < length <= size for length in counts):
-        raise ValueError(f"lengths must be 1 to {size}")
+    counts = {r[0]: int(r[1]) for r in per_bucket.groupBy("_len").agg(F.sum("_n")).limit(size + 1).collect()}  # one row a length
+    if any(length is None or not 0 < length <= size for length in counts):
+        raise ValueError(f"lengths must be 1 to {size}, none null")
     plan = best_fit_plan(counts, size)
     base = {length: b for length, b in zip(sorted(counts), np.cumsum([0, *[counts[k] for k in sorted(counts)]]).tolist())}
     plan.sort(key=lambda p: (p[0], p[1]))

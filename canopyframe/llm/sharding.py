@@ -15,6 +15,8 @@ def byte_shards(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", tex
     size differs from the equal target by at most the largest document. Rows are dealt by id ranges; only the
     totals of these ranges (one row each) are summed across ranges, then added to the running sums inside.
 
+    Equal texts are not kept together: each goes where its id puts it, as sizes alone decide (law ``bytes``).
+
     Size is the UTF-8 length of the text (null: 0) plus ``overhead``. Null ids sort first; rows with equal ids
     are ordered by checksum, and rows equal in both are interchangeable. Only the two named columns are read,
     so further columns of any name do no harm. An empty table gives an empty result.

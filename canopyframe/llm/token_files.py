@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -92,8 +90,8 @@ class DacReader:
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every whole text, append ``end_id`` and write the ids in ascending id order.
 
-    Rows are dealt by id ranges and sorted inside, so file order is id order (null ids first; repeated ids side
-    by side). A row of the folder is a segment of a few MB of text: shard, seg, first (ids before it in its
+    Rows are dealt by ranges of id and checksum and sorted inside, so file order is id order (null ids first;
+    among equal ids by a checksum of the text, so that only equal rows must share a task). A row of the folder is a segment of a few MB of text: shard, seg, first (ids before it in its
     shard), n_ids, doc_ids and doc_lens (packed 64- and 32-bit integers), codes (a directly addressable code, see ``dac_encode``). Null text counts
     as empty: the end id alone. An empty table writes an empty folder.
     """
@@ -116,9 +114,10 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
                 )
                 seg, first = seg + 1, first + len(full)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = rows.repartitionByRange("id").sortWithinPartitions("id").select("id", "text", F.spark_partition_id().alias("shard"))
-    rows.mapInArrow(write, "shard int, seg int, first long, n_ids long, doc_ids binary, null_ids binary, doc_lens binary, codes binary").write.parquet(path)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("sum"), F.col(text_col).alias("text"))
+    rows = rows.repartitionByRange("id", "sum").sortWithinPartitions("id", "sum").select("id", "text", F.spark_partition_id().alias("shard"))
+    out = rows.mapInArrow(write, "shard int, seg int, first long, n_ids long, doc_ids binary, null_ids binary, doc_lens binary, codes binary")
+    out.write.option("compression", "uncompressed").parquet(path)  # so that a code's bytes are read as they are
 
 
 def shard_starts(folder: DataFrame) -> DataFrame:
@@ -170,7 +169,3 @@ def token_at(spark: SparkSession, path: str, positions: DataFrame) -> DataFrame:
         .groupBy("shard", "seg", "first").agg(F.collect_list("position").alias("wanted"))  # at most a segment's ids
     )
     return hits.join(folder.select("shard", "seg", "codes"), ["shard", "seg"]).select("codes", "first", "wanted").mapInArrow(look, "position long, id long")
-
-
-def crc_of(ids: bytes) -> int:
-    return zlib.crc32(ids)
