@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -23,7 +22,7 @@ from .queries_stats import METRICS, r
 
 def _folder(spark) -> str:
     """A new folder where all executors can read and write."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="canopy-")
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
     return f"{root.rstrip('/')}/tables-{uuid.uuid4().hex}"
 
 
