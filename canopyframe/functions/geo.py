@@ -78,11 +78,15 @@ def from_utm(x, y, epsg) -> list[Column]:
         p = p - b * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
         q = q - b * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
     conformal = F.asin(F.sin(p) / F.cosh(q))
-    # conformal to geodetic latitude by fixed-point rounds
-    lat = conformal
-    for _ in range(4):
-        lat = F.asin(F.tanh(F.atanh(F.sin(conformal)) + _E * F.atanh(_E * F.sin(lat))))
-    return [(F.degrees(F.atan2(F.sinh(q), F.cos(p))) + (epsg % 100 * 6 - 183)).alias("lon"), F.degrees(lat).alias("lat")]
+
+    def geodetic(chi):  # from the conformal latitude by fixed-point rounds
+        lat = chi
+        for _ in range(4):
+            lat = F.asin(F.tanh(F.atanh(F.sin(chi)) + _E * F.atanh(_E * F.sin(lat))))
+        return F.degrees(lat)
+
+    lat = F.transform(F.array(conformal), geodetic)[0]  # bound, as the rounds use it often
+    return [(F.degrees(F.atan2(F.sinh(q), F.cos(p))) + (epsg % 100 * 6 - 183)).alias("lon"), lat.alias("lat")]
 
 
 def box(x, y, half_x, half_y) -> list[Column]:

@@ -66,10 +66,47 @@ def ring_distance(x: Column, y: Column, ring: Column) -> Column:
     return F.array_min(F.transform(ring, away))
 
 
-def tiles_per_region(tiles: DataFrame, regions: DataFrame) -> DataFrame:
-    """Tiles and regions (boxes) that intersect, borders included; regions are a dimension table."""
+def ring_meets_box(ring: Column, xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:
+    """Whether a polygon and a box have a point in common, borders included: an edge passes the box, or the box lies inside.
+
+    An edge is cut to the part of it between the box's sides, first in x, then in y; nothing may be left of it.
+    """
+    n = F.size(ring)
+    never = F.struct(F.lit(2.0).alias("from"), F.lit(-1.0).alias("to"))
+
+    def between(p, q, low, high):
+        a, b = F.try_divide(low - p, q - p), F.try_divide(high - p, q - p)
+        part = F.struct(F.least(a, b).alias("from"), F.greatest(a, b).alias("to"))
+        whole = F.struct(F.lit(0.0).alias("from"), F.lit(1.0).alias("to"))
+        return F.when(p != q, part).when(p.between(low, high), whole).otherwise(never)
+
+    def passes(p, i):
+        q = F.get(ring, (i + 1) % n)
+        x, y = between(p["x"], q["x"], xmin, xmax), between(p["y"], q["y"], ymin, ymax)
+        return F.greatest(F.lit(0.0), x["from"], y["from"]) <= F.least(F.lit(1.0), x["to"], y["to"])
+
+    return F.array_contains(F.transform(ring, passes), True) | in_ring(xmin, ymin, ring)
+
+
+def ring_bounds(df: DataFrame) -> DataFrame:
+    """df with the bounds of its column ``ring``."""
+    x, y = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
+    return df.select("*", F.array_min(x).alias("xmin"), F.array_min(y).alias("ymin"), F.array_max(x).alias("xmax"), F.array_max(y).alias("ymax"))
+
+
+def tiles_per_region(tiles: DataFrame, regions: DataFrame, cell: float = 10.0) -> DataFrame:
+    """Tiles and regions that intersect, borders included. Tiles are boxes, regions boxes or, with a column ``ring``,
+    polygons. They meet by grid cell; a pair is tested in the cell of the lower left corner of what their bounds share."""
+    polygons = "ring" in regions.columns
+    right = ring_bounds(regions) if polygons else regions
+    cells = lambda df: df.select("*", touched_cells(cell).alias("_c")).select("*", "_c.cx", "_c.cy").drop("_c")
+    t, r = cells(tiles).alias("t"), cells(right).alias("r")
     meets = (F.col("t.xmin") <= F.col("r.xmax")) & (F.col("t.xmax") >= F.col("r.xmin")) & (F.col("t.ymin") <= F.col("r.ymax")) & (F.col("t.ymax") >= F.col("r.ymin"))
-    return tiles.alias("t").join(small(regions).alias("r"), meets).select("r.region", "t.tile")
+    own = (F.floor(F.greatest("t.xmin", "r.xmin") / cell) == F.col("t.cx")) & (F.floor(F.greatest("t.ymin", "r.ymin") / cell) == F.col("t.cy"))
+    both = t.join(r, (F.col("t.cx") == F.col("r.cx")) & (F.col("t.cy") == F.col("r.cy"))).where(meets & own)
+    if polygons:
+        both = both.where(ring_meets_box(F.col("r.ring"), *[F.col(f"t.{k}") for k in ("xmin", "ymin", "xmax", "ymax")]))
+    return both.select("r.region", "t.tile")
 
 
 def points_in(points: DataFrame, polys: DataFrame, how: str = "within", keep: bool = True, cell: float = 10.0) -> DataFrame:
@@ -94,17 +131,20 @@ def overlap_join(points: DataFrame, centers: DataFrame, half: float = 640.0) ->
     return points.join(at.join(boxes, ["epsg", "cx", "cy"]).where(near).select("id").distinct(), "id", "left_semi")
 
 
-def near_regions(points: DataFrame, regions: DataFrame, buffer_m: float) -> DataFrame:
-    """Points within ``buffer_m`` of a region's ring or inside it, in equal-area metres; regions are a dimension."""
+def near_regions(points: DataFrame, regions: DataFrame, buffer_m: float, cell_m: float = 500_000.0) -> DataFrame:
+    """Points within ``buffer_m`` of a region's ring or inside it, in equal-area metres. They meet by the grid cells that a
+    region's bounds and the buffer touch."""
     at = points.select("*", *cylindrical("lon", "lat"))
     ring = F.transform("ring", lambda p: F.struct(F.radians(p["x"]).alias("x"), F.radians(p["y"]).alias("y")))
     r = 6371007.0
     ring = F.transform(ring, lambda p: F.struct((p["x"] * r).alias("x"), (F.sin(p["y"]) * r).alias("y")))
     rings = regions.select("region", ring.alias("ring"))
-    rings = rings.select("*", (F.array_min(F.transform("ring", lambda p: p["x"])) - buffer_m).alias("bx0"), (F.array_max(F.transform("ring", lambda p: p["x"])) + buffer_m).alias("bx1"), (F.array_min(F.transform("ring", lambda p: p["y"])) - buffer_m).alias("by0"), (F.array_max(F.transform("ring", lambda p: p["y"])) + buffer_m).alias("by1"))
+    rings = ring_bounds(rings).selectExpr("ring", *[f"{k} {s} {buffer_m!r}D AS {k}" for k, s in (("xmin", "-"), ("ymin", "-"), ("xmax", "+"), ("ymax", "+"))])
+    rings = rings.select("*", touched_cells(cell_m).alias("_c")).select("*", "_c.cx", "_c.cy")
     x, y = F.col("mx"), F.col("my")
-    boxed = x.between(F.col("bx0"), F.col("bx1")) & y.between(F.col("by0"), F.col("by1"))
-    hit = at.join(small(rings), boxed).where(in_ring(x, y, F.col("ring")) | (ring_distance(x, y, F.col("ring")) <= buffer_m))
+    at = at.withColumn("cx", F.floor(x / cell_m).cast("long")).withColumn("cy", F.floor(y / cell_m).cast("long"))
+    boxed = x.between(F.col("xmin"), F.col("xmax")) & y.between(F.col("ymin"), F.col("ymax"))
+    hit = at.join(rings, ["cx", "cy"]).where(boxed).where(in_ring(x, y, F.col("ring")) | (ring_distance(x, y, F.col("ring")) <= buffer_m))
     return points.join(hit.select("id").distinct(), "id", "left_semi")
 
 
@@ -237,12 +277,30 @@ def sample_raster(points: DataFrame, rasters: DataFrame, pixels: DataFrame, noda
     return out.select("id", "raster_id", "row", "col", F.when(F.col("value") != nodata, F.col("value")).alias("value"))
 
 
+def _zone_values(hits: DataFrame, value: str) -> DataFrame:
+    return hits.groupBy("zone").agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.median(value).alias("median"), F.percentile(value, 0.9).alias("p90"))
+
+
+def polygon_stats(polys: DataFrame, pixels: DataFrame, cell: float, half: float, value: str = "value") -> DataFrame:
+    """Mean, median and 90th percentile of all pixels that a polygon touches, in the polygon's own zone.
+
+    polys: zone, epsg, ring; pixels: epsg, x, y (centres of squares with sides of 2 * half), value.
+    """
+    rings = ring_bounds(polys.select("zone", "epsg", "ring"))
+    wider = rings.selectExpr("zone", "epsg", "ring", *[f"{k} {s} {half!r}D AS {k}" for k, s in (("xmin", "-"), ("ymin", "-"), ("xmax", "+"), ("ymax", "+"))])
+    wider = wider.select("*", touched_cells(cell).alias("_c")).select("*", "_c.cx", "_c.cy").drop("_c")
+    x, y = F.col("x"), F.col("y")
+    at = pixels.where(F.col(value).isNotNull()).withColumn("cx", F.floor(x / cell).cast("long")).withColumn("cy", F.floor(y / cell).cast("long"))
+    near = at.join(wider, ["epsg", "cx", "cy"]).where(x.between(F.col("xmin"), F.col("xmax")) & y.between(F.col("ymin"), F.col("ymax")))
+    return _zone_values(near.where(ring_meets_box(F.col("ring"), x - half, y - half, x + half, y + half)), value)
+
+
 def zonal_stats(polys: DataFrame, pixels: DataFrame, cell: float, value: str = "value") -> DataFrame:
     """Mean, median and 90th percentile of the pixels whose centre lies in a box. pixels: x, y, value."""
     boxes = polys.select("zone", "xmin", "ymin", "xmax", "ymax", touched_cells(cell).alias("c")).select("*", "c.cx", "c.cy")
     at = pixels.where(F.col(value).isNotNull()).withColumn("cx", F.floor(F.col("x") / cell).cast("long")).withColumn("cy", F.floor(F.col("y") / cell).cast("long"))
     inside = at.join(boxes, ["cx", "cy"]).where((F.col("xmin") <= F.col("x")) & (F.col("x") < F.col("xmax")) & (F.col("ymin") < F.col("y")) & (F.col("y") <= F.col("ymax")))
-    return inside.groupBy("zone").agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.median(value).alias("median"), F.percentile(value, 0.9).alias("p90"))
+    return _zone_values(inside, value)
 
 
 def common_coverage(grid: DataFrame, a: DataFrame, b: DataFrame, keys, by) -> DataFrame:
@@ -260,13 +318,16 @@ def tile_refcounts(samples: DataFrame, reach: float) -> DataFrame:
     return required_tiles(samples, reach).groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("n"))
 
 
-def metres_per_degree(lat: float) -> tuple[float, float]:
-    return 110540.0, 111320.0 * math.cos(math.radians(lat))
-
-
 def locate(positions: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Range and row inside it of global positions; ranges (start, end exclusive) are one row a tile."""
-    return positions.join(small(ranges), (F.col("position") >= F.col("start")) & (F.col("position") < F.col("end"))).withColumn("row", F.col("position") - F.col("start"))
+    """Range and row inside it of global positions; ranges (start, end exclusive) are one row a tile.
+
+    They meet by blocks of positions as long as a range is on average."""
+    size = ranges.agg(F.ceil(F.avg(F.col("end") - F.col("start")))).first()[0]
+    block = max(1, int(size or 1))
+    blocks = F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("end") - 1) / block)))
+    cut = ranges.where(F.col("end") > F.col("start")).withColumn("_b", blocks)
+    both = positions.withColumn("_b", F.floor(F.col("position") / block)).join(cut, "_b").where((F.col("position") >= F.col("start")) & (F.col("position") < F.col("end")))
+    return both.drop("_b").withColumn("row", F.col("position") - F.col("start"))
 
 
 def index_ranges(sizes: DataFrame, order) -> DataFrame:

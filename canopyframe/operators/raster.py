@@ -114,14 +114,31 @@ def north_up(meta: DataFrame, pixels: DataFrame) -> tuple[DataFrame, DataFrame]:
     return flipped, out
 
 
+def _degree_cells(meta: DataFrame, name: str) -> DataFrame:
+    """Cells of one degree that a grid may touch, from points along its border and a margin."""
+    part = [k / 4 for k in range(5)]
+    border = [(u, v) for u in part for v in part if u in (0, 1) or v in (0, 1)]
+    at = F.array(*[F.struct((F.col("c") + u * F.col("width") * F.col("a")).alias("x"), (F.col("f") + v * F.col("height") * F.col("e")).alias("y")) for u, v in border])
+    seen = meta.select(name, "epsg", F.explode(at).alias("p")).select(name, *from_utm("p.x", "p.y", "epsg"))
+    low, high = (lambda k: F.floor(F.min(k) - 0.05).cast("int").alias(f"{k}0")), (lambda k: F.floor(F.max(k) + 0.05).cast("int").alias(f"{k}1"))
+    box = seen.groupBy(name).agg(low("lon"), high("lon"), low("lat"), high("lat"))
+    return box.select(name, F.explode(F.sequence("lat0", "lat1")).alias("_lat"), "lon0", "lon1").select(name, "_lat", F.explode(F.sequence("lon0", "lon1")).alias("_lon"))
+
+
 def regrid(pixels: DataFrame, src: DataFrame, dst: DataFrame) -> DataFrame:
-    """Nearest value on another grid: every destination pixel's centre is projected back into the source."""
-    d = dst.select("grid", "epsg", "a", "e", "c", "f", "width", "height").withColumn("row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("height").cast("long") - 1))).withColumn("col", F.explode(F.sequence(F.lit(0).cast("long"), F.col("width").cast("long") - 1)))
+    """Nearest value on another grid: every destination pixel's centre is projected back into the source.
+
+    Grids meet the rasters that they may overlap by cells of one degree; only then are they cut into pixels."""
+    near = _degree_cells(dst, "grid").join(_degree_cells(src, "raster_id"), ["_lon", "_lat"]).select("grid", "raster_id").distinct()
+    dst = dst.join(near, "grid")
+    d = dst.select("grid", "raster_id", "epsg", "a", "e", "c", "f", "width", "height").withColumn("row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("height").cast("long") - 1))).withColumn("col", F.explode(F.sequence(F.lit(0).cast("long"), F.col("width").cast("long") - 1)))
     d = d.withColumn("x", F.col("c") + (F.col("col") + 0.5) * F.col("a")).withColumn("y", F.col("f") + (F.col("row") + 0.5) * F.col("e"))
-    s = small(src.select(F.col("raster_id"), *[F.col(k).alias(f"s_{k}") for k in ("epsg", "a", "e", "c", "f", "width", "height")]))
-    both = d.join(s)
-    both = both.withColumn("_g", F.struct(*from_utm("x", "y", "epsg"))).withColumn("_p", F.struct(*to_utm("_g.lon", "_g.lat", "s_epsg")))
+    s = small(src.select("raster_id", *[F.col(k).alias(f"s_{k}") for k in ("epsg", "a", "e", "c", "f", "width", "height")]))
+    both = d.join(s, "raster_id")
     same = F.col("epsg") == F.col("s_epsg")
+    # bound as a value of one element, as the second projection's many uses of the first would otherwise repeat it
+    there = F.transform(F.array(F.struct(*from_utm("x", "y", "epsg"))), lambda g: F.struct(*to_utm(g["lon"], g["lat"], "s_epsg")))[0]
+    both = both.withColumn("_p", F.when(~same, there))
     px, py = F.when(same, F.col("x")).otherwise(F.col("_p.x")), F.when(same, F.col("y")).otherwise(F.col("_p.y"))
     both = both.withColumn("_row", F.floor((py - F.col("s_f")) / F.col("s_e"))).withColumn("_col", F.floor((px - F.col("s_c")) / F.col("s_a")))
     both = both.where((F.col("_row") >= 0) & (F.col("_row") < F.col("s_height")) & (F.col("_col") >= 0) & (F.col("_col") < F.col("s_width")))

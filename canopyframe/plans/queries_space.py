@@ -66,6 +66,16 @@ def _(spark, d):
     return J.tiles_per_region(tiles, regions)
 
 
+@query("j04_tiles_per_polygon", """WITH t AS (SELECT plot AS tile, lon - 2 AS x0, lon + 2 AS x1, lat - 2 AS y0, lat + 2 AS y1 FROM plots), g AS (SELECT n_nationkey AS region, n_nationkey * 14e0 - 165 AS cx, n_nationkey * 5e0 - 55 AS cy FROM nation)
+    SELECT region, tile FROM t JOIN g ON greatest(x0 - cx, cx - x1, 0) + greatest(y0 - cy, cy - y1, 0) <= 15.5e0""")
+def _(spark, d):
+    t = Tables(spark, d)
+    tiles = t.plots.selectExpr("plot AS tile", "lon - 2 AS xmin", "lon + 2 AS xmax", "lat - 2 AS ymin", "lat + 2 AS ymax")
+    n = t.raw("nation").selectExpr("n_nationkey AS region", "n_nationkey * 14D - 165 AS cx", "n_nationkey * 5D - 55 AS cy")
+    ring = F.array(*[F.struct((F.col("cx") + dx).alias("x"), (F.col("cy") + dy).alias("y")) for dx, dy in ((15.5, 0), (0, 15.5), (-15.5, 0), (0, -15.5))])
+    return J.tiles_per_region(tiles, n.select("region", ring.alias("ring")))
+
+
 # diamonds around the nations' places: |dx| + |dy| < 15, border excluded or included
 _DIAMOND = "(SELECT n_nationkey * 14e0 - 165 AS cx, n_nationkey * 5e0 - 55 AS cy FROM nation)"
 
@@ -615,13 +625,17 @@ def _(spark, d):
     return pix.join(F.broadcast(meta.select("raster_id", "f")), "raster_id").select("raster_id", "row", "col", "value", "f")
 
 
-@query("g09_regrid", """WITH g AS (SELECT i AS row, j AS col, 500085e0 + j * 15 + 7.5e0 AS x, 4999990e0 - i * 15 - 7.5e0 AS y FROM range(6) a(i) CROSS JOIN range(12) b(j)),
-    s AS (SELECT g.row, g.col, raster_id, CAST(floor((f - y) / 10) AS BIGINT) AS r, CAST(floor((x - c) / 10) AS BIGINT) AS k, height FROM g CROSS JOIN rasters WHERE raster_id IN (0, 1))
-    SELECT 'g' AS grid, s.raster_id, s.row, s.col, value FROM s LEFT JOIN pix ON pix.raster_id = s.raster_id AND pix.row = r AND pix.col = k WHERE r >= 0 AND r < height AND k >= 0 AND k < 32""")
+_TOP_EDGE = "CASE WHEN e > 0 THEN f + e * height ELSE f END"
+
+
+@query("g09_regrid", f"""WITH m AS (SELECT 'g' || raster_id AS grid, epsg, c - 20 AS c, {_TOP_EDGE} + 10 AS f, CAST(ceil(height * 10 / 15e0) AS BIGINT) + 2 AS height FROM rasters),
+    g AS (SELECT grid, epsg, i AS row, j AS col, c + j * 15 + 7.5e0 AS x, f - i * 15 - 7.5e0 AS y FROM (SELECT *, unnest(range(height)) AS i FROM m) CROSS JOIN range(24) b(j)),
+    s AS (SELECT grid, g.row, g.col, raster_id, CAST(floor((y - f) / e) AS BIGINT) AS r, CAST(floor((x - c) / 10) AS BIGINT) AS k, height FROM g JOIN rasters USING (epsg))
+    SELECT grid, s.raster_id, s.row, s.col, value FROM s LEFT JOIN pix ON pix.raster_id = s.raster_id AND pix.row = r AND pix.col = k WHERE r >= 0 AND r < height AND k >= 0 AND k < 32""")
 def _(spark, d):
     t = Tables(spark, d)
-    dst = t.raw("region").where("r_regionkey = 0").selectExpr("'g' AS grid", "32632 AS epsg", "15D AS a", "-15D AS e", "500085D AS c", "4999990D AS f", "12 AS width", "6 AS height")
-    return R.regrid(t.pix, t.rasters.where("raster_id in (0, 1)"), dst)
+    dst = t.rasters.selectExpr("concat('g', raster_id) AS grid", "epsg", "15D AS a", "-15D AS e", "c - 20 AS c", f"{_TOP_EDGE} + 10 AS f", "24 AS width", "CAST(ceil(height * 10 / 15D) AS BIGINT) + 2 AS height")
+    return R.regrid(t.pix, t.rasters, dst)
 
 
 @query("g10_clip", "SELECT raster_id, row, col, value FROM pix WHERE row >= 3 AND row < 9 AND col >= 5 AND col < 20")
@@ -736,6 +750,18 @@ def _(spark, d):
     return rounded(J.zonal_stats(zones, pix, 60.0))
 
 
+@query("a29_polygon_stats", f"""WITH z AS (SELECT c_custkey AS zone, raster_id, epsg, c + c_custkey * 37 % 300 AS cx, f + e * (c_custkey * 53 % (height * 10)) / 10 AS cy FROM customer JOIN rasters ON raster_id = c_custkey % 4),
+    p AS (SELECT epsg, c + (col + 0.5e0) * a AS x, f + (row + 0.5e0) * e AS y, value FROM valid JOIN rasters USING (raster_id))
+    SELECT zone, count(value) AS n, {r('avg(value)', 'mean')}, {r('median(value)', 'median')}, {r('quantile_cont(value, 0.9)', 'p90')} FROM z JOIN p ON z.epsg = p.epsg AND x BETWEEN cx - 40 AND cx + 40 AND y BETWEEN cy - 40 AND cy + 40
+    AND greatest(abs(x - cx) - 5, 0) + greatest(abs(y - cy) - 5, 0) <= 22.25e0 GROUP BY zone""")
+def _(spark, d):
+    t = Tables(spark, d)
+    z = t.raw("customer").withColumn("raster_id", F.col("c_custkey") % 4).join(t.rasters, "raster_id").selectExpr("c_custkey AS zone", "epsg", "c + c_custkey * 37 % 300 AS cx", "f + e * (c_custkey * 53 % (height * 10)) / 10 AS cy")
+    ring = F.array(*[F.struct((F.col("cx") + dx).alias("x"), (F.col("cy") + dy).alias("y")) for dx, dy in ((22.25, 0), (0, 22.25), (-22.25, 0), (0, -22.25))])
+    pix = t.valid.join(t.rasters, "raster_id").selectExpr("epsg", "c + (col + 0.5D) * a AS x", "f + (row + 0.5D) * e AS y", "value")
+    return rounded(J.polygon_stats(z.select("zone", "epsg", ring.alias("ring")), pix, 60.0, 5.0))
+
+
 @query("a30_common_coverage", f"""WITH g AS (SELECT row, col, row // 5 AS plot FROM pix WHERE raster_id = 0), x AS (SELECT g.plot, a.value AS p, b.value AS q FROM g LEFT JOIN (SELECT * FROM valid WHERE raster_id = 1) a USING (row, col) LEFT JOIN (SELECT * FROM valid WHERE raster_id = 2) b USING (row, col))
     SELECT plot, {r('avg(CASE WHEN p IS NOT NULL THEN 1e0 ELSE 0 END)', 'cov_a')}, {r('avg(CASE WHEN q IS NOT NULL THEN 1e0 ELSE 0 END)', 'cov_b')}, {r('avg(CASE WHEN p IS NOT NULL AND q IS NOT NULL THEN 1e0 ELSE 0 END)', 'cov_both')},
     {r('avg(p) FILTER (q IS NOT NULL)', 'mean_a')}, {r('avg(q) FILTER (p IS NOT NULL)', 'mean_b')} FROM x GROUP BY plot""")
