@@ -101,7 +101,7 @@ class Voter:
         cells, counts, bounds = words
         n = len(x)
         inverse = lambda held: np.log((1 + n) / (1 + held)) + 1
-        self.word_weight, self.weight = inverse(np.bincount(cells, minlength=CELLS)), inverse((x > 0).sum(0))
+        self.word_weight, self.weight = inverse(np.bincount(cells, minlength=CELLS)), inverse((x > 0).sum(0)).astype(np.float32)
         values, dense = self._word_block(words), self._shape_block(x)
         word_mean, mean = np.bincount(cells, weights=values, minlength=CELLS) / n, dense.mean(0)
 
@@ -142,7 +142,8 @@ class Voter:
     def _shape_block(self, x: np.ndarray) -> np.ndarray:
         out = x * self.weight
         norm = np.linalg.norm(out, axis=1, keepdims=True)
-        return out / np.where(norm > 0, norm, 1)
+        out /= np.where(norm > 0, norm, 1)
+        return out
 
     def latent(self, words, x: np.ndarray) -> np.ndarray:
         z = _products(words[0], self._word_block(words), words[2], self.axes[:CELLS]) + self._shape_block(x) @ self.axes[CELLS:] - self.centre
