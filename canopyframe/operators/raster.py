@@ -61,21 +61,22 @@ def centres(meta: DataFrame, step: int, half: int) -> DataFrame:
     return meta.select("raster_id", "height", "width", F.posexplode(axis(F.col("height"))).alias("i", "row")).select("raster_id", "i", "row", F.posexplode(axis(F.col("width"))).alias("j", "col"))
 
 
-def extract_patches(points: DataFrame, pixels: DataFrame, size: int = 25, block: int = 256) -> DataFrame:
+def extract_patches(points: DataFrame, pixels: DataFrame, size: int = 25, width: int = 64) -> DataFrame:
     """Square of pixels around each point, row by row, NULL outside. points: id, raster_id, row, col.
 
-    Points and pixels meet by block: a point goes to the blocks that its patch touches (at most four for patches
-    smaller than a block), so pixels are shuffled once by block and not once a pixel.
+    Pixels are laid as strips of ``width`` columns of one row, shuffled once; a point meets the strips of its patch's
+    rows (one or two a row where strips are wider than patches) and takes its part of each.
     """
     half = size // 2
-    at = lambda c, d: F.floor((F.col(c) + d) / block)
-    touched = F.explode(F.flatten(F.transform(F.sequence(at("row", -half), at("row", half)), lambda i: F.transform(F.sequence(at("col", -half), at("col", half)), lambda j: F.struct(i.alias("brow"), j.alias("bcol"))))))
-    p = points.select("id", "raster_id", F.col("row").alias("_r"), F.col("col").alias("_c"), touched.alias("b")).select("*", "b.brow", "b.bcol").drop("b")
-    x = pixels.select("raster_id", "row", "col", "value", F.floor(F.col("row") / block).alias("brow"), F.floor(F.col("col") / block).alias("bcol"))
-    hit = p.join(x, ["raster_id", "brow", "bcol"]).where((F.abs(F.col("row") - F.col("_r")) <= half) & (F.abs(F.col("col") - F.col("_c")) <= half))
-    place = ((F.col("row") - F.col("_r") + half) * size + F.col("col") - F.col("_c") + half).cast("int")
-    cells = hit.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct(place.alias("k"), "value"))).alias("_m"))  # size * size entries at most
-    return points.join(cells, "id", "left").select("id", F.transform(F.sequence(F.lit(0), F.lit(size * size - 1)), lambda k: F.col("_m")[k]).alias("patch"))
+    offsets = F.sequence(F.lit(-half), F.lit(half))
+    strips = pixels.groupBy("raster_id", "row", F.floor(F.col("col") / width).alias("strip")).agg(F.map_from_entries(F.collect_list(F.struct("col", "value"))).alias("_m"))  # width entries at most
+    at = lambda d: F.floor((F.col("_c") + d) / width)
+    p = points.select("id", "raster_id", F.col("row").alias("_r"), F.col("col").alias("_c"), F.explode(offsets).alias("_i"))
+    p = p.withColumn("row", F.col("_r") + F.col("_i")).withColumn("strip", F.explode(F.sequence(at(-half), at(half))))
+    cells = F.transform(offsets, lambda d: F.struct(((F.col("_i") + half) * size + d + half).alias("k"), F.try_element_at("_m", F.col("_c") + d).alias("value")))
+    hit = p.join(strips, ["raster_id", "row", "strip"]).select("id", F.filter(cells, lambda c: c["value"].isNotNull()).alias("cells"))
+    found = hit.groupBy("id").agg(F.map_from_entries(F.flatten(F.collect_list("cells"))).alias("_m"))  # size * size entries at most
+    return points.join(found, "id", "left").select("id", F.transform(F.sequence(F.lit(0), F.lit(size * size - 1)), lambda k: F.try_element_at("_m", k)).alias("patch"))
 
 
 def extract_patches_multi(points: DataFrame, tiles: DataFrame, pixels: DataFrame, size: int, step: float) -> DataFrame:

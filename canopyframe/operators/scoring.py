@@ -43,12 +43,17 @@ def score_mlp(df: DataFrame, values: str, layers: list[dict], name: str = "pred"
     return out.withColumn(name, F.get("_h", F.lit(0))).drop("_h")
 
 
-def predict_map(windows: DataFrame, models: dict[str, tuple[float, float]], size: int, kind: str = "uint16") -> DataFrame:
-    """Scored windows blended per model, averaged over models, stored. windows: raster_id, row0, col0, i, j, value;
-    a model here is (weight, intercept) of the pixel's value."""
-    each = F.explode(F.array(*[F.struct(F.lit(n).alias("model"), F.lit(w).alias("w"), F.lit(b).alias("b")) for n, (w, b) in models.items()])).alias("m")
-    scored = windows.select("raster_id", "row0", "col0", "i", "j", "value", each)
-    scored = scored.select("raster_id", "m.model", (F.col("row0") + F.col("i")).alias("row"), (F.col("col0") + F.col("j")).alias("col"), (F.col("value") * F.col("m.w") + F.col("m.b")).alias("pred"), window_weight("i", "j", size, size).alias("weight"))
+def predict_map(windows: DataFrame, heads: dict[str, list[dict]], size: int, kind: str = "uint16") -> DataFrame:
+    """Windows scored by every head on each pixel's bands, blended per head, averaged over heads, stored.
+
+    windows: raster_id, row0 and col0 of the whole window, i, j, value (array of bands); heads: name to dense layers, see
+    ``score_mlp``.
+    """
+    place = windows.select("raster_id", (F.col("row0") + F.col("i")).alias("row"), (F.col("col0") + F.col("j")).alias("col"), "value", window_weight("i", "j", size, size).alias("weight"))
+    scored = None
+    for name, layers in heads.items():
+        one = score_mlp(place, "value", layers).select("raster_id", "row", "col", "weight", F.lit(name).alias("model"), "pred")
+        scored = one if scored is None else scored.unionByName(one)
     blended = blend_windows(scored, ["model", "raster_id", "row", "col"], "pred", "weight")
     return ensemble(blended, ["raster_id", "row", "col"], "value").withColumn("stored", to_storage(F.round("mean", 6), kind))
 

@@ -835,13 +835,16 @@ def _(spark, d):
     return rounded(H.score_mlp(e, "x", [first, second, last]).select("vec_id", "pred"))
 
 
-@query("h03_predict_map")
+@query("h03_predict_map", f"""WITH h AS (SELECT raster_id, row, col, greatest(greatest(value + 0.5e0 * aux, 0) + 2 * greatest(0.2e0 * value - 0.1e0 * aux + 1, 0) + 0.5e0, 0) AS a, greatest(2 * value - 0.3e0 * aux + 5, 0) AS b FROM valid)
+    SELECT raster_id, row, col, CAST(2 AS BIGINT) AS members, {r('(a + b) / 2', 'mean')}, {r('abs(a - b) / 2', 'std')}, CAST(least(65535, floor(round((a + b) / 2, 6))) AS INT) AS stored FROM h""")
 def _(spark, d):
     t = Tables(spark, d)
-    meta = t.rasters.where("height >= 14")
-    windows = R.read_window(R.windows_padded(meta, 20, 3), meta, t.valid.select("raster_id", "row", "col", "value"), 20)
-    windows = windows.withColumn("row0", F.col("row0") - 3).withColumn("col0", F.col("col0") - 3).where("value is not null")
-    return rounded(H.predict_map(windows, {"a": (1.0, 0.0), "b": (2.0, 5.0)}, 20))
+    bands = t.valid.select("raster_id", "row", "col", F.array("value", F.col("aux").cast("double")).alias("value"))
+    windows = R.read_window(R.windows_padded(t.rasters, 20, 3), t.rasters, bands, 20).where("value is not null")
+    windows = windows.withColumn("row0", F.col("row0") - 3).withColumn("col0", F.col("col0") - 3)  # of the whole window
+    windows = windows.join(t.rasters.select("raster_id", "height", "width"), "raster_id").where("row0 + i between 0 and height - 1 and col0 + j between 0 and width - 1")
+    two = [{"weights": [[1.0, 0.5], [0.2, -0.1]], "bias": [0.0, 1.0]}, {"weights": [[1.0, 2.0]], "bias": [0.5]}]
+    return rounded(H.predict_map(windows, {"a": two, "b": [{"weights": [[2.0, -0.3]], "bias": [5.0]}]}, 20))
 
 
 @query("h04_predict_footprints", f"SELECT region_cla, cls, {METRICS} FROM (SELECT *, rh98 * 9.5e0 + tax * 100 - 2 AS pred FROM fp) GROUP BY region_cla, cls")
