@@ -85,17 +85,38 @@ def _induce(t, smaller, heads, tails, lms_sorted):
     return sa
 
 
+def _tied_in_order(lms, found, name, tied) -> np.ndarray:
+    """Places of leftmost-smaller suffixes that share their name, in order of the suffixes of the string of names.
+
+    Two of them differ at a unique name at the latest, so that string keeps, in order of the text, the shared names
+    and what follows one of them directly.
+    """
+    place = np.searchsorted(lms, found)
+    names, shared = np.empty(len(lms), np.int64), np.empty(len(lms), bool)
+    names[place], shared[place] = name, tied
+    kept = shared.copy()
+    kept[1:] |= shared[:-1]
+    kept = np.flatnonzero(kept)
+    names = names[kept]
+    used = np.zeros(int(name[-1]) + 1, bool)
+    used[names] = True
+    names = (np.cumsum(used) - 1)[names]
+    kept = kept[suffix_array(names, int(used.sum()))]
+    return lms[kept[shared[kept]]]
+
+
 def suffix_array(t: np.ndarray, k: int) -> np.ndarray:
     """Suffix array of symbols below k by induced sorting, with an implicit sentinel behind the last.
 
     Suffixes are classified; the leftmost-smaller substrings are sorted by inducing from their places, named, and
-    the string of names is sorted the same way; its order induces the whole array in linear time. Symbols of a
+    the string of names, without what unique names decide, is sorted the same way; its order induces the whole array
+    in linear time. Symbols of a
     wide alphabet are written as two digits, which keeps the order of the suffixes that begin at first digits.
     """
     n = len(t)
     if n < 2:
         return np.arange(n)
-    if k > WIDE:
+    if k > WIDE or 64 < k > n // 64:  # buckets would hold too few
         base = math.isqrt(k - 1) + 1
         digits = np.empty(2 * n, np.int64)
         digits[0::2], digits[1::2] = np.divmod(t, base)
@@ -107,7 +128,7 @@ def suffix_array(t: np.ndarray, k: int) -> np.ndarray:
     tails = np.cumsum(count)
     heads = tails - count
     if len(lms) > 1:
-        sa = _induce(t, smaller, heads, tails, lms[np.argsort(t[lms], kind="stable")])
+        sa = _induce(t, smaller, heads, tails, lms[np.argsort(t[lms].astype(np.uint16), kind="stable")])
         is_lms = np.zeros(n, bool)
         is_lms[lms] = True
         found = sa[is_lms[sa]]
@@ -118,10 +139,10 @@ def suffix_array(t: np.ndarray, k: int) -> np.ndarray:
         h = span_hash(p, found, end[found], powers)
         last = found == lms[-1]  # it ends at the sentinel and equals no other
         name = np.concatenate([[0], np.cumsum((h[1:] != h[:-1]) | last[1:] | last[:-1])])
+        del sa, is_lms, powers, p, end, h
         if name[-1] + 1 < len(lms):
-            names = np.empty(n, np.int64)
-            names[found] = name
-            found = lms[suffix_array(names[lms], int(name[-1]) + 1)]
+            tied = np.bincount(name)[name] > 1
+            found[tied] = _tied_in_order(lms, found, name, tied)
     else:
         found = lms
     return _induce(t, smaller, heads, tails, found)
