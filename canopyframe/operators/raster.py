@@ -265,8 +265,3 @@ def coarse_map(lattice: DataFrame, meta: DataFrame, values: DataFrame, mask: Dat
     x = F.col("c") + (F.col("col") + 0.5) * F.col("a") - F.col("a") * step / 2
     y = F.col("f") + (F.col("row") + 0.5) * F.col("e") - F.col("e") * step / 2
     return at.select("raster_id", "i", "j", x.alias("left"), y.alias("top"), F.when(F.col("_m").isNull(), F.col("value")).alias("value"))
-
-
-def first_valid(pixels: DataFrame, key, priority: str) -> DataFrame:
-    w = Window.partitionBy(*key).orderBy(priority)
-    return pixels.where("value is not null").withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")

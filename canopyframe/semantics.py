@@ -52,7 +52,7 @@ def collected(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(df.collect(), df.schema)
 
 
-def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+def small(df: DataFrame, rows: int = 20_000) -> DataFrame:
     """Broadcast a dimension table if it holds at most ``rows`` rows; otherwise leave the join to the planner.
 
     The rows taken to find that out are the ones broadcast, so a small table's own plan runs once.
