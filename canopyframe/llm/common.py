@@ -270,8 +270,12 @@ def join_hot(rows: DataFrame, small: DataFrame, keys: list[str], count_col: str)
     return first.unionByName(rest)
 
 
+#: Nodes of a task's edges that are held at once.
+_HELD = 500_000
+
+
 def _forest(batches):
-    """Edges of a task as stars around the least node of each of its components."""
+    """Edges of a task as stars around the least node of each of its components, some edges at a time."""
     parent: dict[int, int] = {}
 
     def find(x):
@@ -282,13 +286,19 @@ def _forest(batches):
             parent[x], x = top, parent.get(x, x)
         return top
 
+    def stars():
+        nodes = [x for x in parent if find(x) != x]
+        return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], ["u", "v"])
+
     for batch in batches:
         for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist()):
             a, b = find(u), find(v)
             parent[max(a, b)] = min(a, b)
             parent.setdefault(min(a, b), min(a, b))
-    nodes = [x for x in parent if find(x) != x]
-    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], ["u", "v"])
+        if len(parent) > _HELD:
+            yield stars()
+            parent.clear()
+    yield stars()
 
 
 def connected_components(nodes: DataFrame | None, edges: DataFrame, node: str = "node") -> DataFrame:
