@@ -45,3 +45,26 @@ def test_word_spans_and_hashes():
     powers = Powers()
     h = span_hash(prefix_hash(raw, powers), start, end, powers)
     assert h[1] == h[4] and h[5] == h[6] and len(np.unique(h)) == 5
+
+
+def test_stars_of_edges_in_parts(monkeypatch):
+    """Stars of a task keep what its edges connect, however few nodes are held at once."""
+    import pyarrow as pa
+
+    from canopyframe.llm import common
+
+    rng = random.Random(6)
+    edges = [(rng.randrange(50), rng.randrange(50)) for _ in range(45)]
+
+    def parts(pairs):
+        label = {n: n for n in range(50)}
+        for _ in range(60):
+            for a, b in pairs:
+                label[a] = label[b] = min(label[a], label[b])
+        return label
+
+    batches = [pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges[i : i + 5]]), pa.array([e[1] for e in edges[i : i + 5]])], ["u", "v"]) for i in range(0, 45, 5)]
+    for held in (1 << 20, 7):
+        monkeypatch.setattr(common, "_HELD", held)
+        out = [(u, v) for b in common._forest(batches) for u, v in zip(b.column("u").to_pylist(), b.column("v").to_pylist())]
+        assert parts(out) == parts(edges) and len(out) <= len(edges)
