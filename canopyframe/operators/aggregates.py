@@ -236,9 +236,9 @@ def sliced_normality(df: DataFrame, values: str, directions: DataFrame, points:
     return ecf.groupBy("slice").agg((F.sum((F.pow(F.col("re") - g, 2) + F.pow(F.col("im"), 2)) * g * edge) * step * F.max("n")).alias("statistic"))
 
 
-def metrics_by_bin(df: DataFrame, pred: str, truth: str, width: int = 50, top: int = 500) -> DataFrame:
+def metrics_by_bin(df: DataFrame, pred: str, truth: str, width: int = 50, top: int = 500, by=()) -> DataFrame:
     """Metrics by label bin; labels at or above the top are in none."""
-    return metrics(df.where((F.col(truth) >= 0) & (F.col(truth) < top)).withColumn("bin", bin_of(truth, width)), pred, truth, ["bin"]).withColumn("lower", F.col("bin") * width)
+    return metrics(df.where((F.col(truth) >= 0) & (F.col(truth) < top)).withColumn("bin", bin_of(truth, width)), pred, truth, [*by, "bin"]).withColumn("lower", F.col("bin") * width)
 
 
 def merged_region(c, merge: dict[int, int] = {2: 5}) -> Column:  # noqa: B006
@@ -248,9 +248,10 @@ def merged_region(c, merge: dict[int, int] = {2: 5}) -> Column:  # noqa: B006
     return out
 
 
-def metrics_cube(df: DataFrame, pred: str, truth: str, a: str, b: str) -> DataFrame:
+def metrics_cube(df: DataFrame, pred: str, truth: str, a: str, b: str, by=()) -> DataFrame:
     """Overall, by each of two columns and by both, in one pass; ``level`` says which columns are summed over."""
-    return df.cube(a, b).agg(F.grouping_id().alias("level"), *metric_columns(pred, truth))
+    sets = [[*map(F.col, (*by, *s))] for s in ((a, b), (a,), (b,), ())]
+    return df.groupingSets(sets, *by, a, b).agg(F.grouping_id().alias("level"), *metric_columns(pred, truth))
 
 
 def residual_boxes(df: DataFrame, pred: str, truth: str, by, width: int = 50, top: int = 500) -> DataFrame:

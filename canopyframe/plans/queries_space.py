@@ -34,11 +34,11 @@ def uniform_sql(seed: str, *cols: str) -> str:
 # joins --------------------------------------------------------------------------------------------------------------
 
 
-@query("j01_in_split", f"SELECT split, {METRICS} FROM preds WHERE member = 1 AND split = 'val' GROUP BY split")
+@query("j01_in_split", f"SELECT member, split, {METRICS} FROM preds WHERE split = 'val' GROUP BY member, split")
 def _(spark, d):
     t = Tables(spark, d)
     splits = t.fp.select("tile", "split").distinct()
-    return rounded(A.metrics(J.in_split(t.preds.where("member = 1"), splits, "val"), "pred", "agbd", ["split"]))
+    return rounded(A.metrics(J.in_split(t.preds, splits, "val"), "pred", "agbd", ["member", "split"]))
 
 
 for _name, _keep in (("j02_hold_out", False), ("j02_keep_only", True)):
@@ -135,26 +135,27 @@ def _(spark, d):
 
 _POINTS = """SELECT c_custkey AS id, c_custkey % 3 AS raster_id, 500000e0 + 160 * (c_custkey % 3) + c_custkey * 31 % 3500 / 10e0 - 5 AS x,
     5000000e0 - c_custkey * 17 % 1700 / 10e0 + 5 AS y FROM customer"""
-_SAMPLED = f"""SELECT s.id, s.raster_id, s.row, s.col, nullif(pix.value, -9999) AS value FROM (SELECT id, p.raster_id, CAST(floor((f - y) / 10) AS BIGINT) AS row, CAST(floor((x - c) / 10) AS BIGINT) AS col, height
-    FROM ({_POINTS}) p JOIN rasters USING (raster_id)) s LEFT JOIN pix USING (raster_id, row, col) WHERE s.row >= 0 AND s.row < height AND s.col >= 0 AND s.col < 32"""
 
 
-def _points(t):
-    return t.raw("customer").selectExpr("c_custkey AS id", "c_custkey % 3 AS raster_id", "500000D + 160 * (c_custkey % 3) + c_custkey * 31 % 3500 / 10D - 5 AS x", "5000000D - c_custkey * 17 % 1700 / 10D + 5 AS y")
+def _points(t, rasters=3):
+    return t.raw("customer").selectExpr("c_custkey AS id", f"c_custkey % {rasters} AS raster_id", f"500000D + 160 * (c_custkey % {rasters}) + c_custkey * 31 % 3500 / 10D - 5 AS x", "5000000D - c_custkey * 17 % 1700 / 10D + 5 AS y")
 
 
-@query("j09_sample_raster", _SAMPLED)
+@query("j09_sample_raster", """SELECT s.id, s.raster_id, s.row, s.col, nullif(pix.value, -9999) AS value FROM (SELECT id, p.raster_id, CAST(floor((5000000e0 - y) / 10) AS BIGINT) AS row, CAST(floor((x - c) / 10) AS BIGINT) AS col, height
+    FROM (SELECT c_custkey AS id, c_custkey % 4 AS raster_id, 500000e0 + 160 * (c_custkey % 4) + c_custkey * 31 % 3500 / 10e0 - 5 AS x, 5000000e0 - c_custkey * 17 % 1700 / 10e0 + 5 AS y FROM customer) p JOIN rasters USING (raster_id)) s
+    LEFT JOIN pix ON pix.raster_id = s.raster_id AND pix.col = s.col AND pix.row = CASE WHEN s.raster_id = 3 THEN height - 1 - s.row ELSE s.row END WHERE s.row >= 0 AND s.row < height AND s.col >= 0 AND s.col < 32""")
 def _(spark, d):
     t = Tables(spark, d)
-    return J.sample_raster(_points(t), t.rasters.where("raster_id < 3"), t.pix)
+    meta, pixels = R.north_up(t.rasters, t.pix)
+    return J.sample_raster(_points(t, 4), meta, pixels)
 
 
-@query("j10_paired_samples", f"""SELECT o.pk AS pk, {r('a.value', 'first')}, {r('b.value', 'second')} FROM (SELECT raster_id, row, col, pk FROM pix WHERE raster_id = 0) o JOIN valid a ON a.raster_id = 1 AND a.row = o.row AND a.col = o.col
+@query("j10_paired_samples", f"""SELECT o.pk AS pk, {r('a.value', 'first')}, {r('b.value', 'second')} FROM pix o JOIN valid a ON a.raster_id = 1 AND a.row = o.row AND a.col = o.col
     JOIN valid b ON b.raster_id = 2 AND b.row = o.row AND b.col = o.col""")
 def _(spark, d):
     t = Tables(spark, d)
     source = lambda k: t.valid.where(F.col("raster_id") == k)
-    return rounded(J.paired_samples(t.pix.where("raster_id = 0").select("row", "col", "pk"), {"first": source(1), "second": source(2)}, ["row", "col"]).select("pk", "first", "second"))
+    return rounded(J.paired_samples(t.pix.select("row", "col", "pk"), {"first": source(1), "second": source(2)}, ["row", "col"]).select("pk", "first", "second"))
 
 
 @query("j11_embed_class", f"SELECT cls, count(*) AS n, {r('CASE WHEN cls IN (20, 30, 111, 126) THEN cls / 10e0 ELSE 0.5e0 END', 'v0')} FROM fp GROUP BY cls")
@@ -606,9 +607,9 @@ def _(spark, d):
     return R.extract_patches_multi(points, t.rasters.where("raster_id in (0, 1)"), t.valid, 5, 10.0)
 
 
-@query("g06_mosaic", f"SELECT gx, gy, {r('value', 'value')}, raster_id AS source FROM (SELECT raster_id, col + 16 * raster_id AS gx, row AS gy, value FROM valid WHERE raster_id < 3) QUALIFY row_number() OVER (PARTITION BY gx, gy ORDER BY raster_id) = 1")
+@query("g06_mosaic", f"SELECT gx, gy, {r('value', 'value')}, raster_id AS source FROM (SELECT raster_id, col + 16 * raster_id AS gx, row AS gy, value FROM valid) QUALIFY row_number() OVER (PARTITION BY gx, gy ORDER BY raster_id) = 1")
 def _(spark, d):
-    p = Tables(spark, d).valid.where("raster_id < 3").selectExpr("raster_id", "col + 16 * raster_id AS gx", "row AS gy", "value")
+    p = Tables(spark, d).valid.selectExpr("raster_id", "col + 16 * raster_id AS gx", "row AS gy", "value")
     return rounded(R.mosaic(p, "raster_id"))
 
 
@@ -739,14 +740,14 @@ def _(spark, d):
 
 
 _ZONES = "SELECT c_custkey AS zone, 500000e0 + c_custkey * 37 % 300 AS xmin, 4999800e0 + c_custkey * 53 % 180 AS ymin FROM customer"
-_PXY = "SELECT raster_id, row, col, 500000e0 + (col + 0.5e0) * 10 AS x, 5000000e0 - (row + 0.5e0) * 10 AS y, value FROM valid WHERE raster_id = 0"
+_PXY = "SELECT raster_id, row, col, c + (col + 0.5e0) * a AS x, f + (row + 0.5e0) * e AS y, value FROM valid JOIN rasters USING (raster_id)"
 
 
 @query("a29_zonal_stats", f"""SELECT zone, count(value) AS n, {r('avg(value)', 'mean')}, {r('median(value)', 'median')}, {r('quantile_cont(value, 0.9)', 'p90')} FROM ({_ZONES}) z JOIN ({_PXY}) p ON xmin <= x AND x < xmin + 45 AND ymin < y AND y <= ymin + 45 GROUP BY zone""")
 def _(spark, d):
     t = Tables(spark, d)
     zones = t.raw("customer").selectExpr("c_custkey AS zone", "500000D + c_custkey * 37 % 300 AS xmin", "4999800D + c_custkey * 53 % 180 AS ymin").selectExpr("*", "xmin + 45 AS xmax", "ymin + 45 AS ymax")
-    pix = t.valid.where("raster_id = 0").selectExpr("500000D + (col + 0.5D) * 10 AS x", "5000000D - (row + 0.5D) * 10 AS y", "value")
+    pix = t.valid.join(t.rasters, "raster_id").selectExpr("c + (col + 0.5D) * a AS x", "f + (row + 0.5D) * e AS y", "value")
     return rounded(J.zonal_stats(zones, pix, 60.0))
 
 

@@ -305,9 +305,9 @@ def _(spark, d):
     return rounded(A.binned_distance(every, part, ["region_cla"]))
 
 
-@query("a09_metrics", f"SELECT split, {METRICS} FROM preds WHERE member = 1 GROUP BY split")
+@query("a09_metrics", f"SELECT member, split, {METRICS} FROM preds GROUP BY member, split")
 def _(spark, d):
-    return rounded(A.metrics(Tables(spark, d).preds.where("member = 1"), "pred", "agbd", ["split"]))
+    return rounded(A.metrics(Tables(spark, d).preds, "pred", "agbd", ["member", "split"]))
 
 
 _D = "(pred - agbd)"
@@ -396,9 +396,9 @@ def _(spark, d):
     return rounded(A.sliced_normality(e, "x", dirs))
 
 
-@query("a16_metrics_by_bin", f"SELECT CAST(floor(agbd / 50) AS BIGINT) AS bin, {METRICS}, CAST(floor(agbd / 50) AS BIGINT) * 50 AS lower FROM preds WHERE member = 2 AND agbd >= 0 AND agbd < 500 GROUP BY floor(agbd / 50)")
+@query("a16_metrics_by_bin", f"SELECT member, CAST(floor(agbd / 50) AS BIGINT) AS bin, {METRICS}, CAST(floor(agbd / 50) AS BIGINT) * 50 AS lower FROM preds WHERE agbd >= 0 AND agbd < 500 GROUP BY member, floor(agbd / 50)")
 def _(spark, d):
-    return rounded(A.metrics_by_bin(Tables(spark, d).preds.where("member = 2"), "pred", "agbd"))
+    return rounded(A.metrics_by_bin(Tables(spark, d).preds, "pred", "agbd", by=["member"]))
 
 
 @query("accuracy_by_label_bin", f"SELECT CAST(floor(agbd / 50) AS BIGINT) AS bin, {METRICS}, CAST(floor(agbd / 50) AS BIGINT) * 50 AS lower FROM preds WHERE split = 'test' AND agbd >= 0 AND agbd < 500 GROUP BY floor(agbd / 50)")
@@ -408,22 +408,22 @@ def _(spark, d):
     return rounded(A.metrics_by_bin(J.in_split(P.decode_latlon(t.preds).drop("split"), splits, "test"), "pred", "agbd"))
 
 
-@query("a17_metrics_by_class", f"SELECT cls, {METRICS} FROM preds WHERE member = 1 GROUP BY cls")
+@query("a17_metrics_by_class", f"SELECT member, cls, {METRICS} FROM preds GROUP BY member, cls")
 def _(spark, d):
-    return rounded(A.metrics(Tables(spark, d).preds.where("member = 1"), "pred", "agbd", ["cls"]))
+    return rounded(A.metrics(Tables(spark, d).preds, "pred", "agbd", ["member", "cls"]))
 
 
 _REGION = "CASE WHEN region_cla = 2 THEN 5 ELSE region_cla END"
 
 
-@query("a18_metrics_by_region", f"SELECT {_REGION} AS region, {METRICS} FROM preds WHERE member = 1 GROUP BY 1")
+@query("a18_metrics_by_region", f"SELECT member, {_REGION} AS region, {METRICS} FROM preds GROUP BY 1, 2")
 def _(spark, d):
-    return rounded(A.metrics(Tables(spark, d).preds.where("member = 1").withColumn("region", A.merged_region("region_cla")), "pred", "agbd", ["region"]))
+    return rounded(A.metrics(Tables(spark, d).preds.withColumn("region", A.merged_region("region_cla")), "pred", "agbd", ["member", "region"]))
 
 
-@query("a19_metrics_cube", f"SELECT region_cla, cls, CAST(grouping_id(region_cla, cls) AS BIGINT) AS level, {METRICS} FROM preds WHERE member = 3 GROUP BY CUBE (region_cla, cls)")
+@query("a19_metrics_cube", f"SELECT member, region_cla, cls, CAST(grouping_id(region_cla, cls) AS BIGINT) AS level, {METRICS} FROM preds GROUP BY member, CUBE (region_cla, cls)")
 def _(spark, d):
-    return rounded(A.metrics_cube(Tables(spark, d).preds.where("member = 3"), "pred", "agbd", "region_cla", "cls"))
+    return rounded(A.metrics_cube(Tables(spark, d).preds, "pred", "agbd", "region_cla", "cls", ["member"]))
 
 
 @query("a20_residual_boxes", f"""WITH r AS (SELECT member, CAST(floor(agbd / 50) AS BIGINT) AS bin, pred - agbd AS e FROM preds WHERE pred IS NOT NULL AND agbd < 500),
