@@ -90,9 +90,29 @@ def op10_mixing(spark, sf_dir):
     return mix_sources(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op11_spelling_variants(spark, sf_dir):
+    from .spelling_variants import document_words, spelling_variants
+
+    return spelling_variants(document_words(_documents(spark, sf_dir)))
+
+
+def op12_filter_audit(spark, sf_dir):
+    from .filter_audit import filter_audit
+
+    return filter_audit(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sharding, op2_suffix_dedup, op3_ngram_join, op4_token_counts, op5_quality_knn, op6_embedding_dedup, op7_quality_rules, op8_best_fit_packing, op9_token_files, op10_mixing)}
+    return {
+        f.__name__: f
+        for f in (
+            op1_sharding, op2_suffix_dedup, op3_ngram_join, op4_token_counts, op5_quality_knn, op6_embedding_dedup, op7_quality_rules,
+            op8_best_fit_packing, op9_token_files, op10_mixing, op11_spelling_variants, op12_filter_audit,
+        )
+    }
 
 
 def oracle_sql() -> dict:
-    return {}
+    from .oracles import OP11, OP12
+
+    return {"op11_spelling_variants": OP11, "op12_filter_audit": OP12}
