@@ -102,12 +102,18 @@ def op12_filter_audit(spark, sf_dir):
     return filter_audit(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op13_toxicity(spark, sf_dir):
+    from .toxicity import toxicity_scores
+
+    return toxicity_scores(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict:
     return {
         f.__name__: f
         for f in (
             op1_sharding, op2_suffix_dedup, op3_ngram_join, op4_token_counts, op5_quality_knn, op6_embedding_dedup, op7_quality_rules,
-            op8_best_fit_packing, op9_token_files, op10_mixing, op11_spelling_variants, op12_filter_audit,
+            op8_best_fit_packing, op9_token_files, op10_mixing, op11_spelling_variants, op12_filter_audit, op13_toxicity,
         )
     }
 
