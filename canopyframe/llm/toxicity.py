@@ -109,12 +109,14 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def fit_risk(positive, unlabelled, prior: float) -> tuple[np.ndarray, float]:
-    """Weights of cells and a constant that minimise the non-negative risk of logistic losses.
+    """Weights of cells and a constant that minimise the non-negative risk of confirmed and unlabelled rows.
 
     ``positive`` and ``unlabelled`` are (cells, bounds). The risk is prior * E_p[loss(+)] + max(0, E_u[loss(-)] -
     prior * E_p[loss(-)]): what unlabelled rows lose as negatives, less the share of it that hidden positives
     account for. Where that difference falls below zero the step goes against it, so that confirmed examples are not
-    fitted at its expense. A cell's feature is the logarithm of how much more frequent it is among the confirmed.
+    fitted at its expense. The loss of a positive is logistic, that of a negative the sigmoid, which is bounded: rows far
+    on one side cannot outweigh the others in the difference. A cell's feature is the logarithm of how much more frequent
+    it is among the confirmed.
     """
     (p, pb), (u, ub) = positive, unlabelled
     np_, nu = len(pb) - 1, len(ub) - 1
@@ -126,11 +128,12 @@ def fit_risk(positive, unlabelled, prior: float) -> tuple[np.ndarray, float]:
     mean, square = np.zeros(CELLS + 1), np.zeros(CELLS + 1)
     for step in range(1, _STEPS + 1):
         fp, fu = _dot(p, pb, w[:-1] * scale) + w[-1], _dot(u, ub, w[:-1] * scale) + w[-1]
-        as_negative = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
-        if as_negative >= 0:
-            gp, gu = -prior / np_ * np.ones(np_), _sigmoid(fu) / nu
+        sp, su = _sigmoid(fp), _sigmoid(fu)
+        bend_p, bend_u = sp * (1 - sp) / np_, su * (1 - su) / nu
+        if su.mean() >= prior * sp.mean():
+            gp, gu = -prior * ((1 - sp) / np_ + bend_p), bend_u
         else:
-            gp, gu = prior * _sigmoid(fp) / np_, -_sigmoid(fu) / nu
+            gp, gu = prior * bend_p, -bend_u
         slope = np.append((_spread(p, pb, gp) + _spread(u, ub, gu)) * scale + _DECAY * w[:-1], gp.sum() + gu.sum())
         mean, square = 0.9 * mean + 0.1 * slope, 0.999 * square + 0.001 * slope**2
         w -= _RATE * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
