@@ -352,12 +352,33 @@ def blend_windows(df: DataFrame, key, pred: str, weight: str) -> DataFrame:
     return df.where(p.isNotNull()).groupBy(*key).agg(F.try_divide(F.sum(w * p), F.sum(w)).alias("value"))
 
 
-def merge_windows(df: DataFrame, key, policy: str, seq: str = "seq", pred: str = "pred", slots: int = 3) -> DataFrame:
-    """Overlap policies: ``last`` written wins, or the mean of the last writer of each of a few rotating slots."""
+def merge_windows(df: DataFrame, key, policy: str, seq: str = "seq", pred: str = "pred", slots: int = 3, size: int | None = None, crop: int | None = None, axes=None) -> DataFrame:
+    """One prediction a pixel from overlapping windows.
+
+    ``last``: the last window written. ``slots``: the mean of the last writer of each of a few rotating slots.
+    ``cropped``: each window writes only what is left without ``crop`` pixels on every side, so that windows ``size -
+    2 * crop`` apart tile the raster; a pixel belongs to one window, which its place decides, and nothing is grouped.
+    ``axes`` names, for rows and for columns, (place, window start, length of the axis): as in ``windows_padded``, the last
+    inner part of an axis is shifted to end at its edge and written last.
+    """
     if policy == "last":
         return df.groupBy(*key).agg(F.max_by(pred, seq).alias("value"))
-    per_slot = df.groupBy(*key, (F.col(seq) % slots).alias("_slot")).agg(F.max_by(pred, seq).alias("_v"))
-    return per_slot.groupBy(*key).agg(F.avg("_v").alias("value"))
+    if policy == "slots":
+        per_slot = df.groupBy(*key, (F.col(seq) % slots).alias("_slot")).agg(F.max_by(pred, seq).alias("_v"))
+        return per_slot.groupBy(*key).agg(F.avg("_v").alias("value"))
+    if policy != "cropped":
+        raise ValueError(f"no such policy: {policy}")
+    if not size or crop is None or not axes or size <= 2 * crop:
+        raise ValueError("cropped windows need size, crop and axes")
+    inner = size - 2 * crop
+
+    def owner(place, length):
+        """Start of the inner part that has a place: those of full steps, then the one that ends at the edge."""
+        last = F.greatest(F.lit(0), F.col(length) - inner)
+        return F.when(F.col(place) >= last, last).otherwise(F.floor(F.col(place) / inner) * inner)
+
+    own = [F.col(start) == owner(place, length) for place, start, length in axes]
+    return df.where(own[0] & own[1]).select(*key, F.col(pred).alias("value"))
 
 
 def composite_patches(df: DataFrame, key, value: str, top: float = 65535.0) -> DataFrame:

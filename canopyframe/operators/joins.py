@@ -221,10 +221,13 @@ def pick_scene(plots: DataFrame, scenes: DataFrame) -> DataFrame:
 
 
 def resolve_product(requests: DataFrame, products: DataFrame) -> DataFrame:
-    """Product with the requested name, else the first of the same acquisition time."""
-    exact = products.select(F.col("product").alias("name"), F.col("product").alias("exact"))
-    by_time = products.groupBy("stamp").agg(F.min("product").alias("similar"))
-    out = requests.join(exact, "name", "left").join(by_time, "stamp", "left")
+    """Product with the requested name, else the first one of the same tile and acquisition time.
+
+    requests: request, name, tile, stamp; products: product, tile, stamp. Requests without either have no product.
+    """
+    exact = products.select(F.col("product").alias("name"), F.col("product").alias("exact")).distinct()
+    by_time = products.groupBy("tile", "stamp").agg(F.min("product").alias("similar"))
+    out = requests.join(exact, "name", "left").join(by_time, ["tile", "stamp"], "left")
     return out.select("request", F.coalesce("exact", "similar").alias("product"))
 
 
@@ -241,26 +244,6 @@ def required_tiles(samples: DataFrame, reach: float, lon="lon", lat="lat") -> Da
     return samples.select("id", F.explode(corners).alias("c")).select("id", "c.cx", "c.cy").distinct()
 
 
-def fill_nearest(pixels: DataFrame, key=("raster_id",), value: str = "value", radius: int | None = None) -> DataFrame:
-    """Missing cells take the nearest valid one's value (first row, then column, on a tie), inside one patch or
-    within ``radius`` cells, which bounds the join by blocks of that size."""
-    keys = list(key)
-    gone = pixels.where(F.col(value).isNull())
-    there = pixels.where(F.col(value).isNotNull()).select(*keys, F.col("row").alias("_r"), F.col("col").alias("_c"), F.col(value).alias("_v"))
-    if radius:
-        near = F.explode(F.flatten(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda i: F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda j: F.struct((F.floor(F.col("row") / radius) + i).alias("br"), (F.floor(F.col("col") / radius) + j).alias("bc"))))))
-        gone = gone.withColumn("_b", near).select("*", F.col("_b.br").alias("_br"), F.col("_b.bc").alias("_bc")).drop("_b")
-        there = there.withColumn("_br", F.floor(F.col("_r") / radius)).withColumn("_bc", F.floor(F.col("_c") / radius))
-        both = gone.join(there, [*keys, "_br", "_bc"])
-    else:
-        both = gone.join(there, keys)
-    away = F.pow(F.col("row") - F.col("_r"), 2) + F.pow(F.col("col") - F.col("_c"), 2)
-    if radius:
-        both = both.where(away <= radius * radius)
-    found = both.groupBy(*keys, "row", "col").agg(F.min_by("_v", F.struct(away.alias("d"), F.col("_r"), F.col("_c"))).alias("_fill"))
-    return pixels.join(found, [*keys, "row", "col"], "left").withColumn(value, F.coalesce(value, "_fill")).drop("_fill")
-
-
 def sample_raster(points: DataFrame, rasters: DataFrame, pixels: DataFrame, nodata: float = -9999.0) -> DataFrame:
     """Value of the pixel that holds a point (left <= x < right, bottom < y <= top); no data is NULL.
 

@@ -9,6 +9,7 @@ from ..functions.geo import from_utm, to_utm, utm_epsg
 from ..functions.scalar import reflect
 from ..semantics import first_by, small
 from .joins import touched_cells
+from .nearest import filled_and_missing
 
 
 def _axis(n: Column, size: int, step: int) -> Column:
@@ -168,15 +169,19 @@ def assert_contained(df: DataFrame) -> DataFrame:
 
 
 def upsample(pixels: DataFrame, factor: int, order: int = 0, value: str = "value") -> DataFrame:
-    """Finer grid by nearest (order 0) or bilinear (order 1) values of whole rasters; missing pixels stay missing.
+    """Finer grid by nearest (order 0) or bilinear (order 1) values of whole rasters.
 
-    pixels must be complete inside; edges repeat. Each fine pixel asks for at most four coarse ones by equi-join.
+    Missing pixels take the nearest valid value before they are resampled, and what lies in them is missing again
+    afterwards. Edges repeat; places that have no row weigh nothing. Each fine pixel asks for at most four coarse ones by
+    equi-join.
     """
     sub = F.sequence(F.lit(0), F.lit(factor - 1))
-    fine = pixels.select("raster_id", "row", "col", F.col(value).alias("_own")).withColumn("i", F.explode(sub)).withColumn("j", F.explode(sub))
-    fine = fine.withColumn("frow", F.col("row") * factor + F.col("i")).withColumn("fcol", F.col("col") * factor + F.col("j"))
     if order == 0:
-        return fine.select("raster_id", F.col("frow").alias("row"), F.col("fcol").alias("col"), F.col("_own").alias(value))
+        fine = pixels.select("raster_id", "row", "col", value).withColumn("i", F.explode(sub)).withColumn("j", F.explode(sub))
+        return fine.select("raster_id", (F.col("row") * factor + F.col("i")).alias("row"), (F.col("col") * factor + F.col("j")).alias("col"), value)
+    filled, gone = filled_and_missing(pixels.select("raster_id", "row", "col", value), ("raster_id",), value)
+    fine = pixels.select("raster_id", "row", "col", F.col(value).isNull().alias("_gone")).withColumn("i", F.explode(sub)).withColumn("j", F.explode(sub))
+    fine = fine.withColumn("frow", F.col("row") * factor + F.col("i")).withColumn("fcol", F.col("col") * factor + F.col("j"))
     edge = pixels.groupBy("raster_id").agg(F.max("row").alias("_hr"), F.max("col").alias("_hc"))
     fine = fine.join(small(edge), "raster_id")
 
@@ -186,11 +191,10 @@ def upsample(pixels: DataFrame, factor: int, order: int = 0, value: str = "value
         return F.array(F.struct(low.alias("at"), (1 - (y - low)).alias("w")), F.struct(F.least(low + 1, F.col(top)).alias("at"), (y - low).alias("w")))
 
     asks = fine.withColumn("_y", F.explode(axis("frow", "_hr"))).withColumn("_x", F.explode(axis("fcol", "_hc"))).where((F.col("_y.w") > 0) & (F.col("_x.w") > 0))
-    coarse = pixels.select("raster_id", F.col("row").alias("_r"), F.col("col").alias("_c"), F.col(value).alias("_v"))
-    got = asks.join(coarse, (asks["raster_id"] == coarse["raster_id"]) & (F.col("_y.at") == F.col("_r")) & (F.col("_x.at") == F.col("_c")), "left")
-    w = F.col("_y.w") * F.col("_x.w")
-    out = got.groupBy(asks["raster_id"], "frow", "fcol").agg(F.try_divide(F.sum(F.when(F.col("_v").isNotNull(), w * F.col("_v"))), F.sum(F.when(F.col("_v").isNotNull(), w))).alias("_b"), F.first("_own").alias("_own"))
-    return out.select("raster_id", F.col("frow").alias("row"), F.col("fcol").alias("col"), F.when(F.col("_own").isNotNull(), F.col("_b")).alias(value))
+    asks = asks.select("raster_id", "frow", "fcol", "_gone", F.col("_y.at").alias("row"), F.col("_x.at").alias("col"), (F.col("_y.w") * F.col("_x.w")).alias("_w"))
+    got = asks.join(filled.select("raster_id", "row", "col", F.col(value).alias("_v")), ["raster_id", "row", "col"], "left")
+    out = got.groupBy("raster_id", "frow", "fcol").agg(F.try_divide(F.sum(F.col("_w") * F.col("_v")), F.sum(F.when(F.col("_v").isNotNull(), F.col("_w")))).alias("_b"), F.first("_gone").alias("_gone"))
+    return out.select("raster_id", F.col("frow").alias("row"), F.col("fcol").alias("col"), F.when(~gone, F.col("_b")).alias(value))
 
 
 def window_from_bounds(df: DataFrame, margin: int) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import unit
 from ..semantics import first_by
+from .nearest import filled_and_missing
 
 
 def renumber(df: DataFrame, by, order, name: str = "new_idx") -> DataFrame:
@@ -26,14 +27,22 @@ def first_rank_at(curve: DataFrame, thresholds=(0.5, 0.8, 0.9)) -> DataFrame:
     return curve.agg(*[F.min(F.when(F.col("cum") >= t, F.col("rank"))).alias(f"at_{round(t * 100)}") for t in thresholds])
 
 
-def terrain(pixels: DataFrame, key="raster_id", value: str = "value", step: float = 10.0) -> DataFrame:
-    """Slope and encoded aspect by central differences, one-sided at the edges."""
+def terrain(pixels: DataFrame, key="raster_id", value: str = "value", step: float = 10.0, remask: bool = False) -> DataFrame:
+    """Slope and encoded aspect by central differences, one-sided at the edges.
+
+    Missing cells take the nearest valid height first, so their neighbours' gradients are defined; with ``remask``
+    they have no slope and aspect of their own.
+    """
     def gradient(by, along):
         w = Window.partitionBy(key, by).orderBy(along)
         ahead, back, here = F.lead(value).over(w), F.lag(value).over(w), F.col(value)
         return F.when(ahead.isNotNull() & back.isNotNull(), (ahead - back) / (2 * step)).when(ahead.isNotNull(), (ahead - here) / step).when(back.isNotNull(), (here - back) / step)
 
-    out = pixels.withColumn("px", gradient("col", "row")).withColumn("py", gradient("row", "col"))
+    filled, gone = filled_and_missing(pixels, (key,), value)
+    out = filled.withColumn("px", gradient("col", "row")).withColumn("py", gradient("row", "col"))
+    if remask:
+        out = out.withColumn("px", F.when(~gone, F.col("px"))).withColumn("py", F.when(~gone, F.col("py")))
+    out = out.withColumn(value, F.when(~gone, F.col(value))).drop("_gone")
     aspect = F.lit(math.pi / 2) - F.atan2("py", "px")
     aspect = F.when(aspect < 0, aspect + 2 * math.pi).otherwise(aspect)
     return out.withColumn("slope", F.sqrt(F.col("px") * F.col("px") + F.col("py") * F.col("py"))).withColumn("aspect_cos", unit(F.cos(aspect))).withColumn("aspect_sin", unit(F.sin(aspect)))

@@ -10,6 +10,7 @@ from ..functions import geo as G
 from ..functions import scalar as X
 from ..operators import aggregates as A
 from ..operators import joins as J
+from ..operators import nearest as N
 from ..operators import raster as R
 from ..operators import sampling as M
 from ..operators import scoring as H
@@ -230,11 +231,13 @@ def _(spark, d):
     return rounded(J.pick_scene(t.plots.select("plot", F.array(F.expr("plot % 50"), F.expr("(plot + 7) % 50")).alias("tiles")), scenes))
 
 
-@query("j19_resolve_product", """WITH p AS (SELECT concat('P', o_orderkey) AS product, o_custkey AS stamp FROM orders WHERE o_orderkey % 3 <> 0), q AS (SELECT o_orderkey AS request, concat('P', o_orderkey) AS name, o_custkey AS stamp FROM orders),
-    t AS (SELECT stamp, min(product) AS nearest FROM p GROUP BY stamp) SELECT request, coalesce(e.product, nearest) AS product FROM q LEFT JOIN p AS e ON e.product = name LEFT JOIN t ON t.stamp = q.stamp""")
+@query("j19_resolve_product", """WITH p AS (SELECT concat('P', o_orderkey) AS product, o_custkey % 40 AS tile, o_orderdate AS stamp FROM orders WHERE o_orderkey % 3 <> 0),
+    q AS (SELECT o_orderkey AS request, concat('P', o_orderkey) AS name, o_custkey % 40 AS tile, o_orderdate AS stamp FROM orders),
+    t AS (SELECT tile, stamp, min(product) AS nearest FROM p GROUP BY tile, stamp)
+    SELECT request, coalesce(e.product, nearest) AS product FROM q LEFT JOIN p AS e ON e.product = name LEFT JOIN t ON t.stamp = q.stamp AND t.tile = q.tile""")
 def _(spark, d):
-    o = Tables(spark, d).raw("orders").selectExpr("o_orderkey", "concat('P', o_orderkey) AS product", "o_custkey AS stamp")
-    return J.resolve_product(o.selectExpr("o_orderkey AS request", "product AS name", "stamp"), o.where("o_orderkey % 3 <> 0"))
+    o = Tables(spark, d).raw("orders").selectExpr("o_orderkey", "concat('P', o_orderkey) AS product", "o_custkey % 40 AS tile", "o_orderdate AS stamp")
+    return J.resolve_product(o.selectExpr("o_orderkey AS request", "product AS name", "tile", "stamp"), o.where("o_orderkey % 3 <> 0"))
 
 
 @query("j20_best_run", """SELECT DISTINCT o_orderstatus, o_orderpriority, run, rmse FROM (SELECT o_orderstatus, o_orderpriority, o_orderkey AS run, o_totalprice AS rmse FROM orders
@@ -258,12 +261,34 @@ def _(spark, d):
     return J.tile_refcounts(Tables(spark, d).plots.withColumnRenamed("plot", "id"), 0.1)
 
 
-@query("j22_fill_nearest", """WITH g AS (SELECT raster_id, row, col FROM pix WHERE value = -9999), f AS (SELECT g.raster_id, g.row, g.col, v.value FROM g JOIN valid v ON g.raster_id = v.raster_id AND abs(g.row - v.row) <= 3 AND abs(g.col - v.col) <= 3
-    WHERE (g.row - v.row) ** 2 + (g.col - v.col) ** 2 <= 9 QUALIFY row_number() OVER (PARTITION BY g.raster_id, g.row, g.col ORDER BY (g.row - v.row) ** 2 + (g.col - v.col) ** 2, v.row, v.col) = 1)
-    SELECT p.raster_id, p.row, p.col, coalesce(nullif(p.value, -9999), f.value) AS value FROM pix p LEFT JOIN f USING (raster_id, row, col)""")
+# missing cells with the nearest valid one, first row and then column on a tie
+_NEAREST = """SELECT g.raster_id, g.row, g.col, v.value, (g.row - v.row) ** 2 + (g.col - v.col) ** 2 AS d2 FROM (SELECT raster_id, row, col FROM pix WHERE value = -9999) g JOIN valid v ON g.raster_id = v.raster_id
+    QUALIFY row_number() OVER (PARTITION BY g.raster_id, g.row, g.col ORDER BY (g.row - v.row) ** 2 + (g.col - v.col) ** 2, v.row, v.col) = 1"""
+_FILLED = f"SELECT p.raster_id, p.row, p.col, coalesce(nullif(p.value, -9999), f.value) AS value, p.value = -9999 AS gone FROM pix p LEFT JOIN ({_NEAREST}) f USING (raster_id, row, col)"
+# a raster of larger holes: only every ninth pixel is valid, and a band of rows has none
+_HOLES = "SELECT raster_id, row, col, CASE WHEN pk % 9 = 2 AND row % 20 < 11 THEN nullif(value, -9999) END AS value FROM pix"
+
+
+def _masked(t):
+    return t.pix.select("raster_id", "row", "col", F.expr("nullif(value, -9999D)").alias("value"))
+
+
+@query("j22_fill_nearest", f"SELECT p.raster_id, p.row, p.col, coalesce(nullif(p.value, -9999), f.value) AS value FROM pix p LEFT JOIN (SELECT * FROM ({_NEAREST}) WHERE d2 <= 9) f USING (raster_id, row, col)")
 def _(spark, d):
-    p = Tables(spark, d).pix.select("raster_id", "row", "col", F.expr("nullif(value, -9999D)").alias("value"))
-    return J.fill_nearest(p, radius=3).select("raster_id", "row", "col", "value")
+    return N.fill_nearest(_masked(Tables(spark, d)), radius=3)
+
+
+@query("j22_fill_nearest_whole", f"SELECT raster_id, row, col, value FROM ({_FILLED})")
+def _(spark, d):
+    return N.fill_nearest(_masked(Tables(spark, d)))
+
+
+@query("j22_fill_nearest_holes", f"""WITH h AS ({_HOLES}), f AS (SELECT g.raster_id, g.row, g.col, v.value FROM h g JOIN h v ON g.raster_id = v.raster_id AND g.value IS NULL AND v.value IS NOT NULL
+    QUALIFY row_number() OVER (PARTITION BY g.raster_id, g.row, g.col ORDER BY (g.row - v.row) ** 2 + (g.col - v.col) ** 2, v.row, v.col) = 1)
+    SELECT h.raster_id, h.row, h.col, coalesce(h.value, f.value) AS value FROM h LEFT JOIN f USING (raster_id, row, col)""")
+def _(spark, d):
+    p = Tables(spark, d).pix.selectExpr("raster_id", "row", "col", "CASE WHEN pk % 9 = 2 AND row % 20 < 11 THEN nullif(value, -9999D) END AS value")
+    return N.fill_nearest(p)
 
 
 # sampling -----------------------------------------------------------------------------------------------------------
@@ -670,17 +695,15 @@ def _(spark, d):
 
 @query("g12_upsample_nearest", "SELECT raster_id, row * 3 + i AS row, col * 3 + j AS col, nullif(value, -9999) AS value FROM pix CROSS JOIN range(3) a(i) CROSS JOIN range(3) b(j)")
 def _(spark, d):
-    p = Tables(spark, d).pix.select("raster_id", "row", "col", F.expr("nullif(value, -9999D)").alias("value"))
-    return R.upsample(p, 3).select("raster_id", "row", "col", "value")
+    return R.upsample(_masked(Tables(spark, d)), 3).select("raster_id", "row", "col", "value")
 
 
-@query("g12_upsample_bilinear", f"""WITH p AS (SELECT raster_id, row, col, value FROM pix), e AS (SELECT raster_id, max(row) AS hr, max(col) AS hc FROM p GROUP BY raster_id),
-    f AS (SELECT raster_id, row, col, value AS own, row * 2 + i AS fr, col * 2 + j AS fc, greatest(0, least((row * 2 + i + 0.5e0) / 2 - 0.5e0, hr)) AS y, greatest(0, least((col * 2 + j + 0.5e0) / 2 - 0.5e0, hc)) AS x, hr, hc FROM p JOIN e USING (raster_id) CROSS JOIN range(2) a(i) CROSS JOIN range(2) b(j)),
-    n AS (SELECT f.*, q.value AS v, (1 - abs(y - q.row)) * (1 - abs(x - q.col)) AS w FROM f JOIN p q ON q.raster_id = f.raster_id AND q.row IN (floor(y), floor(y) + 1) AND q.col IN (floor(x), floor(x) + 1) AND abs(y - q.row) < 1 AND abs(x - q.col) < 1 WHERE q.value <> -9999)
-    SELECT f.raster_id, f.fr AS row, f.fc AS col, {r('CASE WHEN any_value(f.own) <> -9999 THEN sum(w * v) / sum(w) END', 'value')} FROM f LEFT JOIN n USING (raster_id, fr, fc) GROUP BY f.raster_id, f.fr, f.fc""")
+@query("g12_upsample_bilinear", f"""WITH p AS ({_FILLED}), e AS (SELECT raster_id, max(row) AS hr, max(col) AS hc FROM p GROUP BY raster_id),
+    f AS (SELECT raster_id, row, col, gone, row * 2 + i AS fr, col * 2 + j AS fc, greatest(0, least((row * 2 + i + 0.5e0) / 2 - 0.5e0, hr)) AS y, greatest(0, least((col * 2 + j + 0.5e0) / 2 - 0.5e0, hc)) AS x, hr, hc FROM p JOIN e USING (raster_id) CROSS JOIN range(2) a(i) CROSS JOIN range(2) b(j)),
+    n AS (SELECT f.*, q.value AS v, (1 - abs(y - q.row)) * (1 - abs(x - q.col)) AS w FROM f JOIN p q ON q.raster_id = f.raster_id AND q.row IN (floor(y), floor(y) + 1) AND q.col IN (floor(x), floor(x) + 1) AND abs(y - q.row) < 1 AND abs(x - q.col) < 1)
+    SELECT f.raster_id, f.fr AS row, f.fc AS col, {r('CASE WHEN NOT any_value(f.gone) THEN sum(w * v) / sum(w) END', 'value')} FROM f LEFT JOIN n USING (raster_id, fr, fc) GROUP BY f.raster_id, f.fr, f.fc""")
 def _(spark, d):
-    p = Tables(spark, d).pix.select("raster_id", "row", "col", F.expr("nullif(value, -9999D)").alias("value"))
-    return rounded(R.upsample(p, 2, 1))
+    return rounded(R.upsample(_masked(Tables(spark, d)), 2, 1))
 
 
 @query("g13_window_from_bounds", f"""SELECT id, CAST(greatest(0, least(floor((f - y - 35) / 10) - 2, height)) AS BIGINT) AS row0, CAST(greatest(0, least(ceil((f - y + 35) / 10) + 2, height)) AS BIGINT) AS row1,
@@ -732,11 +755,14 @@ def _(spark, d):
 _GRAD = "CASE WHEN n IS NOT NULL AND b IS NOT NULL THEN (n - b) / 20 WHEN n IS NOT NULL THEN (n - v) / 10 WHEN b IS NOT NULL THEN (v - b) / 10 END"
 
 
-@query("w05_terrain", f"""WITH g AS (SELECT raster_id, row, col, value AS v, lead(value) OVER (PARTITION BY raster_id, col ORDER BY row) AS n, lag(value) OVER (PARTITION BY raster_id, col ORDER BY row) AS b FROM pix),
-    x AS (SELECT raster_id, row, col, {_GRAD} AS px FROM g), h AS (SELECT raster_id, row, col, value AS v, lead(value) OVER (PARTITION BY raster_id, row ORDER BY col) AS n, lag(value) OVER (PARTITION BY raster_id, row ORDER BY col) AS b FROM pix),
-    y AS (SELECT raster_id, row, col, {_GRAD} AS py FROM h) SELECT raster_id, row, col, {r('sqrt(px * px + py * py)', 'slope')}, {r(_unit('cos(pi() / 2 - atan2(py, px))'), 'aspect_cos')}, {r(_unit('sin(pi() / 2 - atan2(py, px))'), 'aspect_sin')} FROM x JOIN y USING (raster_id, row, col)""")
-def _(spark, d):
-    return rounded(W.terrain(Tables(spark, d).pix).select("raster_id", "row", "col", "slope", "aspect_cos", "aspect_sin"))
+for _name, _keep in (("w05_terrain", "true"), ("w05_terrain_remasked", "NOT gone")):
+    _shown = lambda e, name: r(f"CASE WHEN {_keep} THEN {e} END", name)
+
+    @query(_name, f"""WITH p AS ({_FILLED}), g AS (SELECT raster_id, row, col, gone, value AS v, lead(value) OVER (PARTITION BY raster_id, col ORDER BY row) AS n, lag(value) OVER (PARTITION BY raster_id, col ORDER BY row) AS b FROM p),
+        x AS (SELECT raster_id, row, col, gone, {_GRAD} AS px FROM g), h AS (SELECT raster_id, row, col, value AS v, lead(value) OVER (PARTITION BY raster_id, row ORDER BY col) AS n, lag(value) OVER (PARTITION BY raster_id, row ORDER BY col) AS b FROM p),
+        y AS (SELECT raster_id, row, col, {_GRAD} AS py FROM h) SELECT raster_id, row, col, {_shown('sqrt(px * px + py * py)', 'slope')}, {_shown(_unit('cos(pi() / 2 - atan2(py, px))'), 'aspect_cos')}, {_shown(_unit('sin(pi() / 2 - atan2(py, px))'), 'aspect_sin')} FROM x JOIN y USING (raster_id, row, col)""")
+    def _(spark, d, remask=_keep != "true"):
+        return rounded(W.terrain(_masked(Tables(spark, d)), remask=remask).select("raster_id", "row", "col", "slope", "aspect_cos", "aspect_sin"))
 
 
 _ZONES = "SELECT c_custkey AS zone, 500000e0 + c_custkey * 37 % 300 AS xmin, 4999800e0 + c_custkey * 53 % 180 AS ymin FROM customer"
@@ -774,7 +800,7 @@ def _(spark, d):
 
 # overlapping windows: every pixel is predicted by up to nine 12-wide windows with a step of 4
 _WIN = """SELECT raster_id, row, col, row0, col0, value + row0 * 0.1e0 - col0 * 0.05e0 AS pred, row0 * 1000 + col0 AS seq, row - row0 AS i, col - col0 AS j FROM valid
-    CROSS JOIN (SELECT unnest(range(0, 64, 4)) AS row0) CROSS JOIN (SELECT unnest(range(0, 24, 4)) AS col0) WHERE row >= row0 AND row < row0 + 12 AND col >= col0 AND col < col0 + 12"""
+    CROSS JOIN (SELECT unnest(range(0, (SELECT max(row) + 1 FROM pix), 4)) AS row0) CROSS JOIN (SELECT unnest(range(0, 24, 4)) AS col0) WHERE row >= row0 AND row < row0 + 12 AND col >= col0 AND col < col0 + 12"""
 
 
 def _win(t):
@@ -804,6 +830,22 @@ def _(spark, d):
     return rounded(A.merge_windows(_win(Tables(spark, d)), ["raster_id", "row", "col"], "slots"))
 
 
+# windows of 12 with 2 cropped on every side, starts of the inner parts 8 apart, the last one shifted to the edge
+_CROPS = """WITH s AS (SELECT raster_id, height, width, least(k * 8, height - 8) AS row0, k AS kr FROM rasters CROSS JOIN (SELECT unnest(range(0, (SELECT max(row) // 8 + 1 FROM pix))) AS k) WHERE k * 8 < height),
+    t AS (SELECT s.*, least(k * 8, width - 8) AS col0, k AS kc FROM s CROSS JOIN range(4) c(k))"""
+
+
+@query("a37_merge_cropped", f"{_CROPS} SELECT raster_id, v.row, v.col, {r('max_by(value + greatest(0, row0) * 0.1e0 - col0 * 0.05e0, kr * 1000 + kc)', 'value')} FROM valid v JOIN t USING (raster_id) WHERE v.row >= row0 AND v.row < row0 + 8 AND v.col >= col0 AND v.col < col0 + 8 GROUP BY raster_id, v.row, v.col")
+def _(spark, d):
+    t = Tables(spark, d)
+    # every window that reads a pixel, as inference would give it, its own margin included
+    starts = R.windows_padded(t.rasters, 12, 2).join(t.rasters.select("raster_id", "height", "width"), "raster_id").distinct()
+    reads = starts.select("*", F.explode(F.sequence(F.col("row0") - 2, F.col("row0") + 9)).alias("row")).select("*", F.explode(F.sequence(F.col("col0") - 2, F.col("col0") + 9)).alias("col"))
+    preds = reads.join(t.valid, ["raster_id", "row", "col"]).withColumn("pred", F.expr("value + row0 * 0.1D - col0 * 0.05D"))
+    axes = (("row", "row0", "height"), ("col", "col0", "width"))
+    return rounded(A.merge_windows(preds, ["raster_id", "row", "col"], "cropped", size=12, crop=2, axes=axes))
+
+
 @query("a38_composite_patches", f"SELECT raster_id, row, col, {r('least(greatest(avg(pred - 40), 0), 65535)', 'value')} FROM ({_WIN}) GROUP BY raster_id, row, col")
 def _(spark, d):
     return rounded(A.composite_patches(_win(Tables(spark, d)).withColumn("pred", F.col("pred") - 40), ["raster_id", "row", "col"], "pred"))

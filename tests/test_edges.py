@@ -12,6 +12,7 @@ from canopyframe.functions import scalar as X
 from canopyframe.operators import aggregates as A
 from canopyframe.operators import filters as P
 from canopyframe.operators import joins as J
+from canopyframe.operators import nearest as N
 from canopyframe.operators import raster as R
 from canopyframe.operators import sampling as M
 from canopyframe.operators import scoring as H
@@ -123,7 +124,7 @@ def test_sampling_at_raster_edges(spark):
 
 def test_fill_and_terrain(spark):
     meta, pix = raster(spark, [[1, None, 3], [None, None, None], [7, None, 9]])
-    filled = {(r.row, r.col): r.value for r in J.fill_nearest(pix).collect()}
+    filled = {(r.row, r.col): r.value for r in N.fill_nearest(pix).collect()}
     assert filled[0, 1] == 1 and filled[1, 1] == 1 and filled[1, 2] == 3 and filled[2, 1] == 7
     z = np.random.default_rng(1).normal(size=(5, 6))
     t = {(r.row, r.col): r for r in W.terrain(raster(spark, z.tolist())[1]).collect()}
@@ -133,6 +134,65 @@ def test_fill_and_terrain(spark):
         assert r.slope == pytest.approx(math.hypot(px[i, j], py[i, j])) and r.aspect_cos == pytest.approx((math.cos(aspect[i, j]) + 1) / 2)
 
 
+def test_fill_nearest_by_brute_force(spark):
+    """Rasters of any shape and share of holes, in one table, beside columns of other kinds; ties by row, then column."""
+    rng = np.random.default_rng(6)
+    rows, want = [], {}
+    for k, (h, w, share) in enumerate([(1, 1, 0.0), (1, 1, 1.0), (1, 40, 0.9), (40, 1, 0.9), (13, 17, 0.5), (30, 30, 0.97), (25, 60, 0.995), (9, 9, 1.0), (12, 12, 0.0)]):
+        gone = rng.random((h, w)) < share
+        have = np.argwhere(~gone)
+        for i in range(h):
+            for j in range(w):
+                v = None if gone[i, j] else float(rng.integers(0, 10**6))
+                rows.append((f"r{k}", k % 2, i + 100, j - 7, v, "kept", [i]))
+                want[f"r{k}", k % 2, i + 100, j - 7] = v
+        for i, j in np.argwhere(gone).tolist() if len(have) else []:
+            a, b = min(have.tolist(), key=lambda p: ((p[0] - i) ** 2 + (p[1] - j) ** 2, p[0], p[1]))
+            want[f"r{k}", k % 2, i + 100, j - 7] = want[f"r{k}", k % 2, a + 100, b - 7]
+    df = spark.createDataFrame(rows, "raster string, band int, row long, col long, height double, note string, more array<int>").repartition(7)
+    for size in ("10000", "37"):  # batches that end inside rows of a raster
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        got = N.fill_nearest(df, ("raster", "band"), "height").collect()
+        assert len(got) == len(rows) and {(r.raster, r.band, r.row, r.col): r.height for r in got} == want
+        assert all(r.note == "kept" and r.more == [r.row - 100] for r in got)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    near = {(r.row, r.col): r.value for r in N.fill_nearest(raster(spark, [[5, None, None, None, None]])[1], radius=2).collect()}
+    assert [near[0, j] for j in range(5)] == [5, 5, 5, None, None]
+    sparse = [(0, 0, 0, 1.0), (0, 0, 9, None), (0, 7, 8, 2.0), (0, 3, 3, None), (0, 2, 5, 7.0)]  # cells of the box are missing
+    near = {(r.row, r.col): r.value for r in N.fill_nearest(spark.createDataFrame(sparse, "raster_id int, row long, col long, value double")).collect()}
+    assert near == {(0, 0): 1, (0, 9): 7, (7, 8): 2, (3, 3): 7, (2, 5): 7}
+    plan = N.fill_nearest(df, ("raster", "band"), "height")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("ENSURE_REQUIREMENTS") == 3
+    assert N.fill_nearest(df.limit(0), ("raster", "band"), "height").count() == 0
+
+
+def test_filled_before_terrain_and_resampling(spark):
+    pix = raster(spark, [[10, None, 30]])[1]
+    fine = {(r.row, r.col): r.value for r in R.upsample(pix, 2, 1).collect()}
+    # the middle is filled with 10: its neighbours lean on it, itself it is missing again
+    assert [fine[0, j] for j in range(6)] == [10, 10, None, None, 25, 30]
+    pix = raster(spark, [[10, None, 30]] * 2)[1]
+    steep = {r.col: r.slope for r in W.terrain(pix).collect()}
+    assert [steep[j] for j in range(3)] == pytest.approx([0.0, 1.0, 2.0])
+    assert [r.slope is None for r in sorted(W.terrain(pix, remask=True).collect(), key=lambda r: r.col)] == [False, False, True, True, False, False]
+
+
+def test_overlap_policies(spark):
+    df = spark.createDataFrame([(0, j, s, float(s), 20) for j in range(20) for s in (0, 6, 12, 14) if s - 1 <= j < s + 7], "row int, col int, start int, pred double, width int").withColumn("seq", F.col("start"))
+    own = A.merge_windows(df.withColumn("r0", F.lit(0)).withColumn("h", F.lit(1)), ["col"], "cropped", size=8, crop=1, axes=(("row", "r0", "h"), ("col", "start", "width")))
+    got = {r.col: r.value for r in own.collect()}
+    assert got == {j: float(14 if j >= 14 else j // 6 * 6) for j in range(20)}
+    for bad in ({"policy": "first"}, {"policy": "cropped"}, {"policy": "cropped", "size": 4, "crop": 2, "axes": ()}):
+        with pytest.raises(ValueError):
+            A.merge_windows(df, ["col"], **bad)
+
+
+def test_products_of_the_same_tile(spark):
+    products = spark.createDataFrame([("A1", "31AAA", 5), ("B1", "32TPT", 5), ("B0", "32TPT", 5), ("C", "32TPT", 6)], "product string, tile string, stamp int")
+    asks = spark.createDataFrame([(1, "A9", "31AAA", 5), (2, "B9", "32TPT", 5), (3, "C", "32TPT", 6), (4, "D", "33XXX", 5)], "request int, name string, tile string, stamp int")
+    assert {r.request: r.product for r in J.resolve_product(asks, products).collect()} == {1: "A1", 2: "B0", 3: "C", 4: None}
+
+
 def test_patches_touch_borders_and_windows_cover(spark):
     meta, pix = raster(spark, np.arange(30).reshape(5, 6).tolist())
     pts = spark.createDataFrame([(1, 0, 0, 0), (2, 0, 2, 3), (3, 0, 4, 5)], "id int, raster_id int, row int, col int")
