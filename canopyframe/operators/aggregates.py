@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import CLASSES
-from ..semantics import bin_of, col
+from ..semantics import bin_of, col, small
+from .ranks import percentiles, with_percentiles
 
 
 def tile_sizes(df: DataFrame, chunk: int, by=("tile",)) -> DataFrame:
@@ -36,11 +37,10 @@ def pool_stats(chunks: DataFrame, by, exact: bool = False) -> DataFrame:
 
 
 def hist_percentiles(df: DataFrame, by, value: str, p=(0.01, 0.99)) -> DataFrame:
-    """First value whose cumulative share reaches p, from counts of distinct values."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    run = Window.partitionBy(*by).orderBy(value)
-    share = counts.withColumn("_cum", F.sum("_n").over(run)).withColumn("_all", F.sum("_n").over(Window.partitionBy(*by)))
-    return share.groupBy(*by).agg(*[F.min(F.when(F.col("_cum") >= F.lit(q) * F.col("_all"), F.col(value))).alias(f"p{round(q * 100)}") for q in p])
+    """First value whose cumulative share reaches p, by exact ranks."""
+    q = percentiles(df, by, value, p, discrete=True)
+    kind = df.schema[value].dataType
+    return q.select(*by, *[F.col("q")[i].cast(kind).alias(f"p{round(x * 100)}") for i, x in enumerate(p)])
 
 
 def array_moments(df: DataFrame, by, values: str) -> DataFrame:
@@ -258,10 +258,10 @@ def residual_boxes(df: DataFrame, pred: str, truth: str, by, width: int = 50, to
     """Quartiles of the residuals by bin, and whiskers at the furthest values within 1.5 interquartile ranges."""
     r = df.where(F.col(pred).isNotNull() & (F.col(truth) >= 0) & (F.col(truth) < top)).withColumn("bin", bin_of(truth, width)).withColumn("_r", F.col(pred) - F.col(truth))
     keys = [*by, "bin"]
-    q = r.groupBy(*keys).agg(F.percentile("_r", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
-    q = q.select(*keys, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"))
+    q = percentiles(r, keys, "_r", (0.25, 0.5, 0.75))
+    q = small(q.select(*keys, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3")))
     reach = 1.5 * (F.col("q3") - F.col("q1"))
-    inside = r.join(F.broadcast(q), keys).where((F.col("_r") >= F.col("q1") - reach) & (F.col("_r") <= F.col("q3") + reach))
+    inside = r.join(q, keys).where((F.col("_r") >= F.col("q1") - reach) & (F.col("_r") <= F.col("q3") + reach))
     return inside.groupBy(*keys).agg(*[F.first(c).alias(c) for c in ("q1", "median", "q3")], F.min("_r").alias("low"), F.max("_r").alias("high"))
 
 
@@ -315,25 +315,25 @@ def ensemble_rmse(df: DataFrame, pred: str, truth: str, model: str) -> DataFrame
 
 def cell_median(df: DataFrame, x: str, y: str, size: float, value: str) -> DataFrame:
     """Median of each grid cell, placed at the cell's centre."""
-    out = df.groupBy(F.floor(F.col(x) / size).alias("cx"), F.floor(F.col(y) / size).alias("cy")).agg(F.count(value).alias("n"), F.median(value).alias("median"))
+    cells = df.select(F.floor(F.col(x) / size).alias("cx"), F.floor(F.col(y) / size).alias("cy"), value)
+    out = with_percentiles(cells.groupBy("cx", "cy").agg(F.count(value).alias("n")), cells, ["cx", "cy"], value, {"median": 0.5})
     return out.withColumn("x", (F.col("cx") + 0.5) * size).withColumn("y", (F.col("cy") + 0.5) * size)
 
 
 def coverage_report(df: DataFrame, column: str) -> DataFrame:
     c = F.col(column)
-    return df.agg(
-        F.median(c).alias("median"), F.avg(c).alias("mean"), F.min(c).alias("min"), F.count_if(c >= 0.99).alias("full"), F.count_if(c < 0.5).alias("poor"), F.count_if(c.isNull()).alias("missing")
-    )
+    out = df.agg(F.avg(c).alias("mean"), F.min(c).alias("min"), F.count_if(c >= 0.99).alias("full"), F.count_if(c < 0.5).alias("poor"), F.count_if(c.isNull()).alias("missing"))
+    return with_percentiles(out, df, [], column, {"median": 0.5})
 
 
 def extent_summary(df: DataFrame, column: str, thresholds=(0.5, 0.9, 1.0)) -> DataFrame:
-    q = F.percentile(column, F.array(*[F.lit(p) for p in (0.0, 0.05, 0.25, 0.5, 0.75, 1.0)]))
-    out = df.agg(q.alias("q"), *[F.count_if(F.col(column) < t).alias(f"below_{round(t * 100)}") for t in thresholds])
-    return out.select(*[F.col("q")[i].alias(f"p{p}") for i, p in enumerate((0, 5, 25, 50, 75, 100))], *[f"below_{round(t * 100)}" for t in thresholds])
+    out = df.agg(*[F.count_if(F.col(column) < t).alias(f"below_{round(t * 100)}") for t in thresholds])
+    return with_percentiles(out, df, [], column, {f"p{p}": p / 100 for p in (0, 5, 25, 50, 75, 100)})
 
 
 def label_summary(df: DataFrame, by, value: str) -> DataFrame:
-    return df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.median(value).alias("median"), F.percentile(value, 0.9).alias("p90"), F.max(value).alias("max"))
+    out = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.max(value).alias("max"))
+    return with_percentiles(out, df, by, value, {"median": 0.5, "p90": 0.9})
 
 
 def class_distribution(df: DataFrame, key, cls: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import cylindrical
 from ..semantics import first_by, small
+from .ranks import with_percentiles
 
 
 def in_split(df: DataFrame, splits: DataFrame, mode: str, tile: str = "tile") -> DataFrame:
@@ -259,7 +260,7 @@ def sample_raster(points: DataFrame, rasters: DataFrame, pixels: DataFrame, noda
 
 
 def _zone_values(hits: DataFrame, value: str) -> DataFrame:
-    return hits.groupBy("zone").agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.median(value).alias("median"), F.percentile(value, 0.9).alias("p90"))
+    return with_percentiles(hits.groupBy("zone").agg(F.count(value).alias("n"), F.avg(value).alias("mean")), hits, ["zone"], value, {"median": 0.5, "p90": 0.9})
 
 
 def polygon_stats(polys: DataFrame, pixels: DataFrame, cell: float, half: float, value: str = "value") -> DataFrame:

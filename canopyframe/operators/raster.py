@@ -10,6 +10,7 @@ from ..functions.scalar import reflect
 from ..semantics import first_by, small
 from .joins import touched_cells
 from .nearest import filled_and_missing
+from .ranks import percentiles
 
 
 def _axis(n: Column, size: int, step: int) -> Column:
@@ -221,8 +222,8 @@ def best_crop(pixels: DataFrame, size: int = 320, stride: int = 64, least_valid:
 def stretch(df: DataFrame, by, value: str, low: float = 0.01, high: float = 0.99, gamma: float = 0.65, name: str = "out") -> DataFrame:
     """Percentile stretch (positive finite values only) and gamma; by: the columns that share one stretch."""
     good = df.where((F.col(value) > 0) & (F.abs(F.col(value)) < float("inf")))
-    q = good.groupBy(*by).agg(F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("_q"))
-    out = df.join(F.broadcast(q), list(by), "left") if by else df.join(F.broadcast(q), F.lit(True), "left")
+    q = small(percentiles(good, by, value, (low, high), name="_q"))
+    out = df.join(q, list(by), "left") if by else df.join(q, F.lit(True), "left")
     lo, hi = F.col("_q")[0], F.col("_q")[1]
     x = F.when(hi > lo, (F.col(value) - lo) / (hi - lo)).otherwise(F.col(value))
     return out.withColumn(name, F.pow(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)), F.lit(gamma))).drop("_q")
@@ -241,7 +242,7 @@ def pca_rgb(df: DataFrame, values: str, key: str) -> DataFrame:
     signs = [1.0 if loads[abs(loads[:, k]).argmax(), k] >= 0 else -1.0 for k in range(3)]
     out = model.transform(scaled).select(key, vector_to_array("_p").alias("_p"))
     out = out.select(key, F.posexplode(F.zip_with("_p", F.array(*map(F.lit, signs)), lambda v, s: v * s)).alias("component", "score"))
-    q = out.groupBy("component").agg(F.percentile("score", F.array(F.lit(0.02), F.lit(0.98))).alias("_q"))
+    q = percentiles(out, ["component"], "score", (0.02, 0.98), name="_q")  # three rows
     x = (F.col("score") - F.col("_q")[0]) / (F.col("_q")[1] - F.col("_q")[0])
     return out.join(F.broadcast(q), "component").select(key, "component", F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)).alias("level"))
 
