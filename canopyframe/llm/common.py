@@ -201,6 +201,58 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, powers: Po
         return mix64((prefix[end] - prefix[start]) * powers.down[start] + (end - start).astype(np.uint64))
 
 
+_PRIME = (1 << 61) - 1
+_LOW31, _LOW30 = np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1)
+#: Bytes whose products are summed without reduction.
+_SUMMED = 1 << 24
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & np.uint64(_PRIME)) + (x >> np.uint64(61))
+    return np.where(x >= np.uint64(_PRIME), x - np.uint64(_PRIME), x)
+
+
+def times_mod(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo 2**61 - 1, of numbers below it."""
+    au, ad, bu, bd = a >> np.uint64(31), a & _LOW31, b >> np.uint64(31), b & _LOW31
+    mid = ad * bu + au * bd
+    return _reduced(au * bu * np.uint64(2) + (mid >> np.uint64(30)) + ((mid & _LOW30) << np.uint64(31)) + ad * bd)
+
+
+class PrimeHash:
+    """Hashes of slices of byte arrays by a polynomial modulo the prime 2**61 - 1.
+
+    Modulo a power of two the two strings of a Thue-Morse pair would agree under every odd base; modulo a prime two given
+    strings agree under few bases only.
+    """
+
+    def __init__(self, base: int = 0x15A4E35C0DDB3A7B % _PRIME):
+        self.base, self.inverse = base, pow(base, -1, _PRIME)
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def _grown(self, base: int, table: np.ndarray, n: int) -> np.ndarray:
+        while len(table) < n:
+            table = np.concatenate([table, times_mod(table, np.uint64(pow(base, len(table), _PRIME)))])
+        return table
+
+    def prefix(self, raw: np.ndarray) -> np.ndarray:
+        """P with P[i] = sum of (raw[j] + 1) * base**j over j < i; raw: bytes."""
+        self.up, self.down = self._grown(self.base, self.up, len(raw) + 1), self._grown(self.inverse, self.down, len(raw) + 1)
+        out = np.zeros(len(raw) + 1, np.uint64)
+        for i in range(0, len(raw), _SUMMED):
+            value, power = raw[i : i + _SUMMED].astype(np.uint64) + np.uint64(1), self.up[i : min(len(raw), i + _SUMMED)]
+            high, low = _reduced(np.cumsum(value * (power >> np.uint64(31)))), _reduced(np.cumsum(value * (power & _LOW31)))
+            high = ((high << np.uint64(31)) & np.uint64(_PRIME)) + (high >> np.uint64(30))  # times 2**31
+            out[i + 1 : i + 1 + len(value)] = _reduced(_reduced(high + low) + out[i])
+        return out
+
+    def spans(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hash of each slice; equal bytes anywhere have equal hashes."""
+        with np.errstate(over="ignore"):
+            part = times_mod(_reduced(prefix[end] + np.uint64(_PRIME) - prefix[start]), self.down[start])
+            return mix64(part + (end - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
 def word_spans(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words of all rows, and the offsets of each row's words among them."""
     n = len(raw)

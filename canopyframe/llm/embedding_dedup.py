@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, join_hot, materialize, materialize_pruned
+from .common import connected_components, join_hot, materialize, materialize_pruned, ship
 
 #: Vectors at most that a rotation is learnt from, rounds of learning, vectors of a bucket's block, rows compared at once.
 FIT_ROWS = 20_000
@@ -190,6 +190,7 @@ def embedding_links(
     id too; null ids are never a component's id, unless it has no other. An empty table gives an empty result. Extra
     columns are ignored. Returns: id, n_links, component_id, kept (null id: null).
     """
+    ship(vectors.sparkSession)
     spark = vectors.sparkSession
     v = F.col("x")
     wide = "float" if vectors.schema[vector_col].dataType.elementType.simpleString() == "float" else "double"

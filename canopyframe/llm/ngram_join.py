@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, Powers, connected_components, counter_rows, join_hot, materialize, materialize_pruned, mix64, prefix_hash, slices, span_hash, string_buffers, sum_counters, word_spans
+from .common import ASCII_LOWER, PrimeHash, connected_components, counter_rows, join_hot, materialize, materialize_pruned, mix64, ship, slices, string_buffers, sum_counters, word_spans
 
 #: Counters (their logarithm) that show which n-grams are too frequent for one shard; their number does not follow the data.
 SKETCH_BITS = 20
@@ -24,14 +24,14 @@ RUN = 4096
 DEPTH = 4
 
 
-def shingle_sets(raw: np.ndarray, off: np.ndarray, words: int, powers: Powers, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(raw: np.ndarray, off: np.ndarray, words: int, powers: PrimeHash, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of every row, and the rows' offsets among them.
 
     A-Z are lower-cased; a row with fewer words than ``words`` has its whole sequence as one shingle.
     """
     raw = ASCII_LOWER[raw]
     start, end, rows = word_spans(raw, off)
-    hashes = span_hash(prefix_hash(raw, powers), start, end, powers)
+    hashes = powers.spans(powers.prefix(raw), start, end)
     count = np.diff(rows)
     n = np.where(count >= words, count - words + 1, np.minimum(count, 1))
     first = np.cumsum(n) - n
@@ -67,7 +67,7 @@ def _signatures(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 def _summaries(words: int, columns):
     def run(batches):
-        powers, counts = Powers(), np.zeros(1 << SKETCH_BITS, np.int64)
+        powers, counts = PrimeHash(), np.zeros(1 << SKETCH_BITS, np.int64)
         kinds = {}
         for batch in batches:
             kinds = {c: batch.schema.field(c).type for c in columns}
@@ -127,7 +127,7 @@ def _deal(words: int, percent: int, bits: int, table):
     kept = _kept_bits(bits)
 
     def run(batches):
-        powers = Powers()
+        powers = PrimeHash()
         frequency, frequent = table.value
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
@@ -270,7 +270,7 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 def _check(words: int, percent: int):
     def run(batches):
-        powers, known = Powers(), {}
+        powers, known = PrimeHash(), {}
         for batch in batches:
             yes = []
             names = [batch.column(c).to_pylist() for c in ("a", "b")]
@@ -360,6 +360,7 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     Returns: id, n_shingles, class_id, component_id, part (a key of the component, which tells components apart where ids
     do not; null without words), columns, one row per row.
     """
+    ship(docs.sparkSession)
     text = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("sum"), F.col(text_col).alias("text"), *columns)
     extra = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in text.select(*columns).schema) if columns else ""
     seen = materialize(text.mapInArrow(_summaries(words, list(columns)), f"id long, sum long, n long, key long, s2 long{extra}, chunk int, counts binary"), "sets")

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
+from .common import materialize, ship, slices
 from .tokens import encoder
 
 
@@ -18,6 +18,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int
     are. Only the two named columns are read. Returns: id, piece (from 0), start, length, ids (little-endian
     unsigned 32-bit integers).
     """
+    ship(docs.sparkSession)
 
     def cut(batches):
         code = encoder(tokenizer)
@@ -123,6 +124,7 @@ def best_fit_pack(pieces: DataFrame, size: int = 2048, id_col: str = "doc_id", l
     that a third of the rows share is still spread over all buckets. Rows keep all their columns and gain
     sequence_id and offset. Longer or empty rows and ones without a length are refused (ValueError). An empty table gives an empty result.
     """
+    ship(pieces.sparkSession)
     spark = pieces.sparkSession
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     known = list(pieces.columns)

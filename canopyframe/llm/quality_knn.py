@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, SPACE, Powers, materialize, mix64, prefix_hash, slices, span_hash, string_buffers, word_spans
+from .common import ASCII_LOWER, SPACE, Powers, materialize, mix64, prefix_hash, ship, slices, span_hash, string_buffers, word_spans
 
 #: Labelled rows at most that vectors are kept of, latent dimensions, and neighbours that vote.
 LABELLED_ROWS = 4_000
@@ -177,6 +177,7 @@ def quality_votes(
     each. Columns are ignored unless named in ``columns``, which go on with the row. An empty table gives an empty result.
     Returns: id, held_out, score (0 to 1), predicted (1 if score >= threshold, else 0), columns.
     """
+    ship(docs.sparkSession)
     spark = docs.sparkSession
     held = lambda c: F.coalesce(F.crc32(F.encode(c.cast("string"), "UTF-8")) % 5 == 0, F.lit(False))
     known = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("known")).agg((F.max("quality") > 0).cast("int").alias("y"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Powers, materialize, mix64, prefix_hash, slices, span_hash, string_buffers
+from .common import Powers, materialize, mix64, prefix_hash, ship, slices, span_hash, string_buffers
 
 #: Bytes of an anchor; every repeated string contains one, its least anchor by hash.
 ANCHOR = 24
@@ -350,6 +350,7 @@ def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
 
     Matches do not cross documents. Returns (id, sum, start, size), overlapping spans included.
     """
+    ship(docs.sparkSession)
     return _spans(_texts(docs, id_col, text_col).select(F.col("_id").alias("id"), F.col("_sum").alias("sum"), F.col("_text").alias("text")), length)
 
 
@@ -420,10 +421,26 @@ def _turns(rows: DataFrame, id_col: str, sum_col: str, columns=()) -> DataFrame:
     return rows.withColumn("_turn", F.row_number().over(Window.partitionBy(id_col, sum_col).orderBy(order)))
 
 
+def whole_characters(part: bytes, cut_before: bool, cut_after: bool) -> bytes:
+    """UTF-8 bytes of a text between two places, without what a cut at a place leaves of a character."""
+    a, b = 0, len(part)
+    while cut_before and a < b and part[a] & 0xC0 == 0x80:
+        a += 1
+    if cut_after:
+        lead = b - 1
+        while lead >= a and lead > b - 4 and part[lead] & 0xC0 == 0x80:
+            lead -= 1
+        if lead >= a:
+            first = part[lead]
+            size = 1 if first < 0xC0 else 2 if first < 0xE0 else 3 if first < 0xF0 else 4
+            b = lead if size > b - lead else b
+    return part[a:b]
+
+
 def _strip(columns, length):
     def run(batches):
         for batch in (part for whole in batches for part in slices(whole, "_text", 1 << 20)):
-            kept, removed, runs, sizes = [], [], [], []
+            kept, removed, runs, sizes, texts = [], [], [], [], []
             for text, spans, turn in zip(batch.column("_text").to_pylist(), batch.column("_spans").to_pylist(), batch.column("_turn").to_pylist()):
                 out, at, n = [], 0, 0
                 if turn > 1 and len(text) >= length:  # an earlier row has all its strings
@@ -435,10 +452,11 @@ def _strip(columns, length):
                     at = max(at, end)
                 out.append(text[at:])
                 whole = b"".join(out)
+                texts.append(b"".join(whole_characters(p, i > 0, i < len(out) - 1) for i, p in enumerate(out)))
                 kept.append(whole), removed.append(len(text) - len(whole)), runs.append(n), sizes.append(len(text))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_id"), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary()), *(batch.column(c) for c in columns)],
-                ["_id", "n_bytes", "n_removed", "n_spans", "kept", *columns],
+                [batch.column("_id"), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary()), pa.array(texts, pa.binary()), *(batch.column(c) for c in columns)],
+                ["_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_text", *columns],
             )
 
     return run
@@ -453,11 +471,13 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     text if it has ``length`` bytes. Other columns are ignored unless named in ``columns``. An empty table gives an
     empty result.
     spans: the result of ``span_lists``, where it is at hand.
-    Returns: id, n_bytes, n_removed, n_spans (maximal removed runs), kept (binary, the remaining bytes), columns.
+    Returns: id, n_bytes, n_removed, n_spans (maximal removed runs), kept (binary, the remaining bytes),
+    kept_text (these without the parts of characters that a cut leaves), columns.
     """
+    ship(docs.sparkSession)
     text = _texts(docs, id_col, text_col, columns)
     spans = span_lists(docs, length, id_col, text_col) if spans is None else spans
     out = _turns(text.join(spans, ["_id", "_sum"], "left"), "_id", "_sum", columns).select("_id", "_text", "_spans", "_turn", *columns)
     extra = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema) if columns else ""
-    out = out.mapInArrow(_strip(list(columns), length), f"_id long, n_bytes long, n_removed long, n_spans long, kept binary{extra}")
+    out = out.mapInArrow(_strip(list(columns), length), f"_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_text binary{extra}").withColumn("kept_text", F.make_valid_utf8(F.col("kept_text").cast("string")))
     return out.withColumn("_id", F.nullif("_id", F.lit(_NO_ID))).withColumnRenamed("_id", id_col)

@@ -9,7 +9,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, counter_rows, slices, string_buffers, sum_counters, word_spans
+from .common import SPACE, counter_rows, ship, slices, string_buffers, sum_counters, word_spans
 
 #: Begins every word.
 MARK = "▁"
@@ -228,6 +228,7 @@ def estimate(docs: DataFrame, pieces: list[str], rounds: int = ROUNDS, text_col:
     the last. Counts are whole numbers of a fixed table, so they do not depend on partitions. Without any
     document all pieces are alike.
     """
+    ship(docs.sparkSession)
     text, model = docs.select(F.col(text_col).alias("text")), Pieces(pieces)
     for _ in range(rounds):
         table = docs.sparkSession.sparkContext.broadcast(model)

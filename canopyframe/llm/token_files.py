@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import ship, slices
 from .tokens import encoder
 
 #: Bits of the bitmaps between two entries of a rank directory.
@@ -95,6 +95,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     shard), n_ids, doc_ids and doc_lens (packed 64- and 32-bit integers), codes (a directly addressable code, see ``dac_encode``). Null text counts
     as empty: the end id alone. An empty table writes an empty folder.
     """
+    ship(docs.sparkSession)
 
     def write(batches):
         code, seg, first = encoder(tokenizer), 0, 0
@@ -130,6 +131,7 @@ def shard_starts(folder: DataFrame) -> DataFrame:
 def read_token_files(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
     """Documents of a folder: id, start (ids of all documents before it), n_tokens, ids (binary, little-endian
     unsigned 32-bit integers), from the codes alone."""
+    ship(spark)
 
     def read(batches):
         for batch in batches:
@@ -151,6 +153,7 @@ def read_token_files(spark: SparkSession, path: str, id_col: str = "doc_id") ->
 
 def token_at(spark: SparkSession, path: str, positions: DataFrame) -> DataFrame:
     """Ids at global positions (one column ``position``), by random access to the codes; places outside are left out."""
+    ship(spark)
 
     def look(batches):
         for batch in batches:

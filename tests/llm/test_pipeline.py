@@ -58,3 +58,22 @@ def test_run(spark):
     import corpus_pipeline as cp
 
     assert cp.run(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_replacement_signs_stay(spark):
+    """Only what a cut leaves of a character goes; a text's own U+FFFD and its other characters stay."""
+    import corpus_pipeline as cp
+
+    from canopyframe.llm.suffix_dedup import whole_characters
+
+    long = " ".join(f"w{i:03d}" for i in range(40))
+    for tail in ("\ufffd", "é", "漢", "\U0001f600"):
+        rows = [(1, long, "en", "s", 1), (2, f"keep \ufffd mark {long} here \ufffd tail {tail}", "en", "s", 1)]
+        got = {r.doc_id: r.text for r in cp.repeated_passages(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "").collect()}
+        assert got[1] == long and got[2].count("\ufffd") == rows[1][1].count("\ufffd") and got[2].startswith("keep \ufffd mark ") and got[2].endswith(f" here \ufffd tail {tail}")
+    for text in ("aé漢\U0001f600b", "é", "漢漢", "\U0001f600"):
+        raw = text.encode()
+        for i in range(len(raw) + 1):
+            for j in range(i, len(raw) + 1):
+                part = whole_characters(raw[i:j], True, True).decode()  # never half a character
+                assert part in text and len(part.encode()) >= j - i - 6
