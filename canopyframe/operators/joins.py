@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import cylindrical
 from ..semantics import first_by, small
 from .ranks import with_percentiles
+from .shapes import border_distance, covered_pixels, inside, meets_box, on_border, shaped
 
 
 def in_split(df: DataFrame, splits: DataFrame, mode: str, tile: str = "tile") -> DataFrame:
@@ -34,89 +35,33 @@ def touched_cells(size: float, xmin="xmin", ymin="ymin", xmax="xmax", ymax="ymax
     return F.explode(F.flatten(F.transform(F.sequence(at(xmin), at(xmax)), lambda i: F.transform(F.sequence(at(ymin), at(ymax)), lambda j: F.struct(i.alias("cx"), j.alias("cy"))))))
 
 
-def in_ring(x: Column, y: Column, ring: Column) -> Column:
-    """Point in polygon by ray casting; ring: array of (x, y) structs without the closing point."""
-    n = F.size(ring)
-    edges = F.transform(ring, lambda p, i: F.struct(p.alias("a"), F.get(ring, (i + 1) % n).alias("b")))
-    crosses = F.filter(edges, lambda e: ((e["a"]["y"] > y) != (e["b"]["y"] > y)) & (x < (e["b"]["x"] - e["a"]["x"]) * (y - e["a"]["y"]) / (e["b"]["y"] - e["a"]["y"]) + e["a"]["x"]))
-    return F.size(crosses) % 2 == 1
-
-
-def on_ring(x: Column, y: Column, ring: Column) -> Column:
-    n = F.size(ring)
-    edges = F.transform(ring, lambda p, i: F.struct(p.alias("a"), F.get(ring, (i + 1) % n).alias("b")))
-    return F.exists(edges, lambda e: (
-        ((e["b"]["x"] - e["a"]["x"]) * (y - e["a"]["y"]) == (e["b"]["y"] - e["a"]["y"]) * (x - e["a"]["x"]))
-        & x.between(F.least(e["a"]["x"], e["b"]["x"]), F.greatest(e["a"]["x"], e["b"]["x"])) & y.between(F.least(e["a"]["y"], e["b"]["y"]), F.greatest(e["a"]["y"], e["b"]["y"]))
-    ))
-
-
-def ring_distance(x: Column, y: Column, ring: Column) -> Column:
-    """Distance of a point from a ring's segments, in the units of both."""
-    n = F.size(ring)
-
-    def away(p, i):
-        q = F.get(ring, (i + 1) % n)
-        dx, dy = q["x"] - p["x"], q["y"] - p["y"]
-        t = F.coalesce(F.try_divide((x - p["x"]) * dx + (y - p["y"]) * dy, dx * dx + dy * dy), F.lit(0.0))
-        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
-        return F.sqrt(F.pow(p["x"] + t * dx - x, 2) + F.pow(p["y"] + t * dy - y, 2))
-
-    return F.array_min(F.transform(ring, away))
-
-
-def ring_meets_box(ring: Column, xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:
-    """Whether a polygon and a box have a point in common, borders included: an edge passes the box, or the box lies inside.
-
-    An edge is cut to the part of it between the box's sides, first in x, then in y; nothing may be left of it.
-    """
-    n = F.size(ring)
-    never = F.struct(F.lit(2.0).alias("from"), F.lit(-1.0).alias("to"))
-
-    def between(p, q, low, high):
-        a, b = F.try_divide(low - p, q - p), F.try_divide(high - p, q - p)
-        part = F.struct(F.least(a, b).alias("from"), F.greatest(a, b).alias("to"))
-        whole = F.struct(F.lit(0.0).alias("from"), F.lit(1.0).alias("to"))
-        return F.when(p != q, part).when(p.between(low, high), whole).otherwise(never)
-
-    def passes(p, i):
-        q = F.get(ring, (i + 1) % n)
-        x, y = between(p["x"], q["x"], xmin, xmax), between(p["y"], q["y"], ymin, ymax)
-        return F.greatest(F.lit(0.0), x["from"], y["from"]) <= F.least(F.lit(1.0), x["to"], y["to"])
-
-    return F.array_contains(F.transform(ring, passes), True) | in_ring(xmin, ymin, ring)
-
-
-def ring_bounds(df: DataFrame) -> DataFrame:
-    """df with the bounds of its column ``ring``."""
-    x, y = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
-    return df.select("*", F.array_min(x).alias("xmin"), F.array_min(y).alias("ymin"), F.array_max(x).alias("xmax"), F.array_max(y).alias("ymax"))
-
-
 def tiles_per_region(tiles: DataFrame, regions: DataFrame, cell: float = 10.0) -> DataFrame:
-    """Tiles and regions that intersect, borders included. Tiles are boxes, regions boxes or, with a column ``ring``,
-    polygons. They meet by grid cell; a pair is tested in the cell of the lower left corner of what their bounds share."""
-    polygons = "ring" in regions.columns
-    right = ring_bounds(regions) if polygons else regions
+    """Tiles and regions that intersect, borders included. Tiles are boxes; regions boxes or shapes (``ring``, ``rings``
+    or ``parts``), with holes and of several parts. They meet by grid cell of each part's bounds; a pair is tested in the
+    cell of the lower left corner of what the bounds share."""
+    polygons = not {"xmin", "ymin", "xmax", "ymax"} <= set(regions.columns)
+    right = shaped(regions) if polygons else regions
     cells = lambda df: df.select("*", touched_cells(cell).alias("_c")).select("*", "_c.cx", "_c.cy").drop("_c")
     t, r = cells(tiles).alias("t"), cells(right).alias("r")
     meets = (F.col("t.xmin") <= F.col("r.xmax")) & (F.col("t.xmax") >= F.col("r.xmin")) & (F.col("t.ymin") <= F.col("r.ymax")) & (F.col("t.ymax") >= F.col("r.ymin"))
     own = (F.floor(F.greatest("t.xmin", "r.xmin") / cell) == F.col("t.cx")) & (F.floor(F.greatest("t.ymin", "r.ymin") / cell) == F.col("t.cy"))
     both = t.join(r, (F.col("t.cx") == F.col("r.cx")) & (F.col("t.cy") == F.col("r.cy"))).where(meets & own)
-    if polygons:
-        both = both.where(ring_meets_box(F.col("r.ring"), *[F.col(f"t.{k}") for k in ("xmin", "ymin", "xmax", "ymax")]))
-    return both.select("r.region", "t.tile")
+    if not polygons:
+        return both.select("r.region", "t.tile")
+    both = both.where(meets_box(F.col("r.rings"), *[F.col(f"t.{k}") for k in ("xmin", "ymin", "xmax", "ymax")]))
+    return both.select("r.region", "t.tile").distinct()  # a tile may meet several parts
 
 
 def points_in(points: DataFrame, polys: DataFrame, how: str = "within", keep: bool = True, cell: float = 10.0) -> DataFrame:
     """Points inside any polygon (or outside all): a grid cell equi-join, then ray casting. ``within`` leaves
-    out the boundary, ``intersects`` takes it in. points: id, x, y; polys: ring with its bounds."""
-    cells = polys.select("ring", "xmin", "ymin", "xmax", "ymax", touched_cells(cell).alias("cell")).select("*", "cell.cx", "cell.cy")
+    out the boundary, that of holes too, ``intersects`` takes it in. points: id, x, y; polys: ``ring``, ``rings`` or ``parts``."""
+    polys = shaped(polys.select(*[c for c in ("ring", "rings", "parts") if c in polys.columns]))
+    cells = polys.select("rings", "xmin", "ymin", "xmax", "ymax", touched_cells(cell).alias("cell")).select("*", "cell.cx", "cell.cy")
     at = points.select("id", "x", "y", F.floor(F.col("x") / cell).cast("long").alias("cx"), F.floor(F.col("y") / cell).cast("long").alias("cy"))
-    x, y, ring = F.col("x"), F.col("y"), F.col("ring")
-    boundary = on_ring(x, y, ring)
-    inside = (in_ring(x, y, ring) & ~boundary) if how == "within" else (in_ring(x, y, ring) | boundary)
-    hits = at.join(cells, ["cx", "cy"]).where(x.between(F.col("xmin"), F.col("xmax")) & y.between(F.col("ymin"), F.col("ymax"))).where(inside).select("id").distinct()
+    x, y, rings = F.col("x"), F.col("y"), F.col("rings")
+    boundary = on_border(x, y, rings)
+    hit = (inside(x, y, rings) & ~boundary) if how == "within" else (inside(x, y, rings) | boundary)
+    hits = at.join(cells, ["cx", "cy"]).where(x.between(F.col("xmin"), F.col("xmax")) & y.between(F.col("ymin"), F.col("ymax"))).where(hit).select("id").distinct()
     return points.join(hits, "id", "left_semi" if keep else "left_anti")
 
 
@@ -131,19 +76,18 @@ def overlap_join(points: DataFrame, centers: DataFrame, half: float = 640.0) ->
 
 
 def near_regions(points: DataFrame, regions: DataFrame, buffer_m: float, cell_m: float = 500_000.0) -> DataFrame:
-    """Points within ``buffer_m`` of a region's ring or inside it, in equal-area metres. They meet by the grid cells that a
-    region's bounds and the buffer touch."""
+    """Points within ``buffer_m`` of a region's outline or inside it, in equal-area metres; a point in a hole counts by its
+    distance from the hole's edge. They meet by the grid cells that the bounds of a part and the buffer touch."""
     at = points.select("*", *cylindrical("lon", "lat"))
-    ring = F.transform("ring", lambda p: F.struct(F.radians(p["x"]).alias("x"), F.radians(p["y"]).alias("y")))
     r = 6371007.0
-    ring = F.transform(ring, lambda p: F.struct((p["x"] * r).alias("x"), (F.sin(p["y"]) * r).alias("y")))
-    rings = regions.select("region", ring.alias("ring"))
-    rings = ring_bounds(rings).selectExpr("ring", *[f"{k} {s} {buffer_m!r}D AS {k}" for k, s in (("xmin", "-"), ("ymin", "-"), ("xmax", "+"), ("ymax", "+"))])
-    rings = rings.select("*", touched_cells(cell_m).alias("_c")).select("*", "_c.cx", "_c.cy")
+    flat = lambda p: F.struct((F.radians(p["x"]) * r).alias("x"), (F.sin(F.radians(p["y"])) * r).alias("y"))
+    parts = shaped(regions).select(F.transform("rings", lambda ring: F.transform(ring, flat)).alias("rings"))
+    parts = shaped(parts).selectExpr("rings", *[f"{k} {s} {buffer_m!r}D AS {k}" for k, s in (("xmin", "-"), ("ymin", "-"), ("xmax", "+"), ("ymax", "+"))])
+    parts = parts.select("*", touched_cells(cell_m).alias("_c")).select("*", "_c.cx", "_c.cy")
     x, y = F.col("mx"), F.col("my")
     at = at.withColumn("cx", F.floor(x / cell_m).cast("long")).withColumn("cy", F.floor(y / cell_m).cast("long"))
     boxed = x.between(F.col("xmin"), F.col("xmax")) & y.between(F.col("ymin"), F.col("ymax"))
-    hit = at.join(rings, ["cx", "cy"]).where(boxed).where(in_ring(x, y, F.col("ring")) | (ring_distance(x, y, F.col("ring")) <= buffer_m))
+    hit = at.join(parts, ["cx", "cy"]).where(boxed).where(inside(x, y, F.col("rings")) | (border_distance(x, y, F.col("rings")) <= buffer_m))
     return points.join(hit.select("id").distinct(), "id", "left_semi")
 
 
@@ -263,26 +207,20 @@ def _zone_values(hits: DataFrame, value: str) -> DataFrame:
     return with_percentiles(hits.groupBy("zone").agg(F.count(value).alias("n"), F.avg(value).alias("mean")), hits, ["zone"], value, {"median": 0.5, "p90": 0.9})
 
 
-def polygon_stats(polys: DataFrame, pixels: DataFrame, cell: float, half: float, value: str = "value") -> DataFrame:
+def polygon_stats(polys: DataFrame, rasters: DataFrame, pixels: DataFrame, value: str = "value", cell: float = 10_000.0) -> DataFrame:
     """Mean, median and 90th percentile of all pixels that a polygon touches, in the polygon's own zone.
 
-    polys: zone, epsg, ring; pixels: epsg, x, y (centres of squares with sides of 2 * half), value.
+    polys: zone, epsg and a shape; rasters and pixels as for ``covered_pixels``. Missing values count for nothing.
     """
-    rings = ring_bounds(polys.select("zone", "epsg", "ring"))
-    wider = rings.selectExpr("zone", "epsg", "ring", *[f"{k} {s} {half!r}D AS {k}" for k, s in (("xmin", "-"), ("ymin", "-"), ("xmax", "+"), ("ymax", "+"))])
-    wider = wider.select("*", touched_cells(cell).alias("_c")).select("*", "_c.cx", "_c.cy").drop("_c")
-    x, y = F.col("x"), F.col("y")
-    at = pixels.where(F.col(value).isNotNull()).withColumn("cx", F.floor(x / cell).cast("long")).withColumn("cy", F.floor(y / cell).cast("long"))
-    near = at.join(wider, ["epsg", "cx", "cy"]).where(x.between(F.col("xmin"), F.col("xmax")) & y.between(F.col("ymin"), F.col("ymax")))
-    return _zone_values(near.where(ring_meets_box(F.col("ring"), x - half, y - half, x + half, y + half)), value)
+    return _zone_values(covered_pixels(polys, rasters, pixels.where(F.col(value).isNotNull()), "zone", touched=True, cell=cell), value)
 
 
 def zonal_stats(polys: DataFrame, pixels: DataFrame, cell: float, value: str = "value") -> DataFrame:
     """Mean, median and 90th percentile of the pixels whose centre lies in a box. pixels: x, y, value."""
     boxes = polys.select("zone", "xmin", "ymin", "xmax", "ymax", touched_cells(cell).alias("c")).select("*", "c.cx", "c.cy")
     at = pixels.where(F.col(value).isNotNull()).withColumn("cx", F.floor(F.col("x") / cell).cast("long")).withColumn("cy", F.floor(F.col("y") / cell).cast("long"))
-    inside = at.join(boxes, ["cx", "cy"]).where((F.col("xmin") <= F.col("x")) & (F.col("x") < F.col("xmax")) & (F.col("ymin") < F.col("y")) & (F.col("y") <= F.col("ymax")))
-    return _zone_values(inside, value)
+    held = at.join(boxes, ["cx", "cy"]).where((F.col("xmin") <= F.col("x")) & (F.col("x") < F.col("xmax")) & (F.col("ymin") < F.col("y")) & (F.col("y") <= F.col("ymax")))
+    return _zone_values(held, value)
 
 
 def common_coverage(grid: DataFrame, a: DataFrame, b: DataFrame, keys, by) -> DataFrame:

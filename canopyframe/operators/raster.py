@@ -11,6 +11,7 @@ from ..semantics import first_by, small
 from .joins import touched_cells
 from .nearest import filled_and_missing
 from .ranks import percentiles
+from .shapes import covered_pixels
 
 
 def _axis(n: Column, size: int, step: int) -> Column:
@@ -153,6 +154,14 @@ def clip(pixels: DataFrame, row0: int, row1: int, col0: int, col1: int) -> DataF
     return pixels.where((F.col("row") >= row0) & (F.col("row") < row1) & (F.col("col") >= col0) & (F.col("col") < col1))
 
 
+def clip_polygon(polys: DataFrame, rasters: DataFrame, pixels: DataFrame, key: str = "zone", touched: bool = False, cell: float = 10_000.0) -> DataFrame:
+    """Pixels of the rasters of its zone whose centres lie in each polygon, or with ``touched`` that it touches.
+
+    Polygons have holes and several parts; see ``covered_pixels``. Returns key and the columns of pixels.
+    """
+    return covered_pixels(polys, rasters, pixels, key, touched, cell)
+
+
 def crop_pad(pixels: DataFrame, ids: DataFrame, row0: int, row1: int, col0: int, col1: int, nodata: float = -9999.0) -> DataFrame:
     """Every place of a box, no data where the raster has none."""
     grid = ids.select("raster_id").distinct().withColumn("row", F.explode(F.sequence(F.lit(row0).cast("long"), F.lit(row1 - 1).cast("long")))).withColumn("col", F.explode(F.sequence(F.lit(col0).cast("long"), F.lit(col1 - 1).cast("long"))))

@@ -75,6 +75,20 @@ def _(spark, d):
     return S.scan_plots(spark, path).select(F.col("properties")["plot"].alias("plot"), "xmin", "ymin", "xmax", "ymax", F.size("ring").alias("points"))
 
 
+@query("s05_scan_parts", """SELECT CAST(plot AS VARCHAR) AS plot, 1 + plot % 2 AS parts, 2 AS rings, round(lon - 1, 4) AS xmin, round(lat - 1, 4) AS ymin, round(CASE WHEN plot % 2 = 1 THEN lon + 4 ELSE lon + 1 END, 4) AS xmax, round(lat + 1, 4) AS ymax FROM plots""")
+def _(spark, d):
+    """Squares with a hole, every other one with a second part beside it, written as GeoJSON and read again."""
+    path = _folder(spark)
+    ring = lambda half, dx=0.0: F.array(*[F.array(F.round(F.col("lon") + dx + i * half, 4), F.round(F.col("lat") + j * half, 4)) for i, j in ((-1, -1), (1, -1), (1, 1), (-1, 1), (-1, -1))])
+    one, two = F.array(ring(1.0), ring(0.5)), F.array(ring(0.5, 3.5))
+    text = lambda kind, c: F.to_json(F.struct(F.struct("plot").alias("properties"), F.struct(F.lit(kind).alias("type"), c.alias("coordinates")).alias("geometry")))
+    feature = F.when(F.col("plot") % 2 == 1, text("MultiPolygon", F.array(one, two))).otherwise(text("Polygon", one))
+    p = Tables(spark, d).plots.groupBy((F.col("plot") % 16).alias("part")).agg(F.collect_list(feature).alias("features")).repartition(16, "part")
+    p.select(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join("features", ","), F.lit("]}")).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    out = S.scan_plots(spark, path)
+    return out.select(F.col("properties")["plot"].alias("plot"), F.size("parts").alias("parts"), F.size(F.col("parts")[0]).alias("rings"), "xmin", "ymin", "xmax", "ymax")
+
+
 @query("s06_scan_uri_list", "SELECT concat('store://area/', year(o_orderdate), '/', o_custkey % 60, 'N/', o_orderkey, '.tiff') AS uri FROM orders WHERE year(o_orderdate) = 1997")
 def _(spark, d):
     path = _folder(spark)

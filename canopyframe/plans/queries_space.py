@@ -99,6 +99,35 @@ def _(spark, d):
     return J.points_in(t.plots.selectExpr("plot AS id", "lon AS x", "lat AS y"), _diamonds(t), keep=False).select(F.col("id").alias("plot"))
 
 
+# two-part regions around the nations' places: a square of 15 with a square hole of 6, and a square of 5 to its side
+_PLACE = "(SELECT n_nationkey AS region, n_nationkey * 14e0 - 165 AS cx, n_nationkey * 5e0 - 55 AS cy FROM nation)"
+_IN_PARTS = "((greatest(abs(lon - cx), abs(lat - cy)) < 15 AND greatest(abs(lon - cx), abs(lat - cy)) > 6) OR greatest(abs(lon - cx - 40), abs(lat - cy - 10)) < 5)"
+
+
+def _square(half, dx=0.0, dy=0.0):
+    return F.array(*[F.struct((F.col("cx") + dx + i * half).alias("x"), (F.col("cy") + dy + j * half).alias("y")) for i, j in ((-1, -1), (1, -1), (1, 1), (-1, 1))])
+
+
+def _two_parts(t):
+    places = t.raw("nation").selectExpr("n_nationkey AS region", "n_nationkey * 14D - 165 AS cx", "n_nationkey * 5D - 55 AS cy")
+    return places.select("region", F.array(F.array(_square(15.0), _square(6.0)), F.array(_square(5.0, 40.0, 10.0))).alias("parts"))
+
+
+@query("j04_tiles_per_parts", f"""WITH t AS (SELECT plot AS tile, lon - 2 AS x0, lon + 2 AS x1, lat - 2 AS y0, lat + 2 AS y1 FROM plots)
+    SELECT region, tile FROM t JOIN {_PLACE} ON (x0 <= cx + 15 AND x1 >= cx - 15 AND y0 <= cy + 15 AND y1 >= cy - 15 AND NOT (x0 > cx - 6 AND x1 < cx + 6 AND y0 > cy - 6 AND y1 < cy + 6))
+    OR (x0 <= cx + 45 AND x1 >= cx + 35 AND y0 <= cy + 15 AND y1 >= cy + 5)""")
+def _(spark, d):
+    t = Tables(spark, d)
+    return J.tiles_per_region(t.plots.selectExpr("plot AS tile", "lon - 2 AS xmin", "lon + 2 AS xmax", "lat - 2 AS ymin", "lat + 2 AS ymax"), _two_parts(t))
+
+
+for _name, _keep in (("j05_points_in_parts", True), ("j05_points_outside_parts", False)):
+    @query(_name, f"SELECT plot FROM plots WHERE {'' if _keep else 'NOT '}EXISTS (SELECT 1 FROM {_PLACE} WHERE {_IN_PARTS})")
+    def _(spark, d, keep=_keep):
+        t = Tables(spark, d)
+        return J.points_in(t.plots.selectExpr("plot AS id", "lon AS x", "lat AS y"), _two_parts(t), keep=keep).select(F.col("id").alias("plot"))
+
+
 _XY = "SELECT p_partkey AS id, 32632 + p_partkey % 3 AS epsg, 500000e0 + p_partkey * 7919 % 200000 AS x, 5000000e0 + p_partkey * 104729 % 200000 AS y FROM part"
 
 
@@ -125,6 +154,20 @@ def _(spark, d):
     return J.near_regions(points, n.select("region", ring.alias("ring")), 500000).select(F.col("id").alias("plot"))
 
 
+def _flat(x, y):
+    return f"radians({x}) * {_CEA}, sin(radians({y})) * {_CEA}"
+
+
+@query("j07_near_parts", f"""WITH b AS (SELECT region, [{_flat('cx - 15', 'cy - 15')}, {_flat('cx + 15', 'cy + 15')}] AS o, [{_flat('cx - 6', 'cy - 6')}, {_flat('cx + 6', 'cy + 6')}] AS h, [{_flat('cx + 35', 'cy + 5')}, {_flat('cx + 45', 'cy + 15')}] AS s FROM {_PLACE}),
+    p AS (SELECT plot, radians(lon) * {_CEA} AS x, sin(radians(lat)) * {_CEA} AS y FROM plots),
+    away AS (SELECT plot, CASE WHEN x > h[1] AND x < h[3] AND y > h[2] AND y < h[4] THEN least(x - h[1], h[3] - x, y - h[2], h[4] - y) ELSE sqrt(greatest(o[1] - x, 0, x - o[3]) ** 2 + greatest(o[2] - y, 0, y - o[4]) ** 2) END AS first,
+    sqrt(greatest(s[1] - x, 0, x - s[3]) ** 2 + greatest(s[2] - y, 0, y - s[4]) ** 2) AS second FROM p CROSS JOIN b)
+    SELECT DISTINCT plot FROM away WHERE first <= 300000 OR second <= 300000""")
+def _(spark, d):
+    t = Tables(spark, d)
+    return J.near_regions(t.plots.select(F.col("plot").alias("id"), "lon", "lat"), _two_parts(t), 300000).select(F.col("id").alias("plot"))
+
+
 @query("j08_lite_to_original", "SELECT o_orderkey AS lite_idx, tile, year, idx FROM orders JOIN (SELECT *, row_number() OVER (ORDER BY tile, year, idx) - 1 AS k FROM fpx) ON o_orderkey * 2 = k")
 def _(spark, d):
     t = Tables(spark, d)
@@ -785,8 +828,37 @@ def _(spark, d):
     t = Tables(spark, d)
     z = t.raw("customer").withColumn("raster_id", F.col("c_custkey") % 4).join(t.rasters, "raster_id").selectExpr("c_custkey AS zone", "epsg", "c + c_custkey * 37 % 300 AS cx", "f + e * (c_custkey * 53 % (height * 10)) / 10 AS cy")
     ring = F.array(*[F.struct((F.col("cx") + dx).alias("x"), (F.col("cy") + dy).alias("y")) for dx, dy in ((22.25, 0), (0, 22.25), (-22.25, 0), (0, -22.25))])
-    pix = t.valid.join(t.rasters, "raster_id").selectExpr("epsg", "c + (col + 0.5D) * a AS x", "f + (row + 0.5D) * e AS y", "value")
-    return rounded(J.polygon_stats(z.select("zone", "epsg", ring.alias("ring")), pix, 60.0, 5.0))
+    return rounded(J.polygon_stats(z.select("zone", "epsg", ring.alias("ring")), t.rasters, t.valid.select("raster_id", "row", "col", "value"), cell=500.0))
+
+
+# a diamond of 40.25 with a hole of 15.25, and one of 12.25 beside it, on the rasters of its zone
+_SHAPES = "SELECT c_custkey AS zone, epsg, c + c_custkey * 37 % 300 AS cx, f + e * (c_custkey * 53 % (height * 10)) / 10 AS cy FROM customer JOIN rasters ON raster_id = c_custkey % 4"
+_CENTRES = "SELECT raster_id, row, col, value, epsg, c + (col + 0.5e0) * a AS x, f + (row + 0.5e0) * e AS y FROM valid JOIN rasters USING (raster_id)"
+
+
+def _shapes(t):
+    z = t.raw("customer").withColumn("raster_id", F.col("c_custkey") % 4).join(t.rasters, "raster_id").selectExpr("c_custkey AS zone", "epsg", "c + c_custkey * 37 % 300 AS cx", "f + e * (c_custkey * 53 % (height * 10)) / 10 AS cy")
+
+    def diamond(half, dx=0.0, dy=0.0):
+        return F.array(*[F.struct((F.col("cx") + dx + i * half).alias("x"), (F.col("cy") + dy + j * half).alias("y")) for i, j in ((1, 0), (0, 1), (-1, 0), (0, -1))])
+
+    return z.select("zone", "epsg", F.array(F.array(diamond(40.25), diamond(15.25)), F.array(diamond(12.25, 60.0, 20.0))).alias("parts"))
+
+
+@query("a29_parts_stats", f"""WITH z AS ({_SHAPES}), p AS ({_CENTRES})
+    SELECT zone, count(value) AS n, {r('avg(value)', 'mean')}, {r('median(value)', 'median')}, {r('quantile_cont(value, 0.9)', 'p90')} FROM z JOIN p ON z.epsg = p.epsg AND x BETWEEN cx - 50 AND cx + 80 AND y BETWEEN cy - 50 AND cy + 50
+    AND ((greatest(abs(x - cx) - 5, 0) + greatest(abs(y - cy) - 5, 0) <= 40.25e0 AND abs(x - cx) + abs(y - cy) + 10 >= 15.25e0) OR greatest(abs(x - cx - 60) - 5, 0) + greatest(abs(y - cy - 20) - 5, 0) <= 12.25e0) GROUP BY zone""")
+def _(spark, d):
+    t = Tables(spark, d)
+    return rounded(J.polygon_stats(_shapes(t), t.rasters, t.valid.select("raster_id", "row", "col", "value"), cell=500.0))
+
+
+@query("g10_clip_polygon", f"""WITH z AS ({_SHAPES}), p AS ({_CENTRES})
+    SELECT zone, raster_id, row, col, value FROM z JOIN p ON z.epsg = p.epsg AND x BETWEEN cx - 50 AND cx + 80 AND y BETWEEN cy - 50 AND cy + 50
+    AND ((abs(x - cx) + abs(y - cy) < 40.25e0 AND abs(x - cx) + abs(y - cy) > 15.25e0) OR abs(x - cx - 60) + abs(y - cy - 20) < 12.25e0)""")
+def _(spark, d):
+    t = Tables(spark, d)
+    return R.clip_polygon(_shapes(t), t.rasters, t.valid.select("raster_id", "row", "col", "value"), cell=500.0)
 
 
 @query("a30_common_coverage", f"""WITH g AS (SELECT row, col, row // 5 AS plot FROM pix WHERE raster_id = 0), x AS (SELECT g.plot, a.value AS p, b.value AS q FROM g LEFT JOIN (SELECT * FROM valid WHERE raster_id = 1) a USING (row, col) LEFT JOIN (SELECT * FROM valid WHERE raster_id = 2) b USING (row, col))

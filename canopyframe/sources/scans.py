@@ -32,18 +32,28 @@ def scan_class_embeddings(spark: SparkSession, path: str) -> DataFrame:
 
 _GEOJSON = T.StructType([T.StructField("features", T.ArrayType(T.StructType([
     T.StructField("properties", T.MapType(T.StringType(), T.StringType())),
-    T.StructField("geometry", T.StructType([T.StructField("type", T.StringType()), T.StructField("coordinates", T.ArrayType(T.ArrayType(T.ArrayType(T.DoubleType()))))])),
+    T.StructField("geometry", T.StructType([T.StructField("type", T.StringType()), T.StructField("coordinates", T.StringType())])),
 ])))])
 
 
 def scan_plots(spark: SparkSession, path: str) -> DataFrame:
-    """Polygon features as rows: properties, the outer ring without its closing point, and bounds."""
+    """Polygon features as rows: properties, ``parts`` (each an outer ring and its holes, rings without their closing
+    points), ``ring`` (the first part's outer one) and the bounds of all parts. A MultiPolygon has several parts; features
+    of other kinds or without coordinates are left out."""
     f = spark.read.schema(_GEOJSON).option("multiLine", True).json(path).select(F.explode("features").alias("f"))
-    ring = F.transform(F.col("f.geometry.coordinates")[0], lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
-    ring = F.when(F.element_at(ring, 1) == F.element_at(ring, -1), F.slice(ring, 1, F.size(ring) - 1)).otherwise(ring)
-    out = f.select(F.col("f.properties").alias("properties"), ring.alias("ring"))
-    x, y = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
-    return out.select("*", F.array_min(x).alias("xmin"), F.array_min(y).alias("ymin"), F.array_max(x).alias("xmax"), F.array_max(y).alias("ymax"))
+    kind, text = F.col("f.geometry.type"), F.col("f.geometry.coordinates")
+    several = F.from_json(text, "array<array<array<array<double>>>>")
+    parts = F.when(kind == "Polygon", F.array(F.from_json(text, "array<array<array<double>>>"))).when(kind == "MultiPolygon", several)
+
+    def opened(ring):
+        points = F.transform(ring, lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
+        return F.when((F.size(points) > 1) & (F.element_at(points, 1) == F.element_at(points, -1)), F.slice(points, 1, F.size(points) - 1)).otherwise(points)
+
+    out = f.select(F.col("f.properties").alias("properties"), F.transform(parts, lambda p: F.transform(p, opened)).alias("parts"))
+    points = F.flatten(F.flatten("parts"))
+    x, y = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
+    out = out.select("*", F.col("parts")[0][0].alias("ring"), F.array_min(x).alias("xmin"), F.array_min(y).alias("ymin"), F.array_max(x).alias("xmax"), F.array_max(y).alias("ymax"))
+    return out.where("xmin is not null")
 
 
 def scan_uri_list(spark: SparkSession, path: str, year: int | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from canopyframe.operators import joins as J
+from canopyframe.operators import raster as R
 from canopyframe.operators import sampling as M
 from canopyframe.plans.bind import Tables
 from canopyframe.plans.catalog import QUERIES
@@ -61,7 +62,7 @@ def test_ring_meets_box(spark):
         x, y = rng.uniform(-4, 3), rng.uniform(-4, 3)
         rows.append((k, ring, x, y, x + rng.choice([0.01, 0.5, 2, 7]), y + rng.choice([0.01, 0.5, 2, 7])))
     df = spark.createDataFrame(rows, "k int, ring array<struct<x:double,y:double>>, x0 double, y0 double, x1 double, y1 double")
-    got = {r.k: r.hit for r in df.select("k", J.ring_meets_box(F.col("ring"), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")).alias("hit")).collect()}
+    got = {r.k: r.hit for r in df.select("k", J.meets_box(F.array("ring"), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")).alias("hit")).collect()}
 
     def inside(px, py, ring):
         n, c = len(ring), False
@@ -83,3 +84,32 @@ def test_ring_meets_box(spark):
 
     differ = [k for k, ring, *box in rows if got[k] != meets(ring, *box)]
     assert len(differ) <= 2 and sum(got.values()) > 50  # an edge may slip between the sampled points
+
+
+def test_rows_of_pixels_under_random_shapes(spark):
+    """Runs of pixels against the tests of single points and boxes: stars with holes, two parts, grids turned either way."""
+    from canopyframe.operators import shapes as S
+
+    rng = random.Random(8)
+
+    def star(cx, cy, low, high, n):
+        return [(cx + rng.uniform(low, high) * math.cos(2 * math.pi * k / n), cy + rng.uniform(low, high) * math.sin(2 * math.pi * k / n)) for k in range(n)]
+
+    polys = []
+    for k in range(24):
+        cx, cy = rng.uniform(-30, 150), rng.uniform(-130, 30)
+        parts = [[star(cx, cy, 25, 45, rng.randrange(3, 12)), star(cx, cy, 5, 11, rng.randrange(3, 6))], [star(cx + 80, cy - 10, 3, 25, rng.randrange(3, 7))]]
+        polys.append((k, 1 + k % 2, [[[{"x": x, "y": y} for x, y in ring] for ring in part] for part in parts]))
+    polys += [(90, 1, [[[{"x": x, "y": y} for x, y in ((0.0, 0.0), (40.0, 0.0), (40.0, -30.0), (0.0, -30.0))]]]), (91, 1, [[[{"x": x, "y": y} for x, y in ((500.0, 0.0), (540.0, 0.0), (540.0, -30.0))]]])]
+    polys = spark.createDataFrame(polys, "zone int, epsg int, parts array<array<array<struct<x:double,y:double>>>>")
+    metas = spark.createDataFrame([(7, 1, 10.0, -10.0, 0.0, 0.0, 12, 10), (8, 2, 10.0, 10.0, -20.0, -100.0, 15, 13)], "raster_id int, epsg int, a double, e double, c double, f double, width int, height int")
+    pixels = spark.createDataFrame([(m, i, j, float(i * j)) for m, w, h in ((7, 12, 10), (8, 15, 13)) for i in range(h) for j in range(w)], "raster_id int, row int, col int, value double")
+    laid = pixels.join(metas, "raster_id").selectExpr("*", "c + (col + 0.5D) * a AS x", "f + (row + 0.5D) * e AS y")
+    each = S.shaped(polys).join(laid, "epsg")
+    corners = [F.col("x") - 5, F.col("y") - 5, F.col("x") + 5, F.col("y") + 5]
+    for touched, test in ((False, S.inside(F.col("x"), F.col("y"), F.col("rings"))), (True, S.meets_box(F.col("rings"), *corners))):
+        want = {tuple(r) for r in each.where(test).select("zone", "raster_id", "row", "col").collect()}
+        got = [(r.zone, r.raster_id, r.row, r.col) for r in R.clip_polygon(polys, metas, pixels, touched=touched, cell=60.0).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and len(want) > 300
+    square = {(r.row, r.col) for r in R.clip_polygon(polys.where("zone = 90"), metas, pixels, touched=True).collect()}
+    assert square == {(i, j) for i in range(4) for j in range(5)}  # borders that only touch are in
