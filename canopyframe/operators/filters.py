@@ -74,12 +74,45 @@ def apply_filters(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, D
     return df.where(alive), drops.select(steps).select("s.*")
 
 
+def spatial_rules(train: str | None = None, regions: str | None = None, skip: str | None = None, only: str | None = None) -> dict[str, Column]:
+    """Rules over the flags of ``spatial_marks``, in the order of the report: outside training tiles, outside skipped
+    regions, inside chosen ones (buffered, if the flag is), inside the only one."""
+    rules = {}
+    if train:
+        rules["training tiles"] = ~F.col(train)
+    if skip:
+        rules["skipped regions"] = ~F.col(skip)
+    if regions:
+        rules["regions"] = F.col(regions)
+    if only:
+        rules["only"] = F.col(only)
+    return rules
+
+
 def report_configs(df: DataFrame, configs: dict[str, Column]) -> DataFrame:
     """Rows of each named configuration of the filters; a row is in every configuration that it passes."""
     names = F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in configs.items()]), lambda x: x.isNotNull())
     return df.withColumn("config", F.explode(names))
 
 
+def config_drops(df: DataFrame, configs: dict[str, dict[str, Column]]) -> DataFrame:
+    """How many rows each rule of each configuration drops of what its rules before left, and how many stay (rule ``kept``),
+    all in one pass: config, step, rule, rows."""
+    counts, names = [], []
+    for config, rules in configs.items():
+        alive = F.lit(True)
+        for step, (name, rule) in enumerate(rules.items()):
+            held = F.coalesce(rule, F.lit(False))
+            counts.append(F.count_if(alive & ~held))
+            names.append((config, step, name))
+            alive = alive & held
+        counts.append(F.count_if(alive))
+        names.append((config, len(rules), "kept"))
+    one = df.agg(*[c.alias(f"_{i}") for i, c in enumerate(counts)])
+    rows = [F.struct(F.lit(c).alias("config"), F.lit(s).alias("step"), F.lit(n).alias("rule"), F.col(f"_{i}").alias("rows")) for i, (c, s, n) in enumerate(names)]
+    return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
 def parse_tokens(c, kind: str) -> Column:
     """A part of a file or product name, by the kind of name."""
     c = col(c)

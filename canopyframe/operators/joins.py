@@ -52,17 +52,39 @@ def tiles_per_region(tiles: DataFrame, regions: DataFrame, cell: float = 10.0) -
     return both.select("r.region", "t.tile").distinct()  # a tile may meet several parts
 
 
-def points_in(points: DataFrame, polys: DataFrame, how: str = "within", keep: bool = True, cell: float = 10.0) -> DataFrame:
-    """Points inside any polygon (or outside all): a grid cell equi-join, then ray casting. ``within`` leaves
-    out the boundary, that of holes too, ``intersects`` takes it in. points: id, x, y; polys: ``ring``, ``rings`` or ``parts``."""
+def _hits_in(points: DataFrame, polys: DataFrame, how: str, cell: float) -> DataFrame:
     polys = shaped(polys.select(*[c for c in ("ring", "rings", "parts") if c in polys.columns]))
     cells = polys.select("rings", "xmin", "ymin", "xmax", "ymax", touched_cells(cell).alias("cell")).select("*", "cell.cx", "cell.cy")
     at = points.select("id", "x", "y", F.floor(F.col("x") / cell).cast("long").alias("cx"), F.floor(F.col("y") / cell).cast("long").alias("cy"))
     x, y, rings = F.col("x"), F.col("y"), F.col("rings")
     boundary = on_border(x, y, rings)
     hit = (inside(x, y, rings) & ~boundary) if how == "within" else (inside(x, y, rings) | boundary)
-    hits = at.join(cells, ["cx", "cy"]).where(x.between(F.col("xmin"), F.col("xmax")) & y.between(F.col("ymin"), F.col("ymax"))).where(hit).select("id").distinct()
-    return points.join(hits, "id", "left_semi" if keep else "left_anti")
+    return at.join(cells, ["cx", "cy"]).where(x.between(F.col("xmin"), F.col("xmax")) & y.between(F.col("ymin"), F.col("ymax"))).where(hit).select("id")
+
+
+def points_in(points: DataFrame, polys: DataFrame, how: str = "within", keep: bool = True, cell: float = 10.0) -> DataFrame:
+    """Points inside any polygon (or outside all): a grid cell equi-join, then ray casting. ``within`` leaves
+    out the boundary, that of holes too, ``intersects`` takes it in. points: id, x, y; polys: ``ring``, ``rings`` or ``parts``."""
+    return points.join(_hits_in(points, polys, how, cell).distinct(), "id", "left_semi" if keep else "left_anti")
+
+
+def spatial_marks(points: DataFrame, within: dict[str, DataFrame], near: dict[str, tuple[DataFrame, float]] | None = None, lon: str = "lon", lat: str = "lat") -> DataFrame:
+    """Points with a flag for each named set of shapes: that it lies in one of ``within`` (borders included), or no further
+    than so many metres from one of ``near``. All points stay, once each; one join brings all flags back.
+
+    points: id, lon, lat and others; shapes as for ``points_in``. A point without coordinates or an id has no flag set.
+    """
+    at = points.select("id", F.col(lon).alias("x"), F.col(lat).alias("y"))
+    hits = [_hits_in(at, polys, "intersects", 10.0).withColumn("_mark", F.lit(name)) for name, polys in within.items()]
+    hits += [_hits_near(at.withColumnsRenamed({"x": "lon", "y": "lat"}), polys, metres, 500_000.0).withColumn("_mark", F.lit(name)) for name, (polys, metres) in (near or {}).items()]
+    if not hits:
+        return points
+    found = hits[0]
+    for more in hits[1:]:
+        found = found.unionByName(more)
+    names = [*within, *(near or {})]
+    flags = found.groupBy("id").agg(*[F.max(F.col("_mark") == n).alias(n) for n in names])
+    return points.join(flags, "id", "left").withColumns({n: F.coalesce(n, F.lit(False)) for n in names})
 
 
 def overlap_join(points: DataFrame, centers: DataFrame, half: float = 640.0) -> DataFrame:
@@ -75,20 +97,23 @@ def overlap_join(points: DataFrame, centers: DataFrame, half: float = 640.0) ->
     return points.join(at.join(boxes, ["epsg", "cx", "cy"]).where(near).select("id").distinct(), "id", "left_semi")
 
 
-def near_regions(points: DataFrame, regions: DataFrame, buffer_m: float, cell_m: float = 500_000.0) -> DataFrame:
-    """Points within ``buffer_m`` of a region's outline or inside it, in equal-area metres; a point in a hole counts by its
-    distance from the hole's edge. They meet by the grid cells that the bounds of a part and the buffer touch."""
-    at = points.select("*", *cylindrical("lon", "lat"))
+def _hits_near(points: DataFrame, regions: DataFrame, buffer_m: float, cell_m: float) -> DataFrame:
+    at = points.select("id", *cylindrical("lon", "lat"))
     r = 6371007.0
     flat = lambda p: F.struct((F.radians(p["x"]) * r).alias("x"), (F.sin(F.radians(p["y"])) * r).alias("y"))
     parts = shaped(regions).select(F.transform("rings", lambda ring: F.transform(ring, flat)).alias("rings"))
-    parts = shaped(parts).selectExpr("rings", *[f"{k} {s} {buffer_m!r}D AS {k}" for k, s in (("xmin", "-"), ("ymin", "-"), ("xmax", "+"), ("ymax", "+"))])
+    parts = shaped(parts).selectExpr("rings", *[f"{k} {s} {float(buffer_m)!r}D AS {k}" for k, s in (("xmin", "-"), ("ymin", "-"), ("xmax", "+"), ("ymax", "+"))])
     parts = parts.select("*", touched_cells(cell_m).alias("_c")).select("*", "_c.cx", "_c.cy")
     x, y = F.col("mx"), F.col("my")
     at = at.withColumn("cx", F.floor(x / cell_m).cast("long")).withColumn("cy", F.floor(y / cell_m).cast("long"))
     boxed = x.between(F.col("xmin"), F.col("xmax")) & y.between(F.col("ymin"), F.col("ymax"))
-    hit = at.join(parts, ["cx", "cy"]).where(boxed).where(inside(x, y, F.col("rings")) | (border_distance(x, y, F.col("rings")) <= buffer_m))
-    return points.join(hit.select("id").distinct(), "id", "left_semi")
+    return at.join(parts, ["cx", "cy"]).where(boxed).where(inside(x, y, F.col("rings")) | (border_distance(x, y, F.col("rings")) <= buffer_m)).select("id")
+
+
+def near_regions(points: DataFrame, regions: DataFrame, buffer_m: float, cell_m: float = 500_000.0) -> DataFrame:
+    """Points within ``buffer_m`` of a region's outline or inside it, in equal-area metres; a point in a hole counts by its
+    distance from the hole's edge. They meet by the grid cells that the bounds of a part and the buffer touch."""
+    return points.join(_hits_near(points, regions, buffer_m, cell_m).distinct(), "id", "left_semi")
 
 
 # lookups --------------------------------------------------------------------------------------------------------

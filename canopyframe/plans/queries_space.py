@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import functions as F
 
 from ..functions import geo as G
 from ..functions import scalar as X
 from ..operators import aggregates as A
+from ..operators import filters as P
 from ..operators import joins as J
 from ..operators import nearest as N
 from ..operators import raster as R
@@ -154,20 +156,58 @@ def _(spark, d):
     return J.near_regions(points, n.select("region", ring.alias("ring")), 500000).select(F.col("id").alias("plot"))
 
 
+# spatial rules of the report: squares of training tiles, a skipped region, chosen regions with a buffer of 300 km
+_MARKS = f"""marks AS (SELECT plot, lon, lat, agb, est_a, year, EXISTS (SELECT 1 FROM {_PLACE} WHERE region % 4 = 1 AND greatest(abs(lon - cx + 20), abs(lat - cy)) <= 4.03e0) AS train,
+    EXISTS (SELECT 1 FROM {_PLACE} WHERE region % 6 = 5 AND {_IN_PARTS}) AS skipped, EXISTS (SELECT 1 FROM chosen c WHERE c.plot = plots.plot) AS chosen FROM plots)"""
+_CONFIGS = {"all": "NOT train AND NOT skipped", "subset": "NOT train AND NOT skipped AND chosen", "inclusive": "NOT train", "only": "NOT train AND skipped"}
+
+
+def _marked(t):
+    places = t.raw("nation").selectExpr("n_nationkey AS region", "n_nationkey * 14D - 165 AS cx", "n_nationkey * 5D - 55 AS cy")
+    tiles = places.where("region % 4 = 1").select(_square(4.03, -20.0, 0.0).alias("ring"))
+    points = t.plots.withColumnRenamed("plot", "id")
+    return J.spatial_marks(points, {"train": tiles, "skipped": _two_parts(t).where("region % 6 = 5")}, {"chosen": (_two_parts(t).where("region % 3 = 0"), 300000.0)})
+
+
+def _rule_sets():
+    rules = {"all": P.spatial_rules("train", skip="skipped"), "subset": P.spatial_rules("train", "chosen", "skipped"), "inclusive": P.spatial_rules("train"), "only": P.spatial_rules("train", only="skipped")}
+    return {name: {**rule, "largest": F.col("agb") <= 400} for name, rule in rules.items()}
+
+
 def _flat(x, y):
     return f"radians({x}) * {_CEA}, sin(radians({y})) * {_CEA}"
 
 
-@query("j07_near_parts", f"""WITH b AS (SELECT region, [{_flat('cx - 15', 'cy - 15')}, {_flat('cx + 15', 'cy + 15')}] AS o, [{_flat('cx - 6', 'cy - 6')}, {_flat('cx + 6', 'cy + 6')}] AS h, [{_flat('cx + 35', 'cy + 5')}, {_flat('cx + 45', 'cy + 15')}] AS s FROM {_PLACE}),
+_AWAY = f"""WITH b AS (SELECT region, [{_flat('cx - 15', 'cy - 15')}, {_flat('cx + 15', 'cy + 15')}] AS o, [{_flat('cx - 6', 'cy - 6')}, {_flat('cx + 6', 'cy + 6')}] AS h, [{_flat('cx + 35', 'cy + 5')}, {_flat('cx + 45', 'cy + 15')}] AS s FROM {_PLACE}),
     p AS (SELECT plot, radians(lon) * {_CEA} AS x, sin(radians(lat)) * {_CEA} AS y FROM plots),
     away AS (SELECT plot, CASE WHEN x > h[1] AND x < h[3] AND y > h[2] AND y < h[4] THEN least(x - h[1], h[3] - x, y - h[2], h[4] - y) ELSE sqrt(greatest(o[1] - x, 0, x - o[3]) ** 2 + greatest(o[2] - y, 0, y - o[4]) ** 2) END AS first,
-    sqrt(greatest(s[1] - x, 0, x - s[3]) ** 2 + greatest(s[2] - y, 0, y - s[4]) ** 2) AS second FROM p CROSS JOIN b)
-    SELECT DISTINCT plot FROM away WHERE first <= 300000 OR second <= 300000""")
+    sqrt(greatest(s[1] - x, 0, x - s[3]) ** 2 + greatest(s[2] - y, 0, y - s[4]) ** 2) AS second FROM p CROSS JOIN b)"""
+
+
+@query("j07_near_parts", f"{_AWAY} SELECT DISTINCT plot FROM away WHERE first <= 300000 OR second <= 300000")
 def _(spark, d):
     t = Tables(spark, d)
     return J.near_regions(t.plots.select(F.col("plot").alias("id"), "lon", "lat"), _two_parts(t), 300000).select(F.col("id").alias("plot"))
 
 
+_CHOSEN = _AWAY.replace("AS s FROM", "AS s, region FROM").replace("SELECT plot, CASE", "SELECT plot, region, CASE") + f", chosen AS (SELECT DISTINCT plot FROM away WHERE region % 3 = 0 AND (first <= 300000 OR second <= 300000)), {_MARKS}"
+
+
+@query("p10_spatial_rules", _CHOSEN + " UNION ALL ".join(
+    part for name, steps in {"all": ["NOT train", "NOT skipped"], "subset": ["NOT train", "NOT skipped", "chosen"], "inclusive": ["NOT train"], "only": ["NOT train", "skipped"]}.items()
+    for rules in [[*steps, "agb <= 400"]]
+    for part in [*(f" SELECT '{name}' AS config, CAST({i} AS INT) AS step, '{ {'NOT train': 'training tiles', 'NOT skipped': 'skipped regions', 'chosen': 'regions', 'skipped': 'only', 'agb <= 400': 'largest'}[rule] }' AS rule, count(*) FILTER (({' AND '.join(['true', *rules[:i]])}) AND NOT ({rule})) AS rows FROM marks" for i, rule in enumerate(rules)),
+                 f" SELECT '{name}', CAST({len(rules)} AS INT), 'kept', count(*) FILTER ({' AND '.join(rules)}) FROM marks"]))
+def _(spark, d):
+    return P.config_drops(_marked(Tables(spark, d)), _rule_sets())
+
+
+@query("p11_spatial_configs", _CHOSEN + f" SELECT config, {METRICS.replace('pred', 'est_a').replace('agbd', 'agb')} FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS config, * FROM marks WHERE {c} AND agb <= 400" for n, c in _CONFIGS.items()) + ") GROUP BY config")
+def _(spark, d):
+    configs = {name: reduce(lambda a, b: a & b, rules.values()) for name, rules in _rule_sets().items()}
+    return rounded(A.metrics(P.report_configs(_marked(Tables(spark, d)), configs), "est_a", "agb", ["config"]))
+
+
 @query("j08_lite_to_original", "SELECT o_orderkey AS lite_idx, tile, year, idx FROM orders JOIN (SELECT *, row_number() OVER (ORDER BY tile, year, idx) - 1 AS k FROM fpx) ON o_orderkey * 2 = k")
 def _(spark, d):
     t = Tables(spark, d)
