@@ -129,11 +129,12 @@ def _degree_cells(meta: DataFrame, name: str) -> DataFrame:
     return box.select(name, F.explode(F.sequence("lat0", "lat1")).alias("_lat"), "lon0", "lon1").select(name, "_lat", F.explode(F.sequence("lon0", "lon1")).alias("_lon"))
 
 
-def regrid(pixels: DataFrame, src: DataFrame, dst: DataFrame) -> DataFrame:
+def regrid(pixels: DataFrame, src: DataFrame, dst: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """Nearest value on another grid: every destination pixel's centre is projected back into the source.
 
-    Grids meet the rasters that they may overlap by cells of one degree; only then are they cut into pixels."""
-    near = _degree_cells(dst, "grid").join(_degree_cells(src, "raster_id"), ["_lon", "_lat"]).select("grid", "raster_id").distinct()
+    Grids meet the rasters that they may overlap by cells of one degree, or those of ``pairs`` (grid, raster_id); only then
+    are they cut into pixels."""
+    near = pairs if pairs is not None else _degree_cells(dst, "grid").join(_degree_cells(src, "raster_id"), ["_lon", "_lat"]).select("grid", "raster_id").distinct()
     dst = dst.join(near, "grid")
     d = dst.select("grid", "raster_id", "epsg", "a", "e", "c", "f", "width", "height").withColumn("row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("height").cast("long") - 1))).withColumn("col", F.explode(F.sequence(F.lit(0).cast("long"), F.col("width").cast("long") - 1)))
     d = d.withColumn("x", F.col("c") + (F.col("col") + 0.5) * F.col("a")).withColumn("y", F.col("f") + (F.col("row") + 0.5) * F.col("e"))

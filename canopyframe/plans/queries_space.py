@@ -11,6 +11,7 @@ from ..functions import geo as G
 from ..functions import scalar as X
 from ..operators import aggregates as A
 from ..operators import filters as P
+from ..operators import grids as D
 from ..operators import joins as J
 from ..operators import nearest as N
 from ..operators import raster as R
@@ -901,7 +902,66 @@ def _(spark, d):
     return R.clip_polygon(_shapes(t), t.rasters, t.valid.select("raster_id", "row", "col", "value"), cell=500.0)
 
 
-@query("a30_common_coverage", f"""WITH g AS (SELECT row, col, row // 5 AS plot FROM pix WHERE raster_id = 0), x AS (SELECT g.plot, a.value AS p, b.value AS q FROM g LEFT JOIN (SELECT * FROM valid WHERE raster_id = 1) a USING (row, col) LEFT JOIN (SELECT * FROM valid WHERE raster_id = 2) b USING (row, col))
+def _to_utm_sql(rows, epsg):
+    """SQL of rows (lon, lat and others) with their easting x and northing y in a zone."""
+    x = " + ".join(f"{v!r} * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, v in enumerate(G._TO, 1))
+    y = " + ".join(f"{v!r} * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, v in enumerate(G._TO, 1))
+    k = G._K0 * G._R
+    return f"""(SELECT * EXCLUDE (away, t, xi, eta), 500000e0 + {k!r} * (eta + {x}) AS x, {k!r} * (xi + {y}) + CASE WHEN {epsg} >= 32700 THEN 1e7 ELSE 0 END AS y
+        FROM (SELECT *, atan2(t, cos(away)) AS xi, atanh(sin(away) / sqrt(1 + t * t)) AS eta
+        FROM (SELECT *, radians(lon - ({epsg} % 100 * 6 - 183)) AS away, sinh(atanh(sin(radians(lat))) - {G._E!r} * atanh({G._E!r} * sin(radians(lat)))) AS t FROM {rows})))"""
+
+
+def _from_utm_sql(rows, x, y, epsg):
+    """SQL of rows with the longitude and latitude of a place in a zone."""
+    p = " - ".join(f"{v!r} * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, v in enumerate(G._FROM, 1))
+    q = " - ".join(f"{v!r} * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, v in enumerate(G._FROM, 1))
+    k = G._K0 * G._R
+    out = f"""(SELECT *, asin(sin(p) / cosh(q)) AS chi, asin(sin(p) / cosh(q)) AS phi FROM (SELECT *, xi - {p} AS p, eta - {q} AS q
+        FROM (SELECT *, ({y} - CASE WHEN {epsg} >= 32700 THEN 1e7 ELSE 0 END) / {k!r} AS xi, ({x} - 500000e0) / {k!r} AS eta FROM {rows})))"""
+    for _ in range(4):
+        out = f"(SELECT * REPLACE (asin(tanh(atanh(sin(chi)) + {G._E!r} * atanh({G._E!r} * sin(phi)))) AS phi) FROM {out})"
+    return f"(SELECT * EXCLUDE (xi, eta, p, q, chi, phi), degrees(atan2(sinh(q), cos(p))) + ({epsg} % 100 * 6 - 183) AS lon, degrees(phi) AS lat FROM {out})"
+
+
+# plots on rasters 0, 1 and 3; source b is raster 2, laid over them from the zone to the east in pixels of 20 m
+_NEAR_RASTERS = "(SELECT c_custkey AS plot, epsg AS zone, c + c_custkey * 37 % 400 - 40 AS px, f + e * (c_custkey * 53 % (height * 10)) / 10 AS py FROM customer JOIN rasters ON raster_id = [0, 1, 3][c_custkey % 3 + 1])"
+_EAST = "SELECT 2 AS raster_id, 32633 AS epsg, 20e0 AS a, -20e0 AS e, 28300e0 AS c, 5017520e0 AS f, width, height FROM rasters WHERE raster_id = 2"
+
+
+def _plots_near(t):
+    near = t.raw("customer").withColumn("raster_id", F.expr("element_at(array(0, 1, 3), CAST(c_custkey % 3 + 1 AS INT))")).join(t.rasters, "raster_id")
+    near = near.selectExpr("c_custkey AS plot", "epsg AS zone", "c + c_custkey * 37 % 400 - 40 AS px", "f + e * (c_custkey * 53 % (height * 10)) / 10 AS py")
+    return near.select("plot", *G.from_utm("px", "py", "zone"))
+
+
+def _east(t):
+    return t.rasters.where("raster_id = 2").selectExpr("2L AS raster_id", "32633 AS epsg", "20D AS a", "-20D AS e", "28300D AS c", "5017520D AS f", "width", "height")
+
+
+_GRIDS = f"""spots AS (SELECT plot, lon, lat, CAST(32601 + floor((lon + 180) / 6) AS INT) AS own FROM {_from_utm_sql(_NEAR_RASTERS, 'px', 'py', 'zone')}),
+    corners AS (SELECT * FROM {_to_utm_sql('(SELECT plot, own, lon + i * 0.0006e0 AS lon, lat + j * 0.0006e0 AS lat FROM spots CROSS JOIN (VALUES (-1), (1)) u(i) CROSS JOIN (VALUES (-1), (1)) v(j))', 'own')}),
+    g AS (SELECT plot, own, min(x) AS gx, max(y) AS gy, CAST(round((max(x) - min(x)) / 10) AS BIGINT) AS w, CAST(round((max(y) - min(y)) / 10) AS BIGINT) AS h FROM corners GROUP BY plot, own)"""
+
+
+@query("a30_plot_grids", f"WITH {_GRIDS} SELECT plot, own AS epsg, {r('gx', 'c')}, {r('gy', 'f')}, w AS width, h AS height FROM g")
+def _(spark, d):
+    grids = D.plot_grids(_plots_near(Tables(spark, d)), half_deg=0.0006)
+    return rounded(grids.select(F.col("grid").alias("plot"), "epsg", "c", "f", "width", "height"))
+
+
+@query("a30_common_coverage", f"""WITH {_GRIDS}, cells AS (SELECT *, gx + (j + 0.5e0) * 10 AS cx, gy - (i + 0.5e0) * 10 AS cy FROM (SELECT *, unnest(range(h)) AS i FROM g) CROSS JOIN range(40) c(j) WHERE j < w),
+    p AS (SELECT plot, i, j, min(raster_id) AS first, min_by(v.value, raster_id) AS p FROM cells JOIN rasters ON own = epsg AND raster_id <> 2 JOIN valid v USING (raster_id) WHERE v.row = floor((cy - f) / e) AND v.col = floor((cx - c) / a) GROUP BY plot, i, j),
+    q AS (SELECT plot, i, j, v.value AS q FROM {_to_utm_sql('(SELECT plot, i, j, lon, lat FROM ' + _from_utm_sql('cells', 'cx', 'cy', 'own') + ')', '32633')} JOIN ({_EAST}) m ON true JOIN valid v ON v.raster_id = 2 AND v.row = floor((y - f) / e) AND v.col = floor((x - c) / a)),
+    s AS (SELECT plot, count(p) AS na, count(q) AS nb, count(*) FILTER (p IS NOT NULL AND q IS NOT NULL) AS nc, avg(p) FILTER (q IS NOT NULL) AS mean_a, avg(q) FILTER (p IS NOT NULL) AS mean_b FROM p FULL JOIN q USING (plot, i, j) GROUP BY plot)
+    SELECT plot, w * h AS pixels, {r('coalesce(na, 0) / (w * h)', 'cov_a')}, {r('coalesce(nb, 0) / (w * h)', 'cov_b')}, {r('coalesce(nc, 0) / (w * h)', 'cov_both')}, {r('mean_a', 'mean_a')}, {r('mean_b', 'mean_b')} FROM g LEFT JOIN s USING (plot)""")
+def _(spark, d):
+    t = Tables(spark, d)
+    pixels = t.valid.select("raster_id", "row", "col", "value")
+    return rounded(D.plot_coverage(_plots_near(t), (t.rasters.where("raster_id <> 2"), pixels), (_east(t), pixels), half_deg=0.0006))
+
+
+@query("a30_same_grid_coverage", f"""WITH g AS (SELECT row, col, row // 5 AS plot FROM pix WHERE raster_id = 0), x AS (SELECT g.plot, a.value AS p, b.value AS q FROM g LEFT JOIN (SELECT * FROM valid WHERE raster_id = 1) a USING (row, col) LEFT JOIN (SELECT * FROM valid WHERE raster_id = 2) b USING (row, col))
     SELECT plot, {r('avg(CASE WHEN p IS NOT NULL THEN 1e0 ELSE 0 END)', 'cov_a')}, {r('avg(CASE WHEN q IS NOT NULL THEN 1e0 ELSE 0 END)', 'cov_b')}, {r('avg(CASE WHEN p IS NOT NULL AND q IS NOT NULL THEN 1e0 ELSE 0 END)', 'cov_both')},
     {r('avg(p) FILTER (q IS NOT NULL)', 'mean_a')}, {r('avg(q) FILTER (p IS NOT NULL)', 'mean_b')} FROM x GROUP BY plot""")
 def _(spark, d):
@@ -910,6 +970,27 @@ def _(spark, d):
     return rounded(J.common_coverage(grid, t.valid.where("raster_id = 1"), t.valid.where("raster_id = 2"), ["row", "col"], ["plot"]))
 
 
+# all rasters on one grid of the zone of their union: borders in degrees, windows on the grid, cells back to the raster
+_PROJECTED = f"""edge AS (SELECT raster_id, epsg AS own, c + u / 8e0 * width * a AS ex, f + v / 8e0 * height * e AS ey FROM rasters CROSS JOIN range(9) p(u) CROSS JOIN range(9) q(v) WHERE u IN (0, 8) OR v IN (0, 8)),
+    ring AS (SELECT raster_id, lon, lat FROM {_from_utm_sql('edge', 'ex', 'ey', 'own')}), zone AS (SELECT CAST(32601 + floor(((min(lon) + max(lon)) / 2 + 180) / 6) AS INT) AS epsg FROM ring),
+    laid AS (SELECT * FROM {_to_utm_sql('(SELECT * FROM ring CROSS JOIN zone)', 'epsg')}),
+    win AS (SELECT raster_id, epsg, floor(min(x) / 10) - 1 AS x0, ceil(max(x) / 10) + 1 AS x1, floor(min(y) / 10) - 1 AS y0, ceil(max(y) / 10) + 1 AS y1 FROM laid GROUP BY raster_id, epsg),
+    cells AS (SELECT raster_id, epsg, x0, y1, i, j, (x0 + j + 0.5e0) * 10 AS cx, (y1 - i - 0.5e0) * 10 AS cy FROM (SELECT *, unnest(range(CAST(x1 - x0 AS BIGINT))) AS j FROM (SELECT *, unnest(range(CAST(y1 - y0 AS BIGINT))) AS i FROM win))),
+    back AS (SELECT * FROM {_to_utm_sql('(SELECT k.*, m.epsg AS own, m.c, m.f, m.a, m.e FROM (SELECT * FROM ' + _from_utm_sql('cells', 'cx', 'cy', 'epsg') + ') k JOIN rasters m USING (raster_id))', 'own')}),
+    found AS (SELECT k.epsg, CAST((SELECT max(y1) FROM win) - y1 + i AS BIGINT) AS row, CAST(x0 - (SELECT min(x0) FROM win) + j AS BIGINT) AS col, v.value, v.raster_id FROM back k JOIN valid v ON v.raster_id = k.raster_id AND v.row = floor((y - f) / e) AND v.col = floor((x - c) / a))"""
+
+
+@query("g06_mosaic_projected", f"WITH {_PROJECTED} SELECT epsg, row, col, {r('min_by(value, raster_id)', 'value')}, min(raster_id) AS source FROM found GROUP BY epsg, row, col")
+def _(spark, d):
+    t = Tables(spark, d)
+    return rounded(D.mosaic_projected(t.rasters, t.valid.select("raster_id", "row", "col", "value")))
+
+
+@query("g06_mosaic_windows", f"WITH {_PROJECTED} SELECT raster_id AS grid, epsg, x0 * 10 AS c, y1 * 10 AS f, CAST(x1 - x0 AS BIGINT) AS width, CAST(y1 - y0 AS BIGINT) AS height FROM win")
+def _(spark, d):
+    return D.mosaic_windows(Tables(spark, d).rasters, 10.0).select("grid", "epsg", "c", "f", "width", "height")
+
+
 # overlapping windows: every pixel is predicted by up to nine 12-wide windows with a step of 4
 _WIN = """SELECT raster_id, row, col, row0, col0, value + row0 * 0.1e0 - col0 * 0.05e0 AS pred, row0 * 1000 + col0 AS seq, row - row0 AS i, col - col0 AS j FROM valid
     CROSS JOIN (SELECT unnest(range(0, (SELECT max(row) + 1 FROM pix), 4)) AS row0) CROSS JOIN (SELECT unnest(range(0, 24, 4)) AS col0) WHERE row >= row0 AND row < row0 + 12 AND col >= col0 AND col < col0 + 12"""
