@@ -98,9 +98,27 @@ def dequant_scale(values, scale) -> Column:
     return F.transform(col(values), lambda v: F.when(s.isNull() | F.isnan(s), 0.0).otherwise(v * s))
 
 
-def height_residual(height, rh98) -> Column:
-    """Canopy height minus footprint height, negative footprint heights counted as 0."""
-    return col(height) - F.greatest(col(rh98), F.lit(0.0))
+def height_residual(height, rh98, mode: str = "pixel", before=None, after=None) -> Column:
+    """Canopy height minus footprint height, negative footprint heights counted as 0.
+
+    ``pixel``: of one height. Of a square patch (array, row by row): ``film``, the centre's residual; ``centre``, a patch that
+    holds it everywhere; ``patch``, every height's. ``before``: functions that normalise heights and footprint heights
+    first; ``after``: one that normalises the residuals instead.
+    """
+    h, low = col(height), F.greatest(col(rh98), F.lit(0.0))
+    of_height, of_low = before or (lambda v: v, lambda v: v)
+    then = after or (lambda v: v)
+    residual = lambda v: then(of_height(v) - of_low(low))
+    if mode == "pixel":
+        return residual(h)
+    if mode == "patch":
+        return F.transform(h, residual)
+    centre = residual(F.get(h, F.floor(F.size(h) / 2).cast("int")))
+    if mode == "film":
+        return centre
+    if mode == "centre":
+        return F.array_repeat(centre, F.size(h))
+    raise ValueError(f"no such mode: {mode}")
 
 
 def crop_center(values, size: int, k: int) -> Column:

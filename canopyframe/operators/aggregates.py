@@ -190,9 +190,10 @@ def agreement_loss(patches: DataFrame, centres: DataFrame, key: str, mode: str =
     return both.agg(F.count(F.lit(1)).alias("n"), total.alias("loss"))
 
 
-def balanced_loss(patches: DataFrame, centres: DataFrame, key: str, lam="dense_gaussian", how: str = "pct", bins: DataFrame | None = None, epoch: int = 0, max_epochs: int = 15) -> DataFrame:
-    """Sparse loss plus filtered dense loss, with a constant weight or a Gaussian warm-up over the epochs."""
-    dense = patches.groupBy(key).agg(F.avg(F.pow(F.col("pred") - F.col("dense"), 2)).alias("_d"))
+def balanced_loss(patches: DataFrame, centres: DataFrame, key: str, lam="dense_gaussian", how: str = "pct", bins: DataFrame | None = None, epoch: int = 0, max_epochs: int = 15, loss: str = "MSE") -> DataFrame:
+    """Sparse loss plus filtered dense loss, with a constant weight or a Gaussian warm-up over the epochs; ``loss`` is MSE or
+    Huber, of both."""
+    dense = patches.groupBy(key).agg(F.avg(error_of("pred", "dense", loss)).alias("_d"))
     both = dense.join(centres, key)
     s, c = F.col("sparse"), F.col("centre_dense")
     if how == "pct":
@@ -203,7 +204,7 @@ def balanced_loss(patches: DataFrame, centres: DataFrame, key: str, lam="dense_g
     else:
         factor = F.lit(1.0)
     both = both.withColumn("_f", F.greatest(F.lit(0.0), F.least(F.lit(1.0), factor)))
-    out = both.agg(F.avg(F.pow(F.col("centre_pred") - s, 2)).alias("sparse_loss"), F.avg(F.col("_f") * F.col("_d")).alias("dense_loss"))
+    out = both.agg(F.avg(error_of("centre_pred", "sparse", loss)).alias("sparse_loss"), F.avg(F.col("_f") * F.col("_d")).alias("dense_loss"))
     if isinstance(lam, float):
         return out.withColumn("loss", F.col("sparse_loss") + lam * F.col("dense_loss"))
     g = math.exp(-5 * (1 - (epoch / (max_epochs - 1)) ** 2))

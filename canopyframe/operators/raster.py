@@ -217,7 +217,8 @@ def window_from_bounds(df: DataFrame, margin: int) -> DataFrame:
 
 
 def best_crop(pixels: DataFrame, size: int = 320, stride: int = 64, least_valid: float = 0.98, value: str = "value") -> DataFrame:
-    """Crop of each raster with the highest mean among those valid enough; the first row, then column, on a tie.
+    """Crop of each raster with the highest mean among those valid enough; the first row, then column, on a tie. A raster
+    without any takes the crop around its centre, whose mean is NULL.
 
     Pixels are summed once a stride cell; a cell adds to the few crops that cover it. size is a multiple of stride.
     """
@@ -226,7 +227,10 @@ def best_crop(pixels: DataFrame, size: int = 320, stride: int = 64, least_valid:
     back = F.sequence(F.lit(0), F.lit(k - 1))
     crops = cells.withColumn("di", F.explode(back)).withColumn("dj", F.explode(back)).withColumn("row0", (F.col("i") - F.col("di")) * stride).withColumn("col0", (F.col("j") - F.col("dj")) * stride).where("row0 >= 0 and col0 >= 0")
     sums = crops.groupBy("raster_id", "row0", "col0").agg(F.sum("s").alias("s"), F.sum("v").alias("v"), F.sum("n").alias("n")).where((F.col("n") == size * size) & (F.col("v") >= least_valid * size * size))
-    return first_by(sums.withColumn("mean", F.col("s") / F.col("v")), ["raster_id"], [F.col("mean").desc(), F.col("row0"), F.col("col0")]).select("raster_id", "row0", "col0", "mean")
+    best = first_by(sums.withColumn("mean", F.col("s") / F.col("v")), ["raster_id"], [F.col("mean").desc(), F.col("row0"), F.col("col0")])
+    centre = lambda k: F.floor((F.max(k) + 1 - size) / 2).alias(f"_{k}")
+    out = pixels.groupBy("raster_id").agg(centre("row"), centre("col")).join(best, "raster_id", "left")
+    return out.select("raster_id", F.coalesce("row0", "_row").alias("row0"), F.coalesce("col0", "_col").alias("col0"), "mean")
 
 
 def stretch(df: DataFrame, by, value: str, low: float = 0.01, high: float = 0.99, gamma: float = 0.65, name: str = "out") -> DataFrame:

@@ -69,14 +69,13 @@ def top_k(df: DataFrame, k: int, value: str, tie: str) -> DataFrame:
     return df.orderBy(F.col(value).desc(), tie).limit(k)
 
 
-def pareto(df: DataFrame, cost: str, gain: str, bins: int = 256) -> DataFrame:
-    """Rows that no other row matches in cost and gain and beats in one. Rows are dealt to ranges of the cost; the
-    best gain of the cheaper ranges comes from one row a range, the rest from a running maximum inside."""
-    low, high = df.agg(F.min(cost), F.max(cost)).first()
-    if low is None:
-        return df
-    width = (high - low) / bins or 1.0
-    ranged = df.withColumn("_bin", F.least(F.floor((F.col(cost) - low) / width), F.lit(bins - 1)))
+def pareto(df: DataFrame, cost: str, gain: str, bins: int = 64) -> DataFrame:
+    """Rows that no other row matches in cost and gain and beats in one. Rows are dealt to ranges of the cost between
+    its quantiles, so that each holds about as many rows however far outliers lie; the best gain of the cheaper
+    ranges comes from one row a range, the rest from a running maximum inside."""
+    cuts = df.agg(F.percentile_approx(cost, [k / bins for k in range(1, bins)], 10 * bins).alias("q")).first()["q"]
+    cuts = sorted(set(cuts or []))
+    ranged = df.withColumn("_bin", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda q: q <= F.col(cost))) if cuts else F.lit(0))
     best = ranged.groupBy("_bin").agg(F.max(gain).alias("_m"))
     best = best.select("_bin", F.max("_m").over(Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
     tops = ranged.groupBy("_bin", cost).agg(F.max(gain).alias("_top"))

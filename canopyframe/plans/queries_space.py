@@ -558,6 +558,24 @@ def _(spark, d):
     return rounded(Tables(spark, d).fp.select("ok", "ln", "pk", X.height_residual(F.col("tax") * 100, F.col("rh98") - 20).alias("residual")))
 
 
+# patches of three heights, the middle one the centre; normalised before or after
+_CH = "[tax * 100, disc * 200 + 1, rh98 / 2]"
+
+
+def _heights(t):
+    return t.fp.select("ok", "ln", "pk", F.expr("array(tax * 100, disc * 200 + 1, rh98 / 2)").alias("ch"), (F.col("rh98") - 20).alias("low"))
+
+
+for _mode, _sql in (("film", "[h[2]]"), ("centre", "[h[2], h[2], h[2]]"), ("patch", "h")):
+    for _order, _each in (("before", "(x - 5) / 4 - (greatest(rh98 - 20, 0) - 7) / 3"), ("after", "(x - greatest(rh98 - 20, 0) + 2) / 9")):
+        @query(f"f12_residual_{_mode}_{_order}", f"SELECT ok, ln, pk, {r('list_sum(' + _sql + ')', 'total')}, {r(_sql + '[1]', 'first')}, CAST(len({_sql}) AS INT) AS cells FROM (SELECT ok, ln, pk, [{_each} FOR x IN {_CH}] AS h FROM fp)")
+        def _(spark, d, mode=_mode, order=_order):
+            norms = {"before": (lambda v: (v - 5) / 4, lambda v: (v - 7) / 3)} if order == "before" else {"after": lambda v: (v + 2) / 9}
+            out = _heights(Tables(spark, d)).select("ok", "ln", "pk", X.height_residual("ch", "low", mode, **norms).alias("h"))
+            h = F.array("h") if mode == "film" else F.col("h")
+            return rounded(out.select("ok", "ln", "pk", F.aggregate(h, F.lit(0.0), lambda a, v: a + v).alias("total"), h[0].alias("first"), F.size(h).alias("cells")))
+
+
 @query("f13_utm_epsg", """SELECT plot, CAST(CASE WHEN lat >= 0 THEN 32600 ELSE 32700 END + floor((lon + 180) / 6) + 1 AS INT) AS epsg,
     concat(CAST(CASE WHEN lat >= 56 AND lat < 64 AND lon >= 3 AND lon < 12 THEN 32 WHEN lat >= 72 AND lat < 84 AND lon >= 0 AND lon < 42 THEN CASE WHEN lon < 9 THEN 31 WHEN lon < 21 THEN 33 WHEN lon < 33 THEN 35 ELSE 37 END ELSE floor((lon + 180) / 6) + 1 END AS INT), CASE WHEN lat >= 0 THEN 'N' ELSE 'S' END) AS zone FROM plots""")
 def _(spark, d):
@@ -800,12 +818,21 @@ def _(spark, d):
 
 @query("g14_best_crop", f"""WITH o AS (SELECT DISTINCT raster_id, row - row % 4 AS row0, col - col % 4 AS col0 FROM pix), s AS (SELECT o.raster_id, row0, col0, avg(nullif(value, -9999)) AS m, count(nullif(value, -9999)) AS v, count(*) AS n
     FROM o JOIN pix p ON p.raster_id = o.raster_id AND p.row >= row0 AND p.row < row0 + 8 AND p.col >= col0 AND p.col < col0 + 8 GROUP BY ALL)
-    SELECT raster_id, row0, col0, {r('m', 'mean')} FROM s WHERE n = 64 AND v >= 0.9e0 * 64 QUALIFY row_number() OVER (PARTITION BY raster_id ORDER BY m DESC, row0, col0) = 1""")
+    SELECT raster_id, coalesce(row0, r0) AS row0, coalesce(col0, c0) AS col0, {r('m', 'mean')} FROM (SELECT raster_id, CAST(floor((max(row) + 1 - 8) / 2) AS BIGINT) AS r0, CAST(floor((max(col) + 1 - 8) / 2) AS BIGINT) AS c0 FROM pix GROUP BY raster_id)
+    LEFT JOIN (SELECT * FROM s WHERE n = 64 AND v >= 0.9e0 * 64 QUALIFY row_number() OVER (PARTITION BY raster_id ORDER BY m DESC, row0, col0) = 1) USING (raster_id)""")
 def _(spark, d):
     p = Tables(spark, d).pix.select("raster_id", "row", "col", F.expr("nullif(value, -9999D)").alias("value"))
     return rounded(R.best_crop(p, 8, 4, 0.9))
 
 
+@query("g14_centre_crop", f"""WITH e AS (SELECT raster_id, CAST(floor((max(row) + 1 - 16) / 2) AS BIGINT) AS r0, CAST(floor((max(col) + 1 - 16) / 2) AS BIGINT) AS c0 FROM pix GROUP BY raster_id), o AS (SELECT DISTINCT raster_id, row - row % 8 AS row0, col - col % 8 AS col0 FROM pix),
+    s AS (SELECT o.raster_id, row0, col0, avg(nullif(value, -9999)) AS m, count(nullif(value, -9999)) AS v, count(*) AS n FROM o JOIN pix p ON p.raster_id = o.raster_id AND p.row >= row0 AND p.row < row0 + 16 AND p.col >= col0 AND p.col < col0 + 16 GROUP BY ALL),
+    b AS (SELECT * FROM s WHERE n = 256 AND v >= 0.985e0 * 256 QUALIFY row_number() OVER (PARTITION BY raster_id ORDER BY m DESC, row0, col0) = 1)
+    SELECT raster_id, coalesce(row0, r0) AS row0, coalesce(col0, c0) AS col0, {r('m', 'mean')} FROM e LEFT JOIN b USING (raster_id)""")
+def _(spark, d):
+    return rounded(R.best_crop(_masked(Tables(spark, d)), 16, 8, 0.985))
+
+
 @query("g15_pca_rgb")
 def _(spark, d):
     e = Tables(spark, d).emb.select("vec_id", F.transform("q", lambda v: F.when(v != -128, v)).alias("q"))

@@ -376,6 +376,17 @@ def _(spark, d):
     return rounded(A.balanced_loss(p, c, "key", 0.5, "R2_bin", bins))
 
 
+_HUBER = "CASE WHEN abs({0}) <= 1 THEN 0.5e0 * ({0}) ** 2 ELSE abs({0}) - 0.5e0 END"
+
+
+@query("a13_balanced_loss_huber", f"""WITH {_PATCH}, h AS (SELECT key, avg({_HUBER.format('pred - dense')}) AS hd FROM patch GROUP BY key), x AS (SELECT *, greatest(0, least(1, 1 - abs(sparse - centre_dense) / (sparse + 1e-6))) AS f FROM centre JOIN h USING (key)),
+    y AS (SELECT avg({_HUBER.format('centre_pred - sparse')}) AS sparse_loss, avg(f * hd) AS dense_loss, exp(-5 * (1 - (7 / 14e0) ** 2)) AS g FROM x)
+    SELECT {r('sparse_loss', 'sparse_loss')}, {r('dense_loss', 'dense_loss')}, {r('(1 - g) * dense_loss + g * sparse_loss', 'loss')} FROM y""")
+def _(spark, d):
+    p, c = _patches(Tables(spark, d))
+    return rounded(A.balanced_loss(p, c, "key", epoch=7, loss="Huber"))
+
+
 @query("a14_patch_jsd", f"""WITH {_PATCH}, s AS (SELECT key, exp((pred - max(pred) OVER w) / 50) AS a, exp((dense - max(dense) OVER w) / 50) AS b FROM patch WINDOW w AS (PARTITION BY key)),
     t AS (SELECT key, a / sum(a) OVER w + 1e-8 AS p, b / sum(b) OVER w + 1e-8 AS q FROM s WINDOW w AS (PARTITION BY key)),
     u AS (SELECT key, sum(0.5e0 * (p * (ln(p) - ln((p + q) / 2)) + q * (ln(q) - ln((p + q) / 2)))) AS j FROM t GROUP BY key) SELECT count(*) AS n, {r('avg(j)', 'jsd')} FROM u""")

@@ -284,3 +284,13 @@ def test_pareto_matches_brute_force(spark):
     rows = [(i, float(c), float(g)) for i, (c, g) in enumerate(rng.integers(0, 25, size=(150, 2)))]
     got = {r.id for r in W.pareto(spark.createDataFrame(rows, "id int, cost double, gain double"), "cost", "gain", 7).collect()}
     assert got == {i for i, c, g in rows if not any(d <= c and h >= g and (d < c or h > g) for _, d, h in rows)}
+
+
+def test_pareto_with_an_outlier(spark):
+    """One cost far from all others leaves the ranges even; equal costs, an empty table."""
+    rng = np.random.default_rng(5)
+    rows = [(i, float(c), float(g)) for i, (c, g) in enumerate(zip(rng.integers(0, 400, 900), rng.integers(0, 50, 900)))] + [(9000, 1e12, 60.0), (9001, -1e12, -1.0)]
+    want = {i for i, c, g in rows if not any(b <= c and h >= g and (b < c or h > g) for _, b, h in rows)}
+    df = spark.createDataFrame(rows, "i int, c double, g double")
+    assert {r.i for r in W.pareto(df, "c", "g").collect()} == want
+    assert {r.i for r in W.pareto(df.where("i < 4"), "c", "g", 2).collect()} and W.pareto(df.limit(0), "c", "g").count() == 0
