@@ -50,6 +50,28 @@ def plot_coverage(plots: DataFrame, first: tuple[DataFrame, DataFrame], second:
     return out.select(F.col("grid").alias(key), "pixels", share("_na").alias("cov_a"), share("_nb").alias("cov_b"), share("_both").alias("cov_both"), "mean_a", "mean_b")
 
 
+def patches_across(points: DataFrame, rasters: DataFrame, pixels: DataFrame, size: int = 25) -> DataFrame:
+    """Square of ``size`` pixels around each point, from its own tile and its neighbours, those of other zones too.
+
+    points: id, raster_id (the primary tile), row, col. A patch is a grid of the primary tile's zone and pixels; what
+    lies outside that tile goes through longitude and latitude to the grid of every tile that reaches it, and takes the
+    value of the first of them by id that has one. Missing pixels of the primary tile stay missing.
+    Returns id and patch, an array row by row.
+    """
+    half = size // 2
+    own = rasters.select("raster_id", "epsg", "a", "e", "c", "f")
+    grids = points.select("id", "raster_id", "row", "col").join(own, "raster_id").select(
+        F.col("id").alias("grid"), F.col("raster_id").alias("primary"), "epsg", "a", "e", (F.col("c") + (F.col("col") - half) * F.col("a")).alias("c"),
+        (F.col("f") + (F.col("row") - half) * F.col("e")).alias("f"), F.lit(size).cast("long").alias("width"), F.lit(size).cast("long").alias("height"),
+    )
+    laid = regrid(pixels, rasters, grids.drop("primary")).join(grids.select("grid", "primary"), "grid").where("value is not null or raster_id = primary")
+    first = F.min(F.struct((F.col("raster_id") != F.col("primary")).alias("other"), "raster_id", "value"))
+    cells = laid.groupBy("grid", "row", "col").agg(first.alias("_v")).select("grid", (F.col("row") * size + F.col("col")).cast("int").alias("k"), "_v.value")
+    found = cells.groupBy("grid").agg(F.map_from_entries(F.collect_list(F.struct("k", "value"))).alias("_m"))  # size * size entries at most
+    out = points.select("id").join(found, F.col("id") == F.col("grid"), "left")
+    return out.select("id", F.transform(F.sequence(F.lit(0), F.lit(size * size - 1)), lambda k: F.try_element_at("_m", k)).alias("patch"))
+
+
 def _border(rasters: DataFrame) -> DataFrame:
     """Longitude and latitude of nine points along each side of a raster."""
     part = [k / 8 for k in range(9)]

@@ -988,6 +988,22 @@ def _(spark, d):
     return rounded(D.plot_coverage(_plots_near(t), (t.rasters.where("raster_id <> 2"), pixels), (_east(t), pixels), half_deg=0.0006))
 
 
+# patches of 5 x 5 around pixels of rasters 0, 1 and 3, with a tile of the zone to the east among their neighbours
+_TILES_ACROSS = f"(SELECT raster_id, epsg, a, e, c, f FROM rasters WHERE raster_id <> 2 UNION ALL SELECT raster_id, epsg, a, e, c, f FROM ({_EAST}))"
+_ACROSS = f"""k AS (SELECT pk AS id, p.raster_id AS own, m.epsg AS zone, i, j, c + (p.col + j - 2 + 0.5e0) * a AS cx, f + (p.row + i - 2 + 0.5e0) * e AS cy, p.row + i - 2 BETWEEN 0 AND height - 1 AND p.col + j - 2 BETWEEN 0 AND width - 1 AS held FROM pix p JOIN rasters m USING (raster_id) CROSS JOIN range(5) x(i) CROSS JOIN range(5) y(j) WHERE p.raster_id <> 2),
+    ll AS (SELECT id, own, i, j, held, lon, lat, t.* FROM {_from_utm_sql('k', 'cx', 'cy', 'zone')} CROSS JOIN {_TILES_ACROSS} t),
+    hit AS (SELECT id, own, i, j, v.raster_id, v.value FROM {_to_utm_sql('ll', 'epsg')} q JOIN valid v ON v.raster_id = q.raster_id AND v.row = floor((q.y - q.f) / q.e) AND v.col = floor((q.x - q.c) / q.a) WHERE v.raster_id = own OR NOT held)"""
+
+
+@query("g05_patches_across", f"WITH {_ACROSS} SELECT id, CAST(i * 5 + j AS INT) AS place, arg_min(value, (CASE WHEN raster_id = own THEN 0 ELSE 1 END) * 10 + raster_id) AS value FROM hit GROUP BY id, i, j")
+def _(spark, d):
+    t = Tables(spark, d)
+    tiles = t.rasters.where("raster_id <> 2").unionByName(_east(t))
+    points = t.pix.where("raster_id <> 2").select(F.col("pk").alias("id"), "raster_id", "row", "col")
+    out = D.patches_across(points, tiles, t.valid.select("raster_id", "row", "col", "value"), 5)
+    return out.select("id", F.posexplode("patch").alias("place", "value")).where("value is not null")
+
+
 @query("a30_same_grid_coverage", f"""WITH g AS (SELECT row, col, row // 5 AS plot FROM pix WHERE raster_id = 0), x AS (SELECT g.plot, a.value AS p, b.value AS q FROM g LEFT JOIN (SELECT * FROM valid WHERE raster_id = 1) a USING (row, col) LEFT JOIN (SELECT * FROM valid WHERE raster_id = 2) b USING (row, col))
     SELECT plot, {r('avg(CASE WHEN p IS NOT NULL THEN 1e0 ELSE 0 END)', 'cov_a')}, {r('avg(CASE WHEN q IS NOT NULL THEN 1e0 ELSE 0 END)', 'cov_b')}, {r('avg(CASE WHEN p IS NOT NULL AND q IS NOT NULL THEN 1e0 ELSE 0 END)', 'cov_both')},
     {r('avg(p) FILTER (q IS NOT NULL)', 'mean_a')}, {r('avg(q) FILTER (p IS NOT NULL)', 'mean_b')} FROM x GROUP BY plot""")
