@@ -12,6 +12,7 @@ from ..operators.windows import best_trial
 from ..operators.sampling import matched_subsample
 from ..operators.scoring import predict_footprints
 from ..sources import scans as S
+from ..sources.points import scan_point_store, write_point_store
 from ..sources import sinks as K
 from ..streaming.incremental import read_merged, write_partials
 from .bind import Tables, query
@@ -75,6 +76,13 @@ def _(spark, d):
     return S.scan_plots(spark, path).select(F.col("properties")["plot"].alias("plot"), "xmin", "ymin", "xmax", "ymax", F.size("ring").alias("points"))
 
 
+@query("s07_point_store", "SELECT plot, lon, lat FROM plots WHERE lon BETWEEN -60 AND 40 AND lat BETWEEN -20 AND 45")
+def _(spark, d):
+    path = f"{_folder(spark)}/points"
+    write_point_store(Tables(spark, d).plots.select("plot", "lon", "lat"), path, 32)
+    return scan_point_store(spark, path, -60, -20, 40, 45)
+
+
 @query("s05_scan_parts", """SELECT CAST(plot AS VARCHAR) AS plot, 1 + plot % 2 AS parts, 2 AS rings, round(lon - 1, 4) AS xmin, round(lat - 1, 4) AS ymin, round(CASE WHEN plot % 2 = 1 THEN lon + 4 ELSE lon + 1 END, 4) AS xmax, round(lat + 1, 4) AS ymax FROM plots""")
 def _(spark, d):
     """Squares with a hole, every other one with a second part beside it, written as GeoJSON and read again."""

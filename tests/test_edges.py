@@ -294,3 +294,19 @@ def test_pareto_with_an_outlier(spark):
     df = spark.createDataFrame(rows, "i int, c double, g double")
     assert {r.i for r in W.pareto(df, "c", "g").collect()} == want
     assert {r.i for r in W.pareto(df.where("i < 4"), "c", "g", 2).collect()} and W.pareto(df.limit(0), "c", "g").count() == 0
+
+
+def test_point_store_opens_few_files(spark, tmp_path):
+    from canopyframe.sources.points import scan_point_store, write_point_store
+
+    rng = np.random.default_rng(7)
+    rows = [(i, float(x), float(y)) for i, (x, y) in enumerate(zip(rng.uniform(-180, 180, 4000), rng.uniform(-90, 90, 4000)))]
+    rows += [(9000, 180.0, 90.0), (9001, -180.0, -90.0), (9002, None, 1.0), (9003, 10.0, 20.0), (9004, 10.0, 20.0)]
+    df = spark.createDataFrame(rows, "i int, lon double, lat double")
+    write_point_store(df, f"{tmp_path}/p", 64)
+    for box in ((10.0, 20.0, 25.0, 30.0), (10.0, 20.0, 10.0, 20.0), (-180.0, -90.0, 180.0, 90.0), (179.99, 89.99, 180.0, 90.0), (500.0, 0.0, 501.0, 1.0)):
+        w, s, e, n = box
+        got = scan_point_store(spark, f"{tmp_path}/p", *box)
+        assert sorted(r.i for r in got.collect()) == [i for i, x, y in rows if x is not None and w <= x <= e and s <= y <= n]
+    few = scan_point_store(spark, f"{tmp_path}/p", 10.0, 20.0, 25.0, 30.0)
+    assert len(few.inputFiles()) <= 8 and len(spark.read.parquet(f"{tmp_path}/p").inputFiles()) == 64
