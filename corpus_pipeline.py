@@ -27,7 +27,11 @@ def _row_hash():
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the vote of their nearest labelled neighbours accepts; each row, without an id too, by its own text."""
+    """Documents that the vote of their nearest labelled neighbours accepts; each row, without an id too, by its own text.
+
+    Null text is empty, and empty texts are voted on like others. Without labels every score is a half, so all rows stay.
+    An empty table gives an empty one.
+    """
     with scratch(spark):
         votes = quality_votes(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), columns=COLUMNS[1:])
     return votes.where("predicted = 1").select(*COLUMNS)
@@ -38,7 +42,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows that share an id, or have none, are documents of their own; a null id is smaller than all others, and
     equal ids are ordered by a hash of the row. Of rows that are equal throughout one stays, but every row
-    without words does, as it links with nothing.
+    without words (null and empty texts too) does, as it links with nothing. An empty table gives an empty one.
     """
     docs = docs.select(*COLUMNS, _row_hash().alias("_row"))
     with scratch(spark) as keep:
@@ -54,7 +58,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Texts without 100-byte strings that start earlier in the corpus; emptied documents go, cut characters too.
 
     Null ids are earlier than all others; different texts with one id, or none, are ordered by a checksum of the
-    text. Rows with equal id and text are copies: all but one are emptied, if they have 100 bytes.
+    text. Rows with equal id and text are copies: all but one are emptied, if they have 100 bytes. Null and empty texts
+    stay as they are; an empty table gives an empty one.
     """
     with scratch(spark) as keep:
         spans = keep(span_lists(docs, 100), "spans")
@@ -68,7 +73,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it (0, 1 or 2 times; one without words stays out).
 
-    Rows that share an id, or have none, are documents of their own and take what the mix gives each of them.
+    Rows that share an id, or have none, are documents of their own and take what the mix gives each of them. Null text
+    has no words; an empty table gives an empty one.
     """
     docs = docs.select(*COLUMNS, _row_hash().alias("_row"))
     with scratch(spark) as keep:
@@ -80,7 +86,10 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2048 tokens: the place of every piece of every row, with a null or repeated id as with any."""
+    """Sequences of at most 2048 tokens: the place of every piece of every row, with a null or repeated id as with any.
+
+    Null text is empty: a piece of the end id alone. An empty table gives an empty one.
+    """
     pieces = token_pieces(docs, _word_bpe(), size=2048, end_id=0).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return best_fit_pack(materialize(pieces, "pieces"), 2048)
 
