@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import cylindrical
-from ..semantics import first_by, small
+from ..semantics import first_by, small, written
 from .ranks import with_percentiles
 from .shapes import border_distance, covered_pixels, inside, meets_box, on_border, shaped
 
@@ -229,6 +229,7 @@ def sample_raster(points: DataFrame, rasters: DataFrame, pixels: DataFrame, noda
 
 
 def _zone_values(hits: DataFrame, value: str) -> DataFrame:
+    hits = written(hits.select("zone", value))
     return with_percentiles(hits.groupBy("zone").agg(F.count(value).alias("n"), F.avg(value).alias("mean")), hits, ["zone"], value, {"median": 0.5, "p90": 0.9})
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,6 +54,18 @@ def collected(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(df.collect(), df.schema)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df written once where all executors can read it, for several passes over what is dear to make.
+
+    The folder is the session's ``spark.checkpoint.dir`` (the warehouse where it is unset); it is left to the caller.
+    """
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{root.rstrip('/')}/tables-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def small(df: DataFrame, rows: int = 20_000) -> DataFrame:
     """Broadcast a dimension table if it holds at most ``rows`` rows; otherwise leave the join to the planner.
 
