@@ -235,12 +235,14 @@ def _(spark, d):
     return J.sample_raster(_points(t, 4), meta, pixels)
 
 
-@query("j10_paired_samples", f"""SELECT o.pk AS pk, {r('a.value', 'first')}, {r('b.value', 'second')} FROM pix o JOIN valid a ON a.raster_id = 1 AND a.row = o.row AND a.col = o.col
-    JOIN valid b ON b.raster_id = 2 AND b.row = o.row AND b.col = o.col""")
+_SOURCES = ("first", "second", "third", "fourth")
+
+
+@query("j10_paired_samples", f"SELECT o.pk AS pk, {', '.join(r(f's{k}.value', n) for k, n in enumerate(_SOURCES))} FROM pix o " + " ".join(f"JOIN valid s{k} ON s{k}.raster_id = {k} AND s{k}.row = o.row AND s{k}.col = o.col" for k in range(4)))
 def _(spark, d):
     t = Tables(spark, d)
-    source = lambda k: t.valid.where(F.col("raster_id") == k)
-    return rounded(J.paired_samples(t.pix.select("row", "col", "pk"), {"first": source(1), "second": source(2)}, ["row", "col"]).select("pk", "first", "second"))
+    sources = {name: t.valid.where(F.col("raster_id") == k) for k, name in enumerate(_SOURCES)}
+    return rounded(J.paired_samples(t.pix.select("row", "col", "pk"), sources, ["row", "col"]).select("pk", *_SOURCES))
 
 
 @query("j11_embed_class", f"SELECT cls, count(*) AS n, {r('CASE WHEN cls IN (20, 30, 111, 126) THEN cls / 10e0 ELSE 0.5e0 END', 'v0')} FROM fp GROUP BY cls")
@@ -267,13 +269,13 @@ def _(spark, d):
     return J.assert_aligned(p.where("plot % 17 <> 2"), p.where("plot % 13 <> 5").withColumn("agb", F.expr("CASE WHEN plot % 5 = 1 THEN agb + 1 ELSE agb END")), ["plot"], "agb")
 
 
-_FILES = "SELECT concat('h', o_orderkey % 7, '-', (o_orderkey * 131 % 40) * 1000, '-', (o_orderkey * 17 % 40) * 1000) AS file, o_orderkey % 7 AS p FROM orders WHERE o_orderkey % 3 = 0"
+_FILES = "SELECT concat('h', o_orderkey % 7, '-', (o_orderkey * 131 % 40) * 1000, '-', (o_orderkey * 17 % 40) * 1000) AS file, o_orderkey % 7 AS p FROM orders"
 _BOUNDS = f"""SELECT DISTINCT file, 32630 + p AS epsg, 300000e0 + p * 1000 + CAST(split_part(file, '-', 3) AS BIGINT) * 10e0 AS xmin, 4000000e0 - CAST(split_part(file, '-', 2) AS BIGINT) * 10e0 - 10000 AS ymin,
     300000e0 + p * 1000 + CAST(split_part(file, '-', 3) AS BIGINT) * 10e0 + 10000 AS xmax, 4000000e0 - CAST(split_part(file, '-', 2) AS BIGINT) * 10e0 AS ymax FROM ({_FILES})"""
 
 
 def _file_bounds(t):
-    o = t.raw("orders").where("o_orderkey % 3 = 0")
+    o = t.raw("orders")
     files = o.select(F.expr("concat('h', o_orderkey % 7, '-', (o_orderkey * 131 % 40) * 1000, '-', (o_orderkey * 17 % 40) * 1000)").alias("file")).distinct()
     anchors = o.selectExpr("concat('h', o_orderkey % 7) AS prefix", "32630 + o_orderkey % 7 AS epsg", "300000D + o_orderkey % 7 * 1000 AS x0", "4000000D AS y0").distinct()
     return J.file_bounds(files, anchors, 1000, 10.0)
@@ -724,14 +726,16 @@ def _(spark, d):
     return out.select("id", F.posexplode("patch").alias("place", "value")).where("value is not null")
 
 
-@query("g05_extract_patches_multi", """WITH p AS (SELECT plot AS id, 500050e0 + plot * 31 % 600 AS x, 4999900e0 - plot * 17 % 100 AS y FROM plots),
+@query("g05_extract_patches_multi", """WITH p AS (SELECT plot AS id, 499950e0 + plot * 31 % 900 AS x, 5000010e0 - plot * 17 % 200 AS y FROM plots),
     o AS (SELECT id, CAST(i AS INT) AS i, CAST(j AS INT) AS j, x + j * 10 AS px, y - i * 10 AS py FROM p CROSS JOIN range(-2, 3) a(i) CROSS JOIN range(-2, 3) b(j)),
-    f AS (SELECT id, i, j, raster_id, CAST(floor((f - py) / 10) AS BIGINT) AS row, CAST(floor((px - c) / 10) AS BIGINT) AS col FROM o JOIN rasters r ON r.raster_id IN (0, 1) AND c <= px AND px < c + width * 10 AND f - height * 10 < py AND py <= f)
-    SELECT id, i, j, value FROM f JOIN valid USING (raster_id, row, col) QUALIFY row_number() OVER (PARTITION BY id, i, j ORDER BY raster_id) = 1""")
+    n AS (SELECT raster_id, c, CASE WHEN e > 0 THEN f + e * height ELSE f END AS f, e > 0 AS turned, width, height FROM rasters WHERE epsg = 32632),
+    f AS (SELECT id, i, j, raster_id, CAST(floor((f - py) / 10) AS BIGINT) AS up, CAST(floor((px - c) / 10) AS BIGINT) AS col, turned, height FROM o JOIN n ON c <= px AND px < c + width * 10 AND f - height * 10 < py AND py <= f)
+    SELECT id, i, j, value FROM (SELECT *, CASE WHEN turned THEN height - 1 - up ELSE up END AS row FROM f) JOIN valid USING (raster_id, row, col) QUALIFY row_number() OVER (PARTITION BY id, i, j ORDER BY raster_id) = 1""")
 def _(spark, d):
     t = Tables(spark, d)
-    points = t.plots.selectExpr("plot AS id", "500050D + plot * 31 % 600 AS x", "4999900D - plot * 17 % 100 AS y")
-    return R.extract_patches_multi(points, t.rasters.where("raster_id in (0, 1)"), t.valid, 5, 10.0)
+    tiles, pixels = R.north_up(t.rasters, t.valid)
+    points = t.plots.selectExpr("plot AS id", "499950D + plot * 31 % 900 AS x", "5000010D - plot * 17 % 200 AS y")
+    return R.extract_patches_multi(points, tiles.where("epsg = 32632"), pixels, 5, 10.0)
 
 
 @query("g06_mosaic", f"SELECT gx, gy, {r('value', 'value')}, raster_id AS source FROM (SELECT raster_id, col + 16 * raster_id AS gx, row AS gy, value FROM valid) QUALIFY row_number() OVER (PARTITION BY gx, gy ORDER BY raster_id) = 1")
@@ -740,9 +744,9 @@ def _(spark, d):
     return rounded(R.mosaic(p, "raster_id"))
 
 
-@query("g07_mosaic_zone", f"SELECT {r('(min(lon) + max(lon)) / 2', 'lon')}, {r('(min(lat) + max(lat)) / 2', 'lat')}, CAST(CASE WHEN (min(lat) + max(lat)) / 2 >= 0 THEN 32600 ELSE 32700 END + floor(((min(lon) + max(lon)) / 2 + 180) / 6) + 1 AS INT) AS epsg FROM plots WHERE lon > 20 AND lat > 30")
+@query("g07_mosaic_zone", f"SELECT {r('(min(lon) + max(lon)) / 2', 'lon')}, {r('(min(lat) + max(lat)) / 2', 'lat')}, CAST(CASE WHEN (min(lat) + max(lat)) / 2 >= 0 THEN 32600 ELSE 32700 END + floor(((min(lon) + max(lon)) / 2 + 180) / 6) + 1 AS INT) AS epsg FROM plots")
 def _(spark, d):
-    p = Tables(spark, d).plots.where("lon > 20 and lat > 30").selectExpr("lon AS xmin", "lon AS xmax", "lat AS ymin", "lat AS ymax")
+    p = Tables(spark, d).plots.selectExpr("lon AS xmin", "lon AS xmax", "lat AS ymin", "lat AS ymax")
     return rounded(R.mosaic_zone(p))
 
 
