@@ -437,7 +437,7 @@ def whole_characters(part: bytes, cut_before: bool, cut_after: bool) -> bytes:
     return part[a:b]
 
 
-def _strip(columns, length):
+def _strip(columns, length, characters):
     def run(batches):
         for batch in (part for whole in batches for part in slices(whole, "_text", 1 << 20)):
             kept, removed, runs, sizes, texts = [], [], [], [], []
@@ -452,17 +452,18 @@ def _strip(columns, length):
                     at = max(at, end)
                 out.append(text[at:])
                 whole = b"".join(out)
-                texts.append(b"".join(whole_characters(p, i > 0, i < len(out) - 1) for i, p in enumerate(out)))
+                if characters:
+                    texts.append(b"".join(whole_characters(p, i > 0, i < len(out) - 1) for i, p in enumerate(out)))
                 kept.append(whole), removed.append(len(text) - len(whole)), runs.append(n), sizes.append(len(text))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_id"), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary()), pa.array(texts, pa.binary()), *(batch.column(c) for c in columns)],
-                ["_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_text", *columns],
+                [batch.column("_id"), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary()), *([pa.array(texts, pa.binary())] if characters else []), *(batch.column(c) for c in columns)],
+                ["_id", "n_bytes", "n_removed", "n_spans", "kept", *(["kept_text"] if characters else []), *columns],
             )
 
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", columns=(), spans: DataFrame | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", columns=(), spans: DataFrame | None = None, characters: bool = False) -> DataFrame:
     """Texts without the bytes of ``repeated_spans``; strings are judged on the input, not on what is left.
 
     Null text is empty; texts shorter than ``length`` stay whole. Null ids come before all others. Different texts
@@ -471,13 +472,16 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     text if it has ``length`` bytes. Other columns are ignored unless named in ``columns``. An empty table gives an
     empty result.
     spans: the result of ``span_lists``, where it is at hand.
-    Returns: id, n_bytes, n_removed, n_spans (maximal removed runs), kept (binary, the remaining bytes),
-    kept_text (these without the parts of characters that a cut leaves), columns.
+    Returns: id, n_bytes, n_removed, n_spans (maximal removed runs), kept (binary, the remaining bytes), with
+    ``characters`` also kept_text (these without the parts of characters that a cut leaves), columns.
     """
     ship(docs.sparkSession)
     text = _texts(docs, id_col, text_col, columns)
     spans = span_lists(docs, length, id_col, text_col) if spans is None else spans
     out = _turns(text.join(spans, ["_id", "_sum"], "left"), "_id", "_sum", columns).select("_id", "_text", "_spans", "_turn", *columns)
     extra = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema) if columns else ""
-    out = out.mapInArrow(_strip(list(columns), length), f"_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_text binary{extra}").withColumn("kept_text", F.make_valid_utf8(F.col("kept_text").cast("string")))
+    more = ", kept_text binary" if characters else ""
+    out = out.mapInArrow(_strip(list(columns), length, characters), f"_id long, n_bytes long, n_removed long, n_spans long, kept binary{more}{extra}")
+    if characters:
+        out = out.withColumn("kept_text", F.make_valid_utf8(F.col("kept_text").cast("string")))
     return out.withColumn("_id", F.nullif("_id", F.lit(_NO_ID))).withColumnRenamed("_id", id_col)
