@@ -63,7 +63,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """
     with scratch(spark) as keep:
         spans = keep(span_lists(docs, 100), "spans")
-    out = remove_repeats(docs, 100, columns=["text", "lang", "source", "n_chars"], spans=spans)
+    out = remove_repeats(docs, 100, columns=["text", "lang", "source", "n_chars"], spans=spans, characters=True)
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))  # without what a cut leaves of a character
     out = out.withColumn("text", text)
     out = out.where((F.col("n_removed") == 0) | (F.trim("text") != "")).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long"))
