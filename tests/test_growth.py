@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from canopyframe.operators import joins as J
 from canopyframe.operators import raster as R
 
 
@@ -21,3 +22,12 @@ def test_patches_are_not_broadcast(tall):
     assert "Broadcast" not in plan(out)
     got = {r.id: r.patch for r in out.where("id in (0, 9)").collect()}
     assert got == {0: [None, None, None, None, 0.0, 1.0, None, 8.0, 9.0], 9: [0.0, 1.0, 2.0, 8.0, 9.0, 10.0, 16.0, 17.0, 18.0]}
+
+
+def test_scenes_are_brought_down_to_one_a_tile(spark):
+    plots = spark.createDataFrame([(1, [1, 2]), (2, [2]), (3, [3]), (4, [9])], "plot long, tiles array<long>")
+    scenes = spark.createDataFrame([(5, 1, 3.0), (4, 1, 3.0), (7, 2, None), (8, 2, 4.0), (9, 3, None), (6, 3, None)], "scene long, tile long, score double")
+    out = J.pick_scene(plots, scenes)
+    text = plan(out)
+    assert "Window" not in text and text.index("Join") < text.rindex("Aggregate")  # scenes are aggregated below the join
+    assert {tuple(r) for r in out.collect()} == {(1, 4, 3.0), (2, 8, 4.0), (3, 6, None)}
