@@ -31,3 +31,22 @@ def test_scenes_are_brought_down_to_one_a_tile(spark):
     text = plan(out)
     assert "Window" not in text and text.index("Join") < text.rindex("Aggregate")  # scenes are aggregated below the join
     assert {tuple(r) for r in out.collect()} == {(1, 4, 3.0), (2, 8, 4.0), (3, 6, None)}
+
+
+def test_crops_of_equal_means_tie(spark):
+    """Two crops of the same values in another order, whose sums as doubles differ in the last digit."""
+    sum_of = lambda v: ((v[0] + v[1]) + v[2]) + v[3]
+    one, two = [0.1, 0.2, 0.3, 0.4], [0.2, 0.4, 0.3, 0.1]
+    assert sum_of(one) < sum_of(two)
+    rows = [(k % 2, 4 * (k // 2) + i // 2, i % 2, v) for k, vs in enumerate((one, two, two, one)) for i, v in enumerate(vs)]
+    rows += [(r, 2 + i // 2, i % 2, 0.0) for r in range(2) for i in range(4)]
+    pixels = spark.createDataFrame(rows, "raster_id long, row long, col long, value double").coalesce(1)
+    assert {tuple(r)[:3] for r in R.best_crop(pixels, 2, 2, 1.0).collect()} == {(0, 0, 0), (1, 0, 0)}
+
+
+def test_feature_files_are_bounded(spark):
+    from canopyframe.plans.queries_io import _collections
+
+    plots = spark.range(50_000).withColumnRenamed("id", "plot")
+    sizes = [r.n for r in _collections(plots, F.struct("plot")).select(F.size("features").alias("n")).collect()]
+    assert sum(sizes) == 50_000 and max(sizes) < 2500
