@@ -65,13 +65,20 @@ def _(spark, d):
     return rounded(S.scan_class_embeddings(spark, path).select("mapping", *[F.col("vector")[i].alias(f"v{i}") for i in range(3)]))
 
 
+def _collections(features, feature):
+    """Arrays of at most some thousand features, each to be written as one file, however many there are: GeoJSON is read whole
+    files at a time."""
+    dealt = features.select(F.pmod(F.xxhash64("plot"), F.lit(max(16, -(-features.count() // 2000)))).alias("part"), feature.alias("feature"))
+    return dealt.groupBy("part").agg(F.collect_list("feature").alias("features"))
+
+
 @query("s05_scan_plots", "SELECT CAST(plot AS VARCHAR) AS plot, round(lon - 0.05e0, 4) AS xmin, round(lat - 0.05e0, 4) AS ymin, round(lon + 0.05e0, 4) AS xmax, round(lat + 0.05e0, 4) AS ymax, CAST(4 AS INT) AS points FROM plots")
 def _(spark, d):
     path = _folder(spark)
     c = [F.round(v, 4) for v in G.cell("lon", "lat")]
     ring = F.array(*[F.array(c[i], c[j]) for i, j in ((0, 1), (2, 1), (2, 3), (0, 3), (0, 1))])
     feature = F.struct(F.struct(F.col("plot")).alias("properties"), F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")).alias("geometry"))
-    p = Tables(spark, d).plots.groupBy((F.col("plot") % 16).alias("part")).agg(F.collect_list(feature).alias("features")).repartition(16, "part")
+    p = _collections(Tables(spark, d).plots, feature)
     p.select(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), "features")).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
     return S.scan_plots(spark, path).select(F.col("properties")["plot"].alias("plot"), "xmin", "ymin", "xmax", "ymax", F.size("ring").alias("points"))
 
@@ -91,7 +98,7 @@ def _(spark, d):
     one, two = F.array(ring(1.0), ring(0.5)), F.array(ring(0.5, 3.5))
     text = lambda kind, c: F.to_json(F.struct(F.struct("plot").alias("properties"), F.struct(F.lit(kind).alias("type"), c.alias("coordinates")).alias("geometry")))
     feature = F.when(F.col("plot") % 2 == 1, text("MultiPolygon", F.array(one, two))).otherwise(text("Polygon", one))
-    p = Tables(spark, d).plots.groupBy((F.col("plot") % 16).alias("part")).agg(F.collect_list(feature).alias("features")).repartition(16, "part")
+    p = _collections(Tables(spark, d).plots, feature)
     p.select(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join("features", ","), F.lit("]}")).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
     out = S.scan_plots(spark, path)
     return out.select(F.col("properties")["plot"].alias("plot"), F.size("parts").alias("parts"), F.size(F.col("parts")[0]).alias("rings"), "xmin", "ymin", "xmax", "ymax")
