@@ -12,8 +12,8 @@ from .common import ASCII_LOWER, SPACE, Powers, PrimeHash, counter_rows, materia
 
 #: Cells that n-grams are hashed to.
 CELLS = 1 << 16
-#: Labelled rows at most that the trusted multinomial is fitted on.
-TRUSTED_ROWS = 20_000
+#: Trusted ids up to which they are broadcast; more of them meet the documents by a join that is dealt out.
+_BROADCAST_IDS = 1_000_000
 #: A text is kept if its mean log-likelihood ratio reaches this.
 THRESHOLD = -0.25
 
@@ -146,25 +146,26 @@ def _score(ratio):
 
 
 def quality_rules(
-    docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, trusted_rows: int = TRUSTED_ROWS, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, trusted_rows: int | None = None, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Keep texts that look more like trusted ones than like the raw corpus, and that pass two base rules.
 
-    Two multinomials over hashed unigrams and bigrams: of the trusted rows (``labels.quality`` = 1, the first
-    ``trusted_rows`` by hash), and of all documents. A text's score is the mean of log p_trusted - log p_raw
+    Two multinomials over hashed unigrams and bigrams: of all trusted rows (``labels.quality`` = 1; with
+    ``trusted_rows`` only so many, the first by hash), and of all documents. A text's score is the mean of log p_trusted - log p_raw
     over its n-grams, both smoothed by one half a cell; it passes at ``threshold`` or above. Base rules: fewer
     than 10 words, or over 20 % of the words in 5-word windows found twice or more, fail.
 
-    Two scans, no shuffle of texts; the counters have a fixed size. Null text is empty (score 0, base failed).
+    Two scans, no shuffle of texts up to a million trusted ids; the counters have a fixed size. Null text is empty (score 0, base failed).
     Ties at the threshold pass. Repeated ids are scored each. No labels: all ratios are 0. Extra columns are
     ignored. Returns: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, ratio, kept.
     """
     spark = docs.sparkSession
     ship(spark)
     good = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("good")).where("good is not null").distinct()
-    good = materialize(good.orderBy(F.xxhash64("good")).limit(trusted_rows), "trusted")
+    good = materialize(good if trusted_rows is None else good.orderBy(F.xxhash64("good")).limit(trusted_rows), "trusted")
+    good = F.broadcast(good) if good.count() <= _BROADCAST_IDS else good.hint("merge")
     text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    marked = text.join(F.broadcast(good), F.col("id") == F.col("good"), "left").select("text", F.col("good").isNotNull().alias("trusted"))
+    marked = text.join(good, F.col("id") == F.col("good"), "left").select("text", F.col("good").isNotNull().alias("trusted"))
     rows = materialize(marked.mapInArrow(_counts, "kind int, chunk int, turn long, counts binary"), "ngrams")
     raw, trusted = sum_counters(rows, 2, CELLS)
     if trusted.sum():

@@ -89,3 +89,11 @@ def test_ratio_and_verdict(spark, sf):
     more = spark.createDataFrame([(None, texts[1]), (None, None), (1, texts[2]), (1, texts[2])], "doc_id long, text string")
     rows = qr.quality_rules(more, labels).collect()
     assert Counter(r.doc_id for r in rows) == {None: 2, 1: 2} and {r.n_words for r in rows if r.doc_id} == {len(WORD.findall(texts[2]))}
+
+
+def test_rules_count_every_trusted_row(spark):
+    from canopyframe.llm.quality_rules import quality_rules
+
+    docs = spark.range(20_400).selectExpr("id AS doc_id", "concat('word', id % 7, ' text') AS text")
+    labels = docs.selectExpr("doc_id", "1 AS quality")
+    assert [r.ratio for r in quality_rules(docs, labels).select("ratio").distinct().collect()] == [0.0]  # all rows are trusted
