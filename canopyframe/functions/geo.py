@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,6 +91,51 @@ def from_utm(x, y, epsg) -> list[Column]:
     return [(F.degrees(F.atan2(F.sinh(q), F.cos(p))) + (epsg % 100 * 6 - 183)).alias("lon"), lat.alias("lat")]
 
 
+def to_utm_array(lon, lat, epsg) -> tuple[np.ndarray, np.ndarray]:
+    """``to_utm`` of numpy arrays, for the pixels of grids within tasks."""
+    away, sine = np.radians(lon - (epsg % 100 * 6 - 183)), np.sin(np.radians(lat))
+    t = np.sinh(np.arctanh(sine) - _E * np.arctanh(_E * sine))
+    xi, eta = np.arctan2(t, np.cos(away)), np.arctanh(np.sin(away) / np.sqrt(1 + t * t))
+    x, y = eta, xi
+    for j, a in enumerate(_TO, 1):
+        x = x + a * np.cos(2 * j * xi) * np.sinh(2 * j * eta)
+        y = y + a * np.sin(2 * j * xi) * np.cosh(2 * j * eta)
+    return _EASTING + _K0 * _R * x, _K0 * _R * y + np.where(epsg >= 32700, _NORTHING, 0.0)
+
+
+def from_utm_array(x, y, epsg) -> tuple[np.ndarray, np.ndarray]:
+    """``from_utm`` of numpy arrays."""
+    xi, eta = (y - np.where(epsg >= 32700, _NORTHING, 0.0)) / (_K0 * _R), (x - _EASTING) / (_K0 * _R)
+    p, q = xi, eta
+    for j, b in enumerate(_FROM, 1):
+        p = p - b * np.sin(2 * j * xi) * np.cosh(2 * j * eta)
+        q = q - b * np.cos(2 * j * xi) * np.sinh(2 * j * eta)
+    sine = np.sin(p) / np.cosh(q)
+    lat, conformal = np.arcsin(sine), np.arctanh(np.sin(np.arcsin(sine)))
+    for _ in range(4):
+        lat = np.arcsin(np.tanh(conformal + _E * np.arctanh(_E * np.sin(lat))))
+    return np.degrees(np.arctan2(np.sinh(q), np.cos(p))) + (epsg % 100 * 6 - 183), np.degrees(lat)
+
+
+def projected(lon, lat, epsg) -> Column:
+    """``to_utm`` of whole batches, a struct of x and y: each term is evaluated once, where the column's many uses of one
+    another are not."""
+    def of(lon: pd.Series, lat: pd.Series, epsg: pd.Series) -> pd.DataFrame:
+        x, y = to_utm_array(*[k.to_numpy() for k in (lon, lat, epsg)])
+        return pd.DataFrame({"x": x, "y": y})
+
+    return F.pandas_udf(of, "x double, y double")(col(lon), col(lat), col(epsg))
+
+
+def unprojected(x, y, epsg) -> Column:
+    """``from_utm`` of whole batches, a struct of lon and lat."""
+    def of(x: pd.Series, y: pd.Series, epsg: pd.Series) -> pd.DataFrame:
+        lon, lat = from_utm_array(*[k.to_numpy() for k in (x, y, epsg)])
+        return pd.DataFrame({"lon": lon, "lat": lat})
+
+    return F.pandas_udf(of, "lon double, lat double")(col(x), col(y), col(epsg))
+
+
 def box(x, y, half_x, half_y) -> list[Column]:
     x, y = col(x), col(y)
     return [(x - half_x).alias("xmin"), (y - half_y).alias("ymin"), (x + half_x).alias("xmax"), (y + half_y).alias("ymax")]

@@ -50,3 +50,49 @@ def test_feature_files_are_bounded(spark):
     plots = spark.range(50_000).withColumnRenamed("id", "plot")
     sizes = [r.n for r in _collections(plots, F.struct("plot")).select(F.size("features").alias("n")).collect()]
     assert sum(sizes) == 50_000 and max(sizes) < 2500
+
+
+def _grid(spark, n, ident, epsg=32632, width=32, height=3200, c=500000.0):
+    return spark.createDataFrame([(ident, epsg, 10.0, -10.0, c, 5000000.0, width, height)], f"{n} long, epsg int, a double, e double, c double, f double, width long, height long")
+
+
+def test_mosaic_lays_no_empty_parts(spark):
+    """The window of a long raster of another zone is mostly empty; its parts' windows are not."""
+    from canopyframe.operators import grids as D
+
+    rasters = _grid(spark, "raster_id", 1).unionByName(_grid(spark, "raster_id", 2, 32633))
+    area = lambda df: df.agg(F.sum(F.col("width") * F.col("height"))).first()[0]
+    assert area(D.mosaic_windows(rasters, 10.0)) > 4 * 2 * 32 * 3200
+    assert area(D.mosaic_parts(rasters, 10.0)) < 1.5 * 2 * 32 * 3200
+
+
+def test_grids_meet_tiles_and_not_pixels(spark):
+    """Grids of the same and of another zone: values as from a projection of each pixel, in one row a tile."""
+    from canopyframe.functions import geo as G
+
+    src = _grid(spark, "raster_id", 7, 32633, 60, 70, 28300.0)
+    values = spark.range(4200).selectExpr("7L AS raster_id", "id div 60 AS row", "id % 60 AS col", "CAST(id AS DOUBLE) AS value").where("value % 11 <> 3")
+    x, y = (float(v[0]) for v in G.to_utm_array(*G.from_utm_array(*[__import__("numpy").array([k]) for k in (28500.0, 4999700.0, 32633)]), 32632))
+    dst = _grid(spark, "grid", 1, 32632, 40, 33, x).withColumn("f", F.lit(y)).unionByName(_grid(spark, "grid", 2, 32633, 5, 5, 28320.0)).unionByName(_grid(spark, "grid", 3, 32632, 9, 9))
+    laid = R.laid_values(values, src, R.overlapping(dst, src))
+    assert laid.count() <= 4 * 3 + 1  # blocks of grids by tiles
+    cells = dst.withColumn("row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("height") - 1))).withColumn("col", F.explode(F.sequence(F.lit(0).cast("long"), F.col("width") - 1)))
+    cells = cells.withColumn("x", F.expr("c + (col + 0.5D) * a")).withColumn("y", F.expr("f + (row + 0.5D) * e"))
+    cells = cells.select("grid", "row", "col", "epsg", "x", "y", *G.from_utm("x", "y", "epsg")).select("grid", "row", "col", "epsg", F.col("x").alias("px"), F.col("y").alias("py"), *G.to_utm("lon", "lat", F.lit(32633)))
+    px, py = F.when(F.col("epsg") == 32633, F.col("px")).otherwise(F.col("x")), F.when(F.col("epsg") == 32633, F.col("py")).otherwise(F.col("y"))
+    at = cells.select("grid", F.col("row").alias("r"), F.col("col").alias("k"), F.floor((py - 5000000) / -10).alias("row"), F.floor((px - 28300) / 10).alias("col"))
+    want = {tuple(r) for r in at.join(values, ["row", "col"]).select("grid", "r", "k", "value").collect()}
+    assert len(want) > 500 and {tuple(r) for r in R.regrid(values, src, dst).select("grid", "row", "col", "value").collect()} == want
+
+
+def test_patches_within_their_tile_ask_no_other(spark, monkeypatch):
+    from canopyframe.operators import grids as D
+
+    tiles = _grid(spark, "raster_id", 0, height=32).unionByName(_grid(spark, "raster_id", 1, height=32, c=500320.0))
+    values = spark.range(2048).selectExpr("id div 1024 AS raster_id", "id % 1024 div 32 AS row", "id % 32 AS col", "CAST(id AS DOUBLE) AS value")
+    points = spark.createDataFrame([(1, 0, 16, 16), (2, 0, 16, 31), (3, 1, 0, 0)], "id long, raster_id long, row long, col long")
+    asked = []
+    monkeypatch.setattr(D, "laid_values", lambda p, s, pairs: asked.extend((r[0], r[1]) for r in pairs.select("grid.id", "raster_id").collect()) or R.laid_values(p, s, pairs))
+    got = {r.id: r.patch for r in D.patches_across(points, tiles, values, 3).collect()}
+    assert sorted(asked) == [(1, 0), (2, 0), (2, 1), (3, 0), (3, 1)]
+    assert got[2] == [510.0, 511.0, 1504.0, 542.0, 543.0, 1536.0, 574.0, 575.0, 1568.0] and got[3] == [None, None, None, 31.0, 1024.0, 1025.0, 63.0, 1056.0, 1057.0]
