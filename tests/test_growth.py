@@ -96,3 +96,16 @@ def test_patches_within_their_tile_ask_no_other(spark, monkeypatch):
     got = {r.id: r.patch for r in D.patches_across(points, tiles, values, 3).collect()}
     assert sorted(asked) == [(1, 0), (2, 0), (2, 1), (3, 0), (3, 1)]
     assert got[2] == [510.0, 511.0, 1504.0, 542.0, 543.0, 1536.0, 574.0, 575.0, 1568.0] and got[3] == [None, None, None, 31.0, 1024.0, 1025.0, 63.0, 1056.0, 1057.0]
+
+
+def test_zones_of_equal_outlines_are_measured_once(spark, monkeypatch):
+    """400 zones of two boxes, one zone of both; a zone of more values than are held is ranked by digits."""
+    pixels = spark.range(60).selectExpr("id + 0.5D AS x", "0.5D AS y", "CAST(id AS DOUBLE) AS value")
+    zones = spark.range(400).selectExpr("id AS zone", "10D * (id % 2) AS xmin", "0D AS ymin", "10D * (id % 2) + 10 AS xmax", "1D AS ymax")
+    zones = zones.unionByName(spark.createDataFrame([(900, 0.0, 0.0, 60.0, 1.0), (901, 0.0, 0.0, 10.0, 1.0), (901, 10.0, 0.0, 20.0, 1.0)], zones.schema))
+    seen = []
+    monkeypatch.setattr(J, "written", lambda df: seen.append(df.count()) or df)
+    monkeypatch.setattr(J, "_HELD", 30)
+    got = {r.zone: (r.n, r["mean"], r.median, round(r.p90, 6)) for r in J.zonal_stats(zones, pixels, 7.0).collect()}
+    assert seen == [10 + 10 + 60 + 20] and len(got) == 402
+    assert got[0] == (10, 4.5, 4.5, 8.1) and got[399] == (10, 14.5, 14.5, 18.1) and got[901] == (20, 9.5, 9.5, 17.1) and got[900] == (60, 29.5, 29.5, 53.1)
