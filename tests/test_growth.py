@@ -109,3 +109,12 @@ def test_zones_of_equal_outlines_are_measured_once(spark, monkeypatch):
     got = {r.zone: (r.n, r["mean"], r.median, round(r.p90, 6)) for r in J.zonal_stats(zones, pixels, 7.0).collect()}
     assert seen == [10 + 10 + 60 + 20] and len(got) == 402
     assert got[0] == (10, 4.5, 4.5, 8.1) and got[399] == (10, 14.5, 14.5, 18.1) and got[901] == (20, 9.5, 9.5, 17.1) and got[900] == (60, 29.5, 29.5, 53.1)
+
+
+def test_windows_are_dealt_out(spark):
+    """Padded windows are cut into pixels on all partitions, and no pixel is joined by its raster alone."""
+    meta = _grid(spark, "raster_id", 0, height=64).coalesce(1)
+    pixels = spark.range(2048).selectExpr("0L AS raster_id", "id div 32 AS row", "id % 32 AS col", "CAST(id AS DOUBLE) AS value")
+    out = R.read_window(R.windows_padded(meta, 20, 3), meta, pixels, 20)
+    assert "REPARTITION_BY_NUM" in plan(out) and {"height", "width"} <= set(out.columns)
+    assert out.where("row0 = 0 and col0 = 0 and i = 3 and j = 3").first().value == 0.0 and out.where("row0 = 0 and col0 = 0 and i = 2 and j = 3").first().value == 32.0
