@@ -15,6 +15,7 @@ from ..sources import scans as S
 from ..sources.points import scan_point_store, write_point_store
 from ..sources import sinks as K
 from ..streaming.incremental import read_merged, write_partials
+from ..semantics import written
 from .bind import Tables, query
 from .pipelines import compact_dataset, compare_maps
 from .queries_space import _M02, md5_sql
@@ -113,7 +114,8 @@ def _(spark, d):
 
 @query("s09_write_dataset", "SELECT split, tile, year, idx FROM fpx WHERE split <> 'val'")
 def _(spark, d):
-    path, x = _folder(spark), Tables(spark, d).fpx
+    path = _folder(spark)
+    x = written(Tables(spark, d).fpx.where("split <> 'val'").select("split", "tile", "year", "idx"))  # places are found once for both layouts
     for mode in ("train", "test"):
         K.write_dataset(x.where(F.col("split") == mode).select("tile", "year", "idx"), path, mode)
     return spark.read.parquet(path).select("split", "tile", "year", "idx")

@@ -9,7 +9,8 @@ from ..semantics import finite, md5_order
 
 
 def write_dataset(df: DataFrame, path: str, mode: str, seed=42, key=("tile", "year", "idx")) -> None:
-    """Training layout: shuffled by hash order; test layout: in tile order. Rows keep that order inside files."""
+    """Training layout: shuffled by hash order; test layout: in tile order. Rows keep that order inside files.
+    df runs twice, as its ranges are sampled first: what is dear to make is written before."""
     order = [md5_order(seed, *key)] if mode != "test" else [F.col(k) for k in key]
     laid = df.withColumn("_o", order[0]).repartitionByRange("_o").sortWithinPartitions("_o").drop("_o") if mode != "test" else df.repartitionByRange(*order).sortWithinPartitions(*order)
     laid.withColumn("split", F.lit(mode)).write.mode("append").partitionBy("split").parquet(path)

@@ -117,4 +117,14 @@ def test_windows_are_dealt_out(spark):
     pixels = spark.range(2048).selectExpr("0L AS raster_id", "id div 32 AS row", "id % 32 AS col", "CAST(id AS DOUBLE) AS value")
     out = R.read_window(R.windows_padded(meta, 20, 3), meta, pixels, 20)
     assert "REPARTITION_BY_NUM" in plan(out) and {"height", "width"} <= set(out.columns)
-    assert out.where("row0 = 0 and col0 = 0 and i = 3 and j = 3").first().value == 0.0 and out.where("row0 = 0 and col0 = 0 and i = 2 and j = 3").first().value == 32.0
+    assert out.where("row0 = 0 and col0 = 0 and i = 3 and j = 3").first().value == 0.0 and out.where("row0 = 0 and col0 = 0 and i = 1 and j = 3").first().value == 32.0
+
+
+def test_places_are_found_once_for_both_layouts(spark, sf, monkeypatch):
+    from canopyframe.plans import queries_io as Q
+    from canopyframe.plans.catalog import QUERIES
+
+    seen = []
+    monkeypatch.setattr(Q.K, "write_dataset", lambda df, path, mode: seen.append(plan(df)) or df.withColumn("split", F.lit(mode)).write.mode("append").parquet(path))
+    assert QUERIES["s09_write_dataset"](spark, sf).count() > 0 and len(seen) == 2
+    assert all("Window" not in p for p in seen)
