@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import math
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..semantics import col
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of this package
+
 # WGS 84 and the UTM grid.
 _A, _INVERSE_F, _K0, _EASTING, _NORTHING = 6378137.0, 298.257223563, 0.9996, 500000.0, 10000000.0
 # Half a plot cell in degrees, the margin around it, and metres a degree.
