@@ -1,5 +1,6 @@
 """Queries whose cost once grew with more than their input: plans and results on small tables."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,6 +86,21 @@ def test_grids_meet_tiles_and_not_pixels(spark):
     assert len(want) > 500 and {tuple(r) for r in R.regrid(values, src, dst).select("grid", "row", "col", "value").collect()} == want
 
 
+def test_places_without_a_pixel_are_null(spark, tmp_path):
+    """Rasters with single pixels, a whole tile, values and the end of the last row missing, as in SQL."""
+    from compare import check
+
+    from canopyframe.plans.catalog import ORACLES, QUERIES
+
+    keys = spark.range(4 * 32 * 100 + 50).where("id div 128 not between 32 and 63 and id % 41 <> 7")  # 32 rows of 32 columns of 4 rasters
+    keys.selectExpr("id AS p_partkey", "IF(id % 43 = 1, NULL, 900D + id % 1000 / 10D) AS p_retailprice", "1 AS p_size").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    got = QUERIES["g09_regrid"](spark, str(tmp_path))
+    assert got.where("value is null and row between 22 and 42").count() > 4 * 20 * 20  # the tile
+    check(got, con, ORACLES["g09_regrid"])
+
+
 def test_patches_within_their_tile_ask_no_other(spark, monkeypatch):
     from canopyframe.operators import grids as D
 
